@@ -6,12 +6,14 @@ from lexiforge.llm.bpe_codec import op7_bpe_codec
 from lexiforge.llm.media import op10_media_columns
 from lexiforge.llm.mixing import op4_source_mixing
 from lexiforge.llm.resharding import op6_resharding
+from lexiforge.llm.substring_dedup import op1_substring_dedup
 from lexiforge.llm.token_counts import op9_token_counts
 from lexiforge.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op4_source_mixing": op4_source_mixing,
         "op6_resharding": op6_resharding,
         "op7_bpe_codec": op7_bpe_codec,
