@@ -11,7 +11,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexiforge.llm.bpe import Merges, as_bytes_shown, as_read
 from lexiforge.llm.common import documents
@@ -94,35 +93,23 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encode_column(text: Column, name: str = TOKENIZER, keep_text: bool = True) -> Column:
-    """struct(ids binary, decoded string) of a text column; null encodes as the empty text.
+def coded_column(text: Column, name: str = TOKENIZER, outputs: bool = True) -> Column:
+    """struct(ids binary, decoded string, n_tokens, ids_sha256, decoded_sha256) of a text column.
 
-    Empty texts give no ids and an empty decoded text. Very long texts are encoded whole:
-    only unsplit runs need the tree. ``name`` is a file of the tokenizer folder, resolved on
-    the executor; nothing is shipped with the job."""
+    Null encodes as the empty text: no ids, an empty decoded text. Very long texts are encoded
+    whole; only unsplit runs need the tree. ``name`` is a file of the tokenizer folder, resolved on
+    the executor; nothing is shipped with the job. Without ``outputs`` ids and decoded are null."""
 
-    @F.pandas_udf(T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = codec(tokenizer_path(name))
-        for texts in batches:
-            got = [own.encode(t or "") for t in texts]
-            yield pd.DataFrame({"ids": [a for a, _ in got], "decoded": [b if keep_text else "" for _, b in got]})
-
-    return run(text)
-
-
-def digest_column(text: Column, name: str = TOKENIZER) -> Column:
-    """struct(n_tokens, ids_sha256, decoded_sha256): the digests of encode_column()."""
-
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("ids binary, decoded string, n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(tokenizer_path(name))
         for texts in batches:
             rows = []
             for t in texts:
                 ids, decoded = own.encode(t or "")
-                rows.append((len(ids) // 4, sha256(ids).hexdigest(), sha256(decoded.encode("utf-8")).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                digests = len(ids) // 4, sha256(ids).hexdigest(), sha256(decoded.encode("utf-8")).hexdigest()
+                rows.append((ids, decoded, *digests) if outputs else (None, None, *digests))
+            yield pd.DataFrame(rows, columns=["ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run(text)
 
@@ -130,4 +117,5 @@ def digest_column(text: Column, name: str = TOKENIZER) -> Column:
 def op7_bpe_codec(spark, sf_dir: str) -> DataFrame:
     """Per document: token count and digests of ids and decoded text. No shuffle."""
     docs = documents(spark, sf_dir)
-    return docs.select("doc_id", digest_column(F.col("text")).alias("d")).select("doc_id", "d.*")
+    coded = docs.select("doc_id", coded_column(F.col("text"), outputs=False).alias("d"))
+    return coded.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
