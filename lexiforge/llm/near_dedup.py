@@ -307,7 +307,8 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bucke
     edges = edges.unionByName(member.where("rid <> rep").groupBy("rid").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b"))
     blocks = components(edges, "near-blocks")
     nodes = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct())
-    texts = docs.select(rank_id(F.col("doc_id")).alias("rid"), "text").join(nodes, F.col("rid") == F.col("node")).select("root", "rid", "text")
+    # always a merge join: the plan is the same at every size
+    texts = docs.select(rank_id(F.col("doc_id")).alias("rid"), "text").join(nodes.hint("merge"), F.col("rid") == F.col("node")).select("root", "rid", "text")
     texts = materialize(texts, "near-texts")
     large = texts.groupBy("root").agg(F.sum(F.octet_length("text")).alias("size")).where(F.col("size") > block_bytes).select(F.col("root").alias("r_"))
     large = materialize(large, "near-large-roots")
