@@ -328,7 +328,7 @@ def first_of_group(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     or go together; texts without words stay."""
     groups = near_groups(docs, k, percent).where("component <> rid").select("rid").distinct()
     keyed = docs.withColumn("__rid", rank_id(F.col("doc_id")))
-    kept = keyed.join(groups.withColumnRenamed("rid", "__gone"), F.col("__rid") == F.col("__gone"), "left_anti")
+    kept = keyed.join(groups.withColumnRenamed("rid", "__gone").hint("merge"), F.col("__rid") == F.col("__gone"), "left_anti")
     return kept.drop("__rid")
 
 

@@ -106,7 +106,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
                 w1, w2 = window_hash(roll, start, start + length), window_hash(other, start, start + length)
                 yield pd.DataFrame({"w1": w1.view(np.int64), "w2": (w2 >> np.uint64(32)).astype(np.uint32).view(np.int32), "rid": rid, "fp": fp, "start": start.astype(np.int32)})
 
-    texts = keyed.join(todo, (F.col("rid") == F.col("rid_")) & (F.col("fp") == F.col("fp_"))).select("rid", "fp", "text", "todo")
+    texts = keyed.join(todo.hint("merge"), (F.col("rid") == F.col("rid_")) & (F.col("fp") == F.col("fp_"))).select("rid", "fp", "text", "todo")
     windows = materialize(texts.mapInPandas(extend, "w1 long, w2 int, rid long, fp int, start int"), "repeat-windows")
     least = windows.groupBy("w1", "w2").agg(F.min("rid").alias("a"), F.max("rid").alias("z")).where("a < z")
     least = least.select(F.col("w1").alias("w1_"), F.col("w2").alias("w2_"), "a")
@@ -129,7 +129,7 @@ def covered(n: int, runs, length: int) -> np.ndarray:
 def _with_runs(docs: DataFrame, length: int, anchor: int, *columns: Column | str) -> DataFrame:
     runs = repeats(docs, length, anchor).withColumnsRenamed({"rid": "__rid", "fp": "__fp"})
     keyed = docs.select(*columns, "text", rank_id(F.col("doc_id")).alias("__r"), F.hash("text").alias("__f"))
-    return keyed.join(runs, (F.col("__r") == F.col("__rid")) & (F.col("__f") == F.col("__fp")), "left").drop("__r", "__f", "__rid", "__fp")
+    return keyed.join(runs.hint("merge"), (F.col("__r") == F.col("__rid")) & (F.col("__f") == F.col("__fp")), "left").drop("__r", "__f", "__rid", "__fp")
 
 
 def maximal_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
