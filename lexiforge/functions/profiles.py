@@ -45,10 +45,12 @@ class Profile:
     #: A useless lemma is at most this long or has a skipped form (see operators.lexicon).
     stop_words: tuple[str, ...] = ()
     min_lemma: int = 1
+    #: Words are set apart by blanks.
+    spaced: bool = False
 
 
 JA = Profile("JA", JAPANESE, JAPANESE_BROAD, JAPANESE, HIRAGANA, 10, 50, "。！？")
 LATIN = Profile(
     "LATIN", LATIN_LETTERS, LATIN_LETTERS + WS + r"0-9,;:'()\x22-", LATIN_LETTERS, LATIN_LOWER, 20, 200, "。！？.!?",
-    stop_words=("the", "and", "for", "with", "that", "this", "les", "des", "der", "die", "das", "und", "los", "las", "con", "una"), min_lemma=3,
+    stop_words=("the", "and", "for", "with", "that", "this", "les", "des", "der", "die", "das", "und", "los", "las", "con", "una"), min_lemma=3, spaced=True,
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,13 +21,9 @@ def gather(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame
     if not fs.exists(target):
         raise FileNotFoundError(path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    path = re.sub(r"([\[\]{}*?])", r"\\\1", path)  # names are literal, no globs
     if not fs.getFileStatus(target).isDirectory():
         return files.load(path)
-    if not recursive:  # only the folder's own files: folders below it are no partitions
-        names = [s.getPath().toString() for s in fs.listStatus(target) if s.isFile()]
-        if not names:
-            return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
-        files, path = spark.read.format("binaryFile").option("pathGlobFilter", "*"), names
     return files.load(path).where(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*EXTENSIONS))
 
 
