@@ -117,7 +117,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_tokens: int = SHARD_TOKENS, r
 def apply_mix(docs: DataFrame, **params) -> DataFrame:
     """The mixed corpus: each row as often as the mix takes it (a partly taken document comes
     whole), with the columns of ``docs``. Rows that repeat an id share its decision."""
-    got = mix(docs, **params).groupBy("doc_id", "source").agg(F.max(F.expr("ceil(taken / size)")).alias("__times"))
+    got = mix(docs, **params).groupBy("doc_id", "source").agg(F.max(F.expr("ceil(try_divide(taken, size))")).alias("__times"))
     got = got.where("__times > 0").withColumnsRenamed({"doc_id": "__id", "source": "__source"})
     out = docs.join(got.hint("merge"), docs["doc_id"].eqNullSafe(got["__id"]) & docs["source"].eqNullSafe(got["__source"]))
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)

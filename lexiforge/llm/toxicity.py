@@ -51,12 +51,14 @@ def words(text: str | None) -> list[str]:
 @dataclass
 class Model:
     """weight: what each n-gram bucket adds to the toxic logit; then logit = bias + mean; the
-    document's probability is the logistic of slope * logit + shift."""
+    document's probability is the logistic of slope * logit + shift. A text without words scores
+    ``prior``, the toxic share."""
 
     weight: np.ndarray
     bias: float
     slope: float
     shift: float
+    prior: float = 0.5
 
 
 def fit(texts: list[str], labels: list[int], share: float | None = None, epochs: int = EPOCHS, seed: int = SEED) -> Model:
@@ -66,7 +68,7 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, epochs:
     if len(set(labels)) < 2:
         p = (y.sum() + 0.5) / (len(y) + 1)
         p = min(max(share if share is not None else p, 0.01), 0.99)
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(np.log(p / (1 - p))))
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(np.log(p / (1 - p))), p)
     index: dict[str, int] = {}
     tokens, starts, owner, counts, kept = [], [], [], [], []
     at = 0
@@ -138,7 +140,7 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, epochs:
     slope, shift = _calibrate(logit[chosen], yd, np.where(yd == 1, share / yd.mean(), (1 - share) / (1 - yd.mean())))
     weight = np.zeros(BUCKETS, np.float32)
     weight[used] = emb @ (soft[:, 1] - soft[:, 0]) * scale
-    return Model(weight, float(bias[1] - bias[0]), slope, shift)
+    return Model(weight, float(bias[1] - bias[0]), slope, shift, share)
 
 
 def _log_odds(doc: np.ndarray, tokens: np.ndarray, flat: np.ndarray, gram_at: np.ndarray, sizes: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
@@ -189,6 +191,8 @@ class Scorer:
             part = own[i : i + WINDOW]
             mean = sum([known[w] if w in known else self.word(w) for w in set(part)]) / len(part)
             top = mean if i == 0 or mean > top else top
+        if not own:
+            return m.prior
         logit = m.bias + top
         return float(1 / (1 + np.exp(-np.clip(m.slope * logit + m.shift, -700, 700))))
 
