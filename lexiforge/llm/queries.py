@@ -6,6 +6,7 @@ from lexiforge.llm.bpe_codec import op7_bpe_codec
 from lexiforge.llm.media import op10_media_columns
 from lexiforge.llm.mixing import op4_source_mixing
 from lexiforge.llm.near_dedup import op3_near_dedup
+from lexiforge.llm.oracle import oracle_sql  # noqa: F401  part of this module's face
 from lexiforge.llm.pii import op5_personal_data
 from lexiforge.llm.quality_rules import op2_quality_rules
 from lexiforge.llm.resharding import op6_resharding
@@ -27,7 +28,3 @@ def queries() -> dict:
         "op9_token_counts": op9_token_counts,
         "op10_media_columns": op10_media_columns,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
