@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import documents
+from lexiforge.llm.common import documents, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 24
@@ -35,10 +35,10 @@ _MAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Loose forms: (kind, quick test, pattern).
+#: Loose forms: (kind, quick test, pattern). A quick test is a pattern, or literals of which one must occur.
 LOOSE = (
-    ("email", r"[A-Za-z0-9] ?(?:\(at\)|\[at\]| at [A-Za-z0-9-]+ dot )", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at(?= [A-Za-z0-9-]++ dot )) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\.| dot ) ?[A-Za-z0-9-]++)++"),
-    ("ip", r"[0-9] ?(?:\[\.\]|\(\.\)|\[dot\])", r"(?<![0-9])[0-9]{1,3}+(?: ?(?:\.|\[\.\]|\(\.\)|\[dot\]) ?[0-9]{1,3}+){3}(?![0-9])"),
+    ("email", ("(at)", "[at]", " dot "), r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at(?= [A-Za-z0-9-]++ dot )) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\.| dot ) ?[A-Za-z0-9-]++)++"),
+    ("ip", ("[.]", "(.)", "[dot]"), r"(?<![0-9])[0-9]{1,3}+(?: ?(?:\.|\[\.\]|\(\.\)|\[dot\]) ?[0-9]{1,3}+){3}(?![0-9])"),
     ("card", r"[0-9]{4}", r"(?<![0-9])[0-9]{4}+(?:[\x20./_-]{1,3}[0-9]{2,6}+){2,4}(?![0-9])"),
     ("phone", r"[0-9]{3}[\x20./)-]{1,2}[0-9]", r"(?<![0-9+(])\(?[0-9]{2,4}+\)?[\x20./-]{1,2}[0-9]{3,4}+(?:[\x20./-][0-9]{2,4}+){1,3}(?![0-9])"),
 )
@@ -109,18 +109,33 @@ def _tagged(kind: str):
 _NONE = "array<struct<start:int,end:int,hit:string>>"
 
 
-def _base(text: Column) -> dict[str, Column]:
-    """Base spans by kind. A quick test spares most texts the full pattern."""
-    forms = {"email": (F.contains(text, F.lit("@")), _MAIL), "ip": (text.rlike(r"[0-9]\.[0-9]++\."), _IP), "card": (text.rlike(r"[0-9][\x20-]?[0-9]"), _CARD), "phone": (text.rlike(r"\+[0-9]"), _PHONE)}
+def _base(text: Column, digit: Column) -> dict[str, Column]:
+    """Base spans by kind. Quick tests spare most texts the full patterns."""
+    forms = {"email": (F.contains(text, F.lit("@")), _MAIL), "ip": (digit & F.contains(text, F.lit(".")), _IP), "card": (digit, _CARD), "phone": (digit & F.contains(text, F.lit("+")), _PHONE)}
     return {k: F.when(test, F.filter(spans_of(text, p), _checked(k))).otherwise(F.array().cast(_NONE)) for k, (test, p) in forms.items()}
 
 
+def _may_hold(text: Column, digit: Column, test: str | tuple[str, ...]) -> Column:
+    if isinstance(test, str):
+        return digit & text.rlike(test)
+    out = F.lit(False)
+    for literal in test:
+        out = out | F.contains(text, F.lit(literal))
+    return out
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with t (its text, null as empty), base_<kind> and loose_<kind> span arrays."""
-    rows = docs.withColumn("t", F.coalesce("text", F.lit("")))
-    rows = rows.withColumns({f"base_{k}": c for k, c in _base(F.col("t")).items()})
-    loose = {f"loose_{k}": F.when(F.col("t").rlike(test), spans_of(F.col("t"), p)).otherwise(F.array().cast(_NONE)) for k, test, p in LOOSE}
-    return rows.withColumns(loose)
+    """``docs`` with base_<kind> span arrays, and loose_<kind> arrays whose spans carry their
+    features (f). A null text counts as empty."""
+    rows = docs.withColumn("__t", F.coalesce("text", F.lit("")))
+    rows = rows.withColumn("__d", F.col("__t").rlike("[0-9]"))
+    text, digit = F.col("__t"), F.col("__d")
+    spans = _base(text, digit)
+    columns = {f"base_{k}": c for k, c in spans.items()}
+    for k, test, p in LOOSE:
+        found = F.transform(spans_of(text, p), lambda s: F.struct(s["start"], s["end"], s["hit"], F.struct(*(c.alias(n) for n, c in features(F.col("__t"), s).items())).alias("f")))
+        columns[f"loose_{k}"] = F.when(_may_hold(text, digit, test), found)
+    return rows.withColumns(columns).drop("__t", "__d")
 
 
 #: Feature names and their number of levels.
@@ -147,22 +162,17 @@ def features(text: Column, span: Column) -> dict[str, Column]:
     }
 
 
-def training_table(rows: DataFrame) -> list[tuple]:
-    """(kind, features..., positives, candidates), one row per feature vector that occurs."""
-    parts = [F.transform(F.col(f"loose_{k}"), _labeller(k)) for k in KINDS]
-    cells = rows.select(F.explode(F.concat(*parts)).alias("x")).select("x.*")
-    table = cells.groupBy("kind", *FEATURES).agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
-    return [tuple(r) for r in table.collect()]  # at most 4 * the product of the levels
+def _meets(kind: str, span: Column) -> Column:
+    return F.exists(F.col(f"base_{kind}"), lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
 
 
 def _labelled(span: Column, kind: str) -> Column:
     """Features and weak label: confirmed if it meets a base span of its kind or passes the
     kind's own check while no other kind claims it."""
-    meets = lambda k: F.exists(F.col(f"base_{k}"), lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
     other = F.lit(False)
     for k in KINDS:
         if k != kind:
-            other = other | meets(k)
+            other = other | _meets(k, span)
     hit = span["hit"]
     sane = {
         "card": _valid("card", hit),
@@ -170,8 +180,16 @@ def _labelled(span: Column, kind: str) -> Column:
         "ip": F.forall(F.filter(F.split(hit, "[^0-9]+"), lambda p: p != ""), lambda p: p.cast("int") <= 255),
         "email": F.lit(True),
     }[kind]
-    y = (meets(kind) | (sane & ~other)).cast("int")
-    return F.struct(F.lit(kind).alias("kind"), *(c.alias(n) for n, c in features(F.col("t"), span).items()), y.alias("y"))
+    y = (_meets(kind, span) | (sane & ~other)).cast("int")
+    return F.struct(F.lit(kind).alias("kind"), *(span["f"][n].alias(n) for n in FEATURES), y.alias("y"))
+
+
+def training_table(rows: DataFrame) -> list[tuple]:
+    """(kind, features..., positives, candidates), one row per feature vector that occurs."""
+    parts = [F.coalesce(F.transform(F.col(f"loose_{k}"), _labeller(k)), F.array()) for k in KINDS]
+    cells = rows.select(F.explode(F.concat(*parts)).alias("x")).select("x.*")
+    table = cells.groupBy("kind", *FEATURES).agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
+    return [tuple(r) for r in table.collect()]  # at most 4 * the product of the levels
 
 
 def boost(table: list[tuple], rounds: int = ROUNDS, rate: float = RATE, leaf_min: int = LEAF_MIN) -> list[tuple]:
@@ -259,23 +277,30 @@ def find(docs: DataFrame, threshold: float | None = None) -> DataFrame:
     Null and empty texts have no spans. Every row is handled by itself; the only shuffle is that
     of the feature table. ``threshold`` replaces the calibrated margin."""
     rows = candidates(docs)
+    return select_spans(rows, threshold)
+
+
+def select_spans(rows: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Trains on the candidates and adds the chosen ones; ``rows`` are read twice."""
     table = training_table(rows)
     trees = boost(table)
     margin = calibrated(trees, table) if threshold is None else threshold
 
     def chosen(kind: str) -> Column:
         def keep(span: Column) -> Column:
-            values = [F.lit(KINDS.index(kind)), *features(F.col("t"), span).values()]
+            values = [F.lit(KINDS.index(kind)), *(span["f"][n] for n in FEATURES)]
             clear = F.lit(True)
             for k in KINDS:
-                clear = clear & ~F.exists(F.col(f"base_{k}"), lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+                clear = clear & ~_meets(k, span)
             return clear & (_score(trees, values) >= margin)
 
-        added = F.filter(F.col(f"loose_{kind}"), keep) if math.isfinite(margin) else F.array().cast(_NONE)
-        return F.when(F.size(f"loose_{kind}") == 0, F.col(f"base_{kind}")).otherwise(F.array_sort(F.concat(F.col(f"base_{kind}"), added)))
+        base, loose = F.col(f"base_{kind}"), F.col(f"loose_{kind}")
+        if not math.isfinite(margin):
+            return base
+        plain = F.transform(F.filter(loose, keep), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit")))
+        return F.when(loose.isNull(), base).otherwise(F.array_sort(F.concat(base, plain)))
 
-    out = rows.withColumns({f"all_{k}": chosen(k) for k in KINDS})
-    return out.drop("t", *(f"loose_{k}" for k in KINDS))
+    return rows.withColumns({f"all_{k}": chosen(k) for k in KINDS}).drop(*(f"loose_{k}" for k in KINDS))
 
 
 def listed(prefix: str) -> Column:
@@ -305,6 +330,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def op5_personal_data(spark, sf_dir: str) -> DataFrame:
-    got = find(documents(spark, sf_dir).select("doc_id", "text"))
+    """The candidates are written once, without texts, for training and selection alike."""
+    found = candidates(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    got = select_spans(materialize(found, "pii-candidates"))
     counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
     return got.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("all").alias("spans"))
