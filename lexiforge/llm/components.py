@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from lexiforge.llm.common import forget, materialize
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def _stars(edges: DataFrame, large: bool, name: str) -> DataFrame:
     """One contraction: each node's neighbours are tied to the least id round it. Large stars
     look at both directions and tie the larger neighbours, small stars tie the smaller ones and
-    the node itself. A node's minimum is pre-aggregated, so no neighbourhood meets in a task."""
+    the node itself. A node's minimum is pre-aggregated and written, so no neighbourhood meets in
+    a task and the join that brings it back can split a hub."""
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("a_"), F.least("a", "m").alias("m"))
-        tied = both.where("b > a").join(least, F.col("a") == F.col("a_"))
+        tied = both.where("b > a").join(materialize(least, name), F.col("a") == F.col("a_"))
         return tied.where("b <> m").select(F.col("m").alias("a"), "b").distinct()
     down = edges.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
     least = down.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "b_")
-    tied = down.join(least, F.col("b") == F.col("b_"))
+    tied = down.join(materialize(least, name), F.col("b") == F.col("b_"))
     ends = F.explode(F.array(F.col("b"), F.col("a")))
     return tied.select("m", ends.alias("b")).where("b <> m").select(F.col("m").alias("a"), "b").distinct()
 
@@ -32,7 +33,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
     seen = None
     while True:
-        after = materialize(_stars(_stars(edges, True), False), name)
+        after = materialize(_stars(materialize(_stars(edges, True, name), name), False, name), name)
         mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         forget(edges)
         edges = after

@@ -291,13 +291,16 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bucke
     ``percent``; texts without words are linked with nothing. Rows that share an id count
     as one document with all their links; null ids rank last, together."""
     rows = materialize(_features(docs, k), "near-features")
-    classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("rid").alias("rep"))
+    # aggregates are written before they are joined back: then either side of the join is a plain
+    # exchange, and a hot class or bucket can be split
+    classes = materialize(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("rid").alias("rep")), "near-classes")
     of_class = classes.withColumnsRenamed({"s1": "s1_", "s2": "s2_"})
     placed = rows.where("n > 0").join(of_class, (F.col("s1") == F.col("s1_")) & (F.col("s2") == F.col("s2_")))
     member = materialize(placed.select("rid", "rep"), "near-members")
     reps = placed.where("rid = rep").select("rid", "n", "sketch", "s1", "keys").dropDuplicates(["rid", "s1"])
     banded = materialize(reps.select("rid", "n", "sketch", F.explode("keys").alias("key")), "near-bands")
     full = banded.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("rid").alias("least")).where("rows > 1").withColumnRenamed("key", "key_")
+    full = materialize(full, "near-full")
     shared = materialize(banded.join(full, F.col("key") == F.col("key_")).drop("key_"), "near-buckets")
     most = most_differing(percent)
     small = shared.where(F.col("rows") <= bucket).select("key", "rid", "n", "sketch").repartition("key").sortWithinPartitions("key", "rid")
