@@ -91,8 +91,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
     segments = materialize(keyed.mapInPandas(seeds, "h long, rid long, fp int, lo int, m int, c1 long, c2 long"), "repeat-segments")
     shared = segments.groupBy("h").agg(F.min("rid").alias("a"), F.max("rid").alias("z"), F.min("c1").alias("ca"), F.max("c1").alias("cz"))
     shared = shared.where("a < z").select(F.col("h").alias("h_"), (F.col("ca") < F.col("cz")).alias("varied"))
+    # aggregates are written before they are joined back: then either side of the join is a plain
+    # exchange, and an anchor or segment that very many documents have can be split
+    shared = materialize(shared, "repeat-shared")
     members = materialize(segments.join(shared, F.col("h") == F.col("h_")).drop("h_", "h"), "repeat-members")
     first = members.groupBy("c1", "c2").agg(F.min("rid").alias("first")).withColumnsRenamed({"c1": "c1_", "c2": "c2_"})
+    first = materialize(first, "repeat-first")
     known = members.join(first, (F.col("c1") == F.col("c1_")) & (F.col("c2") == F.col("c2_")))
     known = materialize(known.select("rid", "fp", "lo", "m", "varied", (F.col("rid") > F.col("first")).alias("whole")).where("whole or varied"), "repeat-known")
     whole = known.where("whole").select("rid", "fp", F.col("lo").alias("start"), F.col("m").alias("windows"))
@@ -110,6 +114,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
     windows = materialize(texts.mapInPandas(extend, "w1 long, w2 int, rid long, fp int, start int"), "repeat-windows")
     least = windows.groupBy("w1", "w2").agg(F.min("rid").alias("a"), F.max("rid").alias("z")).where("a < z")
     least = least.select(F.col("w1").alias("w1_"), F.col("w2").alias("w2_"), "a")
+    least = materialize(least, "repeat-least")
     single = windows.join(least, (F.col("w1") == F.col("w1_")) & (F.col("w2") == F.col("w2_")) & (F.col("rid") > F.col("a")))
     runs = whole.unionByName(single.select("rid", "fp", "start", F.lit(1).alias("windows")))
     return runs.groupBy("rid", "fp").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
