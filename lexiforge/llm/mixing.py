@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lexiforge.llm.common import documents, materialize, n_words
 
 BLOCK = 32
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_000_000
 REPEATS = 3
 SEED = 7
 #: Weights of the sources in order, repeating.
