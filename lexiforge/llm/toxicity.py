@@ -12,6 +12,7 @@ Because the model is linear after the embeddings, scoring needs one number per n
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -70,7 +71,7 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, epochs:
         p = min(max(share if share is not None else p, 0.01), 0.99)
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(np.log(p / (1 - p))), p)
     index: dict[str, int] = {}
-    tokens, starts, owner, counts, kept = [], [], [], [], []
+    tokens, starts, owner, counts, kept = (array("q") for _ in range(5))
     at = 0
     for d, text in enumerate(texts):
         ids = [index.setdefault(w, len(index)) for w in words(text)]
@@ -82,15 +83,18 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, epochs:
             counts.append(len(part))
             owner.append(d)
             once = list(dict.fromkeys(part))  # a word counts once in a window: repeats aren't insults
-            tokens += once
+            tokens.extend(once)
             kept.append(len(once))
             at += len(once)
-    if not tokens:
+    if not len(tokens):
         return fit([], [])
-    tokens, starts, owner, counts, kept = (np.array(x, dtype=np.int64) for x in (tokens, starts, owner, counts, kept))
-    lists = [grams(w) for w in index]
-    sizes = np.array([len(x) for x in lists])
-    flat = np.concatenate([np.array(x) for x in lists])
+    tokens, starts, owner, counts, kept = (np.frombuffer(x, dtype=np.int64) for x in (tokens, starts, owner, counts, kept))
+    flat, sizes = array("q"), array("q")
+    for w in index:
+        own = grams(w)
+        flat.extend(own)
+        sizes.append(len(own))
+    flat, sizes = np.frombuffer(flat, dtype=np.int64), np.frombuffer(sizes, dtype=np.int64)
     used, flat = np.unique(flat, return_inverse=True)
     gram_at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     rng = np.random.default_rng(seed)
@@ -145,14 +149,12 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, epochs:
 
 def _log_odds(doc: np.ndarray, tokens: np.ndarray, flat: np.ndarray, gram_at: np.ndarray, sizes: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
     """Smoothed log-odds, per n-gram, of the documents that contain it; scaled to start from."""
-    seen = np.unique(doc * (int(tokens.max()) + 1) + tokens)
-    d, w = seen // (int(tokens.max()) + 1), seen % (int(tokens.max()) + 1)
     hits = np.zeros((2, n))
-    for c in (0, 1):  # documents by n-gram: each counts once, for its first word with it
-        own = y[d] == c
-        dd, ww = d[own], w[own]
-        gram = flat[np.repeat(gram_at[ww], sizes[ww]) + np.arange(sizes[ww].sum()) - np.repeat(np.cumsum(sizes[ww]) - sizes[ww], sizes[ww])]
-        hits[c] = np.bincount(np.unique(np.repeat(dd, sizes[ww]) * n + gram) % n, minlength=n)
+    for d in np.unique(doc):  # a document counts once per n-gram
+        words_of = np.unique(tokens[slice(*np.searchsorted(doc, (d, d + 1)))])
+        size = sizes[words_of]
+        at = np.repeat(gram_at[words_of] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        hits[int(y[d]), np.unique(flat[at])] += 1
     total = np.array([(y == 0).sum(), (y == 1).sum()])
     return (np.log((hits[1] + 3) / (total[1] + 6)) - np.log((hits[0] + 3) / (total[0] + 6))).astype(np.float32)
 
