@@ -10,7 +10,7 @@ from lexiforge import cli
 from lexiforge.functions.profiles import LATIN
 from lexiforge.operators import sync, token_cache, userdict
 from lexiforge.operators.tokenizers import RegexTokenizer
-from lexiforge.plans.mining import Config, Pipeline, mine
+from lexiforge.plans.mining import Config, Pipeline, mine, observed
 from lexiforge.sources import files, sinks
 from lexiforge.streaming import ingest
 
@@ -118,6 +118,11 @@ def test_pipeline_skips_none(spark):
     assert run.run(spark.range(10)).count() == 3 and [p.rows for p in seen] == [8, 3]
 
 
+def test_counters(spark):
+    df, watch = observed(spark.range(5), largest=F.max("id"))
+    assert df.where("id > 1").count() == 3 and watch.get == {"rows": 5, "largest": 4}
+
+
 def test_mine_end_to_end(spark, sf):
     docs = files.from_documents(spark.read.parquet(f"{sf}/documents.parquet").limit(20))
     got = mine(docs, None, Config(LATIN, RegexTokenizer(), 2))
