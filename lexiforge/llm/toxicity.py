@@ -1,7 +1,7 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A text is cut into windows of WINDOW words (all of them, to its end). A window's vector is the
-mean of its words' vectors (a repeated word adds nothing), a word's the mean of its hashed character n-gram embeddings; a
+mean of its words' vectors (a repeated word adds nothing, a short window is padded), a word's the mean of its hashed character n-gram embeddings; a
 linear softmax reads it. The text scores as its most toxic window. Embeddings and softmax are
 trained together by gradient steps on the labelled sample, each document by the window that scores
 highest at the time, starting from each n-gram's log-odds of occurring in a toxic document;
@@ -49,6 +49,12 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def windows(items: list) -> Iterator[list]:
+    """Windows end to end; the last one reaches back to full length where it can."""
+    for i in range(0, len(items), WINDOW):
+        yield items[max(0, min(i, len(items) - WINDOW)) : i + WINDOW]
+
+
 @dataclass
 class Model:
     """weight: what each n-gram bucket adds to the toxic logit; then logit = bias + mean; the
@@ -75,12 +81,9 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, epochs:
     at = 0
     for d, text in enumerate(texts):
         ids = [index.setdefault(w, len(index)) for w in words(text)]
-        for i in range(0, max(len(ids), 1), WINDOW):
-            part = ids[i : i + WINDOW]
-            if not part:
-                continue
+        for part in windows(ids):
             starts.append(at)
-            counts.append(len(part))
+            counts.append(WINDOW)  # a short window is padded: few words say little
             owner.append(d)
             once = list(dict.fromkeys(part))  # a word counts once in a window: repeats aren't insults
             tokens.extend(once)
@@ -189,9 +192,8 @@ class Scorer:
     def score(self, text: str | None) -> float:
         known, m = self.known, self.model
         own, top = words(text), 0.0
-        for i in range(0, len(own), WINDOW):
-            part = own[i : i + WINDOW]
-            mean = sum([known[w] if w in known else self.word(w) for w in set(part)]) / len(part)
+        for i, part in enumerate(windows(own)):
+            mean = sum([known[w] if w in known else self.word(w) for w in set(part)]) / WINDOW
             top = mean if i == 0 or mean > top else top
         if not own:
             return m.prior
