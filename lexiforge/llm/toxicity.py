@@ -4,7 +4,7 @@ A text is cut into windows of WINDOW words (all of them, to its end). A window's
 mean of its words' vectors (a repeated word adds nothing, a short window is padded), a word's the mean of its hashed character n-gram embeddings; a
 linear softmax reads it. The text scores as its most toxic window. Embeddings and softmax are
 trained together by gradient steps on the labelled sample, each document by the window that scores
-highest at the time, starting from each n-gram's log-odds of occurring in a toxic document;
+highest at the time, starting from the n-grams' log-odds of occurring in toxic documents;
 the document score is calibrated by a logistic fit at the end.
 Because the model is linear after the embeddings, scoring needs one number per n-gram bucket.
 """
@@ -27,7 +27,7 @@ from lexiforge.llm.common import documents
 WINDOW = 32
 BUCKETS = 1 << 17
 DIM = 6
-EPOCHS = 30
+EPOCHS = 15
 #: Bound of the training sample: documents of each class, taken by the hash of their id.
 SAMPLE = 800
 #: Longer texts (code points) aren't trained on; they are scored whole like any other.
@@ -70,7 +70,22 @@ class Model:
 
 def fit(texts: list[str], labels: list[int], share: float | None = None, epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """Train on labelled texts; ``share`` is the positive class's share in the population
-    (default: in the sample). Without both classes: a constant score of the (smoothed) share."""
+    (default: in the sample). The calibration comes from every fourth text, by a model trained
+    without them; the final model is trained on all."""
+    rest = [i for i in range(len(texts)) if i % 4]
+    apart = range(0, len(texts), 4)
+    model = _fit(texts, labels, share, epochs, seed)
+    y = np.array([labels[i] for i in apart], dtype=np.float64)
+    if len(texts) >= 80 and 0 < y.sum() < len(y) and model.slope:
+        other = Scorer(_fit([texts[i] for i in rest], [labels[i] for i in rest], share, epochs, seed))
+        logit = np.array([other.logit(texts[i]) for i in apart])
+        share = model.prior
+        model.slope, model.shift = _calibrate(logit, y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
+    return model
+
+
+def _fit(texts: list[str], labels: list[int], share: float | None, epochs: int, seed: int) -> Model:
+    """One training. Without both classes: a constant score of the (smoothed) share."""
     y = np.array(labels, dtype=np.float64)
     if len(set(labels)) < 2:
         p = (y.sum() + 0.5) / (len(y) + 1)
@@ -90,7 +105,7 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, epochs:
             kept.append(len(once))
             at += len(once)
     if not len(tokens):
-        return fit([], [])
+        return _fit([], [], share, epochs, seed)
     tokens, starts, owner, counts, kept = (np.frombuffer(x, dtype=np.int64) for x in (tokens, starts, owner, counts, kept))
     flat, sizes = array("q"), array("q")
     for w in index:
@@ -151,7 +166,8 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, epochs:
 
 
 def _log_odds(doc: np.ndarray, tokens: np.ndarray, flat: np.ndarray, gram_at: np.ndarray, sizes: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """Smoothed log-odds, per n-gram, of the documents that contain it; scaled to start from."""
+    """Log-odds, per n-gram, of the documents that contain it, smoothed and less a standard
+    error, so that chance n-grams start from nothing."""
     hits = np.zeros((2, n))
     for d in np.unique(doc):  # a document counts once per n-gram
         words_of = np.unique(tokens[slice(*np.searchsorted(doc, (d, d + 1)))])
@@ -159,7 +175,9 @@ def _log_odds(doc: np.ndarray, tokens: np.ndarray, flat: np.ndarray, gram_at: np
         at = np.repeat(gram_at[words_of] - np.cumsum(size) + size, size) + np.arange(size.sum())
         hits[int(y[d]), np.unique(flat[at])] += 1
     total = np.array([(y == 0).sum(), (y == 1).sum()])
-    return (np.log((hits[1] + 3) / (total[1] + 6)) - np.log((hits[0] + 3) / (total[0] + 6))).astype(np.float32)
+    odds = np.log((hits[1] + 3) / (total[1] + 6)) - np.log((hits[0] + 3) / (total[0] + 6))
+    error = np.sqrt(1 / (hits[1] + 3) + 1 / (hits[0] + 3))
+    return (np.sign(odds) * np.maximum(np.abs(odds) - error, 0)).astype(np.float32)
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -189,15 +207,19 @@ class Scorer:
         self.known[w] = got
         return got
 
-    def score(self, text: str | None) -> float:
-        known, m = self.known, self.model
-        own, top = words(text), 0.0
+    def logit(self, text: str | None) -> float:
+        known, top = self.known, 0.0
+        own = words(text)
         for i, part in enumerate(windows(own)):
             mean = sum([known[w] if w in known else self.word(w) for w in set(part)]) / WINDOW
             top = mean if i == 0 or mean > top else top
-        if not own:
+        return self.model.bias + top
+
+    def score(self, text: str | None) -> float:
+        m = self.model
+        if not _WORD.search(text or ""):
             return m.prior
-        logit = m.bias + top
+        logit = self.logit(text)
         return float(1 / (1 + np.exp(-np.clip(m.slope * logit + m.shift, -700, 700))))
 
 
