@@ -1,11 +1,12 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A text is cut into windows of WINDOW words (all of them, to its end). A window's vector is the
-mean of its words' vectors (a repeated word adds nothing, a short window is padded), a word's the mean of its hashed character n-gram embeddings; a
-linear softmax reads it. The text scores as its most toxic window. Embeddings and softmax are
-trained together by gradient steps on the labelled sample, each document by the window that scores
-highest at the time, starting from the n-grams' log-odds of occurring in toxic documents;
-the document score is calibrated by a logistic fit at the end.
+mean of its words' vectors (a repeated word adds nothing, a short window is padded), a word's
+the mean of its hashed character n-gram embeddings; a linear softmax reads it. The text scores
+as its most toxic window. Embeddings and softmax are trained together by gradient steps on the
+labelled sample, each document by the window that scores highest at the time, starting from
+the n-grams' log-odds of occurring in toxic documents. A logistic fit on texts that a second
+model wasn't trained on calibrates the score.
 Because the model is linear after the embeddings, scoring needs one number per n-gram bucket.
 """
 
@@ -58,7 +59,7 @@ def windows(items: list) -> Iterator[list]:
 @dataclass
 class Model:
     """weight: what each n-gram bucket adds to the toxic logit; then logit = bias + mean; the
-    document's probability is the logistic of slope * logit + shift. A text without words scores
+    document's probability is the logistic of slope * asinh(logit) + shift (logits have long tails). A text without words scores
     ``prior``, the toxic share."""
 
     weight: np.ndarray
@@ -70,17 +71,17 @@ class Model:
 
 def fit(texts: list[str], labels: list[int], share: float | None = None, epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """Train on labelled texts; ``share`` is the positive class's share in the population
-    (default: in the sample). The calibration comes from every fourth text, by a model trained
-    without them; the final model is trained on all."""
-    rest = [i for i in range(len(texts)) if i % 4]
-    apart = range(0, len(texts), 4)
+    (default: in the sample). The calibration reads each half of the texts by a model trained
+    on the other half; the final model is trained on all."""
     model = _fit(texts, labels, share, epochs, seed)
-    y = np.array([labels[i] for i in apart], dtype=np.float64)
-    if len(texts) >= 80 and 0 < y.sum() < len(y) and model.slope:
-        other = Scorer(_fit([texts[i] for i in rest], [labels[i] for i in rest], share, epochs, seed))
-        logit = np.array([other.logit(texts[i]) for i in apart])
-        share = model.prior
-        model.slope, model.shift = _calibrate(logit, y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
+    halves = [range(k, len(texts), 2) for k in (0, 1)]
+    if len(texts) >= 80 and model.slope and all(0 < sum(labels[i] for i in h) < len(h) for h in halves):
+        logit = np.zeros(len(texts))
+        for own, other in (halves, halves[::-1]):
+            half = Scorer(_fit([texts[i] for i in own], [labels[i] for i in own], share, epochs, seed))
+            logit[other] = [half.logit(texts[i]) for i in other]
+        y, share = np.array(labels, dtype=np.float64), model.prior
+        model.slope, model.shift = _calibrate(np.arcsinh(logit), y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
     return model
 
 
@@ -159,7 +160,7 @@ def _fit(texts: list[str], labels: list[int], share: float | None, epochs: int,
             x -= speed * m / (np.abs(m).max() + 1e-12)  # in proportion to support: rare n-grams move little
     _, logit, chosen = forward()
     share = float(yd.mean()) if share is None else share
-    slope, shift = _calibrate(logit[chosen], yd, np.where(yd == 1, share / yd.mean(), (1 - share) / (1 - yd.mean())))
+    slope, shift = _calibrate(np.arcsinh(logit[chosen]), yd, np.where(yd == 1, share / yd.mean(), (1 - share) / (1 - yd.mean())))
     weight = np.zeros(BUCKETS, np.float32)
     weight[used] = emb @ (soft[:, 1] - soft[:, 0]) * scale
     return Model(weight, float(bias[1] - bias[0]), slope, shift, share)
@@ -220,7 +221,7 @@ class Scorer:
         if not _WORD.search(text or ""):
             return m.prior
         logit = self.logit(text)
-        return float(1 / (1 + np.exp(-np.clip(m.slope * logit + m.shift, -700, 700))))
+        return float(1 / (1 + np.exp(-np.clip(m.slope * np.arcsinh(logit) + m.shift, -700, 700))))
 
 
 def held_out(doc_id: Column) -> Column:
