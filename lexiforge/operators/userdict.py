@@ -62,8 +62,10 @@ def ngrams(text: Column, low: int = MIN_GRAM, high: int = MAX_GRAM, members: str
 
 
 def candidate_ngrams(lines: DataFrame, low: int = MIN_GRAM, high: int = MAX_GRAM, members: str = NGRAM_CHARS) -> DataFrame:
-    """Distinct candidate substrings of a table of texts; duplicates fall in the row first."""
-    return lines.select(F.explode(F.array_distinct(ngrams(F.col("text"), low, high, members))).alias("candidate")).distinct()
+    """Distinct candidate substrings of a table of texts. Each distinct run is taken apart once;
+    duplicates fall in the row first."""
+    each = lines.select(F.explode(F.array_distinct(runs(F.col("text"), members))).alias("run")).distinct()
+    return each.select(F.explode(F.array_distinct(ngrams(F.col("run"), low, high, members))).alias("candidate")).distinct()
 
 
 def unsegmented(candidates: DataFrame, tokenizer) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexiforge.functions import scoring as S
 from lexiforge.functions import text as T
 from lexiforge.functions.normalize import normalise_column
-from lexiforge.functions.profiles import JA, LATIN
+from lexiforge.functions.profiles import JA, LATIN, LATIN_LETTERS
 from lexiforge.operators import dictionary, examples, layout, lexicon, ranking, sync, token_cache, userdict
 from lexiforge.operators.tokenizers import RegexTokenizer
 from lexiforge.plans import fixtures
@@ -340,6 +340,12 @@ def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return userdict.candidate_ngrams(corpus(spark, sf_dir).select("text"), members=ACCENTED)
 
 
+def ngram_candidates_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all Latin letters of the whole texts, in the case they stand in; ngram_candidates is
+    held to its SQL, which has the accented lower-case letters only. No SQL: see tests.test_outputs."""
+    return userdict.candidate_ngrams(corpus(spark, sf_dir).select("text"), members=LATIN_LETTERS)
+
+
 def ngram_candidates_ja(spark: SparkSession, sf_dir: str) -> DataFrame:
     return userdict.candidate_ngrams(fixtures.sentences(spark))
 
@@ -377,8 +383,8 @@ NAMES = (
     "normalise_sentences", "valid_sentences", "useful_tokens", "build_lexicon", "tag_sets", "token_position_index", "sentence_lemma_map",
     "frequency_threshold", "filter_frequency", "tag_diversity", "priority_scores", "nearest_rank", "dictionary_index", "dictionary_best_entry",
     "definitions_join", "invalid_words", "sentence_stats", "attach_examples", "attach_fallback", "kept_rows", "dropped_rows", "sentence_rows",
-    "highlight_html", "sync_changes", "sync_summary", "sync_batches", "ngram_candidates", "ngram_candidates_ja", "pos_resolution", "userdict_cost",
-    "content_keys", "cache_misses", "useless_lemmas",
+    "highlight_html", "sync_changes", "sync_summary", "sync_batches", "ngram_candidates", "ngram_candidates_latin", "ngram_candidates_ja",
+    "pos_resolution", "userdict_cost", "content_keys", "cache_misses", "useless_lemmas",
 )
 
 

@@ -2,6 +2,7 @@
 
 import csv
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from lexiforge.functions.profiles import LATIN
 from lexiforge.operators import sync, token_cache, userdict
 from lexiforge.operators.tokenizers import RegexTokenizer
 from lexiforge.plans.mining import Config, Pipeline, mine, observed
+from lexiforge.plans.queries import queries
 from lexiforge.sources import files, sinks
 from lexiforge.streaming import ingest
 
@@ -101,6 +103,22 @@ def test_user_dictionary(spark):
     assert len(row) == 1 and row[0].c5 == "動詞" and row[0].c3 == 3500 and row[0].c11 == "ねこが" and row[0].c14 == "C"
 
 
+def brute_grams(texts):
+    runs = {r for t in texts for r in re.findall("[a-zA-ZÀ-ÖØ-öø-ÿ]+", t or "")}
+    return {r[i : i + k] for r in runs for i in range(len(r)) for k in range(2, 21) if i + k <= len(r)}
+
+
+def test_latin_candidates(spark, sf, tmp_path):
+    """Every letter counts, in its case, also where no accented one stands beside another."""
+    texts = [None, "", "Ab a ABC-ab\nÀé×ùs fÿ÷ß", "x" * 23, "Plain english words, plain English words"]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.candidate for r in queries()["ngram_candidates_latin"](spark, str(tmp_path)).collect()]
+    assert set(got) == brute_grams(texts) and len(got) == len(set(got)) and {"AB", "ab", "ng", "Àé"} <= set(got)
+    docs = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = [r.candidate for r in queries()["ngram_candidates_latin"](spark, sf).collect()]
+    assert set(got) == brute_grams(docs) and len(got) == len(set(got))
+
+
 def test_token_cache(spark, tmp_path):
     sentences = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "file_id long, sent_ord int, text string")
     keys = token_cache.content_keys(sentences, "fp")
