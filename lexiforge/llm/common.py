@@ -36,6 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder. Its files go when the driver ends."""
+    path = f"{shared_dir(spark)}/lexiforge/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop)
+    fs.deleteOnExit(hadoop)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, an executor's
     loss costs nothing, and the planner sees the true size (so broadcasts are size-checked).

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import documents, materialize, prefix_sums
+from lexiforge.llm.common import documents, materialize, prefix_sums, shared_path
 
 OLD_SHARDS = 12
 NEW_SHARDS = 16
 ROWS_PER_BUCKET = 50_000
 SEED = 3
+#: Of shard files.
+CODEC = "zstd"
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost=None) -> list[list[int]]:
@@ -96,23 +98,48 @@ def rewrite(placed: DataFrame, flow: list[list[int]], n_new: int, path: str) ->
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        placed.where(F.col("shard").isin(changed)).write.mode("overwrite").partitionBy("shard").parquet(path)
+        placed.where(F.col("shard").isin(changed)).write.mode("overwrite").partitionBy("shard").parquet(path, compression=CODEC)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 
 
-def op6_resharding(spark, sf_dir: str) -> DataFrame:
-    """All documents from OLD_SHARDS hash shards to NEW_SHARDS equal ones (law: bytes).
-
-    Null texts have size 1 and checksum 0; a null id is hashed like any other value. Equal
-    rows are interchangeable. Each size is near total / 16: off by a few of the smallest rows."""
+def transfer(docs: DataFrame, n_old: int, n_new: int, capacities: list[int] | None = None) -> DataFrame:
+    """``docs`` (doc_id, text, old_shard) with shard and slot, read from shard files.
+
+    The old shards are written to the shared folder, the moves are planned on rows without
+    texts, and the affected shards are written anew with theirs; a shard that neither sends nor
+    receives is read from its old files. A text meets its place by the number its row got in
+    the old files."""
+    spark, n = docs.sparkSession, F.monotonically_increasing_id()
+    before, after = shared_path(spark, "reshard-old"), shared_path(spark, "reshard-new")
+    docs.select("doc_id", "text", "old_shard", n.alias("row")).write.mode("overwrite").partitionBy("old_shard").parquet(before, compression=CODEC)
+    kinds = dict(docs.dtypes)
+    held = spark.read.schema(f"doc_id {kinds['doc_id']}, text string, row long, old_shard int").parquet(before)
+    rows = materialize(held.select("doc_id", "row", "old_shard", *digests()), "reshard-rows")
+    placed, flow = reshard(rows, "old_shard", "size", ["doc_id", "text_crc32", "size"], n_new, n_old, capacities)
+    places = materialize(placed.select("doc_id", "row", "old_shard", "shard", F.col("slot").cast("long").alias("slot")), "reshard-places")
+    texts = held.select("row", "old_shard", "text").hint("merge")  # so that disk grows with the input at every size
+    moved = places.join(texts, ["row", "old_shard"]).select("doc_id", "text", "old_shard", "slot", "shard")
+    rewrite(moved, flow, n_new, after)
+    out = spark.read.schema(moved.schema).parquet(after)
+    stay = [k for k in range(n_new) if k not in affected(flow, n_new)]
+    if stay:
+        out = out.unionByName(moved.where(F.col("old_shard").isin(stay)))
+    return out
+
+
+def digests() -> list[Column]:
+    """size and text_crc32 of text: null texts have size 1 and checksum 0."""
     text = F.coalesce("text", F.lit(""))
-    rows = documents(spark, sf_dir).select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(OLD_SHARDS)).cast("int").alias("old_shard"),
-    )
-    rows = materialize(rows, "reshard-rows")
-    out, _ = reshard(rows, "old_shard", "size", ["doc_id", "text_crc32", "size"], NEW_SHARDS, OLD_SHARDS)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    return [(F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")]
+
+
+def op6_resharding(spark, sf_dir: str) -> DataFrame:
+    """All documents from OLD_SHARDS hash shards to NEW_SHARDS equal ones (law: bytes), with the
+    digests of the rewritten texts.
+
+    A null id is hashed like any other value. Equal rows are interchangeable. Each size is
+    near total / 16: off by a few of the smallest rows."""
+    old = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(OLD_SHARDS)).cast("int")
+    out = transfer(documents(spark, sf_dir).select("doc_id", "text", old.alias("old_shard")), OLD_SHARDS, NEW_SHARDS)
+    return out.select("doc_id", *digests(), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")

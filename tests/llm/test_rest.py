@@ -148,6 +148,39 @@ def test_reshard_query(spark, sf):
     assert {r.law for r in got} == {"bytes"} and all(r.grown_shard is None for r in got)
 
 
+def test_reshard_rewrites(spark, tmp_path, monkeypatch):
+    """The texts are written to their new shards, and the digests are those of what was written."""
+    rows = [(i if i % 9 else None, f"é{i % 7} " * (i % 40) if i % 5 else None, "a") for i in range(200)] + ODD
+    docs = table(spark, rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    plain, paths = resharding.rewrite, []
+
+    def louder(placed, flow, n_new, path):
+        paths.append(path)
+        plain(placed.withColumn("text", F.concat("text", F.lit("!"))), flow, n_new, path)
+
+    monkeypatch.setattr(resharding, "rewrite", louder)
+    got = queries()["op6_resharding"](spark, str(tmp_path)).collect()
+    files = spark.read.parquet(paths[0]).collect()
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted(((r.doc_id, r.text) for r in files), key=key) == sorted(((d, t if t is None else t + "!") for d, t, _ in rows), key=key)
+    want = [(r.doc_id, r.shard, r.slot, r.old_shard, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in files]
+    assert sorted(((r.doc_id, r.shard, r.slot, r.old_shard, r.size, r.text_crc32) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_transfer_keeps_other_shards(spark, tmp_path, monkeypatch):
+    """A shard that neither sends nor receives isn't written; an emptied one leaves nothing behind."""
+    rows = [(i, "x" * 9, k) for i, k in enumerate([0] * 6 + [1] * 3 + [2] * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, old_shard int")
+    plain, paths = resharding.rewrite, []
+    monkeypatch.setattr(resharding, "rewrite", lambda placed, flow, n_new, path: (paths.append(path), plain(placed, flow, n_new, path)))
+    got = resharding.transfer(docs, 3, 4, [40, 30, 0, 40]).collect()
+    assert sorted((r.doc_id, r.text, r.old_shard) for r in got) == rows
+    assert {k: sum(r.shard == k for r in got) for k in range(4)} == {0: 4, 1: 3, 2: 0, 3: 4}
+    assert {r.shard for r in spark.read.parquet(paths[0]).collect()} == {0, 3}
+    assert resharding.transfer(docs.limit(0), 3, 4).count() == 0
+
+
 def test_toxicity_learns_misspellings():
     rng = np.random.default_rng(1)
     common = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "theta", "iota", "kappa", "lambda"]
