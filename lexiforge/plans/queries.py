@@ -16,7 +16,7 @@ from lexiforge.functions.normalize import normalise_column
 from lexiforge.functions.profiles import JA, LATIN, LATIN_LETTERS
 from lexiforge.operators import dictionary, examples, layout, lexicon, ranking, sync, token_cache, userdict
 from lexiforge.operators.tokenizers import RegexTokenizer
-from lexiforge.plans import fixtures
+from lexiforge.plans import fixtures, mining
 from lexiforge.sources import files, sinks
 
 FINGERPRINT = "regex-v1"
@@ -295,6 +295,23 @@ def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("status", "word", "score", "sentence", "tag", "surface_form")
 
 
+def _mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = mining.Config(LATIN, RegexTokenizer(), PROFILE_MIN, 98)
+    return mining.mine(corpus(spark, sf_dir), entries(spark, sf_dir), config).words
+
+
+def mined_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole mining plan: kept and dropped words as the word files have them, with the
+    attached sentences; kept_rows and dropped_rows are held to their SQL, which attaches none."""
+    status = F.when(F.col("invalid"), "dropped").otherwise("kept")
+    return sinks.word_rows(_mined(spark, sf_dir)).select(status.alias("status"), "word", "score", "reading", "index", "frequency", "definition", "tags", "n_sentences", "html")
+
+
+def mined_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences that the whole mining plan attaches, a row each, by their place (pos)."""
+    return sinks.sentence_rows(_mined(spark, sf_dir)).select(*sinks.SENTENCE_HEADER, "pos")
+
+
 def highlight_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     word = F.regexp_extract(F.col("text"), "[A-Za-z]{4,}", 0)
@@ -383,7 +400,7 @@ NAMES = (
     "normalise_sentences", "valid_sentences", "useful_tokens", "build_lexicon", "tag_sets", "token_position_index", "sentence_lemma_map",
     "frequency_threshold", "filter_frequency", "tag_diversity", "priority_scores", "nearest_rank", "dictionary_index", "dictionary_best_entry",
     "definitions_join", "invalid_words", "sentence_stats", "attach_examples", "attach_fallback", "kept_rows", "dropped_rows", "sentence_rows",
-    "highlight_html", "sync_changes", "sync_summary", "sync_batches", "ngram_candidates", "ngram_candidates_latin", "ngram_candidates_ja",
+    "mined_words", "mined_sentences", "highlight_html", "sync_changes", "sync_summary", "sync_batches", "ngram_candidates", "ngram_candidates_latin", "ngram_candidates_ja",
     "pos_resolution", "userdict_cost", "content_keys", "cache_misses", "useless_lemmas",
 )
 

@@ -148,6 +148,22 @@ def test_mine_end_to_end(spark, sf):
     assert rows and all(len(r.sentences) <= 3 for r in rows)
 
 
+def test_mined_rows(spark, tmp_path):
+    """The registered queries over the whole plan carry sentences of the texts."""
+    said = [f"The copper {w} lies beside another lantern today." for w in ("kettle", "button", "needle", "basket", "hammer")]
+    docs = [(1, " ".join(said[:3]), "a"), (2, " ".join(said[3:]), "b"), (3, None, "a")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "copper metal word here"), (1, "few words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    words = {r.word: r for r in queries()["mined_words"](spark, str(tmp_path)).collect()}
+    rows = queries()["mined_sentences"](spark, str(tmp_path)).collect()
+    assert {w for w, r in words.items() if r.status == "kept"} == {"copper"} and words["lantern"].status == "dropped"
+    for word, r in words.items():
+        own = sorted((x.pos, x.sentence) for x in rows if x.word == word)
+        assert [p for p, _ in own] == [0, 1, 2] and len({t for _, t in own}) == 3 and r.n_sentences == "sentences: 3"
+        assert all(t in said and word in t for _, t in own) and r.html.count("highlight") >= 3
+    assert {x.status for x in rows} == {"kept", "dropped"} and all(x.surface_form == x.word and x.tag == ("a" if x.sentence in said[:3] else "b") for x in rows)
+
+
 def test_cli(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("the quick brown fox runs over the green hill today. " * 6)
