@@ -35,10 +35,11 @@ _MAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Loose forms: (kind, quick test, pattern). A quick test is a pattern, or literals of which one must occur.
+#: Loose forms: (kind, quick test, pattern). A quick test is a pattern, or literals of which one must occur;
+#: whatever the pattern matches passes it.
 LOOSE = (
     ("email", ("(at)", "[at]", " dot "), r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at(?= [A-Za-z0-9-]++ dot )) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\.| dot ) ?[A-Za-z0-9-]++)++"),
-    ("ip", ("[.]", "(.)", "[dot]"), r"(?<![0-9])[0-9]{1,3}+(?: ?(?:\.|\[\.\]|\(\.\)|\[dot\]) ?[0-9]{1,3}+){3}(?![0-9])"),
+    ("ip", r"[0-9] ?(?:\.|\[\.\]|\(\.\)|\[dot\]) ?[0-9]", r"(?<![0-9])[0-9]{1,3}+(?: ?(?:\.|\[\.\]|\(\.\)|\[dot\]) ?[0-9]{1,3}+){3}(?![0-9])"),
     ("card", r"[0-9]{4}", r"(?<![0-9])[0-9]{4}+(?:[\x20./_-]{1,3}[0-9]{2,6}+){2,4}(?![0-9])"),
     ("phone", r"[0-9]{3}[\x20./)-]{1,2}[0-9]", r"(?<![0-9+(])\(?[0-9]{2,4}+\)?[\x20./-]{1,2}[0-9]{3,4}+(?:[\x20./-][0-9]{2,4}+){1,3}(?![0-9])"),
 )
@@ -90,6 +91,11 @@ def _valid(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
+def _bytes(hit: Column) -> Column:
+    """Whether each number of a loose address is a byte."""
+    return F.forall(F.filter(F.split(hit, "[^0-9]+"), lambda p: p != ""), lambda p: p.cast("int") <= 255)
+
+
 def _checked(kind: str):
     return lambda span: _valid(kind, span["hit"])
 
@@ -177,7 +183,7 @@ def _labelled(span: Column, kind: str) -> Column:
     sane = {
         "card": _valid("card", hit),
         "phone": F.length(digits(hit)).between(9, 15),
-        "ip": F.forall(F.filter(F.split(hit, "[^0-9]+"), lambda p: p != ""), lambda p: p.cast("int") <= 255),
+        "ip": _bytes(hit),
         "email": F.lit(True),
     }[kind]
     y = (_meets(kind, span) | (sane & ~other)).cast("int")
@@ -289,7 +295,7 @@ def select_spans(rows: DataFrame, threshold: float | None = None) -> DataFrame:
     def chosen(kind: str) -> Column:
         def keep(span: Column) -> Column:
             values = [F.lit(KINDS.index(kind)), *(span["f"][n] for n in FEATURES)]
-            clear = F.lit(True)
+            clear = _bytes(span["hit"]) if kind == "ip" else F.lit(True)  # no feature tells 1.2.3.400 from an address
             for k in KINDS:
                 clear = clear & ~_meets(k, span)
             return clear & (_score(trees, values) >= margin)

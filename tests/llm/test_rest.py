@@ -101,6 +101,19 @@ def test_base_spans(spark):
     assert pii.redact(docs).columns == docs.columns and pii.find(docs.limit(0)).count() == 0
 
 
+def test_loose_addresses_by_themselves(spark):
+    """Whether an address is a candidate doesn't depend on the rest of its text."""
+    forms = ["10 . 0 . 0 . 1", "10. 0 .0.1", "10[.]0[.]0[.]1", "10 (.) 0 . 0 [dot] 1", "1234.5.6.7.8.9", "10.0.0.1"]
+    texts = [t for f in forms for t in (f"at {f} now", f"at {f} now [.] (.) [dot]")] + ["v 3.5 and 10 . 0 . 0", None]
+    rows = pii.candidates(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).orderBy("doc_id")
+    got = [[x.hit for x in r.loose_ip or []] for r in rows.collect()]
+    plain = [(i, f"host 10.0.{i}.1 up", "s") for i in range(60)]
+    odd = [(100, "build 1.2.3.400 up", "s"), (101, "build 1.2.3.400 up [.]", "s"), (102, "host 10.0.0 . 1 up", "s")]
+    found = {r.doc_id: [x.hit for x in r.all_ip] for r in pii.find(table(spark, plain + odd), -100.0).collect()}
+    assert found[0] == ["10.0.0.1"] and found[100] == found[101] == [] and found[102] == ["10.0.0 . 1"]
+    assert got[:-2:2] == got[1:-2:2] == [[f] if f != "1234.5.6.7.8.9" else ["5.6.7.8"] for f in forms] and got[-2:] == [[], []]
+
+
 def test_boosting():
     table = [("phone", *((i >> k) & 1 for k in range(len(pii.FEATURES))), 10 * (i & 1), 10) for i in range(16)]
     trees = pii.boost(table)
