@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -157,26 +158,32 @@ def window_hash(roll: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-_BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED270B))
-_GAP = np.zeros(256, dtype=bool)
-_GAP[[0x20, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Words whose digests a worker remembers before it starts afresh, and their bytes at most.
+WORDS_HELD, WORD_HELD = 1 << 17, 64
 
 
-def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte bounds (start, end) of the words of UTF-8 bytes; the gaps are single bytes."""
-    inside = np.zeros(len(raw) + 2, dtype=np.int8)
-    inside[1:-1] = ~_GAP[raw]
-    edge = np.diff(inside)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+class _Digests(dict):
+    """128-bit BLAKE2b digest of each word: no two words with equal digests can be made."""
 
+    def __missing__(self, word: bytes) -> bytes:
+        got = blake2b(word, digest_size=16).digest()
+        if len(word) <= WORD_HELD:
+            if len(self) >= WORDS_HELD:
+                self.clear()
+            self[word] = got
+        return got
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hash of each word's bytes."""
-    return window_hash(rolling(_BYTE[raw], which), start, end)
 
+_DIGESTS = _Digests()
 
-def text_bytes(text: str | None, lower: bool = False) -> np.ndarray:
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    return _LOWER[raw] if lower else raw
+
+def text_words(text: str | None, lower: bool = False) -> list[bytes]:
+    """The words of a text as UTF-8, with A-Z lower-cased on demand: bytes.split() parts
+    exactly at space and U+0009..U+000D, bytes.lower() changes exactly A-Z."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return (raw.lower() if lower else raw).split()
+
+
+def word_digests(words: list[bytes]) -> np.ndarray:
+    """Two independent 64-bit hashes of each word: an array of shape (words, 2)."""
+    return np.frombuffer(b"".join(map(_DIGESTS.__getitem__, words)), "<u8").reshape(-1, 2)

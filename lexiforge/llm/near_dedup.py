@@ -6,27 +6,29 @@
    of them are folded into an odd sketch: a parity bitmap of BITS bits, whose XOR with another
    one has a population count that tells high similarities precisely.
 3. In a band bucket, pairs whose sketches and set sizes allow the similarity become
-   candidate edges (of a spanning forest per bucket). Buckets of more than BUCKET rows
-   aren't compared: all their rows are tied to the least one, a superset. Connected candidates
-   form a block, which wholly contains every true group.
-4. In a block links are confirmed on the full sets: one document after another is compared with
-   the whole block, until every document outside the largest component has been, so no link between
-   components can be missing. Blocks beyond BLOCK_BYTES are handled by the same rule in
-   rounds: a bounded query set against all rows of the block, over all executors.
+   candidate edges. Connected candidates form a block, which wholly contains every true group.
+4. In a block links are confirmed on the full sets.
+
+Buckets and blocks of every size are compared by one rule (``_links``): a seeded sample of the
+group's members, all of them in a small group, is held against the whole group; then every member
+outside the group's largest component so far is. So no link between components can be missing, what a large
+group of near copies costs grows with its size, and no pairs are emitted but those that connect.
+Queries and rows meet in cells of bounded rows and bytes, so a group is spread over tasks.
 
 With ROWS = 4 and BANDS = 26 a pair at similarity 0.8 shares no bucket with probability 1e-6.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import NULL_ID, documents, materialize, mix, rank_id, rolling, text_bytes, window_hash, word_hashes, word_spans
+from lexiforge.llm.common import NULL_ID, documents, forget, materialize, mix, rank_id, rolling, text_words, window_hash, word_digests
 from lexiforge.llm.components import components
 
 SHINGLE = 5
@@ -36,11 +38,23 @@ SAMPLES = 256
 BITS = 256
 #: Standard errors by which a sketch may fall short of the threshold.
 MARGIN = 4.75
-BUCKET = 128
-BLOCK_BYTES = 24 << 20
-#: Documents compared with a whole large block in one round.
-QUERIES = 256
 SEED = 5
+#: Pairs of sketches compared in one numpy step.
+PAIRS = 1 << 18
+
+
+@dataclass(frozen=True)
+class Cell:
+    """Bounds of the comparison: members of a group asked at first, and rows and bytes of
+    queries, or of rows that they are held against, in one cell."""
+
+    sample: int
+    rows: int
+    size: int
+
+
+BUCKET_CELL = Cell(64, 4096, 1 << 20)
+BLOCK_CELL = Cell(32, 512, 8 << 20)
 
 _ODD = mix(np.arange(SAMPLES, dtype=np.uint64) + np.uint64(SEED << 20)) | np.uint64(1)
 
@@ -48,11 +62,9 @@ _ODD = mix(np.arange(SAMPLES, dtype=np.uint64) + np.uint64(SEED << 20)) | np.uin
 def shingles(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct fingerprints of the k-word shingles, A-Z lower-cased; a shorter
     text is one shingle, a text without words has none."""
-    raw = text_bytes(text, lower=True)
-    start, end = word_spans(raw)
-    if not len(start):
+    words = word_digests(text_words(text, lower=True))[:, 0]
+    if not len(words):
         return np.zeros(0, np.uint64)
-    words = word_hashes(raw, start, end)
     k = min(k, len(words))
     at = np.arange(len(words) - k + 1)
     return np.unique(window_hash(rolling(words), at, at + k))
@@ -86,25 +98,37 @@ def most_differing(percent: int = PERCENT, margin: float = MARGIN) -> int:
     return int(np.ceil(BITS * p + margin / 2 * np.sqrt(BITS * p * (1 - p))))
 
 
-class Union:
+class Forest:
+    """Union-find over 0..n-1."""
+
     def __init__(self, n: int):
-        self.up, self.size = list(range(n)), [1] * n
+        self.up = np.arange(n)
 
     def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i == j:
-            return False
-        if self.size[i] < self.size[j]:
-            i, j = j, i
-        self.up[j] = i
-        self.size[i] += self.size[j]
-        return True
+        up = self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return int(i)
+
+    def labels(self) -> np.ndarray:
+        """The root of every element."""
+        while (self.up[self.up] != self.up).any():
+            self.up = self.up[self.up]
+        return self.up
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        """Tie the elements pairwise; returns the roots that were tied, an edge each."""
+        label = self.labels()
+        a, b = label[left], label[right]
+        keys = np.unique(np.minimum(a, b)[a != b] * len(label) + np.maximum(a, b)[a != b])
+        tied = []
+        for i, j in zip((keys // len(label)).tolist(), (keys % len(label)).tolist()):
+            i, j = self.find(i), self.find(j)
+            if i != j:
+                self.up[max(i, j)] = min(i, j)
+                tied.append((i, j))
+        return tied
 
 
 class Block:
@@ -130,22 +154,19 @@ class Block:
         both = self.shared(items)
         return np.flatnonzero((100 * both >= percent * (size + self.sizes - both)) & (both > 0))
 
-    def groups(self, percent: int, known: list[int] | None = None) -> list[int]:
-        """Component of each set. Every set outside the largest component is compared with all."""
-        n = len(self.sizes)
-        union, asked = Union(n), np.zeros(n, bool)
-        for i, label in enumerate(known or []):
-            union.join(i, label)
-        todo = list(range(n - 1, -1, -1))
-        while todo:
-            i = todo.pop()
-            root = union.find(i)
-            if asked[i] or union.size[root] * 2 > n:
-                continue  # in the largest component: the others ask for it
+    def groups(self, percent: int) -> np.ndarray:
+        """Component of each set: one set outside the largest component after another is
+        compared with all, until each of those has been."""
+        forest, asked = Forest(len(self.sizes)), np.zeros(len(self.sizes), bool)
+        while True:
+            label = forest.labels()
+            outside = np.flatnonzero(~asked & (label != np.bincount(label).argmax()))
+            if not len(outside):
+                return label
+            i = int(outside[0])
             asked[i] = True
-            for j in self.linked(self.items[i], self.sizes[i], percent):
-                union.join(i, int(j))
-        return [union.find(i) for i in range(n)]
+            hits = self.linked(self.items[i], self.sizes[i], percent)
+            forest.join(np.full(len(hits), i), hits)
 
 
 def _features(docs: DataFrame, k: int) -> DataFrame:
@@ -155,141 +176,185 @@ def _features(docs: DataFrame, k: int) -> DataFrame:
             for text in pdf["text"]:
                 items = shingles(text, k)
                 if not len(items):
-                    rows.append((0, 0, 0, b"", []))
+                    rows.append((0, 0, 0, b"", [], 0))
                     continue
                 samples = minhashes(items)
                 keys = window_hash(rolling(samples[: ROWS * BANDS]), np.arange(0, ROWS * BANDS, ROWS), np.arange(ROWS, ROWS * BANDS + 1, ROWS))
                 keys = mix(keys + np.arange(BANDS, dtype=np.uint64))
                 s1, s2 = (int(mix(mix(items) * np.uint64(c)).sum(dtype=np.uint64).astype(np.int64)) for c in (3, 5))
-                rows.append((len(items), s1, s2, odd_sketch(samples).tobytes(), keys.view(np.int64)))
-            out = pd.DataFrame(rows, columns=["n", "s1", "s2", "sketch", "keys"])
+                rows.append((len(items), s1, s2, odd_sketch(samples).tobytes(), keys.view(np.int64), len(text)))
+            out = pd.DataFrame(rows, columns=["n", "s1", "s2", "sketch", "keys", "bytes"])
             out.insert(0, "rid", pdf["rid"].to_numpy())
             yield out
 
     keyed = docs.select(rank_id(F.col("doc_id")).alias("rid"), "text")
-    return keyed.mapInPandas(run, "rid long, n int, s1 long, s2 long, sketch binary, keys array<long>")
+    return keyed.mapInPandas(run, "rid long, n int, s1 long, s2 long, sketch binary, keys array<long>, bytes long")
 
 
-def _bucket_edges(batches: Iterator[pd.DataFrame], most: int, percent: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by bucket key: a spanning forest of the pairs that may be similar."""
-    rest: pd.DataFrame | None = None
+def _streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole cells of rows that are sorted by cell: a cell never spans two frames."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        same = pdf["cell"].to_numpy() == pdf["cell"].iloc[-1] if len(pdf) else np.zeros(0, bool)
+        if same.all():
+            if held and len(pdf) and held[0]["cell"].iloc[-1] != pdf["cell"].iloc[-1]:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(pdf)
+            continue
+        yield pd.concat([*held, pdf[~same]], ignore_index=True)
+        held = [pdf[same]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
-    def edges(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, rid, n = pdf["key"].to_numpy(), pdf["rid"].to_numpy(), pdf["n"].to_numpy().astype(np.int64)
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
-        left, right = [], []
-        step = 1
-        while True:
-            i = np.flatnonzero(key[step:] == key[:-step])
-            if not len(i):
-                break
-            j = i + step
-            fit = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-            i, j = i[fit], j[fit]
-            near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= most
-            left.append(i[near])
-            right.append(j[near])
-            step += 1
-        if not left:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        left, right = np.concatenate(left), np.concatenate(right)
-        union = Union(len(pdf))
-        keep = [x for x, (i, j) in enumerate(zip(left.tolist(), right.tolist())) if union.join(i, j)]
-        return pd.DataFrame({"a": rid[left[keep]], "b": rid[right[keep]]})
 
-    for pdf in batches:
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        same = pdf["key"].to_numpy() == pdf["key"].iloc[-1]
-        rest, done = pdf[same].reset_index(drop=True), pdf[~same]
-        if len(done):
-            yield edges(done)
-    if rest is not None:
-        yield edges(rest)
+def _ends(cell: np.ndarray) -> np.ndarray:
+    """Where each row's cell ends."""
+    last = np.append(np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell))
+    return np.repeat(last, np.diff(np.concatenate(([0], last))))
 
 
-def _stream_blocks(batches: Iterator[pd.DataFrame], k: int, percent: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by block: confirmed groups inside each."""
-    held: list[tuple[int, np.ndarray]] = []
-    block = None
+def sketch_edges(percent: int) -> Callable:
+    """Comparer of band buckets: candidate edges (a, b) of the queries with their cells."""
+    most = most_differing(percent)
 
-    def close() -> pd.DataFrame:
-        labels = Block([s for _, s in held]).groups(percent)
-        ids = np.array([r for r, _ in held])
-        return pd.DataFrame({"a": ids[labels], "b": ids}).query("a != b")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _streams(batches):
+            rid, n = pdf["rid"].to_numpy(), pdf["n"].to_numpy().astype(np.int64)
+            sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
+            end = _ends(pdf["cell"].to_numpy())
+            query = np.flatnonzero(pdf["query"].to_numpy())
+            count = end[query] - query - 1  # a query meets what follows it in its cell
+            upto = np.cumsum(count)
+            forest, edges = Forest(len(pdf)), []
+            at = 0
+            while at < len(query):
+                stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+                own = count[at:stop]
+                i = np.repeat(query[at:stop], own)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+                fit = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                i, j = i[fit], j[fit]
+                near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= most
+                edges += forest.join(i[near], j[near])
+                at = stop
+            a, b = np.array(edges, dtype=np.int64).reshape(-1, 2).T
+            yield pd.DataFrame({"a": rid[a], "b": rid[b]})
+
+    return run
+
+
+def set_edges(k: int, percent: int) -> Callable:
+    """Comparer of blocks: links on full sets (a, b) of the queries with their cells, one for
+    each component of the queries."""
 
-    for pdf in batches:
-        for root, rid, text in zip(pdf["root"], pdf["rid"], pdf["text"]):
-            if root != block and held:
-                yield close()
-                held = []
-            block = root
-            held.append((rid, shingles(text, k)))
-    if held:
-        yield close()
-
-
-def _large_blocks(texts: DataFrame, k: int, percent: int, queries: int) -> DataFrame:
-    """Links of the blocks that don't fit one task (columns root, rid, text).
-
-    Each round takes up to ``queries`` documents per block, not yet asked and outside the block's
-    largest component, and compares them with every document of the block; the query sets are
-    joined by block, a bounded array each. A document reports one link per component
-    of the query set, and each query is a component of its own unless known otherwise."""
-    texts = materialize(texts, "near-large")
-    found: DataFrame | None = None
-    asked: DataFrame | None = None
-    while True:
-        nodes = texts.select("root", "rid").distinct()
-        if found is not None:
-            comp = components(found, "near-large-components")
-            nodes = nodes.join(comp.withColumnsRenamed({"node": "n_", "root": "c_"}), F.col("rid") == F.col("n_"), "left").select("root", "rid", F.coalesce("c_", "rid").alias("comp"))
-        else:
-            nodes = nodes.withColumn("comp", F.col("rid"))
-        sizes = nodes.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("size"))
-        top = sizes.groupBy("root").agg(F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("all"))
-        top = top.select(F.col("root").alias("r_"), F.when(F.col("top.size") * 2 > F.col("all"), F.col("top.comp")).alias("main"))
-        outside = nodes.join(top, F.col("root") == F.col("r_")).where(~F.col("comp").eqNullSafe(F.col("main"))).select("root", "rid")
-        if asked is not None:
-            outside = outside.join(asked.withColumnRenamed("rid", "q_"), F.col("rid") == F.col("q_"), "left_anti")
-        pick = outside.withColumn("__n", F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("rid"), "rid"))).where(F.col("__n") <= queries)
-        pick = materialize(pick.select("root", "rid"), "near-queries")
-        if pick.isEmpty():
-            return found if found is not None else nodes.select(F.col("rid").alias("a"), F.col("rid").alias("b")).limit(0)
-        asked = pick.select("rid") if asked is None else asked.unionByName(pick.select("rid"))
-        sides = texts.join(pick.select(F.col("rid").alias("q_")), F.col("rid") == F.col("q_"))
-        sides = sides.groupBy("root").agg(F.collect_list(F.struct("rid", "text")).alias("ask")).withColumnRenamed("root", "r_")
-        sides = materialize(sides, "near-query-sets")
-
-        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held: dict[int, tuple[np.ndarray, Block, list[int]]] = {}
-            for pdf in batches:
-                left, right = [], []
-                for root, rid, text, ask in zip(pdf["root"], pdf["rid"], pdf["text"], pdf["ask"]):
-                    if root not in held:
-                        block = Block([shingles(x["text"], k) for x in ask])
-                        held = {root: (np.array([x["rid"] for x in ask]), block, block.groups(percent))}
-                        labels, ids = held[root][2], held[root][0]
-                        left += ids[labels].tolist()
-                        right += ids.tolist()
-                    ids, block, labels = held[root]
-                    own = shingles(text, k)
-                    at = np.searchsorted(block.values, own)
-                    at = at[(at < len(block.values)) & (block.values[np.minimum(at, len(block.values) - 1)] == own)]
-                    hits = block.linked(at, len(own), percent)
-                    for j in {labels[h]: h for h in hits}.values():
-                        left.append(int(ids[j]))
-                        right.append(rid)
-                yield pd.DataFrame({"a": left, "b": right}, dtype="int64").query("a != b")
-
-        fresh = texts.join(sides, F.col("root") == F.col("r_")).select("root", "rid", "text", "ask").mapInPandas(compare, "a long, b long")
-        fresh = fresh if found is None else fresh.unionByName(found)
-        found = materialize(fresh.distinct(), "near-large-links")
-
-
-def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bucket: int = BUCKET, block_bytes: int = BLOCK_BYTES, queries: int = QUERIES) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, ask, block, label, ids = None, [], None, None, None
+        left: list[int] = []
+        right: list[int] = []
+
+        def close() -> None:
+            nonlocal block, label, ids, ask
+            block = Block([s for _, s in ask])
+            ids, label = np.array([r for r, _ in ask], dtype=np.int64), block.groups(percent)
+            left.extend(ids[label].tolist())
+            right.extend(ids.tolist())
+            ask = []
+
+        for pdf in batches:
+            for own_cell, rid, query, text in zip(pdf["cell"], pdf["rid"], pdf["query"], pdf["text"]):
+                if own_cell != cell:
+                    if ask:
+                        close()
+                    cell, block = own_cell, None
+                own = shingles(text, k)
+                if query:
+                    ask.append((rid, own))
+                    continue
+                if ask:
+                    close()
+                if block is None or not len(block.values):
+                    continue  # nothing with words is asked in this cell
+                at = np.searchsorted(block.values, own)
+                at = at[block.values[np.minimum(at, len(block.values) - 1)] == own]
+                for j in {label[h]: h for h in block.linked(at, len(own), percent)}.values():
+                    left.append(int(ids[j]))
+                    right.append(rid)
+            yield pd.DataFrame({"a": left, "b": right}, dtype="int64").query("a != b")
+            left, right = [], []
+        if ask:
+            close()
+            yield pd.DataFrame({"a": left, "b": right}, dtype="int64").query("a != b")
+
+    return run
+
+
+def _pieces(count: Column, size: Column, cell: Cell) -> Column:
+    """Cells' worth of ``count`` rows with ``size`` bytes."""
+    return F.greatest(F.lit(1), F.ceil(count / cell.rows), F.ceil(size / cell.size)).cast("int")
+
+
+def _in_cells(rows: DataFrame, payload: list[str], query: Column, n_queries: Column, n_rows: Column, compare: Callable, name: str) -> DataFrame:
+    """Edges of the queries with all rows of their group g. The queries are dealt into ``n_queries``
+    pieces, all rows into ``n_rows`` pieces; each pair of pieces is a cell. A query goes to the
+    cells of its piece as one, and to those of the other pieces as a row."""
+    piece = lambda n, seed: F.pmod(F.xxhash64("rid", F.lit(seed)), n).cast("int")
+    rows = rows.select("g", "rid", *payload, query.alias("asks"), n_queries.alias("nq"), n_rows.alias("nr"))
+    rows = rows.withColumns({"q": piece(F.col("nq"), 2), "r": piece(F.col("nr"), 3)})
+    place = lambda q, r, asks: F.struct(q.alias("q"), r.alias("r"), F.lit(asks).alias("query"))
+    none = F.array().cast("array<struct<q:int,r:int,query:boolean>>")
+    asked = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda r: place(F.col("q"), r, True))
+    others = F.filter(F.sequence(F.lit(0), F.col("nq") - 1), lambda q: ~F.col("asks") | (q != F.col("q")))
+    places = F.concat(F.when(F.col("asks"), asked).otherwise(none), F.transform(others, lambda q: place(q, F.col("r"), False)))
+    dealt = rows.withColumn("at", F.explode(places)).select(F.xxhash64("g", "at.q", "at.r").alias("cell"), "at.query", "rid", *payload)
+    dealt = dealt.repartition("cell").sortWithinPartitions("cell", F.desc("query"), "rid")
+    return materialize(dealt.mapInPandas(compare, "a long, b long").distinct(), name)
+
+
+def _links(rows: DataFrame, payload: list[str], cell: Cell, compare: Callable, name: str) -> DataFrame:
+    """Edges (a, b) whose components, inside each group, are those of all pairs that match.
+
+    ``rows`` (materialised): g (group), rid, bytes, the group's rows gn and bytes gs, and the
+    ``payload`` that ``compare`` reads."""
+    nth = F.ceil(F.col("gn") / cell.sample)
+    first = F.pmod(F.xxhash64("rid", F.lit(1)), nth) == 0
+    n_rows = _pieces(F.col("gn"), F.col("gs"), cell)
+    found = _in_cells(rows, payload, first, _pieces(F.col("gn") / nth, F.col("gs") / nth, cell), n_rows, compare, f"{name}-first")
+    # groups that weren't asked whole: their members outside the largest component
+    large = rows.where(F.col("gn") > cell.sample)
+    if large.isEmpty():
+        return found
+    of = components(found, f"{name}-components")
+    stars = of.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    placed = large.select("g", "rid", "bytes", first.alias("asked")).join(of, F.col("rid") == F.col("node"), "left")
+    placed = materialize(placed.select("g", "rid", "bytes", "asked", F.coalesce("root", "rid").alias("comp")), f"{name}-placed")
+    sizes = placed.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy(F.col("g").alias("g_")).agg(F.max(F.struct("n", "comp")).alias("main")).select("g_", "main.comp")
+    main = materialize(main.withColumnRenamed("comp", "main"), f"{name}-main")
+    outside = placed.join(main, F.col("g") == F.col("g_")).where((F.col("comp") != F.col("main")) & ~F.col("asked"))
+    outside = materialize(outside.select("g", "rid", "bytes"), f"{name}-outside")
+    if outside.isEmpty():
+        return stars
+    left = outside.groupBy(F.col("g").alias("g_")).agg(F.count(F.lit(1)).alias("on"), F.sum("bytes").alias("os"))
+    ids = outside.select(F.col("g").alias("g2_"), F.col("rid").alias("rid_")).distinct()
+    again = large.join(materialize(left, f"{name}-left"), F.col("g") == F.col("g_"))
+    again = again.join(ids.hint("merge"), (F.col("g") == F.col("g2_")) & (F.col("rid") == F.col("rid_")), "left")
+    more = _in_cells(again, payload, F.col("rid_").isNotNull(), _pieces(F.col("on"), F.col("os"), cell), n_rows, compare, f"{name}-again")
+    return stars.unionByName(more)
+
+
+def _sized(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` of the groups (g) with more than one row, with the rows gn and bytes gs of their group.
+    The sums are written first, so a hot group can be split where it is joined."""
+    sums = rows.groupBy(F.col("g").alias("g_")).agg(F.count(F.lit(1)).alias("gn"), F.sum("bytes").alias("gs")).where("gn > 1")
+    return materialize(rows.join(materialize(sums, f"{name}-sums"), F.col("g") == F.col("g_")).drop("g_"), name)
+
+
+def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bucket: Cell = BUCKET_CELL, block: Cell = BLOCK_CELL) -> DataFrame:
     """rid, n_shingles, component per row: the least id reachable over links of at least
     ``percent``; texts without words are linked with nothing. Rows that share an id count
-    as one document with all their links; null ids rank last, together."""
+    as one document with all their links; null ids rank last, together. The cells' bounds
+    change how the work is cut, never the result."""
     rows = materialize(_features(docs, k), "near-features")
     # aggregates are written before they are joined back: then either side of the join is a plain
     # exchange, and a hot class or bucket can be split
@@ -298,30 +363,24 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bucke
     placed = rows.where("n > 0").join(of_class, (F.col("s1") == F.col("s1_")) & (F.col("s2") == F.col("s2_")))
     member = materialize(placed.select("rid", "rep"), "near-members")
     reps = placed.where("rid = rep").select("rid", "n", "sketch", "s1", "keys").dropDuplicates(["rid", "s1"])
-    banded = materialize(reps.select("rid", "n", "sketch", F.explode("keys").alias("key")), "near-bands")
-    full = banded.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("rid").alias("least")).where("rows > 1").withColumnRenamed("key", "key_")
-    full = materialize(full, "near-full")
-    shared = materialize(banded.join(full, F.col("key") == F.col("key_")).drop("key_"), "near-buckets")
-    most = most_differing(percent)
-    small = shared.where(F.col("rows") <= bucket).select("key", "rid", "n", "sketch").repartition("key").sortWithinPartitions("key", "rid")
-    edges = small.mapInPandas(lambda it: _bucket_edges(it, most, percent), "a long, b long")
-    edges = edges.unionByName(shared.where((F.col("rows") > bucket) & (F.col("rid") > F.col("least"))).select(F.col("least").alias("a"), F.col("rid").alias("b")))
+    banded = materialize(reps.select(F.explode("keys").alias("g"), "rid", "n", "sketch", F.lit(48).alias("bytes")), "near-bands")
+    shared = _sized(banded, "near-buckets")
+    forget(banded)
+    edges = _links(shared, ["n", "sketch"], bucket, sketch_edges(percent), "near-buckets")
     # rows of one id are one document
     edges = edges.unionByName(member.where("rid <> rep").groupBy("rid").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b"))
     blocks = components(edges, "near-blocks")
+    forget(shared)
     nodes = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct())
+    nodes = _sized(nodes.join(rows.select("rid", "bytes"), F.col("rid") == F.col("node")).select(F.col("root").alias("g"), "rid", "bytes"), "near-nodes")
+    nodes = nodes.select("g", F.col("rid").alias("node"), "gn", "gs").distinct()
     # always a merge join: the plan is the same at every size
-    texts = docs.select(rank_id(F.col("doc_id")).alias("rid"), "text").join(nodes.hint("merge"), F.col("rid") == F.col("node")).select("root", "rid", "text")
-    texts = materialize(texts, "near-texts")
-    large = texts.groupBy("root").agg(F.sum(F.octet_length("text")).alias("size")).where(F.col("size") > block_bytes).select(F.col("root").alias("r_"))
-    large = materialize(large, "near-large-roots")
-    fitting = texts.join(large, F.col("root") == F.col("r_"), "left_anti").repartition("root").sortWithinPartitions("root", "rid")
-    links = fitting.mapInPandas(lambda it: _stream_blocks(it, k, percent), "a long, b long")
-    if not large.isEmpty():
-        beyond = texts.join(large, F.col("root") == F.col("r_"), "left_semi")
-        links = links.unionByName(_large_blocks(beyond, k, percent, queries))
+    texts = docs.select(rank_id(F.col("doc_id")).alias("rid"), "text").join(nodes.hint("merge"), F.col("rid") == F.col("node"))
+    texts = materialize(texts.select("g", "rid", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), "gn", "gs"), "near-texts")
+    links = _links(texts, ["text"], block, set_edges(k, percent), "near-links")
     links = links.unionByName(member.where("rid <> rep").select(F.col("rep").alias("a"), F.col("rid").alias("b")))
     group = components(links, "near-groups").withColumnsRenamed({"node": "node_", "root": "root_"})
+    forget(texts)
     out = rows.select("rid", "n").join(group, F.col("rid") == F.col("node_"), "left")
     return out.select("rid", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root_", "rid").alias("component"))
 

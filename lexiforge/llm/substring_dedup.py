@@ -13,34 +13,29 @@ occurrences of differing segments round a shared anchor; those alone are extende
 window by window, each against the window's first occurrence. No pairs are formed, so a
 passage that a third of all documents share costs as much per document as any other.
 
-Overlapping and touching repeats merge to maximal ones. Hashes are 64-bit per anchor,
-128-bit per segment and 96-bit per window.
+Overlapping and touching repeats merge to maximal ones. A word is known by a 128-bit BLAKE2b
+digest; hashes of runs of words are 64-bit per anchor, 128-bit per segment and 96-bit per window.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from hashlib import sha256
+from itertools import compress
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import documents, materialize, mix, rank_id, rolling, text_bytes, window_hash, word_hashes, word_spans
+from lexiforge.llm.common import documents, forget, materialize, rank_id, rolling, text_words, window_hash, word_digests
 
 LENGTH = 50
 ANCHOR = 10
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
 
 def _rolls(text: str | None) -> tuple[int, tuple, tuple]:
-    raw = text_bytes(text)
-    start, end = word_spans(raw)
-    words = word_hashes(raw, start, end)
-    return len(start), rolling(words, 0), rolling(mix(words), 1)
+    words = word_digests(text_words(text))
+    return len(words), rolling(words[:, 0], 0), rolling(words[:, 1], 1)
 
 
 def segments_of(text: str | None, length: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -95,10 +90,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
     # exchange, and an anchor or segment that very many documents have can be split
     shared = materialize(shared, "repeat-shared")
     members = materialize(segments.join(shared, F.col("h") == F.col("h_")).drop("h_", "h"), "repeat-members")
+    forget(segments)
     first = members.groupBy("c1", "c2").agg(F.min("rid").alias("first")).withColumnsRenamed({"c1": "c1_", "c2": "c2_"})
     first = materialize(first, "repeat-first")
     known = members.join(first, (F.col("c1") == F.col("c1_")) & (F.col("c2") == F.col("c2_")))
     known = materialize(known.select("rid", "fp", "lo", "m", "varied", (F.col("rid") > F.col("first")).alias("whole")).where("whole or varied"), "repeat-known")
+    forget(members)
     whole = known.where("whole").select("rid", "fp", F.col("lo").alias("start"), F.col("m").alias("windows"))
     todo = known.where("not whole").groupBy("rid", "fp").agg(F.collect_list(F.struct("lo", "m")).alias("todo")).withColumnsRenamed({"rid": "rid_", "fp": "fp_"})
 
@@ -143,7 +140,7 @@ def maximal_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for doc, text, runs in zip(pdf["doc_id"], pdf["text"], pdf["runs"]):
-                n = len(_WORD.findall(text or ""))
+                n = len(text_words(text))
                 edge = np.diff(np.concatenate(([0], covered(n, runs, length).astype(np.int8), [0])))
                 start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
                 yield pd.DataFrame({"doc_id": pd.array([doc] * len(start), "Int64"), "start_word": start, "n_words": end - start})
@@ -158,12 +155,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         for pdf in batches:
             rows = []
             for text, runs in zip(pdf["text"], pdf["runs"]):
-                words = _WORD.findall(text or "")
-                if runs is None:
-                    rows.append((len(words), 0, " ".join(words)))
-                    continue
-                gone = covered(len(words), runs, length)
-                rows.append((len(words), int(gone.sum()), " ".join([w for w, g in zip(words, gone.tolist()) if not g])))
+                words, removed = text_words(text), 0
+                n = len(words)
+                if runs is not None:
+                    gone = covered(n, runs, length)
+                    words, removed = list(compress(words, (~gone).tolist())), int(gone.sum())
+                rows.append((n, removed, b" ".join(words).decode("utf-8", "surrogatepass")))
             out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
             yield out

@@ -56,12 +56,15 @@ def test_repeats_of_copies_and_ids(spark):
 
 
 def test_empty_tables(spark):
-    none = table(spark, []) if False else spark.createDataFrame([], SCHEMA)
+    none = spark.createDataFrame([], SCHEMA)
     assert sub.remove_repeats(none).count() == 0
     assert near.near_groups(none).count() == 0
 
 
-@pytest.mark.parametrize("how", [{}, {"bucket": 2}, {"block_bytes": 200, "queries": 2, "bucket": 3}])
+LEAST, GREATEST = near.Cell(1, 1, 1), near.Cell(1 << 20, 1 << 20, 1 << 40)
+
+
+@pytest.mark.parametrize("how", [{}, {"bucket": near.Cell(2, 3, 1 << 10), "block": near.Cell(3, 7, 1 << 10)}, {"bucket": LEAST, "block": LEAST}, {"bucket": GREATEST, "block": GREATEST}])
 def test_near_groups(spark, how):
     rng = random.Random(3)
     rows = odd_rows(2)
@@ -115,14 +118,38 @@ def test_queries_whole(spark, sf):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries()["op3_near_dedup"](spark, sf).collect()} == {d: (n, c, d == c) for d, (n, c) in want.items()}
 
 
-def test_bucket_stream_spans_batches():
+def test_cells_span_batches():
     import pandas as pd
 
     sketch = near.odd_sketch(near.minhashes(np.arange(1, 50, dtype=np.uint64))).tobytes()
-    pdf = pd.DataFrame({"key": [1, 1, 1, 2], "rid": [5, 6, 7, 8], "n": [9] * 4, "sketch": [sketch] * 4})
-    parts = near._bucket_edges(iter([pdf[:1], pdf[1:3], pdf[3:]]), 10, 80)
-    edges = pd.concat(list(parts))
-    assert len(edges) == 2 and set(edges["a"]) | set(edges["b"]) == {5, 6, 7}
+    pdf = pd.DataFrame({"cell": [1, 1, 1, 2], "query": [True, False, False, True], "rid": [5, 6, 7, 8], "n": [9] * 4, "sketch": [sketch] * 4})
+    edges = pd.concat(near.sketch_edges(80)(iter([pdf[:1], pdf[1:3], pdf[3:]])))
+    assert sorted(zip(edges["a"], edges["b"])) == [(5, 6), (5, 7)]
+    texts = pd.DataFrame({"cell": [1, 1, 2, 2], "query": [True, False, True, True], "rid": [5, 6, 7, 8], "text": ["a b c", "a  b c", "a b c", "d e"]})
+    for cut in range(5):
+        edges = pd.concat(near.set_edges(2, 80)(iter([texts[:cut], texts[cut:]])))
+        assert list(zip(edges["a"], edges["b"])) == [(5, 6)]
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Two long words that differ as a Thue-Morse word from its complement are different words."""
+    twist = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = twist.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"x{i}" for i in range(49))
+    for a, b in ((f"{rest} {twist}", f"{rest} {other}"), (twist, other)):
+        rows = [(1, a), (2, b)]
+        assert sorted(map(tuple, sub.remove_repeats(table(spark, rows)).collect())) == brute.repeats(rows, 50)
+        assert {r.rid: (r.n_shingles, r.component) for r in near.near_groups(table(spark, [(1, twist), (2, other)]), 2).collect()} == {1: (1, 1), 2: (1, 2)}
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(4)
+    long = [rng.choice("abcdefgh") + str(rng.randrange(5000)) for _ in range(120_000)]
+    near_copy = list(long)
+    near_copy[7] = "other"
+    rows = [(1, " ".join(long)), (2, " ".join(near_copy)), (3, " ".join(long[40_000:40_080])), (4, "q" * 300_000)]
+    assert sorted(map(tuple, sub.remove_repeats(table(spark, rows)).collect())) == brute.repeats(rows, 50)
+    assert {r.rid: r.component for r in near.near_groups(table(spark, rows), 2).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
 def test_first_columns_kept(spark):
