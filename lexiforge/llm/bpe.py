@@ -9,11 +9,14 @@ the ones that both sides already had there.
 from __future__ import annotations
 
 import json
-from concurrent.futures import ThreadPoolExecutor
 from heapq import heapify, heappop, heappush
 
-#: Pieces of up to this many symbols are merged directly; longer ones by halves.
-LEAF = 256
+import numpy as np
+
+#: Symbols of a leaf of the tree: what is longer is halved, level by level.
+LEAF = 64
+#: Leaves merged side by side.
+LANES = 1024
 #: Tokens taken from either side of a seam at first.
 WINDOW = 4
 
@@ -60,6 +63,14 @@ class Merges:
         self.leaf = leaf
         for (a, b), (_, new) in self.rank.items():
             self.parts.setdefault(new, (*self.symbols_of(a), *self.symbols_of(b)))
+        pairs = sorted((a << 32 | b, rank, new) for (a, b), (rank, new) in self.rank.items())
+        self.pair, self.place, self.makes = (np.array(x, dtype=np.int64) for x in zip(*pairs))
+        # whether no merge makes a token that an earlier merge takes: then a lane may merge all
+        # occurrences of its best pair at once
+        made = {}
+        for rank, new in self.rank.values():
+            made[new] = max(rank, made.get(new, rank))
+        self.ordered = all(made.get(a, -1) < rank and made.get(b, -1) < rank for (a, b), (rank, _) in self.rank.items())
 
     def symbols_of(self, token: int) -> tuple[int, ...]:
         return self.parts.get(token, (token,))
@@ -113,17 +124,41 @@ class Merges:
                 return left[: len(left) - len(a)] + middle + right[len(b) :]
             m *= 2
 
+    def merge_lanes(self, leaves: list[list[int]]) -> list[list[int]]:
+        """merge() of many short pieces in lock-step: a row of the array each, -1 after its end."""
+        ids = np.full((len(leaves), max(map(len, leaves)) + 1), -1, np.int64)
+        for lane, leaf in enumerate(leaves):
+            ids[lane, : len(leaf)] = leaf
+        never = np.iinfo(np.int64).max
+        while True:
+            key = ids[:, :-1] << 32 | np.maximum(ids[:, 1:], 0)
+            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+            known = (self.pair[at] == key) & (ids[:, :-1] >= 0) & (ids[:, 1:] >= 0)
+            rank = np.where(known, self.place[at], never)
+            best = rank.min(1)
+            if (best == never).all():
+                return [row[row >= 0].tolist() for row in ids]
+            hit = (rank == best[:, None]) & known
+            if self.ordered:  # of overlapping occurrences every other one, from the left
+                column = np.arange(hit.shape[1])
+                before = np.maximum.accumulate(np.where(hit, -1, column), axis=1)
+                hit &= (column - before) % 2 == 1
+            else:
+                hit &= np.cumsum(hit, axis=1) == 1
+            lane, i = np.nonzero(hit)
+            ids[lane, i], ids[lane, i + 1] = self.makes[at[lane, i]], -1
+            ids = np.take_along_axis(ids, np.argsort(ids < 0, axis=1, kind="stable"), axis=1)
+
     def encode(self, symbols: list[int]) -> list[int]:
-        """Ids of one pre-token. Long ones: leaves are merged side by side, then joined
-        pairwise, level by level, so no merge queue ever spans the whole text."""
+        """Ids of one pre-token. One of up to LEAF symbols is a tree of one leaf. Long ones: halves of
+        halves down to the leaves, which are merged side by side, then joined pairwise, level by
+        level, so no merge queue ever spans the whole text."""
         if len(symbols) <= self.leaf:
             return self.merge(symbols)
         leaves = [symbols[i : i + self.leaf] for i in range(0, len(symbols), self.leaf)]
-        with ThreadPoolExecutor(2) as pool:
-            level = list(pool.map(self.merge, leaves))
-            while len(level) > 1:
-                pairs = [level[i : i + 2] for i in range(0, len(level), 2)]
-                level = list(pool.map(lambda p: self.join(*p) if len(p) == 2 else p[0], pairs))
+        level = [ids for i in range(0, len(leaves), LANES) for ids in self.merge_lanes(leaves[i : i + LANES])]
+        while len(level) > 1:
+            level = [self.join(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0]
 
     def whole_tokens(self) -> set[str]:

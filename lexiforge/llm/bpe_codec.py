@@ -8,11 +8,11 @@ from hashlib import sha256
 from unicodedata import is_normalized
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.bpe import Merges, as_bytes_shown, as_read
+from lexiforge.llm.bpe import Merges, as_read
 from lexiforge.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -26,7 +26,10 @@ LETTERS = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPLIT = re.compile(rf"[{LETTERS}]+|[{NUMBERS}]|'(?:[stmd]|re|ve|ll)|[^{GAPS}{LETTERS}{NUMBERS}]+")
 #: Words whose ids a worker remembers before it starts afresh.
-CACHE = 400_000
+CACHE = 200_000
+#: Texts held as Python objects at a time.
+ROWS = 64
+_TYPES = {"ids": pa.binary(), "decoded": pa.string(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
 
 class Codec:
@@ -36,16 +39,12 @@ class Codec:
         from tokenizers import Tokenizer
 
         self.merges = Merges(path)
-        self.library = Tokenizer.from_file(path)  # for texts beyond PLAIN, and the merges of short pre-tokens
+        self.library = Tokenizer.from_file(path)  # its normaliser and splitter, for texts beyond PLAIN
         self.special = re.compile("|".join(f"({re.escape(s)})" for s in self.merges.special)) if self.merges.special else None
         self.known: dict[str, tuple[bytes, str]] = {}
 
     def _piece(self, piece: str) -> tuple[bytes, str]:
-        shown = as_bytes_shown(piece)
-        if len(shown) <= self.merges.leaf:
-            ids = [t.id for t in self.library.model.tokenize(shown)]
-        else:
-            ids = self.merges.encode(self.merges.symbols(piece.encode("utf-8")))
+        ids = self.merges.encode(self.merges.symbols(piece.encode("utf-8")))
         got = np.array(ids, dtype="<u4").tobytes(), " ".join(map(self.merges.token.__getitem__, ids))
         if len(piece) <= 40:
             if len(self.known) >= CACHE:
@@ -62,7 +61,7 @@ class Codec:
     def encode(self, text: str) -> tuple[bytes, str]:
         """(ids as little-endian uint32, decoded text) of a whole text."""
         parts = [text]
-        if self.special is not None and "<|" in text:
+        if self.special is not None and any(map(text.__contains__, self.merges.special)):
             parts = [p for p in self.special.split(text) if p]
         raw, shown = [], []
         for part in parts:
@@ -93,23 +92,28 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def coded_column(text: Column, name: str = TOKENIZER, outputs: bool = True) -> Column:
+def coded_column(text: Column, name: str = TOKENIZER, outputs: tuple[str, ...] = ("ids", "decoded")) -> Column:
     """struct(ids binary, decoded string, n_tokens, ids_sha256, decoded_sha256) of a text column.
 
-    Null encodes as the empty text: no ids, an empty decoded text. Very long texts are encoded
-    whole; only unsplit runs need the tree. ``name`` is a file of the tokenizer folder, resolved on
-    the executor; nothing is shipped with the job. Without ``outputs`` ids and decoded are null."""
+    Null encodes as the empty text: no ids, an empty decoded text. Repeated rows are rows of their
+    own, with equal values. Very long texts are encoded whole; only unsplit runs need the tree.
+    ``name`` is a file of the tokenizer folder, resolved on the executor; nothing is shipped
+    with the job. Of ids and decoded, what ``outputs`` doesn't name is null."""
 
-    @F.pandas_udf("ids binary, decoded string, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("ids binary, decoded string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(tokenizer_path(name))
-        for texts in batches:
+
+        def coded(texts: pa.Array) -> pa.Array:
             rows = []
-            for t in texts:
+            for t in texts.to_pylist():
                 ids, decoded = own.encode(t or "")
-                digests = len(ids) // 4, sha256(ids).hexdigest(), sha256(decoded.encode("utf-8")).hexdigest()
-                rows.append((ids, decoded, *digests) if outputs else (None, None, *digests))
-            yield pd.DataFrame(rows, columns=["ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"])
+                shown = decoded.encode("utf-8")
+                rows.append((ids if "ids" in outputs else None, decoded if "decoded" in outputs else None, len(ids) // 4, sha256(ids).hexdigest(), sha256(shown).hexdigest()))
+            return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_TYPES.values())], list(_TYPES))
+
+        for texts in batches:
+            yield pa.concat_arrays([coded(texts.slice(i, ROWS)) for i in range(0, max(len(texts), 1), ROWS)])
 
     return run(text)
 
@@ -117,5 +121,5 @@ def coded_column(text: Column, name: str = TOKENIZER, outputs: bool = True) -> C
 def op7_bpe_codec(spark, sf_dir: str) -> DataFrame:
     """Per document: token count and digests of ids and decoded text. No shuffle."""
     docs = documents(spark, sf_dir)
-    coded = docs.select("doc_id", coded_column(F.col("text"), outputs=False).alias("d"))
+    coded = docs.select("doc_id", coded_column(F.col("text"), outputs=()).alias("d"))
     return coded.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")

@@ -158,7 +158,7 @@ def window_hash(roll: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-#: Words whose digests a worker remembers before it starts afresh, and their bytes at most.
+#: Words whose digests a worker remembers, the first it meets, and their bytes at most.
 WORDS_HELD, WORD_HELD = 1 << 17, 64
 
 
@@ -167,9 +167,7 @@ class _Digests(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         got = blake2b(word, digest_size=16).digest()
-        if len(word) <= WORD_HELD:
-            if len(self) >= WORDS_HELD:
-                self.clear()
+        if len(self) < WORDS_HELD and len(word) <= WORD_HELD:
             self[word] = got
         return got
 

@@ -1,12 +1,75 @@
-"""Connected components of an edge table by alternating star contractions."""
+"""Connected components of an edge table: local contraction, then alternating star contractions."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.llm.common import forget, materialize
 
+#: Edges that a task contracts at a time.
+EDGES = 1 << 20
+
+
+class Forest:
+    """Union-find over 0..n-1; a root is the least of its elements."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def find(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return int(i)
+
+    def labels(self) -> np.ndarray:
+        """The root of every element."""
+        while (self.up[self.up] != self.up).any():
+            self.up = self.up[self.up]
+        return self.up
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        """Tie the elements pairwise; returns the roots that were tied, an edge each."""
+        label = self.labels()
+        a, b = label[left], label[right]
+        keys = np.unique(np.minimum(a, b)[a != b] * len(label) + np.maximum(a, b)[a != b])
+        tied = []
+        for i, j in zip((keys // len(label)).tolist(), (keys % len(label)).tolist()):
+            i, j = self.find(i), self.find(j)
+            if i != j:
+                self.up[max(i, j)] = min(i, j)
+                tied.append((i, j))
+        return tied
+
+
+def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges, at most EDGES at a time, as the stars of their own components."""
+    held: list[pd.DataFrame] = []
+
+    def stars() -> pd.DataFrame:
+        pdf = pd.concat(held)
+        nodes, at = np.unique(pdf[["a", "b"]].to_numpy(), return_inverse=True)
+        at = at.reshape(-1, 2)
+        forest = Forest(len(nodes))
+        forest.join(at[:, 0], at[:, 1])
+        label = forest.labels()
+        leaf = np.flatnonzero(label != np.arange(len(nodes)))
+        return pd.DataFrame({"a": nodes[label[leaf]], "b": nodes[leaf]})
+
+    for pdf in batches:
+        held.append(pdf)
+        if sum(map(len, held)) >= EDGES:
+            yield stars()
+            held = []
+    if held:
+        yield stars()
+
 
 def _stars(edges: DataFrame, large: bool, name: str) -> DataFrame:
     """One contraction: each node's neighbours are tied to the least id round it. Large stars
@@ -25,18 +88,23 @@ def _stars(edges: DataFrame, large: bool, name: str) -> DataFrame:
     return tied.select("m", ends.alias("b")).where("b <> m").select(F.col("m").alias("a"), "b").distinct()
 
 
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether some node has two roots, or is both a root and a leaf."""
+    end = lambda c, leaf: F.struct(F.col(c).alias("n"), F.lit(leaf).alias("leaf"))
+    ends = edges.select(F.explode(F.array(end("a", 0), end("b", 1))).alias("x")).groupBy("x.n")
+    return not ends.agg(F.sum("x.leaf").alias("leaves"), F.count(F.lit(1)).alias("ends")).where("leaves > 0 and ends > 1").isEmpty()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, root for every node of ``edges`` (columns a, b): root is the least id it reaches.
 
-    Rounds of a large and a small star go on until the table is a forest of stars (the sum and
-    number of edges stand still); each round is written to the shared folder."""
-    edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-    seen = None
-    while True:
+    The edges of each task are contracted to stars there, a bounded number at a time. Rounds of a
+    large and a small star go on until all are one forest of stars; each round is written to the
+    shared folder. The files are the caller's to forget."""
+    edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = materialize(edges.mapInPandas(_contract, "a long, b long"), name)
+    while _unfinished(edges):
         after = materialize(_stars(materialize(_stars(edges, True, name), name), False, name), name)
-        mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         forget(edges)
         edges = after
-        if mark == seen:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        seen = mark
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))

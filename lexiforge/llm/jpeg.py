@@ -2,8 +2,10 @@
 DC-only reader that decodes the scans of many images in lock-step with numpy.
 
 Writing: each payload byte is one 8x8 block whose only coefficient is DC with quantiser 8,
-so the block's every sample is that byte and nothing is rounded. A block row (24 blocks) is a
-restart interval, so all rows of all images are written and read side by side.
+so the block's every sample is that byte and nothing is rounded. 24 blocks are a restart interval,
+so all of all images are written and read side by side. An image is 24 blocks across, or as many
+times 24 as keep its sides within the format; a comment segment holds the payload's length,
+what the last block row has beyond it is 255.
 Reading: markers are parsed, byte stuffing is undone, and restart intervals are the lanes of
 a vectorised Huffman decoder. AC coefficients are decoded only to be skipped. Frames of
 several components or with sampling factors are read too; the luminance (first) component is kept.
@@ -20,8 +22,10 @@ import numpy as np
 #: Bytes of a payload tile: 24 x 24 blocks.
 TILE = 576
 ACROSS = 24
-#: Block rows of one frame at most (a JPEG side is below 65536 samples): 340 tiles.
-FRAME_TILES = 340
+#: Blocks of a side of an image (a JPEG side is below 65536 samples).
+SIDE = 8191
+#: Blocks of an image: payloads beyond these 67 MB go on in further images of the same file.
+BLOCKS = SIDE // ACROSS * ACROSS * SIDE // TILE * TILE
 
 #: Order in which a scan stores the coefficients matters only to skip them, so no table is needed.
 _DC_LENGTHS = {2: 3, 3: 3, 4: 3, 5: 3, 6: 3, 7: 3, 8: 3, 0: 4, 1: 5}
@@ -64,11 +68,19 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def _head(rows: int) -> bytes:
+def shape_of(blocks: int, side: int = SIDE) -> tuple[int, int]:
+    """Blocks across and down of the narrowest image that holds ``blocks``."""
+    across = ACROSS * -(-blocks // (ACROSS * side))
+    return across, -(-blocks // across)
+
+
+def _head(blocks: int) -> bytes:
+    across, down = shape_of(blocks)
     return b"".join((
         b"\xff\xd8",
+        _segment(0xFE, b"bytes=%d" % blocks),
         _segment(0xDB, bytes([0, 8]) + bytes([1] * 63)),
-        _segment(0xC0, struct.pack(">BHHB", 8, rows * 8, ACROSS * 8, 1) + bytes([1, 0x11, 0])),
+        _segment(0xC0, struct.pack(">BHHB", 8, down * 8, across * 8, 1) + bytes([1, 0x11, 0])),
         _segment(0xC4, b"\x00" + _DC_BODY),
         _segment(0xC4, b"\x10" + _AC_BODY),
         _segment(0xDD, struct.pack(">H", ACROSS)),
@@ -82,8 +94,11 @@ def pad(text: bytes) -> bytes:
 
 
 def encode_many(payloads: list[bytes]) -> list[bytes]:
-    """JPEG files (one, or several frames end to end for a long payload) of padded payloads."""
-    rows = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, ACROSS)
+    """A JPEG file of each padded payload."""
+    parts = [[p[i : i + BLOCKS] for i in range(0, len(p), BLOCKS)] for p in payloads]
+    images = [x for own in parts for x in own]
+    whole = [np.prod(shape_of(len(x))) for x in images]
+    rows = np.frombuffer(b"".join(x.ljust(n, b"\xff") for x, n in zip(images, whole)), np.uint8).reshape(-1, ACROSS)
     n = len(rows)
     level = rows.astype(np.int16) - 128
     step = level.copy()
@@ -111,18 +126,16 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
     row_start = np.concatenate(([0], np.cumsum(length + np.bincount(row[full], minlength=n) + 2)))
     data = np.zeros(row_start[-1], np.uint8)
     data[place] = flat
-    frame_row = np.concatenate([np.arange(len(p) // ACROSS) % (FRAME_TILES * ACROSS) for p in payloads])
+    frame_row = np.concatenate([np.arange(n // ACROSS) for n in whole])
     data[row_start[1:] - 2] = 0xFF
     data[row_start[1:] - 1] = 0xD0 + frame_row % 8
     files, at = [], 0
-    for p in payloads:
-        parts, left = [], len(p) // ACROSS
-        while left:
-            k = min(left, FRAME_TILES * ACROSS)
-            parts += [_head(k), data[row_start[at] : row_start[at + k] - 2].tobytes(), b"\xff\xd9"]
-            at, left = at + k, left - k
-        files.append(b"".join(parts))
-    return files
+    for x, n in zip(images, whole):
+        end = at + int(n) // ACROSS
+        files.append(_head(len(x)) + data[row_start[at] : row_start[end] - 2].tobytes() + b"\xff\xd9")
+        at = end
+    found = iter(files)
+    return [b"".join(next(found) for _ in own) for own in parts]
 
 
 @dataclass
@@ -132,6 +145,7 @@ class Frame:
     scan: np.ndarray
     interval: int
     key: tuple
+    comment: bytes = b""
 
 
 def _lookup(body: bytes) -> np.ndarray:
@@ -163,7 +177,7 @@ def parse(file: bytes) -> list[Frame]:
     frames, at, n = [], 0, len(file)
     quant: dict[int, int] = {}
     tables: dict[int, bytes] = {}
-    interval, shape = 0, None
+    interval, shape, comment = 0, None, b""
     while at < n:
         if file[at] != 0xFF:
             raise ValueError(f"no marker at byte {at}")
@@ -172,7 +186,7 @@ def parse(file: bytes) -> list[Frame]:
             at += 1
             continue
         if marker == 0xD8:
-            quant, tables, interval, shape = {}, {}, 0, None
+            quant, tables, interval, shape, comment = {}, {}, 0, None, b""
         if marker in (0xD8, 0xD9, 0x01):
             at += 2
             continue
@@ -190,6 +204,8 @@ def parse(file: bytes) -> list[Frame]:
                 count = sum(body[i + 1 : i + 17])
                 tables[body[i]] = body[i + 1 : i + 17 + count]
                 i += 17 + count
+        elif marker == 0xFE:
+            comment = body
         elif marker == 0xDD:
             interval = int.from_bytes(body, "big")
         elif marker in (0xC0, 0xC1):
@@ -207,7 +223,7 @@ def parse(file: bytes) -> list[Frame]:
             own = {body[i]: body[i + 1] for i in range(1, 1 + 2 * body[0], 2)}
             blocks = tuple((c == parts[0][0], h, v, quant[q], tables[own[c] >> 4], tables[16 | own[c] & 15]) for c, h, v, q in parts if c in own)
             if parts[0][0] in own:
-                frames.append(Frame(width, height, raw[:stop], interval, blocks))
+                frames.append(Frame(width, height, raw[:stop], interval, blocks, comment))
             at += stop
     return frames
 

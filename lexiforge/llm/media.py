@@ -49,8 +49,8 @@ def read_back(files: list[bytes]) -> list[tuple[bytes, str]]:
     out = []
     for fs in frames:
         own = [next(planes) for _ in fs]
-        plane = own[0] if len(own) == 1 else np.concatenate(own)
-        out.append((plane.tobytes(), f"{fs[0].width}x{sum(f.height for f in fs)}:{jpeg.thumbnail_hash(plane)}"))
+        payload = b"".join(plane.tobytes()[: int(f.comment.removeprefix(b"bytes="))] for f, plane in zip(fs, own))
+        out.append((payload, f"{fs[0].width}x{fs[0].height}:{jpeg.thumbnail_hash(own[0])}"))
     return out
 
 
@@ -60,8 +60,9 @@ _ROW = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long
 def media_column(text: Column) -> Column:
     """Stores each text, reads the stored bytes back and digests both. Equal texts, equal values.
 
-    A null is the empty text, stored as one tile of 255s. A payload beyond one frame goes on
-    in further frames of the same file."""
+    A null is the empty text, stored as one tile of 255s. Repeated rows are rows of their own, with
+    equal values. The feature is that of the file's first image: beyond ``jpeg.BLOCKS`` bytes,
+    what the format's sides allow, a payload goes on in further images."""
 
     @F.pandas_udf(_ROW)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.llm.common import NULL_ID, documents, forget, materialize, mix, rank_id, rolling, text_words, window_hash, word_digests
-from lexiforge.llm.components import components
+from lexiforge.llm.components import Forest, components
 
 SHINGLE = 5
 PERCENT = 80
@@ -67,13 +67,16 @@ def shingles(text: str | None, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     k = min(k, len(words))
     at = np.arange(len(words) - k + 1)
-    return np.unique(window_hash(rolling(words), at, at + k))
+    found = np.sort(window_hash(rolling(words), at, at + k))
+    return found[np.concatenate(([True], found[1:] != found[:-1]))]
 
 
 def minhashes(items: np.ndarray) -> np.ndarray:
     least = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(items), 2048):
-        np.minimum(least, (items[i : i + 2048, None] * _ODD).min(0), out=least)
+    room = np.empty((min(len(items), 128), SAMPLES), np.uint64)  # small enough to stay in the cache
+    for i in range(0, len(items), 128):
+        part = items[i : i + 128, None]
+        np.minimum(least, np.multiply(part, _ODD, out=room[: len(part)]).min(0), out=least)
     return mix(least + np.arange(SAMPLES, dtype=np.uint64))
 
 
@@ -98,39 +101,6 @@ def most_differing(percent: int = PERCENT, margin: float = MARGIN) -> int:
     return int(np.ceil(BITS * p + margin / 2 * np.sqrt(BITS * p * (1 - p))))
 
 
-class Forest:
-    """Union-find over 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return int(i)
-
-    def labels(self) -> np.ndarray:
-        """The root of every element."""
-        while (self.up[self.up] != self.up).any():
-            self.up = self.up[self.up]
-        return self.up
-
-    def join(self, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-        """Tie the elements pairwise; returns the roots that were tied, an edge each."""
-        label = self.labels()
-        a, b = label[left], label[right]
-        keys = np.unique(np.minimum(a, b)[a != b] * len(label) + np.maximum(a, b)[a != b])
-        tied = []
-        for i, j in zip((keys // len(label)).tolist(), (keys % len(label)).tolist()):
-            i, j = self.find(i), self.find(j)
-            if i != j:
-                self.up[max(i, j)] = min(i, j)
-                tied.append((i, j))
-        return tied
-
-
 class Block:
     """Shingle sets of a block with postings: how many shingles a set shares with each."""
 

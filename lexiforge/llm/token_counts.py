@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.bpe import Merges, as_bytes_shown
+from lexiforge.llm.bpe import Merges
 from lexiforge.llm.bpe_codec import GAPS, LETTERS, NUMBERS, PLAIN, tokenizer_path
 from lexiforge.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
-CACHE = 600_000
+CACHE = 400_000
 
 _SPLIT = re.compile(rf" ?[{LETTERS}]+| ?[{NUMBERS}]+|'(?:[stmd]|re|ve|ll)| ?[^{GAPS}{LETTERS}{NUMBERS}]+|[{GAPS}]+(?![^{GAPS}])|[{GAPS}]+")
 
@@ -27,18 +27,14 @@ class Counter:
         from tokenizers import Tokenizer
 
         self.merges = Merges(path)
-        self.library = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_file(path)  # its splitter, for texts beyond PLAIN
         self.whole = dict.fromkeys(self.merges.whole_tokens(), 0)
         self.special = re.compile("|".join(map(re.escape, self.merges.special)))
         outer = self
 
         class More(dict):
             def __missing__(self, piece: str) -> int:
-                shown = as_bytes_shown(piece)
-                if len(shown) <= outer.merges.leaf:
-                    n = len(outer.library.model.tokenize(shown)) - 1
-                else:
-                    n = len(outer.merges.encode(outer.merges.symbols(piece.encode("utf-8")))) - 1
+                n = len(outer.merges.encode(outer.merges.symbols(piece.encode("utf-8")))) - 1
                 if len(piece) <= 40:
                     if len(self) >= CACHE:
                         self.clear()
@@ -50,7 +46,7 @@ class Counter:
 
     def count(self, text: str) -> int:
         total, parts = 0, [text]
-        if "<|" in text:  # a special string inside a text is one token, as the library does
+        if any(map(text.__contains__, self.merges.special)):  # a special string inside a text is one token, as the library does
             parts = self.special.split(text)
             total = len(parts) - 1
         for part in parts:
@@ -69,7 +65,7 @@ _COUNTERS: dict[str, Counter] = {}
 
 def count_column(text: Column, name: str = TOKENIZER) -> Column:
     """Tokens of a whole text as the library counts them, without added special tokens;
-    null counts as the empty text, which has none."""
+    null counts as the empty text, which has none. Repeated rows are counted alike."""
 
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

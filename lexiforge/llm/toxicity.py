@@ -231,16 +231,18 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled, not held-out documents of each class, the first by
-    the hash of their id. Only those rows reach the driver. Repeated label rows: the highest."""
+    the hash of their id. Only those rows reach the driver, one per id. Repeated label rows: the
+    highest; rows of ``docs`` that share an id: the least text."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     toxic = F.col("toxic") > 0
     n, n_toxic = known.agg(F.count(F.lit(1)), F.count_if(toxic)).first()
     order = [F.xxhash64("doc_id", F.lit(SEED)), "doc_id"]
     picks = known.where(toxic).orderBy(*order).limit(sample).unionByName(known.where(~toxic).orderBy(*order).limit(sample))
     texts = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
-    rows = texts.join(F.broadcast(picks), "doc_id").collect()  # the broadcast side: 2 * sample ids at most
-    rows = sorted(((r.doc_id, r.text, int(r.toxic > 0)) for r in rows))[: 4 * sample]
+    picked = texts.join(F.broadcast(picks), "doc_id")  # the broadcast side: 2 * sample ids at most
+    rows = picked.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()  # 2 * sample rows at most
+    rows = sorted((r.doc_id, r.text, r.toxic) for r in rows)
     return fit([t for _, t, _ in rows], [y for _, _, y in rows], n_toxic / n if n else None)
 
 

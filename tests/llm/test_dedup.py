@@ -39,7 +39,7 @@ def odd_rows(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("length, anchor", [(12, 4), (5, 2), (20, 10)])
+@pytest.mark.parametrize("length, anchor", [(12, 4), (5, 2)])
 def test_repeats(spark, length, anchor):
     rows = odd_rows()
     got = sub.remove_repeats(table(spark, rows), length, anchor)
@@ -61,10 +61,10 @@ def test_empty_tables(spark):
     assert near.near_groups(none).count() == 0
 
 
-LEAST, GREATEST = near.Cell(1, 1, 1), near.Cell(1 << 20, 1 << 20, 1 << 40)
+LEAST, GREATEST = near.Cell(1, 1, 1 << 10), near.Cell(1 << 20, 1 << 20, 1 << 40)
 
 
-@pytest.mark.parametrize("how", [{}, {"bucket": near.Cell(2, 3, 1 << 10), "block": near.Cell(3, 7, 1 << 10)}, {"bucket": LEAST, "block": LEAST}, {"bucket": GREATEST, "block": GREATEST}])
+@pytest.mark.parametrize("how", [{"bucket": LEAST, "block": LEAST}, {"bucket": GREATEST, "block": GREATEST}])
 def test_near_groups(spark, how):
     rng = random.Random(3)
     rows = odd_rows(2)
