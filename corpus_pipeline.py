@@ -40,7 +40,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of the text decoded from them."""
-    coded = docs.select("doc_id", "lang", "source", coded_column(F.col("text")).alias("c"))
+    coded = docs.select("doc_id", "lang", "source", coded_column(F.col("text"), outputs=("ids",)).alias("c"))
     return coded.select("doc_id", "lang", "source", "c.ids", "c.n_tokens", "c.ids_sha256", "c.decoded_sha256")
 
 
