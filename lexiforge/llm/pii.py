@@ -2,14 +2,19 @@
 
 High-recall generators propose spans of four kinds, which may overlap: the exact base
 patterns with their checks, and looser forms (spelled-out mail addresses, numbers with other
-separators or without a plus sign, addresses with bracketed dots). Boosted trees over format
-and context features score the loose candidates; a calibrated threshold selects those
-that join the base spans, which always stay.
-
-Training is distantly supervised over all documents: a loose candidate that covers a span
-which the base checks confirm is positive, one that they refute is negative. Features are
-small integers, so the corpus is pre-aggregated to one row per feature vector (at most the
-product of the feature levels), and the trees are grown on that table.
+separators or without a plus sign, addresses with bracketed or spaced dots). Boosted trees over
+format and context features score the loose candidates; a calibrated threshold for each kind selects
+those that join the base spans, which always stay.
+
+Training is self-supervised over all documents by evidence that no feature shows: a phone
+number's plus sign, a card number's check digit, the values of an address' numbers, a mail
+address' top-level name. A candidate that the evidence confirms is positive, one that it
+refutes (or, for phone numbers, that another kind's base span or an identifier holds) is negative, one without
+evidence isn't trained on. Features are small integers, so the corpus is pre-aggregated to one
+row per feature vector (at most the product of the feature levels), and the trees are grown on that
+table. A fifth of the texts (by their hash, so copies stay together) is kept from the trees and
+sets the thresholds: the least margin from which on THRESHOLD of a kind's withheld candidates
+are confirmed. A kind without enough of them keeps its base spans only.
 """
 
 from __future__ import annotations
@@ -24,8 +29,10 @@ from lexiforge.llm.common import documents, materialize
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 24
 RATE = 0.3
-#: A loose candidate is taken from this calibrated probability on.
+#: Share of confirmed ones among a kind's withheld candidates from its threshold on.
 THRESHOLD = 0.9
+#: One text in so many sets the thresholds.
+HELD = 5
 #: Candidates that back a leaf at least; fewer leave it at the prior.
 LEAF_MIN = 5
 CONTEXT = 24
@@ -38,7 +45,7 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Loose forms: (kind, quick test, pattern). A quick test is a pattern, or literals of which one must occur;
 #: whatever the pattern matches passes it.
 LOOSE = (
-    ("email", ("(at)", "[at]", " dot "), r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at(?= [A-Za-z0-9-]++ dot )) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\.| dot ) ?[A-Za-z0-9-]++)++"),
+    ("email", ("@", "(at)", "[at]", " dot "), r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]| at(?= [A-Za-z0-9-]++ dot )) ?[A-Za-z0-9-]++(?:(?: ?(?:\(dot\)|\[dot\]) ?| dot |\.| \. )[A-Za-z0-9-]++)++"),
     ("ip", r"[0-9] ?(?:\.|\[\.\]|\(\.\)|\[dot\]) ?[0-9]", r"(?<![0-9])[0-9]{1,3}+(?: ?(?:\.|\[\.\]|\(\.\)|\[dot\]) ?[0-9]{1,3}+){3}(?![0-9])"),
     ("card", r"[0-9]{4}", r"(?<![0-9])[0-9]{4}+(?:[\x20./_-]{1,3}[0-9]{2,6}+){2,4}(?![0-9])"),
     ("phone", r"[0-9]{3}[\x20./)-]{1,2}[0-9]", r"(?<![0-9+(])\(?[0-9]{2,4}+\)?[\x20./-]{1,2}[0-9]{3,4}+(?:[\x20./-][0-9]{2,4}+){1,3}(?![0-9])"),
@@ -46,22 +53,28 @@ LOOSE = (
 _HINTS = r"(?i)mail|e-mail|contact|address|tel|phone|call|fax|mobile|card|visa|account|pay|\bip\b|host|server"
 
 
+def running(values: Column, op, block: int = 512) -> Column:
+    """Running ``op`` (an associative one) over an array, the element included. Blocks are run by
+    themselves and then carried on, so the cost is linear but for the number of blocks."""
+    grow = lambda done, x: F.concat(done, F.array(op(F.coalesce(F.get(done, F.size(done) - 1), x * 0), x)))
+    empty = F.array().cast("array<int>")
+    own = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda b: F.slice(values, b * block + 1, block))
+    own = F.transform(own, lambda part: F.aggregate(part, empty, grow))
+    carried = lambda parts: F.aggregate(F.transform(parts, lambda p: F.get(p, F.size(p) - 1)), empty, grow)
+    shared = F.transform(F.array(own), lambda parts: F.struct(parts.alias("parts"), carried(parts).alias("carry")))
+    moved = F.transform(shared, lambda s: F.flatten(F.transform(s["parts"], lambda p, i: F.transform(p, lambda x: op(F.coalesce(F.get(s["carry"], i - 1), x * 0), x)))))
+    return F.when(F.size(values) > 0, F.get(moved, 0)).otherwise(empty)
+
+
 def spans_of(text: Column, pattern: str) -> Column:
     """array<struct<start, end, hit>> of the leftmost non-overlapping matches, in code points:
     lengths of the pieces between the matches and of the matches themselves add up."""
-    hits, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    return F.aggregate(
-        F.arrays_zip(F.transform(pieces, F.length).alias("gap"), hits.alias("hit")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(x["hit"].isNull(), a["out"])
-            .otherwise(F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + F.length(x["hit"])).alias("end"), x["hit"].alias("hit")))))
-            .alias("out"),
-        ),
-        lambda a: a["out"],
+    found = F.transform(
+        F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))),
+        lambda x: F.struct(x["hits"].alias("hits"), running(F.zip_with(x["hits"], F.slice(x["gaps"], 1, F.size(x["hits"])), lambda h, g: F.length(g) + F.length(h)), lambda a, b: a + b).alias("ends")),
     )
+    spans = F.transform(found, lambda x: F.zip_with(x["hits"], x["ends"], lambda h, e: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("hit"))))
+    return F.get(spans, 0)
 
 
 def digits(hit: Column) -> Column:
@@ -100,10 +113,6 @@ def _checked(kind: str):
     return lambda span: _valid(kind, span["hit"])
 
 
-def _labeller(kind: str):
-    return lambda span: _labelled(span, kind)
-
-
 def _named(kind: str):
     return lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string"))
 
@@ -132,20 +141,22 @@ def _may_hold(text: Column, digit: Column, test: str | tuple[str, ...]) -> Colum
 
 def candidates(docs: DataFrame) -> DataFrame:
     """``docs`` with base_<kind> span arrays, and loose_<kind> arrays whose spans carry their
-    features (f). A null text counts as empty."""
+    features (f) and whether they are part of an identifier (glued); held marks the texts that
+    set the thresholds. A null text counts as empty."""
     rows = docs.withColumn("__t", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("__d", F.col("__t").rlike("[0-9]"))
     text, digit = F.col("__t"), F.col("__d")
     spans = _base(text, digit)
     columns = {f"base_{k}": c for k, c in spans.items()}
     for k, test, p in LOOSE:
-        found = F.transform(spans_of(text, p), lambda s: F.struct(s["start"], s["end"], s["hit"], F.struct(*(c.alias(n) for n, c in features(F.col("__t"), s).items())).alias("f")))
+        found = F.transform(spans_of(text, p), lambda s: F.struct(s["start"], s["end"], s["hit"], F.struct(*(c.alias(n) for n, c in features(F.col("__t"), s).items())).alias("f"), glued(F.col("__t"), s).alias("glued")))
         columns[f"loose_{k}"] = F.when(_may_hold(text, digit, test), found)
+    columns["held"] = (F.pmod(F.xxhash64(text), F.lit(HELD)) == 0).cast("int")
     return rows.withColumns(columns).drop("__t", "__d")
 
 
 #: Feature names and their number of levels.
-FEATURES = {"digits": 6, "groups": 5, "spaced": 2, "bracket": 2, "dotted": 2, "dashed": 2, "hint": 2, "joined": 2}
+FEATURES = {"digits": 6, "groups": 5, "last": 6, "spaced": 2, "bracket": 2, "dotted": 2, "dashed": 2, "hint": 2}
 
 
 def features(text: Column, span: Column) -> dict[str, Column]:
@@ -159,43 +170,48 @@ def features(text: Column, span: Column) -> dict[str, Column]:
     return {
         "digits": level,
         "groups": groups,
+        "last": F.least(F.length(F.regexp_extract(hit, r"([0-9]*)\z", 1)), F.lit(5)),
         "spaced": flag(hit.contains(" ")),
         "bracket": flag(hit.rlike(r"[\[(]")),
         "dotted": flag(hit.contains(".")),
         "dashed": flag(hit.contains("-")),
         "hint": flag(before.rlike(_HINTS)),
-        "joined": flag(before.rlike(r"[A-Za-z0-9_=\"]$")),
     }
 
 
+def glued(text: Column, span: Column) -> Column:
+    """Whether letters, digits or a sign of identifiers touch the candidate."""
+    before, after = F.substring(text, span["start"], F.when(span["start"] > 0, 1).otherwise(0)), F.substring(text, span["end"] + 1, F.lit(1))
+    return before.rlike(r"[\p{L}0-9_=/#@]") | after.rlike(r"[\p{L}0-9_=/#@]")
+
+
 def _meets(kind: str, span: Column) -> Column:
     return F.exists(F.col(f"base_{kind}"), lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
 
 
-def _labelled(span: Column, kind: str) -> Column:
-    """Features and weak label: confirmed if it meets a base span of its kind or passes the
-    kind's own check while no other kind claims it."""
-    other = F.lit(False)
+def evidence(span: Column, kind: str) -> Column:
+    """Whether the kind's own evidence, which no feature shows, confirms or refutes a candidate; null
+    if there is none."""
+    hit, other = span["hit"], F.lit(False)
     for k in KINDS:
         if k != kind:
             other = other | _meets(k, span)
-    hit = span["hit"]
-    sane = {
-        "card": _valid("card", hit),
-        "phone": F.length(digits(hit)).between(9, 15),
-        "ip": _bytes(hit),
-        "email": F.lit(True),
-    }[kind]
-    y = (_meets(kind, span) | (sane & ~other)).cast("int")
-    return F.struct(F.lit(kind).alias("kind"), *(span["f"][n].alias(n) for n in FEATURES), y.alias("y"))
+    if kind == "phone":
+        return F.when(_meets(kind, span), True).when(other | span["glued"], False)
+    sound = {"card": _valid("card", hit), "ip": _bytes(hit), "email": hit.rlike(r"[A-Za-z].*[^A-Za-z0-9-][A-Za-z]{2,24}\z")}[kind]
+    return sound & ~other
+
+
+def _labeller(kind: str):
+    return lambda span: F.struct(F.lit(kind).alias("kind"), *(span["f"][n].alias(n) for n in FEATURES), evidence(span, kind).cast("int").alias("y"))
 
 
 def training_table(rows: DataFrame) -> list[tuple]:
-    """(kind, features..., positives, candidates), one row per feature vector that occurs."""
+    """(held, kind, features..., positives, candidates), one row per feature vector that occurs."""
     parts = [F.coalesce(F.transform(F.col(f"loose_{k}"), _labeller(k)), F.array()) for k in KINDS]
-    cells = rows.select(F.explode(F.concat(*parts)).alias("x")).select("x.*")
-    table = cells.groupBy("kind", *FEATURES).agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
-    return [tuple(r) for r in table.collect()]  # at most 4 * the product of the levels
+    cells = rows.select("held", F.explode(F.concat(*parts)).alias("x")).select("held", "x.*").where("y is not null")
+    table = cells.groupBy("held", "kind", *FEATURES).agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
+    return [tuple(r) for r in table.collect()]  # at most 8 * the product of the levels
 
 
 def boost(table: list[tuple], rounds: int = ROUNDS, rate: float = RATE, leaf_min: int = LEAF_MIN) -> list[tuple]:
@@ -247,18 +263,18 @@ def boost(table: list[tuple], rounds: int = ROUNDS, rate: float = RATE, leaf_min
     return trees
 
 
-def calibrated(trees: list, table: list[tuple]) -> float:
-    """The margin from which on candidates of the training table are confirmed at least
-    THRESHOLD of the time, over all margins above it; infinite if there is none."""
-    scored = sorted(((predict(trees, (KINDS.index(r[0]), *r[1:-2])), r[-2], r[-1]) for r in table), reverse=True)
-    pos = n = 0
-    best = math.inf
-    for i, (s, y, k) in enumerate(scored):
-        pos, n = pos + y, n + k
-        if i + 1 == len(scored) or scored[i + 1][0] < s:
-            if n >= LEAF_MIN and pos >= THRESHOLD * n:
-                best = s
-    return best
+def calibrated(trees: list, table: list[tuple]) -> dict[str, float]:
+    """For each kind, the least margin from which on THRESHOLD of the table's candidates of that
+    kind are confirmed; infinite if there is none, or fewer than LEAF_MIN."""
+    out = dict.fromkeys(KINDS, math.inf)
+    for kind in KINDS:
+        scored = sorted(((predict(trees, (KINDS.index(kind), *r[1:-2])), r[-2], r[-1]) for r in table if r[0] == kind), reverse=True)
+        pos = n = 0
+        for i, (s, y, k) in enumerate(scored):
+            pos, n = pos + y, n + k
+            if (i + 1 == len(scored) or scored[i + 1][0] < s) and n >= LEAF_MIN and pos >= THRESHOLD * n:
+                out[kind] = s - 1e-9  # sums in another order may differ in their last place
+    return out
 
 
 def predict(trees: list, x: tuple) -> float:
@@ -277,40 +293,37 @@ def _score(trees: list, values: list[Column]) -> Column:
     return total
 
 
-def find(docs: DataFrame, threshold: float | None = None) -> DataFrame:
-    """``docs`` with base_<kind> and all_<kind>: arrays of spans by start.
+def find(docs: DataFrame) -> DataFrame:
+    """``docs`` with base_<kind> and all_<kind>: arrays of spans by start, then end.
 
     Null and empty texts have no spans. Every row is handled by itself; the only shuffle is that
-    of the feature table. ``threshold`` replaces the calibrated margin."""
-    rows = candidates(docs)
-    return select_spans(rows, threshold)
+    of the feature table."""
+    return select_spans(candidates(docs))
 
 
-def select_spans(rows: DataFrame, threshold: float | None = None) -> DataFrame:
-    """Trains on the candidates and adds the chosen ones; ``rows`` are read twice."""
+def select_spans(rows: DataFrame) -> DataFrame:
+    """Trains on the candidates and adds the chosen ones; ``rows`` are read twice. A candidate that
+    meets a base span adds nothing, and one that its own evidence refutes is never chosen."""
     table = training_table(rows)
-    trees = boost(table)
-    margin = calibrated(trees, table) if threshold is None else threshold
+    trees = boost([r[1:] for r in table if not r[0]])
+    margins = calibrated(trees, [r[1:] for r in table if r[0]])
 
     def chosen(kind: str) -> Column:
         def keep(span: Column) -> Column:
             values = [F.lit(KINDS.index(kind)), *(span["f"][n] for n in FEATURES)]
-            clear = _bytes(span["hit"]) if kind == "ip" else F.lit(True)  # no feature tells 1.2.3.400 from an address
-            for k in KINDS:
-                clear = clear & ~_meets(k, span)
-            return clear & (_score(trees, values) >= margin)
+            return F.coalesce(evidence(span, kind), F.lit(True)) & ~_meets(kind, span) & (_score(trees, values) >= margins[kind])
 
         base, loose = F.col(f"base_{kind}"), F.col(f"loose_{kind}")
-        if not math.isfinite(margin):
+        if not math.isfinite(margins[kind]):
             return base
         plain = F.transform(F.filter(loose, keep), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit")))
         return F.when(loose.isNull(), base).otherwise(F.array_sort(F.concat(base, plain)))
 
-    return rows.withColumns({f"all_{k}": chosen(k) for k in KINDS}).drop(*(f"loose_{k}" for k in KINDS))
+    return rows.withColumns({f"all_{k}": chosen(k) for k in KINDS}).drop(*(f"loose_{k}" for k in KINDS), "held")
 
 
 def listed(prefix: str) -> Column:
-    """kind:start:end by kind, then start, comma-joined."""
+    """kind:start:end by kind, then start, then end, comma-joined; spans of different kinds may overlap."""
     return F.array_join(F.concat(*(F.transform(F.col(f"{prefix}_{k}"), _named(k)) for k in KINDS)), ",")
 
 
@@ -318,21 +331,16 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each found span of ``text`` replaced by its kind in brackets; where spans
     overlap the earlier (then longer) one is replaced and the rest of the other goes too."""
     found = find(docs)
-    spans = F.concat(*(F.transform(F.col(f"all_{k}"), _tagged(k)) for k in KINDS))
     text = F.col("text")
-    cut = F.aggregate(
-        F.array_sort(spans),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], -s["end"]).alias("at"),
-            F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), s["tag"])).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
+    spans = F.array_sort(F.concat(*(F.transform(F.col(f"all_{k}"), _tagged(k)) for k in KINDS)))
+    # what is covered up to each span; a span that starts inside leaves no tag
+    upto = F.transform(F.array(spans), lambda s: F.struct(s.alias("s"), running(F.transform(s, lambda x: -x["end"]), F.greatest).alias("to")))
+    piece = lambda x, at: F.when(x["start"] < at, F.lit("")).otherwise(F.concat(F.substring(text, at + 1, x["start"] - at), x["tag"]))
+    parts = F.transform(upto, lambda u: F.concat(F.transform(u["s"], lambda x, i: piece(x, F.coalesce(F.get(u["to"], i - 1), F.lit(0)))), F.array(F.substring(text, F.get(u["to"], F.size(u["to"]) - 1) + 1, F.length(text)))))
     none = F.lit(True)
     for k in KINDS:
         none = none & (F.size(f"all_{k}") == 0)
-    return found.withColumn("text", F.when(none, text).otherwise(cut)).select(*docs.columns)
+    return found.withColumn("text", F.when(none, text).otherwise(F.array_join(F.get(parts, 0), ""))).select(*docs.columns)
 
 
 def op5_personal_data(spark, sf_dir: str) -> DataFrame:
@@ -340,4 +348,4 @@ def op5_personal_data(spark, sf_dir: str) -> DataFrame:
     found = candidates(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
     got = select_spans(materialize(found, "pii-candidates"))
     counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
-    return got.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("all").alias("spans"))
+    return got.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("all").alias("spans"), sum((F.size(f"all_{k}") for k in KINDS[1:]), F.size(f"all_{KINDS[0]}")).cast("long").alias("n_spans"))

@@ -9,7 +9,9 @@ from lexiforge.llm.common import documents, materialize, prefix_sums, shared_pat
 
 OLD_SHARDS = 12
 NEW_SHARDS = 16
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 20_000
+#: Part of all bytes, in the smallest rows, that evens out what the others leave.
+SMALL_SHARE = 0.25
 SEED = 3
 #: Of shard files.
 CODEC = "zstd"
@@ -56,34 +58,52 @@ def equal_capacities(total: int, n: int) -> list[int]:
     return [total // n + (i < total % n) for i in range(n)]
 
 
-def destination(old: Column, before: Column, flow: list[list[int]]) -> Column:
-    """New shard of a row that starts ``before`` bytes into its old shard: what stays comes
-    first, then one run of bytes (a block transfer) per destination."""
-    out = None
+def destination(old: Column, before: Column, flow: list[list[int]], start: list[int] | None = None) -> Column:
+    """New shard of a row that starts ``before`` bytes into its old shard: from byte ``start`` on,
+    what stays comes first, then one run of bytes (a block transfer) per destination."""
+    out = F.when(F.lit(False), 0)
     for i, row in enumerate(flow):
-        at, runs = 0, sorted((j for j in range(len(row)) if row[j]), key=lambda j: (j != i, j))
+        at, runs = start[i] if start else 0, sorted((j for j in range(len(row)) if row[j]), key=lambda j: (j != i, j))
         for j in runs:
             at += row[j]
-            test = (old == i) & ((before < at) if j != runs[-1] else F.lit(True))
-            out = F.when(test, j) if out is None else out.when(test, j)
-    return (out if out is not None else F.lit(None)).cast("int")
+            out = out.when((old == i) & ((before < at) if j != runs[-1] else F.lit(True)), j)
+    return out.cast("int")
+
+
+def _scaled(row: list[int], total: int) -> list[int]:
+    """``total`` in the proportions of ``row``, whole bytes."""
+    ends = [sum(row[: j + 1]) * total // max(sum(row), 1) for j in range(len(row))]
+    return [e - b for b, e in zip([0, *ends], ends)]
 
 
 def reshard(rows: DataFrame, old: str, size: str, fine: list[str], n_new: int, n_old: int, capacities: list[int] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, list[list[int]]]:
     """``rows`` with columns shard and slot, and the transfers flow[old][new] in bytes.
 
     ``rows`` must be cheap to read twice (materialised). Rows of an old shard stand by falling
-    power of two of their size, so cuts between destinations fall among its smallest rows and
-    the new sizes miss their capacities by little. Only one total per old shard reaches the driver."""
-    total_rows = rows.count()
-    sums = {r[0]: r[1] for r in rows.groupBy(old).agg(F.sum(size)).collect()}  # n_old rows at most
-    supply = [int(sums.get(i) or 0) for i in range(n_old)]
-    flow = min_cost_flow(supply, capacities or equal_capacities(sum(supply), n_new))
-    placed = prefix_sums(rows, [old], [-F.length(F.bin(size))], [F.col(c) for c in fine], size, rows_per_bucket, total_rows)
-    placed = placed.withColumn("shard", destination(F.col(old), F.col("before"), flow)).drop("before", "seq")
-    placed = materialize(placed, "reshard-placed")
+    power of two of their size. The large ones are cut in the flow's proportions; then a second flow
+    fills what room they leave in each new shard with the small ones (those of SMALL_SHARE of all
+    bytes). So a new shard misses its capacity by at most one small row for each transfer, unless
+    its large rows alone exceed it. One total per old shard and power of two, and per transfer,
+    reaches the driver."""
+    total_rows, kind = rows.count(), F.length(F.bin(size))
+    sums = {(r[0], r[1]): int(r[2]) for r in rows.groupBy(old, kind).agg(F.sum(size)).where(F.col(old).isNotNull()).collect()}  # 64 * n_old rows at most
+    supply = [sum(v for (i, _), v in sums.items() if i == k) for k in range(n_old)]
+    room = list(capacities or equal_capacities(sum(supply), n_new))
+    flow = min_cost_flow(supply, room)
+    bits = min((b for b in range(65) if sum(v for (_, k), v in sums.items() if k <= b) >= SMALL_SHARE * sum(supply)), default=64)
+    large = [sum(v for (i, b), v in sums.items() if i == k and b > bits) for k in range(n_old)]
+    placed = prefix_sums(rows, [old], [-kind], [F.col(c) for c in fine], size, rows_per_bucket, total_rows)
+    placed = placed.withColumn("shard", F.when(kind > bits, destination(F.col(old), F.col("before"), [_scaled(*x) for x in zip(flow, large)]))).drop("seq")
+    placed = materialize(placed, "reshard-large")
+    flow = [[0] * n_new for _ in range(n_old)]
+    for i, j, n in placed.where("shard is not null").groupBy(old, "shard").agg(F.sum(size)).collect():  # n_old * n_new rows at most
+        flow[i][j] = int(n)
+        room[j] -= int(n)
+    moves = min_cost_flow([s - x for s, x in zip(supply, large)], [max(0, x) for x in room])
+    small = destination(F.col(old), F.col("before"), moves, large)
+    placed = materialize(placed.withColumn("shard", F.coalesce("shard", small)).drop("before"), "reshard-placed")
     out = prefix_sums(placed, ["shard"], [], [F.col(c) for c in fine], size, rows_per_bucket, total_rows)
-    return out.withColumnRenamed("seq", "slot").drop("before"), flow
+    return out.withColumnRenamed("seq", "slot").drop("before"), [[a + b for a, b in zip(*x)] for x in zip(flow, moves)]
 
 
 def affected(flow: list[list[int]], n_new: int) -> list[int]:
@@ -116,7 +136,7 @@ def transfer(docs: DataFrame, n_old: int, n_new: int, capacities: list[int] | No
     kinds = dict(docs.dtypes)
     held = spark.read.schema(f"doc_id {kinds['doc_id']}, text string, row long, old_shard int").parquet(before)
     rows = materialize(held.select("doc_id", "row", "old_shard", *digests()), "reshard-rows")
-    placed, flow = reshard(rows, "old_shard", "size", ["doc_id", "text_crc32", "size"], n_new, n_old, capacities)
+    placed, flow = reshard(rows, "old_shard", "size", ["doc_id", "text_crc32", "size", "row"], n_new, n_old, capacities)
     places = materialize(placed.select("doc_id", "row", "old_shard", "shard", F.col("slot").cast("long").alias("slot")), "reshard-places")
     texts = held.select("row", "old_shard", "text").hint("merge")  # so that disk grows with the input at every size
     moved = places.join(texts, ["row", "old_shard"]).select("doc_id", "text", "old_shard", "slot", "shard")
@@ -138,8 +158,8 @@ def op6_resharding(spark, sf_dir: str) -> DataFrame:
     """All documents from OLD_SHARDS hash shards to NEW_SHARDS equal ones (law: bytes), with the
     digests of the rewritten texts.
 
-    A null id is hashed like any other value. Equal rows are interchangeable. Each size is
-    near total / 16: off by a few of the smallest rows."""
+    A null id is hashed like any other value. Equal texts and repeated rows are rows of their own
+    and may part. Each size is near total / 16 (see ``reshard``)."""
     old = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(OLD_SHARDS)).cast("int")
     out = transfer(documents(spark, sf_dir).select("doc_id", "text", old.alias("old_shard")), OLD_SHARDS, NEW_SHARDS)
     return out.select("doc_id", *digests(), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
