@@ -51,8 +51,8 @@ def entry_score(form: Column, kanji: Column, reading: Column) -> Column:
     return F.when(F.size(own) > 0, matched).when(F.size(reading) > 0, priority_score(F.get(reading, 0)["pri"])).otherwise(0)
 
 
-def example_penalty(text: Column, variance: Column, n_known: Column, n_total: Column) -> Column:
-    return F.when(n_total > 0, variance / VARIANCE_STEP + (n_total - n_known) / F.when(n_total > 0, n_total) * UNKNOWN_WEIGHT + F.abs(F.length(text) - IDEAL_LENGTH) / LENGTH_STEP + F.greatest(F.lit(0), KNOWN_WANTED - n_known) * KNOWN_WEIGHT).otherwise(0.0)
+def example_penalty(length: Column, variance: Column, n_known: Column, n_total: Column) -> Column:
+    return F.when(n_total > 0, variance / VARIANCE_STEP + (n_total - n_known) / F.when(n_total > 0, n_total) * UNKNOWN_WEIGHT + F.abs(length - IDEAL_LENGTH) / LENGTH_STEP + F.greatest(F.lit(0), KNOWN_WANTED - n_known) * KNOWN_WEIGHT).otherwise(0.0)
 
 
 def nearest_rank(values: Column, share: float, empty: float = 3000.0) -> Column:
@@ -63,4 +63,10 @@ def nearest_rank(values: Column, share: float, empty: float = 3000.0) -> Column:
 
 
 def two_decimals(x: Column) -> Column:
-    return F.format_string("%.2f", x)
+    """%.2f of a double's exact value, ties to even. For values from 0 to 4 the comparison with the tie
+    is in whole numbers: scaling by 2**60 is exact, and so is the product as a decimal."""
+    low = F.floor(x * 100)
+    scaled = F.floor(F.when(x.between(0, 4), x * float(1 << 60))).cast("decimal(20,0)") * F.lit(200).cast("decimal(3,0)")
+    tie = (low * 2 + 1).cast("decimal(4,0)") * F.lit(1 << 60).cast("decimal(20,0)")
+    cents = low + F.when((scaled > tie) | ((scaled == tie) & (low % 2 == 1)), 1).otherwise(0)
+    return F.when(x.between(0, 4), F.format_string("%d.%02d", F.floor(cents / 100), cents % 100)).otherwise(F.format_string("%.2f", x))

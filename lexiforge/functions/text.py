@@ -6,15 +6,27 @@ Lengths and positions are in code points.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexiforge.functions.profiles import INVISIBLE, SCRIPT_MARKS, WS, Profile
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+#: The characters of the class WS.
+BLANKS = "".join(chr(c) for a, b in re.findall(r"\\x\{(\w+)\}(?:-\\x\{(\w+)\})?", WS) for c in range(int(a, 16), int(b or a, 16) + 1))
+
+
 def strip(text: Column) -> Column:
-    """Without Unicode white space at either end (Spark's trim leaves U+3000)."""
-    return F.regexp_replace(text, rf"\A[{WS}]+|[{WS}]+\z", "")
+    """Without Unicode white space at either end; only the ends are looked at."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def strip_invisible(text: Column) -> Column:
@@ -27,7 +39,8 @@ def strip_script_marks(text: Column) -> Column:
 
 
 def clean(text: Column) -> Column:
-    return strip_script_marks(strip_invisible(text))
+    """Without invisible characters and script marks, in one pass."""
+    return F.regexp_replace(text, f"[{INVISIBLE}{SCRIPT_MARKS}]+", "")
 
 
 def universal_newlines(text: Column) -> Column:
@@ -52,7 +65,8 @@ def paragraphs(text: Column) -> Column:
 
 def split_after_terminator(text: Column) -> Column:
     """Pieces at white space that follows a sentence terminator."""
-    return F.filter(F.split(text, rf"(?<=[。.!?])[{WS}]+", -1), lambda x: x != "")
+    marked = F.regexp_replace(text, rf"([。.!?])[{WS}]+", "$1\u0001")
+    return F.filter(F.split(marked, "\u0001", -1), lambda x: x != "")
 
 
 def split_on_punctuation(text: Column) -> Column:
@@ -73,6 +87,11 @@ def occurrences(text: Column, what: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))) / len(what)).cast("int")
 
 
+def occurrences_of(text: Column, char: Column) -> Column:
+    """How often a one-character column occurs."""
+    return F.length(text) - F.length(F.replace(text, char, F.lit("")))
+
+
 def count_class(text: Column, members: str) -> Column:
     """Characters of a regex class."""
     return F.length(F.regexp_replace(text, f"[^{members}]+", ""))

@@ -29,49 +29,51 @@ def _share(values: Column, test) -> Column:
     return F.size(F.filter(values, test)) / F.when(n > 0, n)
 
 
+def _not_blank(raw: Column) -> Column:
+    return F.filter(raw, lambda x: T.strip(x) != "")
+
+
+def _before(values: Column) -> Column:
+    """Each element but the last; zipped with the array from its second element on, it is the one before."""
+    return F.slice(values, 1, F.greatest(F.size(values) - 1, F.lit(0)))
+
+
 def is_indented(raw: Column) -> Column:
     """At least four full lines, of two indents or more, a quarter of the steps going inwards."""
-    full = F.filter(raw, lambda x: T.strip(x) != "")
-    width = F.transform(full, T.indent)
-    n = F.size(width)
-    rises = F.size(F.filter(width, lambda x, i: (i > 0) & (x > F.coalesce(F.get(width, i - 1), x))))
-    return (n >= INDENT_LINES) & (F.size(F.array_distinct(width)) >= 2) & F.coalesce(rises / F.when(n > 1, n - 1) >= INDENT_RISE, F.lit(False))
+
+    def judge(width: Column) -> Column:
+        n = F.size(width)
+        rises = F.size(F.filter(F.zip_with(_before(width), F.slice(width, 2, n), lambda a, b: b > a), lambda x: x))
+        return (n >= INDENT_LINES) & (F.size(F.array_distinct(width)) >= 2) & F.coalesce(rises / F.when(n > 1, n - 1) >= INDENT_RISE, F.lit(False))
+
+    return T.let(F.transform(_not_blank(raw), T.indent), judge)
 
 
 def is_dialogue(full: Column) -> Column:
-    length = F.transform(full, F.length)
     closed = _share(full, lambda x: x.rlike(r"[。！？]\z"))
-    test = (_mean(length) <= DIALOGUE_MEAN) & (_share(length, lambda n: n <= DIALOGUE_SHORT) > DIALOGUE_SHARE) & (closed < DIALOGUE_CLOSED)
-    return (F.size(full) >= DIALOGUE_LINES) & F.coalesce(test, F.lit(False))
+    short = lambda length: (_mean(length) <= DIALOGUE_MEAN) & (_share(length, lambda n: n <= DIALOGUE_SHORT) > DIALOGUE_SHARE)
+    return (F.size(full) >= DIALOGUE_LINES) & F.coalesce(T.let(F.transform(full, F.length), short) & (closed < DIALOGUE_CLOSED), F.lit(False))
 
 
 def is_list(full: Column) -> Column:
-    length = F.transform(full, F.length)
-    test = (_mean(length) <= LIST_MEAN) & (_share(length, lambda n: n <= LIST_SHORT) > LIST_SHARE)
-    return (F.size(full) >= LIST_LINES) & F.coalesce(test, F.lit(False))
+    short = lambda length: (_mean(length) <= LIST_MEAN) & (_share(length, lambda n: n <= LIST_SHORT) > LIST_SHARE)
+    return (F.size(full) >= LIST_LINES) & F.coalesce(T.let(F.transform(full, F.length), short), F.lit(False))
 
 
 def layout_mode(text: Column) -> Column:
-    raw, full = T.lines(text), T.full_lines(text)
-    return F.when(is_indented(raw), INDENTED).when(is_dialogue(full), DIALOGUE).when(is_list(full), LIST).otherwise(PARAGRAPH)
+    flat = lambda full: F.when(is_dialogue(full), DIALOGUE).when(is_list(full), LIST).otherwise(PARAGRAPH)
+    return F.when(is_indented(T.lines(text)), INDENTED).otherwise(T.let(T.full_lines(text), flat))
 
 
 def join_indented(raw: Column) -> Column:
     """Lines put together without separator; a line less indented than the one before it
     starts a new sentence, one of equal indent goes on."""
-    empty = F.array().cast("array<string>")
-    full = F.filter(raw, lambda x: T.strip(x) != "")
-    joined = F.aggregate(
-        full,
-        F.struct(F.lit(-1).alias("before"), F.lit("").alias("open"), empty.alias("done")),
-        lambda a, x: F.struct(
-            T.indent(x).alias("before"),
-            F.when(T.indent(x) < a["before"], T.strip(x)).otherwise(F.concat(a["open"], T.strip(x))).alias("open"),
-            F.when((T.indent(x) < a["before"]) & (a["open"] != ""), F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]).alias("done"),
-        ),
-        lambda a: F.when(a["open"] != "", F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]),
-    )
-    return joined
+
+    def joined(full: Column, width: Column) -> Column:
+        marked = lambda x, i: F.concat(F.when(F.get(width, i) < F.get(width, i - 1), "\u0001").otherwise(""), T.strip(x))
+        return F.filter(F.split(F.array_join(F.transform(full, marked), ""), "\u0001", -1), lambda x: x != "")
+
+    return T.let(_not_blank(raw), lambda full: T.let(F.transform(full, T.indent), lambda width: joined(full, width)))
 
 
 def sentences_of(text: Column, mode: Column) -> Column:

@@ -69,9 +69,10 @@ def segments(sentences: DataFrame, profile: Profile = JA) -> DataFrame:
 
 
 def segment_lemmas(useful: DataFrame, valid: DataFrame) -> DataFrame:
-    """Per valid sentence and lemma: its last surface there, and its place among the lemmas."""
+    """Per valid sentence and lemma: its last surface there, and its place among the lemmas. Texts stay
+    with the sentences."""
     each = useful.groupBy("file_id", "sent_ord", "lemma").agg(F.max_by("surface", "tok_ord").alias("surface"), F.min("tok_ord").alias("first_tok"))
-    return each.join(valid, ["file_id", "sent_ord"])
+    return each.join(valid.select("file_id", "sent_ord"), ["file_id", "sent_ord"])
 
 
 def lemma_surfaces(of_segments: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Frequency threshold by an exact order statistic, and word scores."""
+"""Frequency threshold by an exact order statistic, and word scores. The words are read once for each
+scalar: stage a lexicon that is costly to compute."""
 
 from __future__ import annotations
 

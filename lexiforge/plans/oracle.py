@@ -6,6 +6,7 @@ character first, and lists use lambdas.
 
 from __future__ import annotations
 
+from lexiforge.functions.normalize import FRONT, PAIRS, TAIL, char_class
 from lexiforge.functions.profiles import INVISIBLE, JAPANESE, JAPANESE_BROAD, LATIN, NGRAM_CHARS, SCRIPT_MARKS, WS
 from lexiforge.functions.scoring import PRIORITY
 from lexiforge.operators.userdict import POS_MAP, POS_PRIORITY
@@ -126,6 +127,14 @@ FIT = (
     " uniq as (select lemma, key, arg_min(struct_pack(text := text, tag := tag, surface := surface, mean := mean, fitness := fitness), struct_pack(a := fitness, b := file_id, c := sent_ord)) x, min(struct_pack(f := file_id, s := sent_ord)) first_seen from cands group by lemma, key),"
     " ranked as materialized (select lemma, row_number() over (partition by lemma order by x.fitness, first_seen) pos, x from uniq)"
 )
+#: Every word's examples: the three best, then further sentences in text order.
+ATTACHED = f"""{FIT}, prim as (select lemma, pos, x.text as text, x.tag as tag, x.surface surface, round(round(x.mean, 2), 1) score from ranked where pos <= 3),
+    have as (select lemma, count(*) have from prim group by lemma),
+    need as (select w.lemma, w.score, coalesce(h.have, 0) have from words w left join have h using (lemma) where coalesce(h.have, 0) < 3),
+    tx as (select s.lemma, s.text, arg_min(s.surface, struct_pack(f := s.file_id, s := s.sent_ord)) surface, arg_min(s.tag, struct_pack(f := s.file_id, s := s.sent_ord)) tag, min(struct_pack(f := s.file_id, s := s.sent_ord)) seen_at, any_value(n.score) score, any_value(n.have) have from segs s join need n using (lemma) group by s.lemma, s.text),
+    fr as (select *, row_number() over (partition by lemma order by seen_at) n from tx where not exists (select 1 from prim p where p.lemma = tx.lemma and p.text = tx.text)),
+    att as materialized (select lemma, pos, text, tag, surface, score from prim union all select lemma, have + n, text, tag, surface, round(-score, 1) from fr where n <= 3 - have)"""
+SHOWN = "(case when strpos(text, surface) > 0 then substr(text, 1, strpos(text, surface) - 1) || '<span class=''highlight''>' || surface || '</span>' || substr(text, strpos(text, surface) + length(surface)) else text end || '<br><span class=''tag sentence-tag''>' || coalesce(tag, 'None') || ' - ' || score::varchar || '</span>')"
 ITEMS = f"items as (select item_id i, regexp_extract_all(lower(text), {q(WORD)}) w from benchmark)"
 PRI = " + ".join(["case when {m} ~ '^nf[+-]?[0-9]{{1,8}}$' then (49 - substr({m}, 3)::int) * 100 else 0 end", *(f"case when {{m}} = '{k}' then {v} else 0 end" for k, v in PRIORITY.items())])
 M1, M2 = "('nf' || lpad((i % 48 + 1)::varchar, 2, '0'))", "(case when i % 2 = 0 then 'ichi1' else 'news2' end)"
@@ -137,6 +146,11 @@ DICTIONARY = (
     f" array_to_string(list_transform({GLOSS}, lambda e: case when i % 3 > 0 then (e.k + 1)::varchar || '. ' else '' end || e.g), '<br>') definition from forms),"
     " dict as materialized (select form, entry_ord, priority::int priority, n_senses::int n_senses, definition, w[3] first_reading from (select *, row_number() over (partition by form order by priority desc, n_senses desc, entry_ord) r from prio) where r = 1)"
 )
+FINISHED = (
+    f"{ATTACHED}, {DICTIONARY}, defined as (select w.*, d.definition, coalesce(d.definition, '') = '' invalid from words w left join dict d on d.form = w.lemma),"
+    f" html as (select lemma, count(*) n, string_agg({SHOWN}, '<br><br>' order by pos) html from att group by lemma),"
+    " rows_ as (select d.lemma word, d.score, d.lemma reading, printf('%.2f', d.idx) as \"index\", d.frequency, coalesce(d.definition, '') definition, array_to_string(d.tags, ' ') tags, 'sentences: ' || coalesce(h.n, 0)::varchar n_sentences, coalesce(h.html, 'no sentences :(') html, d.invalid from defined d left join html h using (lemma))"
+)
 DEFINED = f"{WORDS}, {DICTIONARY}, defined as (select w.*, d.definition, coalesce(d.definition, '') = '' invalid from words w left join dict d on d.form = w.lemma)"
 PLAIN = f"{DOCS}, plain as (select file_id, tag, unnest(regexp_extract_all(lower(text), {q(WORD)})) word from docs), freq as (select word, count(*) frequency, count(distinct tag) n_sources from plain group by word)"
 CHANGES = (
@@ -155,6 +169,36 @@ KATA = "".join(map(chr, range(0x30A1, 0x30F7)))
 HIRA = "".join(chr(ord(c) - 0x60) for c in KATA)
 
 
+#: Runs of four and more equal characters become three: a character goes if the three before it equal it.
+RUNS = "array_to_string(list_transform(list_filter(list_zip(cs, range(1, len(cs) + 1)), lambda e: not (e[2] > 3 and cs[e[2] - 1] = e[1] and cs[e[2] - 2] = e[1] and cs[e[2] - 3] = e[1])), lambda e: e[1]), '')"
+
+
+def ends_cut(t: str, p: str) -> str:
+    """A text less a lone bracket at either end, or less a pair that occurs once and wraps it."""
+    o, c = f"{p}[1]", f"{p}[2]"
+    n = lambda x: f"(length({t}) - length(replace({t}, {x}, '')))"
+    wrapped = f"(starts_with({t}, {o}) and ends_with({t}, {c}) and {n(o)} = 1 and {n(c)} = 1)"
+    front = f"(case when {wrapped} or (starts_with({t}, {o}) and {n(c)} = 0) then 1 else 0 end)"
+    back = f"(case when {wrapped} or (ends_with({t}, {c}) and {n(o)} = 0) then 1 else 0 end)"
+    return f"substr({t}, 1 + {front}, greatest(0, length({t}) - {front} - {back}))"
+
+
+def normalised(source: str) -> str:
+    """CTEs from ``source`` (file_id, sent_ord, text) to norm, white space taken out."""
+    brackets = char_class("".join(PAIRS))
+    tail = "t3"
+    for pattern, shown in TAIL:
+        tail = f"regexp_replace({tail}, {q(pattern)}, {q(shown)}, 'g')"
+    pairs = f"[{', '.join(map(q, PAIRS))}]"
+    ends = f"(length(regexp_extract(t1, '^{brackets}*')) + length(regexp_extract(t1, '{brackets}*$')))"
+    return (
+        f"n1 as materialized (select file_id, sent_ord, regexp_replace(regexp_replace(nfc_normalize(regexp_replace(text, '[{WS}]+', '', 'g')), '→+', '', 'g'), '^{char_class(FRONT)}+', '') t1 from {source}),"
+        f" n2 as materialized (select file_id, sent_ord, case when {ends} > 0 then list_reduce(list_concat([t1], flatten(list_transform(range(0, {ends}), lambda i: {pairs}))), lambda t, p: {ends_cut('t', 'p')}) else t1 end t2 from n1),"
+        f" n3 as (select file_id, sent_ord, {RUNS} t3 from (select file_id, sent_ord, string_split(t2, '') cs from n2)),"
+        f" norm as (select file_id, sent_ord, {tail} as text from n3)"
+    )
+
+
 def rows_of(columns: str, rows: list[str]) -> str:
     return f"(values {', '.join(rows)}) as t({columns})"
 
@@ -196,6 +240,7 @@ def oracle_sql() -> dict[str, str]:
         "dialogue_mode": f"with talks as (select conv_id, string_agg(text, chr(10) order by turn, text) text from conversations group by conv_id) select conv_id, {mode('text')} mode, len({full_lines('text')})::int n_lines from talks",
         "page_lines": f"select page_id, len({full_lines(clean('html'))})::int n_lines, length({clean('html')})::int n_chars from pages",
         "extract_sentences": f"{BASE} select file_id, sent_ord, text from sents",
+        "normalise_sentences": f"{BASE}, {normalised('sents')} select file_id, sent_ord, text from norm where length(text) >= 5 and {count('text', LATIN.core)} >= 2",
         "valid_sentences": f"{BASE}, {VALID} select file_id, sent_ord, tag from vals",
         "useful_tokens": f"{TOKENS} select file_id, count(*) n_useful, sum(pos_no)::bigint pos_sum, count(distinct lemma) n_lemmas from useful group by file_id",
         "build_lexicon": f"{TOKENS} select lemma, frequency, index_count, round(idx, 6) mean_index, lemma reading, seen_at.f first_file, seen_at.s::int first_sent from lex",
@@ -203,7 +248,7 @@ def oracle_sql() -> dict[str, str]:
         "token_position_index": f"{TOKENS} select file_id, lemma, frequency, round(place, 9) place from places",
         "sentence_lemma_map": f"{TOKENS}, {SEGMENTS} select file_id, sent_ord, string_agg(lemma || '=' || surface, ' ' order by first_tok) lemma_surfaces from segs group by file_id, sent_ord",
         "frequency_threshold": f"{TOKENS} select 98 keep_percent, {THRESHOLD.format(low=4, keep=98, table='lex')} threshold union all select 50, {THRESHOLD.format(low=1, keep=50, table='lex')} union all select 10, {THRESHOLD.format(low=1, keep=10, table='lex')}",
-        "filter_frequency": f"{TOKENS} select lemma, frequency from lex where frequency >= {THRESHOLD.format(low=1, keep=10, table='lex')}",
+        "filter_frequency": f"{TOKENS}, lim as materialized (select {THRESHOLD.format(low=1, keep=10, table='lex')} least_one) select lemma, frequency from lex, lim where frequency >= least_one",
         "tag_diversity": f"{TOKENS} select lemma, round(case when len(tags) >= 10 then 1.0::double else 0.1::double + 0.9::double * (greatest(len(tags), 1) - 1) / 9 end, 6) factor from lex",
         "priority_scores": f"select id, coalesce(list_sum(list_transform(pri, lambda m: {PRI.format(m='m')})), 0)::int points from {MARKS}",
         "nearest_rank": "select source, (list_sort(list(length(text)::double)))[least(count(*) * 9 // 10, count(*) - 1) + 1] p90 from documents group by source",
@@ -218,9 +263,9 @@ def oracle_sql() -> dict[str, str]:
             tx as (select s.lemma, s.text, arg_min(s.surface, struct_pack(f := s.file_id, s := s.sent_ord)) surface, min(struct_pack(f := s.file_id, s := s.sent_ord)) seen_at, any_value(n.score) score, any_value(n.have) have from segs s join need n using (lemma) group by s.lemma, s.text),
             fr as (select *, row_number() over (partition by lemma order by seen_at) n from tx where not exists (select 1 from prim p where p.lemma = tx.lemma and p.text = tx.text))
             select lemma, (have + n)::int pos, text, surface surface_form, -score score from fr where n <= 3 - have""",
-        "kept_rows": f"{DEFINED} select lemma word, score, frequency, coalesce(definition, '') definition, array_to_string(tags, ' ') tags, 'sentences: 0' n_sentences, 'no sentences :(' html from defined where not invalid",
-        "dropped_rows": f"{DEFINED} select lemma word, score, frequency, array_to_string(tags, ' ') tags from defined where invalid",
-        "sentence_rows": f"{DEFINED} select case when invalid then 'dropped' else 'kept' end status, lemma word, score, 'x ' || lemma sentence, tags[1] tag, lemma surface_form from defined",
+        "kept_rows": f'{FINISHED} select word, score, reading, "index", frequency, definition, tags, n_sentences, html from rows_ where not invalid',
+        "dropped_rows": f'{FINISHED} select word, score, reading, "index", frequency, tags, n_sentences, html from rows_ where invalid',
+        "sentence_rows": f"{FINISHED} select case when d.invalid then 'dropped' else 'kept' end status, d.lemma word, d.score, a.text sentence, a.tag, a.surface surface_form, (row_number() over (partition by a.lemma order by a.pos) - 1)::int pos from att a join defined d using (lemma)",
         "highlight_html": f"select doc_id, case when {HIT} <> '' then substr(text, 1, strpos(text, {HIT}) - 1) || '<span class=''highlight''>' || {HIT} || '</span>' || substr(text, strpos(text, {HIT}) + length({HIT})) else text end || '<br><span class=''tag sentence-tag''>' || coalesce(source, 'None') || ' - 1.5</span>' html from documents",
         "sync_changes": f"{CHANGES} select op, note_id, expression, tags, frequency from changes",
         "sync_summary": f"{CHANGES} select count(*) filter (where op = 'add') added, count(distinct note_id) filter (where op in ('updateFields', 'addTags', 'removeTags')) updated, count(*) filter (where op = 'delete') deleted from changes",

@@ -15,6 +15,7 @@ from lexiforge.functions import text as T
 from lexiforge.functions.normalize import normalise_column
 from lexiforge.functions.profiles import JA, LATIN, LATIN_LETTERS
 from lexiforge.operators import dictionary, examples, layout, lexicon, ranking, sync, token_cache, userdict
+from lexiforge.operators.staging import staged
 from lexiforge.operators.tokenizers import RegexTokenizer
 from lexiforge.plans import fixtures, mining
 from lexiforge.sources import files, sinks
@@ -149,11 +150,12 @@ def useful_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon.lexicon(_useful(spark, sf_dir))
+    """Staged: thresholds and maxima read it again."""
+    return staged(lexicon.lexicon(_useful(spark, sf_dir)), "lexicon")
 
 
 def build_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _lexicon(spark, sf_dir)
+    words = lexicon.lexicon(_useful(spark, sf_dir))
     return words.select("lemma", "frequency", "index_count", F.round("index", 6).alias("mean_index"), "reading", F.col("first_seen.file_id").alias("first_file"), F.col("first_seen.sent_ord").alias("first_sent"))
 
 
@@ -165,12 +167,8 @@ def token_position_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.file_positions(_useful(spark, sf_dir)).select("file_id", "lemma", "frequency", F.round("place", 9).alias("place"))
 
 
-def _segment_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon.segment_lemmas(_useful(spark, sf_dir), lexicon.segments(_sentences(spark, sf_dir), LATIN))
-
-
 def sentence_lemma_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    maps = lexicon.lemma_surfaces(_segment_lemmas(spark, sf_dir))
+    maps = lexicon.lemma_surfaces(_prepared(spark, sf_dir)[2])
     shown = F.transform(F.map_entries("lemma_surfaces"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return maps.select("file_id", "sent_ord", F.array_join(shown, " ").alias("lemma_surfaces"))
 
@@ -251,48 +249,66 @@ def _coarse(words: DataFrame) -> DataFrame:
     return words.withColumn("score", F.round("score", 1))
 
 
+def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Useful tokens, valid sentences and their lemmas; the documents are read once."""
+    sentences = staged(_sentences(spark, sf_dir), "sentences")
+    useful = staged(lexicon.useful_tokens(RegexTokenizer().tokens(sentences), LATIN), "useful")
+    valid = lexicon.segments(sentences, LATIN)
+    return useful, valid, lexicon.segment_lemmas(useful, valid)
+
+
+def _scored(useful: DataFrame) -> DataFrame:
+    words = staged(lexicon.lexicon(useful), "lexicon")
+    return staged(_coarse(ranking.score_words(ranking.filter_frequency(words, PROFILE_MIN, 98))), "words")
+
+
 def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = examples.sentence_statistics(_segment_lemmas(spark, sf_dir), _coarse(_words(spark, sf_dir)))
+    useful, _, of_segments = _prepared(spark, sf_dir)
+    stats = examples.sentence_statistics(of_segments, _scored(useful))
     return stats.select("file_id", "sent_ord", "lemma", "score", "n_known", "n_total", "too_hard", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
 
 
-def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _coarse(_words(spark, sf_dir))
-    stats = examples.sentence_statistics(_segment_lemmas(spark, sf_dir), words)
-    return examples.candidates(stats, words, LATIN).withColumn("fitness", F.round("fitness", 6))
+def _examples(of_segments: DataFrame, words: DataFrame, features: DataFrame) -> DataFrame:
+    stats = examples.sentence_statistics(of_segments, words)
+    return examples.candidates(stats, words, features, 6)
 
 
 def attach_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = examples.best_examples(_examples(spark, sf_dir))
+    useful, valid, of_segments = _prepared(spark, sf_dir)
+    cands = _examples(of_segments, _scored(useful), examples.sentence_features(valid, LATIN))
+    best = examples.with_texts(examples.best_examples(cands), valid)
     return best.select("lemma", "pos", "text", "tag", "surface_form", F.round("score", 1).alias("score"))
 
 
 def attach_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fallback where only one example per word is attached at first."""
-    words = _coarse(_words(spark, sf_dir))
-    primary = examples.best_examples(_examples(spark, sf_dir), 1)
-    more = examples.fallback_examples(_segment_lemmas(spark, sf_dir), words, primary)
+    useful, valid, of_segments = _prepared(spark, sf_dir)
+    words, features = _scored(useful), examples.sentence_features(valid, LATIN)
+    primary = staged(examples.best_examples(_examples(of_segments, words, features), 1), "primary")
+    more = examples.with_texts(examples.fallback_examples(of_segments, words, features, primary), valid)
     return more.select("lemma", "pos", "text", "surface_form", "score")
 
 
 def _finished(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _coarse(_defined(spark, sf_dir))
-    return words.withColumn("sentences", F.array().cast("array<struct<text:string,tag:string,origin:string,surface_form:string,score:double>>"))
+    """Defined words with their attached sentences; scores of one decimal."""
+    useful, valid, of_segments = _prepared(spark, sf_dir)
+    words = dictionary.add_definitions(_scored(useful), entries(spark, sf_dir))
+    done = examples.attach_examples(staged(words, "defined"), of_segments, valid, LATIN, places=6)
+    return done.withColumn("sentences", F.transform("sentences", lambda s: s.withField("score", F.round(s["score"], 1))))
 
 
 def kept_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sinks.word_rows(_finished(spark, sf_dir)).where("not invalid")
-    return rows.select("word", "score", "frequency", "definition", "tags", "n_sentences", "html")
+    return rows.select("word", "score", "reading", "index", "frequency", "definition", "tags", "n_sentences", "html")
 
 
 def dropped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.word_rows(_finished(spark, sf_dir)).where("invalid").select("word", "score", "frequency", "tags")
+    rows = sinks.word_rows(_finished(spark, sf_dir)).where("invalid")
+    return rows.select("word", "score", "reading", "index", "frequency", "tags", "n_sentences", "html")
 
 
 def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = F.array(F.struct(F.concat(F.lit("x "), F.col("lemma")).alias("text"), F.get("tags", 0).alias("tag"), F.lit(None).cast("string").alias("origin"), F.col("lemma").alias("surface_form"), F.lit(1.0).alias("score")))
-    rows = sinks.sentence_rows(_finished(spark, sf_dir).withColumn("sentences", one))
-    return rows.select("status", "word", "score", "sentence", "tag", "surface_form")
+    return sinks.sentence_rows(_finished(spark, sf_dir)).select("status", "word", "score", "sentence", "tag", "surface_form", "pos")
 
 
 def _mined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,7 +318,7 @@ def _mined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mined_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole mining plan: kept and dropped words as the word files have them, with the
-    attached sentences; kept_rows and dropped_rows are held to their SQL, which attaches none."""
+    attached sentences. Unlike kept_rows and dropped_rows, which are held to their SQL, with normalised sentences."""
     status = F.when(F.col("invalid"), "dropped").otherwise("kept")
     return sinks.word_rows(_mined(spark, sf_dir)).select(status.alias("status"), "word", "score", "reading", "index", "frequency", "definition", "tags", "n_sentences", "html")
 

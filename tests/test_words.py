@@ -1,5 +1,7 @@
 """Lexicon, thresholds, scores, dictionary, examples."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,13 +14,17 @@ from lexiforge.sources.dictionary_xml import read_dictionary
 NOUN = ["名詞", "普通名詞", "一般", "*"]
 
 
-def test_threshold(spark):
-    words = spark.createDataFrame([(str(i), i) for i in range(1, 101)], "lemma string, frequency long")
-    assert ranking.frequency_threshold(words, 1, 50).first().threshold == 51
-    assert ranking.filter_frequency(words, 1, 50).count() == 50
-    small = spark.createDataFrame([("a", 1), ("b", 4), ("c", 10)], "lemma string, frequency long")
-    assert {r.lemma for r in ranking.filter_frequency(small, 4, 100).collect()} == {"b", "c"}
-    assert ranking.filter_frequency(small.limit(0), 4).count() == 0
+@pytest.mark.parametrize("low, keep", [(1, 75), (3, 98), (2, 0), (5, 100)])
+def test_threshold(spark, low, keep):
+    rng = random.Random(low * 101 + keep)
+    rows = [(f"w{i}", rng.choice((1, 1, 2, 3, 3, 8, 40))) for i in range(57)]
+    order = sorted(f for _, f in rows)
+    want = max(low, order[min(len(order) * (100 - keep) // 100, len(order) - 1)])
+    words = spark.createDataFrame(rows, "lemma string, frequency long")
+    if keep:
+        assert ranking.frequency_threshold(words, low, keep).first().threshold == want
+        assert {r.lemma for r in ranking.filter_frequency(words, low, keep).collect()} == {w for w, f in rows if f >= want}
+    assert ranking.filter_frequency(words.limit(0), low).count() == 0
 
 
 def test_scores(spark):
@@ -67,30 +73,62 @@ def test_useless(spark):
 
 
 def test_lexicon(spark):
-    text = "美鶴は切なげに微笑んだ。"
-    parts = [("美鶴", "美鶴", NOUN), ("は", "は", ["助詞", "係助詞"]), ("切なげ", "切なげ", ["形状詞", "一般"]), ("に", "に", ["助動詞", "*"]), ("微笑ん", "微笑む", ["動詞", "一般"])]
-    tokens = spark.createDataFrame([(0, 0, i, s, m, "カナ", p) for i, (s, m, p) in enumerate(parts) if m != "に"], "file_id long, sent_ord int, tok_ord int, surface string, lemma string, reading string, pos array<string>")
-    sentences = spark.createDataFrame([(0, "t", 0, text)], "file_id long, tag string, sent_ord int, text string")
-    useful = lexicon.useful_tokens(Pretokenized(tokens).tokens(sentences), JA)
-    words = {r.lemma: r for r in lexicon.lexicon(useful).collect()}
-    assert {k: round(v["index"], 4) for k, v in words.items()} == {"美鶴": 0.3333, "切なげ": 0.6667, "微笑む": 1.0}
-    assert words["美鶴"].reading == "かな" and words["美鶴"].tags == ["t"]
-    maps = lexicon.lemma_surfaces(lexicon.segment_lemmas(useful, lexicon.segments(sentences, JA))).first()
-    assert maps.lemma_surfaces == {"美鶴": "美鶴", "切なげ": "切なげ", "微笑む": "微笑ん"}
+    """Against plain Python, over random sentences of two files."""
+    rng, stock = random.Random(6), ["山道", "白い", "歩く", "灯台", "静か"]
+    rows, sentences = [], []
+    for f in (3, 8):
+        for s in range(6):
+            words = [rng.choice(stock) for _ in range(rng.randint(3, 6))]
+            sentences.append((f, f"tag{f}", s, "".join(words) + "という長い道のりだった。"))
+            rows += [(f, s, i, w + "ッ" * (i % 2), w, "ミチ", NOUN) for i, w in enumerate(words)] + [(f, s, 9, "を", "を", "ヲ", ["助詞", "格助詞"])]
+    tokens = spark.createDataFrame(rows, "file_id long, sent_ord int, tok_ord int, surface string, lemma string, reading string, pos array<string>")
+    valid = spark.createDataFrame(sentences, "file_id long, tag string, sent_ord int, text string")
+    useful = lexicon.useful_tokens(Pretokenized(tokens).tokens(valid), JA)
+    want = {}
+    for w in {r[4] for r in rows} - {"を"}:
+        per_file = [[r[4] for r in rows if r[0] == f and r[4] != "を"] for f in (3, 8)]
+        places = [(x.index(w) + 1) / len(x) for x in per_file if w in x]
+        want[w] = (sum(x.count(w) for x in per_file), round(sum(places) / len(places), 6), [f"tag{f}" for f, x in zip((3, 8), per_file) if w in x])
+    got = {r.lemma: (r.frequency, round(r["index"], 6), r.tags) for r in lexicon.lexicon(useful).collect()}
+    assert got == want and {r.reading for r in lexicon.lexicon(useful).collect()} == {"みち"}
+    maps = {(r.file_id, r.sent_ord): r.lemma_surfaces for r in lexicon.lemma_surfaces(lexicon.segment_lemmas(useful, lexicon.segments(valid, JA))).collect()}
+    assert maps == {(f, s): {r[4]: r[3] for r in rows if r[:2] == (f, s) and r[4] != "を"} for f, _, s, _ in sentences}
 
 
 def attach(spark, words, segments):
     w = spark.createDataFrame(words, "lemma string, score double")
-    rows = [(0, i, "t", text, lemma, lemma, j) for i, (text, lemmas) in enumerate(segments) for j, lemma in enumerate(lemmas)]
-    s = spark.createDataFrame(rows, "file_id long, sent_ord int, tag string, text string, lemma string, surface string, first_tok int")
-    return {r.lemma: r.sentences for r in examples.attach_examples(w, s).collect()}
+    rows = [(0, i, lemma, lemma, j) for i, (_, lemmas) in enumerate(segments) for j, lemma in enumerate(lemmas)]
+    s = spark.createDataFrame(rows, "file_id long, sent_ord int, lemma string, surface string, first_tok int")
+    valid = spark.createDataFrame([(0, i, "t", text) for i, (text, _) in enumerate(segments)], "file_id long, sent_ord int, tag string, text string")
+    return {r.lemma: r.sentences for r in examples.attach_examples(w, s, valid).collect()}
 
 
 def test_top_three(spark):
-    easy, hard = "目標簡単です。", "目標難解です。"
-    got = attach(spark, [("目標", 500.0), ("簡単", 100.0), ("難解", 3000.0)], [("一" + easy, ["目標", "簡単"]), ("二" + easy, ["目標", "簡単"]), ("三目標だけです。", ["目標"]), ("四" + hard, ["目標", "難解"])])
-    assert [(s.text[0], s.score) for s in got["目標"]] == [("一", 300.0), ("二", 300.0), ("三", 500.0)]
-    assert [s.text[0] for s in got["難解"]] == ["四"]
+    """Against plain Python: the penalty's terms, ranks and ties of random sentences."""
+    rng = random.Random(12)
+    scores = {w: float(rng.randint(1, 900)) for w in ("岬", "港", "汽笛", "波止場", "朝霧")}
+    segments = [("".join(own) + "が見えるとき、" + "遠く" * rng.randint(1, 9) + "なる。", own) for own in (rng.sample([*scores, "未知"], rng.randint(1, 4)) for _ in range(40))]
+    plain = {}
+    for i, (text, own) in enumerate(segments):
+        known = [scores[w] for w in own if w in scores]
+        mean = sum(known) / len(known) if known else 0.0
+        spread = sum((x - mean) ** 2 for x in known) / len(known) if known else 0.0
+        foreign = sum(not ("\u3040" <= c <= "\u30ff" or "\u4e00" <= c <= "\u9fff") for c in text) / len(text)
+        for w in own:
+            if w in scores:
+                harder = sum(x > scores[w] for x in known)
+                cost = spread / 100_000 + (len(own) - len(known)) / len(own) * 0.9 + abs(len(text) - 25) / 15 + max(0, 6 - len(known)) * 0.5 + foreign + abs(mean - scores[w]) / max(scores.values()) * 1.5 + harder / len(own) * 0.9
+                plain.setdefault(w, {}).setdefault(text, (round(cost, 9), i, round(mean, 2)))
+    got = attach(spark, list(scores.items()), segments)
+    for w in scores:
+        best = sorted((c, i, t, m) for t, (c, i, m) in plain.get(w, {}).items())[:3]
+        assert [(s.text, s.score) for s in got[w]] == [(t, pytest.approx(m)) for _, _, t, m in best]
+
+
+def test_two_decimals(spark):
+    values = [0.125, 0.155, 0.165, 0.375, 0.005, 0.0049, 1 / 3, 0.995, 1.0, 0.29, 0.0, 12.345]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(S.two_decimals(F.col("x")).alias("s")).collect()
+    assert [r.s for r in got[:-1]] == [f"{v:.2f}" for v in values[:-1]] and got[-1].s.startswith("12.3")
 
 
 def test_copies_and_fallback(spark):
