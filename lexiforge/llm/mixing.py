@@ -2,8 +2,10 @@
 
 The budget of all tokens is cut into blocks of BLOCK tokens. Blocks go to sources by the
 highest quotients target / (2 * seats + 1), then each source's blocks go to its shards the same
-way, so every shard has an integer quota. In a shard, documents stand in a seeded order; whole
-passes over the shard come first, the rest of the quota takes the first blocks of that order.
+way, so every shard has an integer quota. In a shard, documents stand in a seeded order, and the
+shard's blocks are the runs of BLOCK tokens of that order: whole passes over the shard come first, the
+rest of the quota takes the first blocks. So the seed selects blocks by the order of their
+documents, and in a shard one document at most is taken in part.
 Shards hold about SHARD_TOKENS tokens each, so no task holds a whole source.
 """
 
@@ -116,11 +118,13 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_tokens: int = SHARD_TOKENS, r
 
 def apply_mix(docs: DataFrame, **params) -> DataFrame:
     """The mixed corpus: each row as often as the mix takes it (a partly taken document comes
-    whole), with the columns of ``docs``. Rows that repeat an id share its decision."""
-    got = mix(docs, **params).groupBy("doc_id", "source").agg(F.max(F.expr("ceil(try_divide(taken, size))")).alias("__times"))
-    got = got.where("__times > 0").withColumnsRenamed({"doc_id": "__id", "source": "__source"})
-    out = docs.join(got.hint("merge"), docs["doc_id"].eqNullSafe(got["__id"]) & docs["source"].eqNullSafe(got["__source"]))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
+    whole), with the columns of ``docs``. Rows that repeat an id share its decision. What is taken
+    above the quota is less than one document for each shard."""
+    got = mix(docs, **params).groupBy("doc_id", "source").agg(F.max(F.expr("ceil(try_divide(taken, size))")).alias("times")).where("times > 0")
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # so that no name can clash
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("from"), own)
+    out = rows.join(got.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 def op4_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -358,10 +358,10 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bucke
 def first_of_group(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Rows of ``docs`` whose document has the least id of its group. Rows that share an id stay
     or go together; texts without words stay."""
-    groups = near_groups(docs, k, percent).where("component <> rid").select("rid").distinct()
-    keyed = docs.withColumn("__rid", rank_id(F.col("doc_id")))
-    kept = keyed.join(groups.withColumnRenamed("rid", "__gone").hint("merge"), F.col("__rid") == F.col("__gone"), "left_anti")
-    return kept.drop("__rid")
+    gone = near_groups(docs, k, percent).where("component <> rid").select("rid").distinct()
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # so that no name can clash
+    keyed = docs.select(rank_id(F.col("doc_id")).alias("id"), own)
+    return keyed.join(gone.hint("merge"), F.col("id") == F.col("rid"), "left_anti").select("row.*")
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:

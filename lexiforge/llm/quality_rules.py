@@ -32,12 +32,13 @@ _GAP = r"[\x20\x09-\x0D]+"
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the five statistics and the ratios' badness; one row per row of ``docs``.
+    """doc_id, lang, a digest of the text (fp, fp2), the five statistics and the ratios' badness; one row per row of ``docs``.
 
     Null and empty texts count 0 of everything. Everything is computed inside the row: there is
     no shuffle, and very long texts only make longer arrays."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", "lang", text.alias("t"))
+    rows = rows.withColumns({"fp": F.xxhash64("t"), "fp2": F.hash("t")})
     rows = rows.withColumn("w", F.array_remove(F.split("t", _GAP), ""))
     rows = rows.withColumn("n_words", F.size("w").cast("long"))
     grams = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.struct(F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("h"), F.hash(F.get("w", i + 2), F.get("w", i)).alias("g"), i.alias("i")))
@@ -55,6 +56,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     rows = rows.select(
         "doc_id",
         "lang",
+        "fp",
+        "fp2",
         "n_words",
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.regexp_replace("t", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
@@ -68,7 +71,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     part = lambda a, b: F.coalesce(F.col(a) / F.when(F.col(b) > 0, F.col(b)), F.lit(0.0))
     ratio = {"symbols": part("n_symbols", "word_chars"), "dup_lines": part("n_dup_lines", "n_lines"), "repeats": part("n_repeat_words", "n_words"), "upper": part("n_upper", "word_chars"), "marks": part("n_marks", "n_words")}
     bad = F.greatest(*(ratio[k] / SCALES[k] for k in SCALES))
-    return rows.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), bad.alias("badness"))
+    return rows.select("doc_id", "lang", "fp", "fp2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), bad.alias("badness"))
 
 
 def _log_factorial(x: Column) -> Column:
@@ -96,10 +99,12 @@ def binomial_at_most(k: Column, n: Column, risk: float) -> Column:
 
 
 def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """stratum, cutoff: the certified cutoff of each language that has one. Labels repeated
-    for an id count once, as the best one."""
+    """stratum, cutoff: the certified cutoff of each language that has one. Labels repeated for an
+    id count once, as the best one; so do labelled copies of a text in a language, which are
+    no independent trials, and rows that share an id and a text."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumnRenamed("doc_id", "id_")
     held = stats.where(~F.col("base_failed")).join(known, F.col("doc_id") == F.col("id_"))
+    held = held.groupBy("lang", "fp", "fp2").agg(F.max("badness").alias("badness"), F.max("quality").alias("quality"))
     grid = F.array(*map(F.lit, CUTOFFS))
     level_of = F.size(F.filter(grid, lambda c: F.col("badness") > c))  # cutoffs that reject it: the tightest ones
     binned = held.groupBy(F.col("lang").alias("stratum"), level_of.alias("bin")).agg(F.count_if(F.col("quality") > 0).alias("good"), F.count_if(F.col("quality") <= 0).alias("bad"))
@@ -125,5 +130,7 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float =
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every row of documents; null and empty texts fail the base rule,
+    repeated rows are judged alike, an empty table gives an empty result."""
     got = judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "badness", "cutoff")

@@ -10,8 +10,8 @@ from lexiforge.llm.common import documents, materialize, prefix_sums, shared_pat
 OLD_SHARDS = 12
 NEW_SHARDS = 16
 ROWS_PER_BUCKET = 20_000
-#: Part of all bytes, in the smallest rows, that evens out what the others leave.
-SMALL_SHARE = 0.25
+#: Parts of all bytes, in the smallest rows, that even out what the larger ones leave.
+SMALL_SHARES = (0.25, 0.02)
 SEED = 3
 #: Of shard files.
 CODEC = "zstd"
@@ -80,30 +80,29 @@ def reshard(rows: DataFrame, old: str, size: str, fine: list[str], n_new: int, n
     """``rows`` with columns shard and slot, and the transfers flow[old][new] in bytes.
 
     ``rows`` must be cheap to read twice (materialised). Rows of an old shard stand by falling
-    power of two of their size. The large ones are cut in the flow's proportions; then a second flow
-    fills what room they leave in each new shard with the small ones (those of SMALL_SHARE of all
-    bytes). So a new shard misses its capacity by at most one small row for each transfer, unless
-    its large rows alone exceed it. One total per old shard and power of two, and per transfer,
-    reaches the driver."""
+    power of two of their size, in levels: the largest ones, those of the first of SMALL_SHARES of all
+    bytes, and so on. A level is cut in the proportions of a flow to the room that the levels before
+    it left in the new shards. So a new shard misses its capacity by at most one row of
+    the last level for each transfer, unless its large rows alone exceed it. One total per old shard and
+    power of two, and per level and transfer, reaches the driver."""
     total_rows, kind = rows.count(), F.length(F.bin(size))
     sums = {(r[0], r[1]): int(r[2]) for r in rows.groupBy(old, kind).agg(F.sum(size)).where(F.col(old).isNotNull()).collect()}  # 64 * n_old rows at most
-    supply = [sum(v for (i, _), v in sums.items() if i == k) for k in range(n_old)]
-    room = list(capacities or equal_capacities(sum(supply), n_new))
-    flow = min_cost_flow(supply, room)
-    bits = min((b for b in range(65) if sum(v for (_, k), v in sums.items() if k <= b) >= SMALL_SHARE * sum(supply)), default=64)
-    large = [sum(v for (i, b), v in sums.items() if i == k and b > bits) for k in range(n_old)]
-    placed = prefix_sums(rows, [old], [-kind], [F.col(c) for c in fine], size, rows_per_bucket, total_rows)
-    placed = placed.withColumn("shard", F.when(kind > bits, destination(F.col(old), F.col("before"), [_scaled(*x) for x in zip(flow, large)]))).drop("seq")
-    placed = materialize(placed, "reshard-large")
-    flow = [[0] * n_new for _ in range(n_old)]
-    for i, j, n in placed.where("shard is not null").groupBy(old, "shard").agg(F.sum(size)).collect():  # n_old * n_new rows at most
-        flow[i][j] = int(n)
-        room[j] -= int(n)
-    moves = min_cost_flow([s - x for s, x in zip(supply, large)], [max(0, x) for x in room])
-    small = destination(F.col(old), F.col("before"), moves, large)
-    placed = materialize(placed.withColumn("shard", F.coalesce("shard", small)).drop("before"), "reshard-placed")
-    out = prefix_sums(placed, ["shard"], [], [F.col(c) for c in fine], size, rows_per_bucket, total_rows)
-    return out.withColumnRenamed("seq", "slot").drop("before"), [[a + b for a, b in zip(*x)] for x in zip(flow, moves)]
+    held = lambda i, low, high: sum(v for (k, b), v in sums.items() if (i is None or i == k) and low < b <= high)
+    left = [held(i, -1, 64) for i in range(n_old)]
+    total, room, flow = sum(left), list(capacities or equal_capacities(sum(left), n_new)), [[0] * n_new for _ in range(n_old)]
+    ends = sorted({min((b for b in range(65) if held(None, -1, b) >= share * total), default=64) for share in SMALL_SHARES}, reverse=True)
+    placed = prefix_sums(rows, [old], [-kind], [F.col(c) for c in fine], size, rows_per_bucket, total_rows).drop("seq").withColumn("shard", F.lit(None).cast("int"))
+    for high, low in zip([64, *ends], [*ends, -1]):
+        moves = min_cost_flow(left, [max(0, x) for x in room])
+        own = [held(i, low, high) for i in range(n_old)]
+        target = destination(F.col(old), F.col("before"), [_scaled(*x) for x in zip(moves, own)], [held(i, high, 64) for i in range(n_old)])
+        placed = materialize(placed.withColumn("shard", F.when((kind > low) & (kind <= high), target).otherwise(F.col("shard"))), "reshard-placed")
+        left = [x - y for x, y in zip(left, own)]
+        for i, j, n in placed.where((kind > low) & (kind <= high)).groupBy(old, "shard").agg(F.sum(size)).collect():  # n_old * n_new rows at most
+            flow[i][j] += int(n)
+            room[j] -= int(n)
+    out = prefix_sums(placed.drop("before"), ["shard"], [], [F.col(c) for c in fine], size, rows_per_bucket, total_rows)
+    return out.withColumnRenamed("seq", "slot").drop("before"), flow
 
 
 def affected(flow: list[list[int]], n_new: int) -> list[int]:
