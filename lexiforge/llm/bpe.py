@@ -17,6 +17,9 @@ import numpy as np
 LEAF = 64
 #: Leaves merged side by side.
 LANES = 1024
+#: Symbols up to which a plain list is quicker than a heap.
+SHORT = 64
+NEVER = 1 << 60
 #: Tokens taken from either side of a seam at first.
 WINDOW = 4
 
@@ -70,6 +73,8 @@ class Merges:
         made = {}
         for rank, new in self.rank.values():
             made[new] = max(rank, made.get(new, rank))
+        self.place_of = {pair: rank for pair, (rank, _) in self.rank.items()}
+        self.made_by = {rank: new for rank, new in self.rank.values()}
         self.ordered = all(made.get(a, -1) < rank and made.get(b, -1) < rank for (a, b), (rank, _) in self.rank.items())
 
     def symbols_of(self, token: int) -> tuple[int, ...]:
@@ -83,15 +88,21 @@ class Merges:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Lowest rank first, leftmost on ties."""
-        rank = self.rank
-        if len(ids) <= 24:
+        rank, place = self.rank, self.place_of.get
+        if len(ids) <= SHORT:
             ids = list(ids)
-            while len(ids) > 1:
-                best = min(((r, i) for i, pair in enumerate(zip(ids, ids[1:])) if (r := rank.get(pair))), default=None)
-                if best is None:
+            ranks = [place(pair, NEVER) for pair in zip(ids, ids[1:])]
+            while ranks:
+                best = min(ranks)
+                if best == NEVER:
                     break
-                (_, new), i = best
-                ids[i : i + 2] = [new]
+                i = ranks.index(best)
+                ids[i] = new = self.made_by[best]
+                del ids[i + 1], ranks[i]
+                if i:
+                    ranks[i - 1] = place((ids[i - 1], new), NEVER)
+                if i < len(ranks):
+                    ranks[i] = place((new, ids[i + 1]), NEVER)
             return ids
         n = len(ids)
         ids, after, before = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from struct import pack
 from unicodedata import is_normalized
 
 import numpy as np
@@ -25,7 +26,7 @@ GAPS = r"\t-\r\x20\x85\xa0"
 LETTERS = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPLIT = re.compile(rf"[{LETTERS}]+|[{NUMBERS}]|'(?:[stmd]|re|ve|ll)|[^{GAPS}{LETTERS}{NUMBERS}]+")
-#: Words whose ids a worker remembers before it starts afresh.
+#: Words whose ids a worker remembers, the first it meets.
 CACHE = 200_000
 #: Texts held as Python objects at a time.
 ROWS = 64
@@ -45,10 +46,8 @@ class Codec:
 
     def _piece(self, piece: str) -> tuple[bytes, str]:
         ids = self.merges.encode(self.merges.symbols(piece.encode("utf-8")))
-        got = np.array(ids, dtype="<u4").tobytes(), " ".join(map(self.merges.token.__getitem__, ids))
-        if len(piece) <= 40:
-            if len(self.known) >= CACHE:
-                self.known.clear()
+        got = pack(f"<{len(ids)}I", *ids), " ".join(map(self.merges.token.__getitem__, ids))
+        if len(piece) <= 40 and len(self.known) < CACHE:
             self.known[piece] = got
         return got
 

@@ -35,10 +35,7 @@ class Counter:
         class More(dict):
             def __missing__(self, piece: str) -> int:
                 n = len(outer.merges.encode(outer.merges.symbols(piece.encode("utf-8")))) - 1
-                if len(piece) <= 40:
-                    if len(self) >= CACHE:
-                        self.clear()
-                        self.update(outer.whole)
+                if len(piece) <= 40 and len(self) < CACHE:
                     self[piece] = n
                 return n
 
