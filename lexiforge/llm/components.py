@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.llm.common import forget, materialize
 
-#: Edges that a task contracts at a time.
+#: Edges that a task contracts at a time: there are as many tasks as these take.
 EDGES = 1 << 20
 
 
@@ -48,13 +48,11 @@ class Forest:
         return tied
 
 
-def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edges, at most EDGES at a time, as the stars of their own components."""
-    held: list[pd.DataFrame] = []
+def _contract(most: int) -> Callable:
+    """Edges, about ``most`` at a time, as the stars of their own components."""
 
-    def stars() -> pd.DataFrame:
-        pdf = pd.concat(held)
-        nodes, at = np.unique(pdf[["a", "b"]].to_numpy(), return_inverse=True)
+    def stars(held: list[pd.DataFrame]) -> pd.DataFrame:
+        nodes, at = np.unique(pd.concat(held)[["a", "b"]].to_numpy(), return_inverse=True)
         at = at.reshape(-1, 2)
         forest = Forest(len(nodes))
         forest.join(at[:, 0], at[:, 1])
@@ -62,13 +60,17 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         leaf = np.flatnonzero(label != np.arange(len(nodes)))
         return pd.DataFrame({"a": nodes[label[leaf]], "b": nodes[leaf]})
 
-    for pdf in batches:
-        held.append(pdf)
-        if sum(map(len, held)) >= EDGES:
-            yield stars()
-            held = []
-    if held:
-        yield stars()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            held.append(pdf)
+            if sum(map(len, held)) >= most:
+                yield stars(held)
+                held = []
+        if held:
+            yield stars(held)
+
+    return run
 
 
 def _stars(edges: DataFrame, large: bool, name: str) -> DataFrame:
@@ -82,29 +84,42 @@ def _stars(edges: DataFrame, large: bool, name: str) -> DataFrame:
         tied = both.where("b > a").join(materialize(least, name), F.col("a") == F.col("a_"))
         return tied.where("b <> m").select(F.col("m").alias("a"), "b").distinct()
     down = edges.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
-    least = down.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "b_")
-    tied = down.join(materialize(least, name), F.col("b") == F.col("b_"))
-    ends = F.explode(F.array(F.col("b"), F.col("a")))
-    return tied.select("m", ends.alias("b")).where("b <> m").select(F.col("m").alias("a"), "b").distinct()
+    least = materialize(down.groupBy(F.col("b").alias("b_")).agg(F.min("a").alias("m")), name)
+    tied = down.join(least, (F.col("b") == F.col("b_")) & (F.col("a") != F.col("m"))).select(F.col("m").alias("a"), F.col("a").alias("b"))
+    return least.select(F.col("m").alias("a"), F.col("b_").alias("b")).unionByName(tied).distinct()
 
 
-def _unfinished(edges: DataFrame) -> bool:
-    """Whether some node has two roots, or is both a root and a leaf."""
+def _open(edges: DataFrame, name: str) -> DataFrame:
+    """``edges`` with ``open``: whether the star of a touches another one, because a or one of its
+    leaves has a second root or is both a root and a leaf. Other stars are whole components."""
     end = lambda c, leaf: F.struct(F.col(c).alias("n"), F.lit(leaf).alias("leaf"))
     ends = edges.select(F.explode(F.array(end("a", 0), end("b", 1))).alias("x")).groupBy("x.n")
-    return not ends.agg(F.sum("x.leaf").alias("leaves"), F.count(F.lit(1)).alias("ends")).where("leaves > 0 and ends > 1").isEmpty()
+    met = ends.agg(F.sum("x.leaf").alias("leaves"), F.count(F.lit(1)).alias("ends")).where("leaves > 0 and ends > 1").select("n")
+    met = materialize(met, f"{name}-met")
+    roots = edges.join(met, F.col("b") == F.col("n")).select("a").unionByName(met.select(F.col("n").alias("a"))).distinct()
+    roots = materialize(roots.select(F.col("a").alias("a_")), f"{name}-open")
+    return materialize(edges.join(roots, F.col("a") == F.col("a_"), "left").select("a", "b", F.col("a_").isNotNull().alias("open")), name)
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", most: int = EDGES) -> DataFrame:
     """node, root for every node of ``edges`` (columns a, b): root is the least id it reaches.
 
-    The edges of each task are contracted to stars there, a bounded number at a time. Rounds of a
-    large and a small star go on until all are one forest of stars; each round is written to the
-    shared folder. The files are the caller's to forget."""
-    edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = materialize(edges.mapInPandas(_contract, "a long, b long"), name)
-    while _unfinished(edges):
-        after = materialize(_stars(materialize(_stars(edges, True, name), name), False, name), name)
+    Tasks of about ``most`` edges contract them to stars. While there is more than one task, a large
+    and a small star tie the stars that touch others, and what comes of these is contracted
+    again. Each round is written to the shared folder. The files are the caller's to forget."""
+    edges = materialize(edges.where("a <> b").select("a", "b"), name)
+    done = edges.sparkSession.createDataFrame([], "a long, b long")
+    while True:
+        tasks = max(1, -(-edges.count() // most))
+        stars = edges.coalesce(tasks).mapInPandas(_contract(most), "a long, b long")
+        if tasks == 1:
+            done = done.unionByName(materialize(stars, name))
+            break
+        stars = materialize(stars.distinct(), name)
         forget(edges)
-        edges = after
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+        seen = _open(stars, name)
+        forget(stars)
+        done = done.unionByName(seen.where("not open").select("a", "b"))
+        left = seen.where("open").select("a", "b")
+        edges = materialize(_stars(materialize(_stars(left, True, name), name), False, name), name)
+    return done.select(F.col("b").alias("node"), F.col("a").alias("root"))

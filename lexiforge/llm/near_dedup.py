@@ -9,8 +9,8 @@
    candidate edges. Connected candidates form a block, which wholly contains every true group.
 4. In a block links are confirmed on the full sets.
 
-Buckets and blocks of every size are compared by one rule (``_links``): a seeded sample of the
-group's members, all of them in a small group, is held against the whole group; then every member
+Buckets and blocks of every size are compared by one rule (``_links``): the first of the
+group's members in a seeded order, all of them in a small group, are held against the whole group; then every member
 outside the group's largest component so far is. So no link between components can be missing, what a large
 group of near copies costs grows with its size, and no pairs are emitted but those that connect.
 Queries and rows meet in cells of bounded rows and bytes, so a group is spread over tasks.
@@ -264,6 +264,12 @@ def _pieces(count: Column, size: Column, cell: Cell) -> Column:
     return F.greatest(F.lit(1), F.ceil(count / cell.rows), F.ceil(size / cell.size)).cast("int")
 
 
+def _seeded() -> Column:
+    """A row's place from 0 to below 1 in the order that samples are taken in. It is the row's in every
+    group, so the bands of near copies tie them to the same row and their edges are the same."""
+    return F.shiftrightunsigned(F.xxhash64("rid", F.lit(1)), 32) / F.lit(float(1 << 32))
+
+
 def _in_cells(rows: DataFrame, payload: list[str], query: Column, n_queries: Column, n_rows: Column, compare: Callable, name: str) -> DataFrame:
     """Edges of the queries with all rows of their group g. The queries are dealt into ``n_queries``
     pieces, all rows into ``n_rows`` pieces; each pair of pieces is a cell. A query goes to the
@@ -277,7 +283,7 @@ def _in_cells(rows: DataFrame, payload: list[str], query: Column, n_queries: Col
     others = F.filter(F.sequence(F.lit(0), F.col("nq") - 1), lambda q: ~F.col("asks") | (q != F.col("q")))
     places = F.concat(F.when(F.col("asks"), asked).otherwise(none), F.transform(others, lambda q: place(q, F.col("r"), False)))
     dealt = rows.withColumn("at", F.explode(places)).select(F.xxhash64("g", "at.q", "at.r").alias("cell"), "at.query", "rid", *payload)
-    dealt = dealt.repartition("cell").sortWithinPartitions("cell", F.desc("query"), "rid")
+    dealt = dealt.repartition("cell").sortWithinPartitions("cell", F.desc("query"), _seeded(), "rid")
     return materialize(dealt.mapInPandas(compare, "a long, b long").distinct(), name)
 
 
@@ -286,10 +292,10 @@ def _links(rows: DataFrame, payload: list[str], cell: Cell, compare: Callable, n
 
     ``rows`` (materialised): g (group), rid, bytes, the group's rows gn and bytes gs, and the
     ``payload`` that ``compare`` reads."""
-    nth = F.ceil(F.col("gn") / cell.sample)
-    first = F.pmod(F.xxhash64("rid", F.lit(1)), nth) == 0
+    share = F.least(F.lit(1.0), cell.sample / F.col("gn"))
+    first = _seeded() < share
     n_rows = _pieces(F.col("gn"), F.col("gs"), cell)
-    found = _in_cells(rows, payload, first, _pieces(F.col("gn") / nth, F.col("gs") / nth, cell), n_rows, compare, f"{name}-first")
+    found = _in_cells(rows, payload, first, _pieces(F.col("gn") * share, F.col("gs") * share, cell), n_rows, compare, f"{name}-first")
     # groups that weren't asked whole: their members outside the largest component
     large = rows.where(F.col("gn") > cell.sample)
     if large.isEmpty():

@@ -102,10 +102,20 @@ def test_sketch_estimates():
         assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.06
 
 
-def test_components(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 30)] + [(50, 40), (40, 41), (60, 60), (41, 50)], "a long, b long")
-    got = {r.node: r.root for r in components(edges).collect()}
-    assert got == {i: 0 for i in range(1, 31)} | {41: 40, 50: 40}
+@pytest.mark.parametrize("most", [3, 1 << 20])
+def test_components(spark, most):
+    """The same components whether one task contracts all edges or rounds of stars tie many tasks'."""
+    rng = random.Random(4)
+    pairs = [(i, i + 1) for i in range(0, 30)] + [(50, 40), (40, 41), (60, 60), (41, 50)]
+    pairs += [(200, i) for i in range(100, 120)] + [(300 + rng.randrange(40), 300 + rng.randrange(40)) for _ in range(25)]
+    rng.shuffle(pairs)
+    root = {n: n for p in pairs for n in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(8)
+    got = [(r.node, r.root) for r in components(edges, most=most).collect()]
+    assert sorted(got) == sorted((n, r) for n, r in root.items() if n != r)
 
 
 def test_queries_whole(spark, sf):
