@@ -33,5 +33,39 @@ from docs d left join n using (doc_id) join comp c on c.node = d.doc_id
 """
 
 
+#: op11: units by their place; cut and put together by string places instead of unit lists.
+FILL_IN_MIDDLE = """
+with docs as (select doc_id, coalesce(text, '') t, sha256('1:' || doc_id) d from documents),
+cut as materialized (select *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') u, list_transform(range(4), lambda i: ('0x' || d[8 * i + 1:8 * i + 8])::bigint) h from docs),
+places as (select *, len(u) n, list_sum(list_transform(u[1:least(h[1] % (len(u) + 1), h[2] % (len(u) + 1))], lambda x: length(x))) a,
+  list_sum(list_transform(u[1:greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1))], lambda x: length(x))) b from cut),
+forms as (select doc_id, t, n, coalesce(a, 0)::bigint a, coalesce(b, 0)::bigint b,
+  case when t = '' or regexp_matches(t, '<[PSM]>') or h[3] % 100 >= 90 then 'plain' when h[4] % 100 < 20 then 'spm' else 'psm' end form from places)
+select doc_id, n, form, case when form <> 'plain' then a end prefix_chars, case when form <> 'plain' then b - a end middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then concat('<P>', substr(t, 1, a), '<S>', substr(t, b + 1), '<M>', substr(t, a + 1, b - a))
+    else concat('<S>', substr(t, b + 1), '<P>', substr(t, 1, a), '<M>', substr(t, a + 1, b - a)) end) output_sha256, sha256(t) restored_sha256
+from forms
+"""
+
+#: op12: CRC-32 of each distinct word by a table that its polynomial gives, then gains, weights and ranks.
+IMPORTANCE = """
+with texts as (select 0 side, doc_id, coalesce(text, '') t from documents union all select 1, item_id, coalesce(text, '') from benchmark),
+words as materialized (select side, doc_id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from texts),
+crc as (select list(x order by b) lut from (select b, list_reduce(list_prepend(b, range(8)), lambda c, i: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) x from range(256) r(b))),
+places as materialized (select side, doc_id, unnest(w) x from words),
+vocab as (select distinct x, hex(encode(x)) h from places),
+bucket as materialized (select x, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::bigint)), lambda c, y: xor(c >> 8, lut[xor(c & 255, y) + 1]))) % 10000 k from vocab, crc),
+held as materialized (select k, sum(1 - side) s, sum(side) t from places join bucket using (x) group by k),
+alls as (select sum(s)::double s, sum(t)::double t from held),
+gain as (select k, floor(1000 * ln((held.t + 1) * (alls.s + 10000) / ((held.s + 1) * (alls.t + 10000))))::bigint g from held, alls),
+weights as (select doc_id, count(*) n, sum(g) s from places join bucket using (x) join gain using (k) where side = 0 group by doc_id),
+scores as (select d.doc_id, coalesce(n, 0) n, coalesce(case when s >= 0 then s // n else -((-s + n - 1) // n) end, 0)::bigint weight,
+  ('0x' || sha256('2024:' || d.doc_id)[1:8])::bigint h from documents d left join weights using (doc_id)),
+scored as (select *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::bigint score from scores),
+ranked as (select doc_id, row_number() over (order by score desc, doc_id) r, count(*) over () m from scored where n >= 20)
+select doc_id, n n_features, weight, score, case when r <= 10 * m // 100 then r end as rank from scored left join ranked using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": SUBSTRING_DEDUP, "op3_near_dedup": NEAR_DEDUP}
+    return {"op1_substring_dedup": SUBSTRING_DEDUP, "op3_near_dedup": NEAR_DEDUP, "op11_fill_in_middle": FILL_IN_MIDDLE, "op12_importance_resampling": IMPORTANCE}

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from lexiforge.llm.bpe_codec import op7_bpe_codec
+from lexiforge.llm.fill_in_middle import op11_fill_in_middle
+from lexiforge.llm.importance import op12_importance_resampling
 from lexiforge.llm.media import op10_media_columns
 from lexiforge.llm.mixing import op4_source_mixing
 from lexiforge.llm.near_dedup import op3_near_dedup
 from lexiforge.llm.oracle import oracle_sql  # noqa: F401  part of this module's face
+from lexiforge.llm.packing import op13_best_fit_packing
 from lexiforge.llm.pii import op5_personal_data
 from lexiforge.llm.quality_rules import op2_quality_rules
 from lexiforge.llm.resharding import op6_resharding
@@ -27,4 +30,7 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_token_counts": op9_token_counts,
         "op10_media_columns": op10_media_columns,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_best_fit_packing": op13_best_fit_packing,
     }
