@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from hashlib import blake2b
+from os import urandom
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -163,16 +164,26 @@ WORDS_HELD, WORD_HELD = 1 << 17, 64
 
 
 class _Digests(dict):
-    """128-bit BLAKE2b digest of each word: no two words with equal digests can be made."""
+    """128-bit BLAKE2b digest of each word under a key."""
+
+    def __init__(self, key: bytes):
+        super().__init__()
+        self.key = key
 
     def __missing__(self, word: bytes) -> bytes:
-        got = blake2b(word, digest_size=16).digest()
+        got = blake2b(word, digest_size=16, key=self.key).digest()
         if len(self) < WORDS_HELD and len(word) <= WORD_HELD:
             self[word] = got
         return got
 
 
-_DIGESTS = _Digests()
+_DIGESTS = _Digests(b"")
+
+
+def new_key() -> bytes:
+    """A key for the digests of one run. Hashes of word runs are polynomials in the digests with known
+    bases: under a key that no text was written for, two different runs can't be made to share one."""
+    return urandom(16)
 
 
 def text_words(text: str | None, lower: bool = False) -> list[bytes]:
@@ -182,6 +193,9 @@ def text_words(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-def word_digests(words: list[bytes]) -> np.ndarray:
+def word_digests(words: list[bytes], key: bytes = b"") -> np.ndarray:
     """Two independent 64-bit hashes of each word: an array of shape (words, 2)."""
+    global _DIGESTS
+    if _DIGESTS.key != key:
+        _DIGESTS = _Digests(key)
     return np.frombuffer(b"".join(map(_DIGESTS.__getitem__, words)), "<u8").reshape(-1, 2)

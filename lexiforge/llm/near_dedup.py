@@ -1,13 +1,14 @@
 """MinHash near-dedup with odd sketches, exact in its links.
 
-1. A document's set of word shingles becomes 64-bit fingerprints. Equal sets are one class,
-   pre-aggregated by a 128-bit set hash; only class representatives (least id) go on.
+1. A document's set of word shingles becomes 128-bit fingerprints, made from keyed digests of the words
+   (the key is drawn for the run, so no text can be written to clash). Equal sets are one class,
+   pre-aggregated by a 128-bit set hash over both halves; only class representatives (least id) go on.
 2. Representatives get SAMPLES minhashes. The first BANDS * ROWS of them form band keys; all
    of them are folded into an odd sketch: a parity bitmap of BITS bits, whose XOR with another
    one has a population count that tells high similarities precisely.
 3. In a band bucket, pairs whose sketches and set sizes allow the similarity become
    candidate edges. Connected candidates form a block, which wholly contains every true group.
-4. In a block links are confirmed on the full sets.
+4. In a block links are confirmed on the full sets, by both halves of their fingerprints.
 
 Buckets and blocks of every size are compared by one rule (``_links``): the first of the
 group's members in a seeded order, all of them in a small group, are held against the whole group; then every member
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import NULL_ID, documents, forget, materialize, mix, rank_id, rolling, text_words, window_hash, word_digests
+from lexiforge.llm.common import NULL_ID, documents, forget, materialize, mix, new_key, rank_id, rolling, text_words, window_hash, word_digests
 from lexiforge.llm.components import Forest, components
 
 SHINGLE = 5
@@ -59,16 +60,23 @@ BLOCK_CELL = Cell(32, 512, 8 << 20)
 _ODD = mix(np.arange(SAMPLES, dtype=np.uint64) + np.uint64(SEED << 20)) | np.uint64(1)
 
 
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct fingerprints of the k-word shingles, A-Z lower-cased; a shorter
-    text is one shingle, a text without words has none."""
-    words = word_digests(text_words(text, lower=True))[:, 0]
+def shingles(text: str | None, k: int, key: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """Distinct fingerprints of the k-word shingles, A-Z lower-cased: their first halves, sorted,
+    and their second halves. A shorter text is one shingle, a text without words has none."""
+    words = word_digests(text_words(text, lower=True), key)
     if not len(words):
-        return np.zeros(0, np.uint64)
+        return (np.zeros(0, np.uint64),) * 2
     k = min(k, len(words))
     at = np.arange(len(words) - k + 1)
-    found = np.sort(window_hash(rolling(words), at, at + k))
-    return found[np.concatenate(([True], found[1:] != found[:-1]))]
+    one, two = (window_hash(rolling(words[:, i], i), at, at + k) for i in (0, 1))
+    order = np.argsort(one, kind="stable")
+    one, two = one[order], two[order]
+    new = np.concatenate(([True], one[1:] != one[:-1]))
+    if not np.array_equal(two, two[new][np.cumsum(new) - 1]):  # first halves clash: both decide
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+    return one[new], two[new]
 
 
 def minhashes(items: np.ndarray) -> np.ndarray:
@@ -104,16 +112,32 @@ def most_differing(percent: int = PERCENT, margin: float = MARGIN) -> int:
 class Block:
     """Shingle sets of a block with postings: how many shingles a set shares with each."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets])
-        values, inverse = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        self.sizes = np.array([len(s) for s, _ in sets])
+        one, two = (np.concatenate(x) for x in zip(*sets)) if sets else (np.zeros(0, np.uint64),) * 2
+        values, first, inverse = np.unique(one, return_index=True, return_inverse=True)
+        self.one, self.two, self.clashes = values, two[first], 0
+        if not np.array_equal(self.two[inverse], two):  # first halves clash: both decide
+            order = np.lexsort((two, one))
+            new = np.concatenate(([True], (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)))
+            inverse = np.empty(len(one), np.int64)
+            inverse[order] = np.cumsum(new) - 1
+            self.one, self.two = one[order][new], two[order][new]
+            self.clashes = int(np.unique(self.one, return_counts=True)[1].max()) - 1
         owner = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(inverse, kind="stable")
         self.posting = owner[order].astype(np.int32)
-        self.values = values
-        self.at = np.concatenate(([0], np.cumsum(np.bincount(inverse, minlength=len(values)))))
+        self.at = np.concatenate(([0], np.cumsum(np.bincount(inverse, minlength=len(self.one)))))
         self.items = np.split(inverse, np.cumsum(self.sizes)[:-1]) if sets else []
 
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Items of the block among the fingerprints of another set."""
+        last = len(self.one) - 1
+        at = np.minimum(np.searchsorted(self.one, one), last)
+        for _ in range(self.clashes):
+            at = np.minimum(at + ((self.one[at] == one) & (self.two[at] != two)), last)
+        return at[(self.one[at] == one) & (self.two[at] == two)]
+
     def shared(self, items: np.ndarray) -> np.ndarray:
         start, stop = self.at[items], self.at[items + 1]
         n = stop - start
@@ -139,19 +163,19 @@ class Block:
             forest.join(np.full(len(hits), i), hits)
 
 
-def _features(docs: DataFrame, k: int) -> DataFrame:
+def _features(docs: DataFrame, k: int, key: bytes) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
-                items = shingles(text, k)
+                items, other = shingles(text, k, key)
                 if not len(items):
                     rows.append((0, 0, 0, b"", [], 0))
                     continue
                 samples = minhashes(items)
                 keys = window_hash(rolling(samples[: ROWS * BANDS]), np.arange(0, ROWS * BANDS, ROWS), np.arange(ROWS, ROWS * BANDS + 1, ROWS))
                 keys = mix(keys + np.arange(BANDS, dtype=np.uint64))
-                s1, s2 = (int(mix(mix(items) * np.uint64(c)).sum(dtype=np.uint64).astype(np.int64)) for c in (3, 5))
+                s1, s2 = (int(mix(x).sum(dtype=np.uint64).astype(np.int64)) for x in (items, other))
                 rows.append((len(items), s1, s2, odd_sketch(samples).tobytes(), keys.view(np.int64), len(text)))
             out = pd.DataFrame(rows, columns=["n", "s1", "s2", "sketch", "keys", "bytes"])
             out.insert(0, "rid", pdf["rid"].to_numpy())
@@ -214,7 +238,7 @@ def sketch_edges(percent: int) -> Callable:
     return run
 
 
-def set_edges(k: int, percent: int) -> Callable:
+def set_edges(k: int, percent: int, key: bytes = b"") -> Callable:
     """Comparer of blocks: links on full sets (a, b) of the queries with their cells, one for
     each component of the queries."""
 
@@ -237,17 +261,15 @@ def set_edges(k: int, percent: int) -> Callable:
                     if ask:
                         close()
                     cell, block = own_cell, None
-                own = shingles(text, k)
+                own = shingles(text, k, key)
                 if query:
                     ask.append((rid, own))
                     continue
                 if ask:
                     close()
-                if block is None or not len(block.values):
+                if block is None or not len(block.one):
                     continue  # nothing with words is asked in this cell
-                at = np.searchsorted(block.values, own)
-                at = at[block.values[np.minimum(at, len(block.values) - 1)] == own]
-                for j in {label[h]: h for h in block.linked(at, len(own), percent)}.values():
+                for j in {label[h]: h for h in block.linked(block.find(*own), len(own[0]), percent)}.values():
                     left.append(int(ids[j]))
                     right.append(rid)
             yield pd.DataFrame({"a": left, "b": right}, dtype="int64").query("a != b")
@@ -331,7 +353,8 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bucke
     ``percent``; texts without words are linked with nothing. Rows that share an id count
     as one document with all their links; null ids rank last, together. The cells' bounds
     change how the work is cut, never the result."""
-    rows = materialize(_features(docs, k), "near-features")
+    key = new_key()
+    rows = materialize(_features(docs, k, key), "near-features")
     # aggregates are written before they are joined back: then either side of the join is a plain
     # exchange, and a hot class or bucket can be split
     classes = materialize(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("rid").alias("rep")), "near-classes")
@@ -353,7 +376,7 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bucke
     # always a merge join: the plan is the same at every size
     texts = docs.select(rank_id(F.col("doc_id")).alias("rid"), "text").join(nodes.hint("merge"), F.col("rid") == F.col("node"))
     texts = materialize(texts.select("g", "rid", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), "gn", "gs"), "near-texts")
-    links = _links(texts, ["text"], block, set_edges(k, percent), "near-links")
+    links = _links(texts, ["text"], block, set_edges(k, percent, key), "near-links")
     links = links.unionByName(member.where("rid <> rep").select(F.col("rep").alias("a"), F.col("rid").alias("b")))
     group = components(links, "near-groups").withColumnsRenamed({"node": "node_", "root": "root_"})
     forget(texts)
@@ -371,6 +394,11 @@ def first_of_group(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every document's set size, component and whether it is kept, on two-word shingles.
+
+    A null text, or one without words, has size 0 and is its own component. Rows of one id count as one document with all
+    their links, each with its own size; null ids too, after every other id. Repeated rows have equal values; an empty
+    table gives no rows. Further columns are ignored."""
     got = near_groups(documents(spark, sf_dir), k=2)
     known = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return got.select(known("rid").alias("doc_id"), "n_shingles", known("component").alias("component_id"), (F.col("rid") == F.col("component")).alias("kept"))

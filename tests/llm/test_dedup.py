@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,8 +130,6 @@ def test_queries_whole(spark, sf):
 
 
 def test_cells_span_batches():
-    import pandas as pd
-
     sketch = near.odd_sketch(near.minhashes(np.arange(1, 50, dtype=np.uint64))).tobytes()
     pdf = pd.DataFrame({"cell": [1, 1, 1, 2], "query": [True, False, False, True], "rid": [5, 6, 7, 8], "n": [9] * 4, "sketch": [sketch] * 4})
     edges = pd.concat(near.sketch_edges(80)(iter([pdf[:1], pdf[1:3], pdf[3:]])))
@@ -165,3 +164,32 @@ def test_very_long_texts(spark):
 def test_first_columns_kept(spark):
     df = spark.createDataFrame([(1, "a b c", "x")], "doc_id long, text string, component string")
     assert near.first_of_group(df).select(F.col("component")).first().component == "x"
+
+
+def test_rows_of_an_id_whose_short_hashes_clash(spark):
+    """Two rows of one id, with equal 32-bit hashes of their texts; only one repeats a passage."""
+    passage, plain = (" ".join(f"{c}{i}" for i in range(50)) for c in "pq")
+    text = F.concat(F.when(F.col("id") % 2 == 0, passage).otherwise(plain), F.lit(" "), F.col("id").cast("string"))
+    found = spark.range(400_000).groupBy(F.hash(text).alias("h")).agg(F.min(F.struct(F.col("id") % 2, "id")).alias("a"), F.max(F.struct(F.col("id") % 2, "id")).alias("b"))
+    a, b = (r.id for r in found.where("a.col1 < b.col1").select("a", "b").first())
+    rows = [(1, passage), (7, f"{passage} {a}"), (7, f"{plain} {b}"), (None, f"{passage} {a}"), (None, f"{plain} {b}")]
+    docs = table(spark, rows)
+    assert docs.where("doc_id = 7").select(F.hash("text")).distinct().count() == 1
+    key = lambda r: tuple(map(repr, r))
+    assert sorted(((NULL_ID if r[0] is None else r[0], *r[1:]) for r in sub.remove_repeats(docs).collect()), key=key) == sorted(brute.repeats([(NULL_ID if d is None else d, t) for d, t in rows], 50), key=key)
+
+
+def test_shingles_whose_first_halves_clash(spark):
+    """Two texts whose only shingles share 64 bits under the digests without a key."""
+    texts = "ac27f5 b363fe", "a1f5aa5 b1d200f"
+    one, two = (near.shingles(t, 2) for t in texts)
+    assert one[0] == two[0] and one[1] != two[1]
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[0].upper())]
+    assert {r.rid: r.component for r in near.near_groups(table(spark, rows), 2).collect()} == {1: 1, 2: 2, 3: 1}
+    edges = near.set_edges(2, 80)  # without a key: both halves decide
+    pdf = pd.DataFrame({"cell": [1] * 5, "query": [True, True, False, False, False], "rid": range(5, 10), "text": [texts[0], texts[1], texts[1], texts[0], "x y"]})
+    got = {frozenset(e) for e in pd.concat(edges(iter([pdf]))).itertuples(index=False)}
+    assert got == {frozenset((6, 7)), frozenset((5, 8))}
+    both = near.Block([one, two])
+    assert len(both.one) == 2 and both.groups(80).tolist() == [0, 1]
+    assert [both.find(*x).tolist() for x in (one, two)] == [both.items[0].tolist(), both.items[1].tolist()]
