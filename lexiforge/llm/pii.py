@@ -293,12 +293,20 @@ def _score(trees: list, values: list[Column]) -> Column:
     return total
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """row, a struct of all columns, and text: no column's name can meet one of this module's."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+
+
 def find(docs: DataFrame) -> DataFrame:
-    """``docs`` with base_<kind> and all_<kind>: arrays of spans by start, then end.
+    """``docs`` with base_<kind> and all_<kind>: arrays of spans by start, then end. Columns of ``docs``
+    with one of these eight names are replaced, any others are kept.
 
     Null and empty texts have no spans. Every row is handled by itself; the only shuffle is that
     of the feature table."""
-    return select_spans(candidates(docs))
+    spans = [f"{prefix}_{k}" for prefix in ("base", "all") for k in KINDS]
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in spans]
+    return select_spans(candidates(_packed(docs))).select(*own, *spans)
 
 
 def select_spans(rows: DataFrame) -> DataFrame:
@@ -329,8 +337,9 @@ def listed(prefix: str) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each found span of ``text`` replaced by its kind in brackets; where spans
-    overlap the earlier (then longer) one is replaced and the rest of the other goes too."""
-    found = find(docs)
+    overlap the earlier (then longer) one is replaced and the rest of the other goes too. Columns of any
+    name are kept as they are; a null text stays null."""
+    found = select_spans(candidates(_packed(docs)))
     text = F.col("text")
     spans = F.array_sort(F.concat(*(F.transform(F.col(f"all_{k}"), _tagged(k)) for k in KINDS)))
     # what is covered up to each span; a span that starts inside leaves no tag
@@ -340,7 +349,8 @@ def redact(docs: DataFrame) -> DataFrame:
     none = F.lit(True)
     for k in KINDS:
         none = none & (F.size(f"all_{k}") == 0)
-    return found.withColumn("text", F.when(none, text).otherwise(F.array_join(F.get(parts, 0), ""))).select(*docs.columns)
+    clean = F.when(none, text).otherwise(F.array_join(F.get(parts, 0), ""))
+    return found.select(*(clean.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op5_personal_data(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import documents
+from lexiforge.llm.common import documents, forget, materialize
 
 WINDOW = 32
 BUCKETS = 1 << 17
@@ -31,8 +31,9 @@ DIM = 6
 EPOCHS = 15
 #: Bound of the training sample: documents of each class, taken by the hash of their id.
 SAMPLE = 800
-#: Longer texts (code points) aren't trained on; they are scored whole like any other.
-SAMPLE_CHARS = 200_000
+#: Bound of what the sample holds in all, in windows: where its texts have more, the longest are trained on by
+#: as many windows as fit, drawn from all of the text. Every text is scored whole.
+SAMPLE_WINDOWS = 200_000
 SEED = 11
 CACHE = 1_000_000
 
@@ -229,20 +230,57 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def n_windows(text: str | None) -> int:
+    return -(-len(words(text)) // WINDOW)
+
+
+def drawn_windows(text: str, limit: int, seed: int) -> str:
+    """``text`` if it has ``limit`` windows or fewer, else the words of so many windows, a seeded
+    draw over the whole text in its order."""
+    n = n_windows(text)
+    if n <= limit:
+        return text
+    own = list(windows(words(text)))
+    picked = np.sort(np.random.default_rng((SEED, seed)).choice(n, limit, replace=False))
+    return " ".join(w for i in picked for w in own[i])
+
+
+def fair_limit(counts: list[int], total: int) -> int:
+    """The highest limit, 1 at least, such that the counts, cut at it, sum to ``total`` at most."""
+    left = total
+    for i, n in enumerate(ordered := sorted(counts)):
+        if n * (len(ordered) - i) > left:
+            return max(1, left // (len(ordered) - i))
+        left -= n
+    return max(counts, default=1)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, total: int = SAMPLE_WINDOWS) -> Model:
     """Fit on at most ``sample`` labelled, not held-out documents of each class, the first by
-    the hash of their id. Only those rows reach the driver, one per id. Repeated label rows: the
-    highest; rows of ``docs`` that share an id: the least text."""
+    the hash of their id. Only those rows reach the driver, one per id, with ``total`` windows of text in
+    all. Repeated label rows: the highest; rows of ``docs`` that share an id: the least text."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     toxic = F.col("toxic") > 0
     n, n_toxic = known.agg(F.count(F.lit(1)), F.count_if(toxic)).first()
     order = [F.xxhash64("doc_id", F.lit(SEED)), "doc_id"]
     picks = known.where(toxic).orderBy(*order).limit(sample).unionByName(known.where(~toxic).orderBy(*order).limit(sample))
-    texts = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
     picked = texts.join(F.broadcast(picks), "doc_id")  # the broadcast side: 2 * sample ids at most
-    rows = picked.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()  # 2 * sample rows at most
-    rows = sorted((r.doc_id, r.text, r.toxic) for r in rows)
+    picked = materialize(picked.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "toxic-sample")
+
+    @F.pandas_udf("long")
+    def sizes(texts: pd.Series) -> pd.Series:
+        return texts.map(n_windows).astype("int64")
+
+    limit = fair_limit([r[0] for r in picked.select(sizes("text")).collect()], total)  # 2 * sample numbers at most
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, ids: pd.Series) -> pd.Series:
+        return pd.Series([drawn_windows(t, limit, crc32(str(i).encode())) for t, i in zip(texts, ids)], dtype=object)
+
+    rows = sorted(tuple(r) for r in picked.select("doc_id", cut("text", "doc_id"), "toxic").collect())  # ``total`` windows at most
+    forget(picked)
     return fit([t for _, t, _ in rows], [y for _, _, y in rows], n_toxic / n if n else None)
 
 

@@ -104,6 +104,18 @@ def test_base_spans(spark):
     assert pii.redact(docs).columns == docs.columns and pii.find(docs.limit(0)).count() == 0
 
 
+def test_redact_keeps_columns_of_any_name(spark):
+    names = ("held", "base_email", "loose_ip", "all_card", "row", "a.b", "__t", "e")
+    rows = [(1, "mail a@b.c now", *("v" for _ in names)), (2, None, *(None for _ in names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    clean = pii.redact(docs)
+    assert clean.columns == docs.columns
+    assert sorted(map(tuple, clean.collect())) == [(1, "mail [EMAIL] now", *rows[0][2:]), rows[1]]
+    found = pii.find(docs)
+    assert [c for c in found.columns if not c.startswith(("base_", "all_"))] == ["doc_id", "text", "held", "loose_ip", "row", "a.b", "__t", "e"]
+    assert {r.doc_id: [x.hit for x in r.base_email] for r in found.collect()} == {1: ["a@b.c"], 2: []}
+
+
 def test_loose_addresses_by_themselves(spark):
     """Whether an address is a candidate doesn't depend on the rest of its text."""
     forms = ["10 . 0 . 0 . 1", "10. 0 .0.1", "10[.]0[.]0[.]1", "10 (.) 0 . 0 [dot] 1", "1234.5.6.7.8.9", "10.0.0.1"]
@@ -271,6 +283,26 @@ def test_toxicity_learns_misspellings():
     assert toxicity.Scorer(toxicity.fit(["a"], [0])).score("x") < 0.5
 
 
+def test_training_windows():
+    assert toxicity.fair_limit([], 9) == 1 and toxicity.fair_limit([3, 0, 4], 7) == 4 and toxicity.fair_limit([100, 2, 50], 62) == 30
+    text = " ".join("abcdefgh"[i % 8] * (1 + i % 7) for i in range(3200))
+    own = [tuple(w) for w in toxicity.windows(toxicity.words(text))]
+    assert toxicity.n_windows(text) == 100 and toxicity.drawn_windows(text, 100, 1) == text
+    part = [tuple(w) for w in toxicity.windows(toxicity.words(toxicity.drawn_windows(text, 9, 1)))]
+    assert len(part) == 9 and set(part) <= set(own)
+    assert toxicity.drawn_windows(text, 9, 1) == toxicity.drawn_windows(text, 9, 1) != toxicity.drawn_windows(text, 9, 2)
+
+
+def test_very_long_texts_are_trained_on(spark):
+    """The only toxic texts are longer than what the sample holds of each."""
+    calm = ["alpha beta gamma delta " * 20 + f"w{'xyz'[i % 3]}" for i in range(60)]
+    rows = [(i, t) for i, t in enumerate(calm)] + [(100 + i, "grubworm alpha grubworms beta " * 9000) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d >= 100)) for d, _ in rows], "doc_id long, toxic int")
+    scorer = toxicity.Scorer(toxicity.train(docs, labels, total=3000))
+    assert scorer.score("alpha beta grubworm grubworms") > 0.5 > scorer.score("alpha beta gamma delta")
+
+
 def test_toxicity_query(spark, sf):
     got = queries()["op8_toxicity"](spark, sf).collect()
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
