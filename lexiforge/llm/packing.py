@@ -11,22 +11,27 @@ best-fit into gaps and new sequences. Pieces find their place by their number wi
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.bpe_codec import TOKENIZER, Codec, tokenizer_path
-from lexiforge.llm.common import documents, materialize, rank_id
+from lexiforge.llm.bpe import as_bytes_shown
+from lexiforge.llm.bpe_codec import CACHE, TOKENIZER, Codec, tokenizer_path
+from lexiforge.llm.common import documents, rank_id
 from lexiforge.operators.numbering import numbered
 
 CAPACITY, END = 4096, 1
 #: Phases of a solution, solutions over what is left, step of the weights, and how far from the best price a filling may be.
 PHASES, SOLUTIONS, STEP, NEAR = 24, 4, 0.2, 0.02
-#: Texts held as Python objects at a time.
-ROWS = 64
+#: Texts held as Python objects at a time, and bytes of ids in an outgoing batch, about.
+ROWS, BYTES = 64, 4 << 20
+_PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64())])
 
 Filling = tuple[tuple[int, int], ...]
 
@@ -200,50 +205,68 @@ class Places:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-class Encoder(Codec):
-    """Token ids of whole texts, as bytes."""
+class Encoder:
+    """Token ids of whole texts, as little-endian 32-bit integers: the library's own merges, asked
+    for one pre-token at a time, so that a frequent one is asked for once."""
+
+    _pieces = Codec._pieces
 
     def __init__(self, path: str):
-        super().__init__(path)
-        self.ids: dict[str, bytes] = {}
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.special = {t.content: pack_ids([i]) for i, t in self.library.get_added_tokens_decoder().items()}
+        self.parts = re.compile("|".join(f"({re.escape(s)})" for s in self.special))
+        model = self.library.model
+
+        class Ids(dict):
+            def __missing__(self, piece: str) -> bytes:
+                got = pack_ids([t.id for t in model.tokenize(as_bytes_shown(piece))])
+                if len(piece) <= 40 and len(self) < CACHE:
+                    self[piece] = got
+                return got
+
+        self.ids = Ids()
 
     def encoded(self, text: str) -> bytes:
-        if self.special is not None and any(map(text.__contains__, self.merges.special)):
-            return self.encode(text)[0]
-        known, piece = self.ids, self._ids
-        return b"".join([known.get(p) or piece(p) for p in self._pieces(text)])
+        if not any(map(text.__contains__, self.special)):
+            return b"".join(map(self.ids.__getitem__, self._pieces(text)))
+        return b"".join(self.special.get(p) or b"".join(map(self.ids.__getitem__, self._pieces(p))) for p in self.parts.split(text) if p)
 
-    def _ids(self, piece: str) -> bytes:
-        got = self._piece(piece)[0]
-        if piece in self.known:
-            self.ids[piece] = got
-        return got
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
-def token_ids(text: Column, name: str = TOKENIZER, end: int | None = END) -> Column:
-    """Ids of a whole text as little-endian 32-bit integers, with ``end`` after them. Null is empty."""
 
-    @F.arrow_udf("binary")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int | None = END, name: str = TOKENIZER, ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids, ids_crc32: each document's tokens with ``end`` after them, cut only
+    where they pass ``capacity``. A null text is empty: one piece of the end token. Without ``ids`` that column
+    is null, only its checksum is there. What is made is sent on text by text, in batches of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = tokenizer_path(name)
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
-        own, last = _ENCODERS[path], b"" if end is None else int(end).to_bytes(4, "little")
-        for texts in batches:
-            parts = [pa.array([own.encoded(t or "") + last for t in texts.slice(i, ROWS).to_pylist()], pa.binary()) for i in range(0, len(texts), ROWS)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
-
-    return run(text)
-
-
-def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int | None = END, name: str = TOKENIZER) -> DataFrame:
-    """doc_id, piece, start, length, ids: each document's tokens, cut only where they pass ``capacity``."""
-    n = (F.octet_length("ids") / 4).cast("long")
-    start = lambda i: i.cast("long") * capacity
-    one = lambda i: F.struct(i.cast("int").alias("piece"), start(i).alias("start"), F.least(F.lit(capacity).cast("long"), n - start(i)).alias("length"), F.substr("ids", start(i).cast("int") * 4 + 1, F.lit(capacity * 4)).alias("ids"))
-    coded = docs.select("doc_id", token_ids(F.col("text"), name, end).alias("ids")).where(F.octet_length("ids") > 0)
-    cut = F.transform(F.sequence(F.lit(0), ((n - 1) / capacity).cast("int")), one)
-    return coded.select("doc_id", F.explode(cut).alias("p")).select("doc_id", "p.*")
+        own, last = _ENCODERS[path], b"" if end is None else pack_ids([end])
+        rows: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    whole = own.encoded(text or "") + last
+                    for i in range(0, len(whole), capacity * 4):
+                        cut = whole[i : i + capacity * 4]
+                        rows.append((doc_id, i // (capacity * 4), i // 4, len(cut) // 4, cut if ids else None, crc32(cut)))
+                        size += len(cut) if ids else 64
+                        if size > BYTES:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PIECE.types)], schema=_PIECE)
+                            rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PIECE.types)], schema=_PIECE)
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long")
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -277,5 +300,4 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 def op13_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and place; see pieces and pack."""
-    parts = pieces(documents(spark, sf_dir)).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(parts)
+    return pack(pieces(documents(spark, sf_dir), ids=False).drop("ids"))

@@ -192,6 +192,7 @@ def test_pack_odd_rows(spark):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
         want += [(d, i // 128, i, min(128, len(ids) - i), np.array(ids[i : i + 128], "<u4").tobytes()) for i in range(0, len(ids), 128)]
     packed = packing.pack(packing.pieces(table(spark), 128), 128).cache()
+    assert packed.where("crc32(ids) <> ids_crc32").count() == 0
     rows = packed.collect()
     key = lambda r: tuple(map(repr, r))
     assert sorted(((r.doc_id, r.piece, r.start, r.length, bytes(r.ids)) for r in rows), key=key) == sorted(want, key=key)
