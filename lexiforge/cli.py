@@ -8,6 +8,7 @@ import logging
 from pyspark.sql import SparkSession
 
 from lexiforge.functions.profiles import JA, LATIN
+from lexiforge.operators.token_cache import TokenCache
 from lexiforge.operators.tokenizers import JAPANESE_RUNS, MorphologicalTokenizer, RegexTokenizer
 from lexiforge.plans.mining import Config, mine
 from lexiforge.sources.dictionary_xml import read_dictionary
@@ -25,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-r", "--recursive", action="store_true")
     p.add_argument("-d", "--debug", action="store_true", help="also dump the sentences")
     p.add_argument("--dictionary", help="dictionary XML; or a folder of compiled Parquet")
+    p.add_argument("--cache", help="folder of the token cache: what was tokenised before isn't tokenised again")
     p.add_argument("--tokenizer", choices=("runs", "latin", "morphological"), default="runs")
     return p
 
@@ -39,7 +41,11 @@ def main(argv: list[str] | None = None) -> None:
     tokenizer = {"runs": JAPANESE_RUNS, "latin": RegexTokenizer(), "morphological": MorphologicalTokenizer()}[a.tokenizer]
     config = Config(LATIN if a.tokenizer == "latin" else JA, tokenizer, a.min_frequency or 4)
     target = resolve_output(a.input, a.output)
-    got = mine(read_corpus(spark, a.input, a.recursive), entries, config)
+    cache = TokenCache(spark, a.cache, f"{config.profile.name}:{tokenizer.fingerprint}") if a.cache else None
+    got = mine(read_corpus(spark, a.input, a.recursive), entries, config, cache)
+    log.info("%s", got.counters)
+    if got.cached:
+        log.info("%s", got.cached)
     if a.debug:
         dump_sentences(got.sentences, f"{target.with_suffix('')}.sentences")
     log.info("%s: %s", target, write_words(got.words, target))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiforge.functions.scoring import entry_score
+from lexiforge.functions.text import kana_fold
 
 ELEMENT = "struct<form:string,pri:array<string>>"
 ENTRY_SCHEMA = f"entry_ord long, kanji array<{ELEMENT}>, reading array<{ELEMENT}>, senses array<struct<gloss:array<string>,pos:array<string>,misc:array<string>,field:array<string>,dialect:array<string>>>"
@@ -56,13 +57,17 @@ def definitions(entries: DataFrame) -> DataFrame:
     return best.select("form", "entry_ord", "priority", "n_senses", definition(F.col("senses")).alias("definition"), F.get("reading", 0)["form"].alias("first_reading"))
 
 
-def add_definitions(words: DataFrame, entries: DataFrame) -> DataFrame:
-    """``words`` with definition, and invalid where there is none or it is empty. The join
+def add_definitions(words: DataFrame, entries: DataFrame, readings: bool = False) -> DataFrame:
+    """``words`` with definition, and invalid where there is none or it is empty; with ``readings`` also
+    with the best entry's first reading, folded to hiragana, in place of their own. The join
     leaves the strategy to the planner: the dictionary's size decides, not a hint."""
-    best = definitions(entries).select("form", F.col("definition").alias("definition"))
+    best = definitions(entries).select("form", F.col("definition").alias("definition"), F.col("first_reading").alias("__reading"))
     base = words.drop("definition", "invalid")
     out = base.join(best, base["lemma"] == best["form"], "left").drop("form")
-    return out.withColumn("invalid", F.coalesce("definition", F.lit("")) == "")
+    if readings:
+        own = F.coalesce(F.nullif(kana_fold(F.col("__reading")), F.lit("")), F.col("reading"))
+        out = out.withColumn("reading", own)
+    return out.withColumn("invalid", F.coalesce("definition", F.lit("")) == "").drop("__reading")
 
 
 def invalid_words(words: DataFrame) -> DataFrame:

@@ -83,11 +83,19 @@ def sentences_of(text: Column, mode: Column) -> Column:
     return F.flatten(F.transform(parts, T.split_on_punctuation))
 
 
+def sentence_lists(corpus: DataFrame) -> DataFrame:
+    """A corpus (file_id, tag, text and any others) with mode and sentences, an array of
+    struct<sent_ord, text>, in place of its text. One row per file; null texts drop out."""
+    others = [c for c in corpus.columns if c != "text"]
+    cleaned = corpus.select(*others, T.clean(F.col("text")).alias("text")).where("text is not null")
+    known = cleaned.withColumn("mode", layout_mode(F.col("text")))
+    found = F.transform(sentences_of(F.col("text"), F.col("mode")), lambda s, i: F.struct(i.alias("sent_ord"), s.alias("text")))
+    return known.select(*others, "mode", found.alias("sentences"))
+
+
 def extract_sentences(corpus: DataFrame) -> DataFrame:
     """file_id, tag, mode, sent_ord, text of every sentence of a corpus (file_id, tag, text)."""
-    cleaned = corpus.select("file_id", "tag", T.clean(F.col("text")).alias("text")).where("text is not null")
-    known = cleaned.withColumn("mode", layout_mode(F.col("text")))
-    return known.select("file_id", "tag", "mode", F.posexplode(sentences_of(F.col("text"), F.col("mode"))).alias("sent_ord", "text"))
+    return sentence_lists(corpus.select("file_id", "tag", "text")).select("file_id", "tag", "mode", F.inline("sentences"))
 
 
 # ------------------------------------------------ classifiers kept for direct use only

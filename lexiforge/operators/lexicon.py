@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.functions.profiles import JA, KANJI, SKIP_POS1, SKIP_POS12, Profile
-from lexiforge.functions.text import is_valid_sentence, kana_fold
+from lexiforge.functions.text import is_valid_sentence, kana_fold, let, running_sum
+
+TOKEN_FIELDS = ("surface", "lemma", "reading", "pos")
 
 
 def is_useless(lemma: Column, pos: Column, profile: Profile = JA) -> Column:
@@ -29,20 +31,57 @@ def is_useless(lemma: Column, pos: Column, profile: Profile = JA) -> Column:
     )
 
 
+def useful_list(tokens: Column, profile: Profile = JA) -> Column:
+    """Of a sentence's tokens those with lemma and reading that aren't useless, with their tok_ord."""
+    numbered = F.transform(tokens, lambda t, i: F.struct(i.alias("tok_ord"), *(t[c].alias(c) for c in TOKEN_FIELDS)))
+    return F.filter(numbered, lambda t: (t["lemma"] != "") & (t["reading"] != "") & ~is_useless(t["lemma"], t["pos"], profile))
+
+
+def counted_sentences(lists: DataFrame, tokenizer, profile: Profile = JA) -> DataFrame:
+    """Sentence rows of files (file_id, tag, sentences) with ``upto``, the file's useful tokens to the end of
+    each sentence, and ``n_file``, all of them. They are counted inside the file's row, before anything is
+    exploded, for tokenisers whose tokens are an expression of the text."""
+    counts = F.transform("sentences", lambda s: F.size(useful_list(tokenizer.column(s["text"]), profile)))
+    ends = let(counts, running_sum)
+    shown = F.transform(F.array(ends), lambda ends: F.zip_with("sentences", ends, lambda s, e: F.struct(s["sent_ord"].alias("sent_ord"), s["text"].alias("text"), e.cast("long").alias("upto"), F.get(ends, F.size(ends) - 1).cast("long").alias("n_file"))))
+    return lists.select("file_id", "tag", F.inline(F.get(shown, 0)))
+
+
+def _counted_by_file(rows: DataFrame) -> DataFrame:
+    """``rows`` (sentences with their ``useful`` lists) with upto and n_file: two numbers per sentence meet
+    in their file's row, are summed there and go back."""
+    ordered = F.array_sort(F.collect_list(F.struct("sent_ord", F.size("useful").alias("n"))))
+    files = rows.groupBy("file_id").agg(ordered.alias("x")).withColumn("ends", let(F.transform("x", lambda e: e["n"]), running_sum))
+    n_file = F.get("ends", F.size("ends") - 1).cast("long").alias("n_file")
+    ends = files.select("file_id", n_file, F.inline(F.zip_with("x", "ends", lambda e, u: F.struct(e["sent_ord"].alias("sent_ord"), u.cast("long").alias("upto")))))
+    return rows.join(ends, ["file_id", "sent_ord"])
+
+
+def useful_lists(sentences: DataFrame, tokenizer, profile: Profile = JA) -> DataFrame:
+    """Sentences with ``useful``, the list of their useful tokens, and upto and n_file (see counted_sentences)
+    where they don't have them yet. No window, and no task that sees a file's tokens."""
+    rows = tokenizer.lists(sentences).withColumn("useful", useful_list(F.col("tokens"), profile)).drop("tokens")
+    return rows if "upto" in rows.columns else _counted_by_file(rows)
+
+
+def numbered_tokens(lists: DataFrame) -> DataFrame:
+    """A row per useful token: pos_no is its number within the file, n_file the file's total."""
+    rows = lists.select("file_id", "tag", "sent_ord", "n_file", (F.col("upto") - F.size("useful")).alias("before"), F.posexplode("useful").alias("i", "t"))
+    return rows.select("file_id", "tag", "sent_ord", "t.*", (F.col("before") + F.col("i") + 1).alias("pos_no"), "n_file")
+
+
 def useful_tokens(tokens: DataFrame, profile: Profile = JA) -> DataFrame:
-    """Tokens with lemma and reading that aren't useless; pos_no numbers them within the file."""
+    """numbered_tokens of a token table (file_id, tag, sent_ord, tok_ord and the token)."""
     kept = tokens.where((F.col("lemma") != "") & (F.col("reading") != "") & ~is_useless(F.col("lemma"), F.col("pos"), profile))
-    order = Window.partitionBy("file_id").orderBy("sent_ord", "tok_ord")
-    return kept.withColumn("pos_no", F.row_number().over(order))
+    own = F.array_sort(F.collect_list(F.struct("tok_ord", *TOKEN_FIELDS)))
+    return numbered_tokens(_counted_by_file(kept.groupBy("file_id", "tag", "sent_ord").agg(own.alias("useful"))))
 
 
 def file_positions(useful: DataFrame) -> DataFrame:
     """Per (file, lemma): frequency, first place as a share of the file's useful tokens, and
-    the first token's attributes. One shuffle by file serves numbering and totals."""
+    the first token's attributes."""
     first = F.struct("file_id", "sent_ord", "tok_ord")
-    totals = F.max("pos_no").over(Window.partitionBy("file_id"))
-    sized = useful.withColumn("n_file", totals)
-    return sized.groupBy("file_id", "lemma").agg(
+    return useful.groupBy("file_id", "lemma").agg(
         F.count(F.lit(1)).alias("frequency"),
         (F.min("pos_no") / F.max("n_file")).alias("place"),
         F.min(F.struct(first.alias("at"), "reading", "pos", "tag")).alias("first"),
@@ -68,15 +107,22 @@ def segments(sentences: DataFrame, profile: Profile = JA) -> DataFrame:
     return sentences.where(is_valid_sentence(F.col("text"), profile)).select("file_id", "tag", "sent_ord", "text")
 
 
-def segment_lemmas(useful: DataFrame, valid: DataFrame) -> DataFrame:
-    """Per valid sentence and lemma: its last surface there, and its place among the lemmas. Texts stay
-    with the sentences."""
-    each = useful.groupBy("file_id", "sent_ord", "lemma").agg(F.max_by("surface", "tok_ord").alias("surface"), F.min("tok_ord").alias("first_tok"))
-    return each.join(valid.select("file_id", "sent_ord"), ["file_id", "sent_ord"])
+def segment_lists(lists: DataFrame, profile: Profile = JA) -> DataFrame:
+    """Valid sentences (file_id, tag, sent_ord, text) with ``entries``, an array of struct<lemma, surface>:
+    each useful lemma once, in order of first occurrence, with its last surface. Made inside the row."""
+    words = F.array_distinct(F.transform("useful", lambda t: t["lemma"]))
+    last = lambda w: F.try_element_at(F.filter("useful", lambda t: t["lemma"] == w), F.lit(-1))["surface"]
+    entries = F.transform(words, lambda w: F.struct(w.alias("lemma"), last(w).alias("surface")))
+    valid = lists.where(is_valid_sentence(F.col("text"), profile))
+    return valid.select("file_id", "tag", "sent_ord", "text", entries.alias("entries"))
+
+
+def segment_lemmas(of_segments: DataFrame) -> DataFrame:
+    """A row per valid sentence and lemma, without texts."""
+    return of_segments.select("file_id", "sent_ord", F.inline("entries"))
 
 
 def lemma_surfaces(of_segments: DataFrame) -> DataFrame:
-    """file_id, sent_ord, lemma_surfaces MAP<lemma, surface> in order of first occurrence."""
-    ordered = F.array_sort(F.collect_list(F.struct("first_tok", "lemma", "surface")))
-    grouped = of_segments.groupBy("file_id", "sent_ord").agg(ordered.alias("x"))
-    return grouped.select("file_id", "sent_ord", F.map_from_entries(F.transform("x", lambda e: F.struct(e["lemma"], e["surface"]))).alias("lemma_surfaces"))
+    """file_id, sent_ord, lemma_surfaces MAP<lemma, surface> in order of first occurrence, of the
+    sentences with a useful lemma."""
+    return of_segments.where(F.size("entries") > 0).select("file_id", "sent_ord", F.map_from_entries("entries").alias("lemma_surfaces"))

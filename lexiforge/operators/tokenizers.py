@@ -1,7 +1,8 @@
 """Tokenisers: sentences (file_id, tag, sent_ord, text) to tokens.
 
-Tokens have file_id, tag, sent_ord, tok_ord, surface, lemma, reading, pos. A tokeniser is
-anything with ``fingerprint`` and ``tokens(sentences)``.
+A tokeniser is anything with ``fingerprint`` and ``lists(sentences)``, which adds ``tokens``: an array of
+struct<surface, lemma, reading, pos> per sentence, in order. One whose tokens are an expression of the text
+has ``column(text)`` as well. ``exploded`` makes rows of them: file_id, tag, sent_ord, tok_ord and the token.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.functions.text import kana_fold
@@ -30,10 +31,16 @@ class RegexTokenizer:
     def fingerprint(self) -> str:
         return f"regex:{self.pattern}"
 
+    def column(self, text: Column) -> Column:
+        pos = F.array(*map(F.lit, self.pos))
+        token = lambda s: F.struct(s.alias("surface"), F.lower(s).alias("lemma"), F.lower(s).alias("reading"), pos.alias("pos"))
+        return F.transform(F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0)), token)
+
+    def lists(self, sentences: DataFrame) -> DataFrame:
+        return sentences.withColumn("tokens", self.column(F.col("text")))
+
     def tokens(self, sentences: DataFrame) -> DataFrame:
-        found = F.posexplode(F.regexp_extract_all("text", F.lit(self.pattern), F.lit(0))).alias("tok_ord", "surface")
-        out = sentences.select("file_id", "tag", "sent_ord", found)
-        return out.select("*", F.lower("surface").alias("lemma"), F.lower("surface").alias("reading"), F.array(*map(F.lit, self.pos)).alias("pos"))
+        return exploded(self.lists(sentences))
 
 
 #: Script runs: kanji with okurigana, katakana, hiragana.
@@ -47,6 +54,11 @@ class Pretokenized:
     table: DataFrame
     fingerprint: str = "pretokenized"
 
+    def lists(self, sentences: DataFrame) -> DataFrame:
+        own = F.array_sort(F.collect_list(F.struct("tok_ord", "surface", "lemma", "reading", "pos")))
+        lists = self.table.groupBy("file_id", "sent_ord").agg(F.transform(own, lambda t: t.dropFields("tok_ord")).alias("tokens"))
+        return sentences.join(lists, ["file_id", "sent_ord"])
+
     def tokens(self, sentences: DataFrame) -> DataFrame:
         return self.table.join(sentences.select("file_id", "tag", "sent_ord"), ["file_id", "sent_ord"])
 
@@ -63,7 +75,7 @@ class MorphologicalTokenizer:
     def fingerprint(self) -> str:
         return f"sudachi:{self.dictionary}:{self.config}"
 
-    def tokens(self, sentences: DataFrame) -> DataFrame:
+    def lists(self, sentences: DataFrame) -> DataFrame:
         dictionary, config = self.dictionary, self.config
 
         @F.pandas_udf(TOKEN)
@@ -78,14 +90,43 @@ class MorphologicalTokenizer:
                     for m in own.tokenize(t or "", modes.Tokenizer.SplitMode.C)
                 ])
 
-        found = F.posexplode(run("text")).alias("tok_ord", "t")
-        return sentences.select("file_id", "tag", "sent_ord", found).select("file_id", "tag", "sent_ord", "tok_ord", "t.*")
+        return sentences.withColumn("tokens", run("text"))
+
+    def tokens(self, sentences: DataFrame) -> DataFrame:
+        return exploded(self.lists(sentences))
+
+
+def exploded(lists: DataFrame) -> DataFrame:
+    """A row per token, tok_ord counting from 0 in the sentence."""
+    return lists.select("file_id", "tag", "sent_ord", F.posexplode("tokens").alias("tok_ord", "t")).select("file_id", "tag", "sent_ord", "tok_ord", "t.*")
+
+
+class _AsIs:
+    """For sentences that have their ``tokens`` already."""
+
+    fingerprint = "as-is"
+
+    def lists(self, sentences: DataFrame) -> DataFrame:
+        return sentences
+
+
+ASIS = _AsIs()
+
+
+def lemma_readings(lemmas: DataFrame, tokenizer) -> DataFrame:
+    """lemma, reading of the distinct lemmas of a table, each analysed once on its own: the reading of its
+    first token, folded to hiragana."""
+    once = lemmas.select("lemma").where("lemma <> ''").distinct()
+    own = tokenizer.lists(once.withColumn("text", F.col("lemma")))
+    return own.select("lemma", kana_fold(F.get("tokens", 0)["reading"]).alias("reading"))
 
 
-def lemma_readings(tokens: DataFrame, readings: DataFrame | None = None) -> DataFrame:
-    """Tokens whose reading is that of their lemma: from a table (lemma, reading) of the distinct
-    lemmas analysed on their own, where given. Folded to hiragana."""
-    if readings is not None:
-        own = readings.select("lemma", F.col("reading").alias("own"))
-        tokens = tokens.join(own, "lemma", "left").withColumn("reading", F.coalesce("own", "reading")).drop("own")
-    return tokens.withColumn("reading", kana_fold(F.col("reading")))
+def lists_with_readings(lists: DataFrame, readings: DataFrame) -> DataFrame:
+    """Sentences whose tokens' readings are those of their lemmas, from a table (lemma, reading), folded
+    to hiragana; a lemma that isn't there keeps its own. The table meets the distinct lemmas of a
+    sentence, which go back to it as one map."""
+    each = lists.select("file_id", "sent_ord", F.explode(F.array_distinct(F.transform("tokens", lambda t: t["lemma"]))).alias("lemma"))
+    found = each.join(readings.select("lemma", "reading").where("reading is not null").dropDuplicates(["lemma"]), "lemma")
+    maps = found.groupBy("file_id", "sent_ord").agg(F.map_from_entries(F.collect_list(F.struct("lemma", kana_fold(F.col("reading")).alias("reading")))).alias("own"))
+    own = lambda t: F.coalesce(F.try_element_at("own", t["lemma"]), kana_fold(t["reading"]))
+    return lists.join(maps, ["file_id", "sent_ord"], "left").withColumn("tokens", F.transform("tokens", lambda t: t.withField("reading", own(t)))).drop("own")

@@ -11,7 +11,7 @@ from lexiforge.functions.profiles import INVISIBLE, JAPANESE, JAPANESE_BROAD, LA
 from lexiforge.functions.scoring import PRIORITY
 from lexiforge.operators.userdict import POS_MAP, POS_PRIORITY
 from lexiforge.plans import fixtures
-from lexiforge.plans.queries import ACCENTED, FINGERPRINT, WORD
+from lexiforge.plans.queries import ACCENTED, ENTITIES, FINGERPRINT, WORD
 
 
 def q(s: str) -> str:
@@ -252,6 +252,10 @@ def oracle_sql() -> dict[str, str]:
         "tag_diversity": f"{TOKENS} select lemma, round(case when len(tags) >= 10 then 1.0::double else 0.1::double + 0.9::double * (greatest(len(tags), 1) - 1) / 9 end, 6) factor from lex",
         "priority_scores": f"select id, coalesce(list_sum(list_transform(pri, lambda m: {PRI.format(m='m')})), 0)::int points from {MARKS}",
         "nearest_rank": "select source, (list_sort(list(length(text)::double)))[least(count(*) * 9 // 10, count(*) - 1) + 1] p90 from documents group by source",
+        "dictionary_scan": f"""with {ITEMS}, ents as (select (row_number() over (order by i) - 1)::bigint entry_ord, i, w, {M1} m1, {M2} m2,
+            case when i % 2 = 0 then '{ENTITIES["n"]}|{ENTITIES["v1"]}' else 'a & b <c>' end pos, case when i % 5 = 0 then '{ENTITIES["uk"]}' else '' end misc from items where len(w) >= 4)
+            select entry_ord, concat(w[1], ':', m1, '|', m2, '|', w[2], ':') kanji, concat(w[3], ':', m2, '|', w[4], ':') reading,
+            array_to_string(list_transform(range(0, i % 3 + 1), lambda k: case when k % 2 = 0 then w[1] || k::varchar || '|' || w[2] else '' end || '/' || pos || '/' || misc), '|') senses, pos from ents""",
         "dictionary_index": f"with {DICTIONARY} select form, count(*) n_entries from prio group by form",
         "dictionary_best_entry": f"with {DICTIONARY} select * from dict",
         "definitions_join": f"{DEFINED} select lemma, definition, invalid, score from defined",
@@ -277,5 +281,9 @@ def oracle_sql() -> dict[str, str]:
         "userdict_cost": f"select id, e, case when e then 500 * length(text)::int - 1000 + case when regexp_matches(text, '^[ぁ-んー]+$') then case when length(text) < 3 then 1000 else 500 end else 0 end else 1750 * length(text)::int end cost, regexp_matches(text, '^[ぁ-んー]+$') hiragana from {FIX}, (values (true), (false)) as f(e)",
         "content_keys": f"with {DOCS} select file_id, sha256(array_to_string(x, chr(10)) || chr(0) || '{FINGERPRINT}') content_key from (select file_id, {full_lines('text')} x from docs) where len(x) > 0",
         "cache_misses": f"with {DOCS}, k as (select file_id, sha256(array_to_string(x, chr(10)) || chr(0) || '{FINGERPRINT}') content_key from (select file_id, {full_lines('text')} x from docs) where len(x) > 0) select file_id, content_key from k where content_key not in (select content_key from k where file_id in (select doc_id from labels))",
+        "token_cache_runs": f"""{BASE}, ks as (select file_id, sha256(array_to_string(list(text order by sent_ord), chr(10)) || chr(0) || 'regex:[A-Za-zÀ-ÖØ-öø-ÿ]+') k, count(*) n, sum(len(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+'))) t from sents group by file_id),
+            ke as (select file_id, coalesce(k, sha256(chr(0) || 'regex:[A-Za-zÀ-ÖØ-öø-ÿ]+')) k, coalesce(n, 0) n, coalesce(t, 0)::bigint t from docs left join ks using (file_id))
+            select file_id, n n_sentences, t n_tokens, k not in (select k from ke where file_id in (select doc_id from labels)) fresh from ke""",
+        "lexicon_update": f"{TOKENS} select lemma, frequency, index_count, round(idx, 6) mean_index, array_to_string(tags, ' ') tags, seen_at.f first_file, seen_at.s::int first_sent from lex",
         "useless_lemmas": f"select id, lemma = '' or regexp_matches(lemma, '^\\p{{Nd}}+$') or regexp_matches(lemma, '^[a-zA-ZÀ-ÿ''-]+$') or not regexp_matches(lemma, '[{JAPANESE}]') or regexp_matches(lemma, '[っゃゅょァィゥェォッャュョー]$') or p1 in ('助詞', '記号', '補助記号', '感動詞', '接頭辞', '接尾辞', '代名詞') or (p1 = '名詞' and p2 in ('固有名詞', '代名詞')) or regexp_matches(lemma, '^[ぁ-んァ-ン]$') or regexp_matches(lemma, '^[ァ-ンー]+$') useless from {LEMMAS}",
     }

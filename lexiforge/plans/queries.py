@@ -14,11 +14,12 @@ from lexiforge.functions import scoring as S
 from lexiforge.functions import text as T
 from lexiforge.functions.normalize import normalise_column
 from lexiforge.functions.profiles import JA, LATIN, LATIN_LETTERS
-from lexiforge.operators import dictionary, examples, layout, lexicon, ranking, sync, token_cache, userdict
-from lexiforge.operators.staging import staged
+from lexiforge.operators import dictionary, examples, layout, lexicon, lexicon_state, ranking, sync, token_cache, userdict
+from lexiforge.operators.staging import new_folder, staged
 from lexiforge.operators.tokenizers import RegexTokenizer
 from lexiforge.plans import fixtures, mining
 from lexiforge.sources import files, sinks
+from lexiforge.sources.dictionary_xml import read_dictionary, write_dictionary
 
 FINGERPRINT = "regex-v1"
 WORD = "[a-zà-öø-ÿ]+"
@@ -46,7 +47,7 @@ def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: corpus words over the frequency threshold with their scaled scores."""
-    return ranking.score_words(ranking.filter_frequency(_lexicon(spark, sf_dir))).select(F.col("lemma").alias("word"), "frequency", F.size("tags").alias("n_tags"), F.round("index", 6).alias("mean_index"), F.round("score", 1).alias("score"))
+    return ranking.ranked_words(_lexicon(spark, sf_dir)).select(F.col("lemma").alias("word"), "frequency", F.size("tags").alias("n_tags"), F.round("index", 6).alias("mean_index"), F.round("score", 1).alias("score"))
 
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,8 +141,12 @@ def valid_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.segments(_sentences(spark, sf_dir), LATIN).select("file_id", "sent_ord", "tag")
 
 
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.counted_sentences(layout.sentence_lists(corpus(spark, sf_dir)), RegexTokenizer(), LATIN)
+
+
 def _useful(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon.useful_tokens(RegexTokenizer().tokens(_sentences(spark, sf_dir)), LATIN)
+    return lexicon.numbered_tokens(lexicon.useful_lists(_counted(spark, sf_dir), RegexTokenizer(), LATIN))
 
 
 def useful_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +173,8 @@ def token_position_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_lemma_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    maps = lexicon.lemma_surfaces(_prepared(spark, sf_dir)[2])
+    lists = lexicon.useful_lists(_counted(spark, sf_dir), RegexTokenizer(), LATIN)
+    maps = lexicon.lemma_surfaces(lexicon.segment_lists(lists, LATIN))
     shown = F.transform(F.map_entries("lemma_surfaces"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return maps.select("file_id", "sent_ord", F.array_join(shown, " ").alias("lemma_surfaces"))
 
@@ -188,7 +194,7 @@ def tag_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.score_words(ranking.filter_frequency(_lexicon(spark, sf_dir), PROFILE_MIN, 98))
+    return ranking.ranked_words(_lexicon(spark, sf_dir), PROFILE_MIN, 98)
 
 
 def priority_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,6 +230,25 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Entities of the dictionary that ``dictionary_scan`` writes.
+ENTITIES = {"n": "noun (common) (futsuumeishi)", "v1": "Ichidan verb", "uk": "word usually written using kana alone"}
+
+
+def dictionary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries, with a part of speech and a mark as entities and a gloss to escape, written as
+    dictionary XML in several files and read back by record."""
+    k = F.col("entry_ord")
+    pos = F.when(k % 2 == 0, F.array(F.lit(ENTITIES["n"]), F.lit(ENTITIES["v1"]))).otherwise(F.array(F.lit("a & b <c>")))
+    misc = F.when(k % 5 == 0, F.array(F.lit(ENTITIES["uk"]))).otherwise(F.array().cast("array<string>"))
+    marked = F.transform("senses", lambda s: s.withField("pos", pos).withField("misc", misc))
+    folder = new_folder(spark, "dictionary-xml")
+    write_dictionary(entries(spark, sf_dir).withColumn("senses", marked), folder, ENTITIES, 50)
+    joined = lambda values: F.array_join(values, "|")
+    element = lambda e: F.concat(e["form"], F.lit(":"), joined(e["pri"]))
+    sense = lambda s: F.concat(joined(s["gloss"]), F.lit("/"), joined(s["pos"]), F.lit("/"), joined(s["misc"]))
+    return read_dictionary(spark, folder).select("entry_ord", joined(F.transform("kanji", element)).alias("kanji"), joined(F.transform("reading", element)).alias("reading"), joined(F.transform("senses", sense)).alias("senses"), joined(dictionary.all_pos(F.col("senses"))).alias("pos"))
+
+
 def dictionary_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.inverted_index(entries(spark, sf_dir)).groupBy("form").agg(F.count(F.lit(1)).alias("n_entries"))
 
@@ -249,51 +274,43 @@ def _coarse(words: DataFrame) -> DataFrame:
     return words.withColumn("score", F.round("score", 1))
 
 
-def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Useful tokens, valid sentences and their lemmas; the documents are read once."""
-    sentences = staged(_sentences(spark, sf_dir), "sentences")
-    useful = staged(lexicon.useful_tokens(RegexTokenizer().tokens(sentences), LATIN), "useful")
-    valid = lexicon.segments(sentences, LATIN)
-    return useful, valid, lexicon.segment_lemmas(useful, valid)
-
-
-def _scored(useful: DataFrame) -> DataFrame:
-    words = staged(lexicon.lexicon(useful), "lexicon")
-    return staged(_coarse(ranking.score_words(ranking.filter_frequency(words, PROFILE_MIN, 98))), "words")
+def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Scored words, and valid sentences with their lemmas; both staged, the documents are read once."""
+    lists = staged(lexicon.useful_lists(_counted(spark, sf_dir), RegexTokenizer(), LATIN), "lists")
+    words = staged(lexicon.lexicon(lexicon.numbered_tokens(lists)), "lexicon")
+    scored = staged(_coarse(ranking.ranked_words(words, PROFILE_MIN, 98)), "words")
+    return scored, staged(lexicon.segment_lists(lists, LATIN), "segments")
 
 
 def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    useful, _, of_segments = _prepared(spark, sf_dir)
-    stats = examples.sentence_statistics(of_segments, _scored(useful))
+    words, of_segments = _prepared(spark, sf_dir)
+    stats = examples.sentence_statistics(of_segments, words, LATIN, unknown=True)
     return stats.select("file_id", "sent_ord", "lemma", "score", "n_known", "n_total", "too_hard", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
 
 
-def _examples(of_segments: DataFrame, words: DataFrame, features: DataFrame) -> DataFrame:
-    stats = examples.sentence_statistics(of_segments, words)
-    return examples.candidates(stats, words, features, 6)
+def _examples(of_segments: DataFrame, words: DataFrame) -> DataFrame:
+    return examples.candidates(examples.sentence_statistics(of_segments, words, LATIN), examples.highest_score(words), 6)
 
 
 def attach_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    useful, valid, of_segments = _prepared(spark, sf_dir)
-    cands = _examples(of_segments, _scored(useful), examples.sentence_features(valid, LATIN))
-    best = examples.with_texts(examples.best_examples(cands), valid)
+    words, of_segments = _prepared(spark, sf_dir)
+    best = examples.with_texts(examples.best_examples(_examples(of_segments, words)), of_segments)
     return best.select("lemma", "pos", "text", "tag", "surface_form", F.round("score", 1).alias("score"))
 
 
 def attach_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fallback where only one example per word is attached at first."""
-    useful, valid, of_segments = _prepared(spark, sf_dir)
-    words, features = _scored(useful), examples.sentence_features(valid, LATIN)
-    primary = staged(examples.best_examples(_examples(of_segments, words, features), 1), "primary")
-    more = examples.with_texts(examples.fallback_examples(of_segments, words, features, primary), valid)
+    words, of_segments = _prepared(spark, sf_dir)
+    primary = staged(examples.best_examples(_examples(of_segments, words), 1), "primary")
+    more = examples.with_texts(examples.fallback_examples(of_segments, words, primary), of_segments)
     return more.select("lemma", "pos", "text", "surface_form", "score")
 
 
 def _finished(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defined words with their attached sentences; scores of one decimal."""
-    useful, valid, of_segments = _prepared(spark, sf_dir)
-    words = dictionary.add_definitions(_scored(useful), entries(spark, sf_dir))
-    done = examples.attach_examples(staged(words, "defined"), of_segments, valid, LATIN, places=6)
+    words, of_segments = _prepared(spark, sf_dir)
+    words = dictionary.add_definitions(words, entries(spark, sf_dir))
+    done = examples.attach_examples(staged(words, "defined"), of_segments, LATIN, places=6)
     return done.withColumn("sentences", F.transform("sentences", lambda s: s.withField("score", F.round(s["score"], 1))))
 
 
@@ -401,8 +418,37 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where labelled documents were tokenised before, the contents that are left."""
     keys = content_keys(spark, sf_dir)
     seen = keys.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file_id")), "file_id", "left_semi")
-    cache = seen.select("content_key", F.lit(FINGERPRINT).alias("fingerprint")).distinct()
-    return token_cache.misses(keys, cache, FINGERPRINT).select("file_id", "content_key")
+    return token_cache.misses(keys, seen.select("content_key").distinct()).select("file_id", "content_key")
+
+
+def token_cache_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over one cache: the labelled documents, then all of them. Per document the tokens that the
+    cache holds at last, and whether the second run had to tokenise it."""
+    lists = staged(layout.sentence_lists(corpus(spark, sf_dir)), "cache-lists")
+    tokenizer = RegexTokenizer()
+    cache = token_cache.TokenCache(spark, new_folder(spark, "token-cache"), tokenizer.fingerprint)
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file_id")).distinct()
+    cache.add(lists.join(labelled, "file_id", "left_semi"), tokenizer)
+    keys, _ = cache.add(lists, tokenizer)
+    sizes = cache.lists(lists, keys).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(F.size("tokens")).alias("n_tokens"))
+    return keys.join(sizes, "file_id", "left").select("file_id", F.coalesce("n_sentences", F.lit(0)).alias("n_sentences"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "fresh")
+
+
+def lexicon_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon of the documents, reached from an earlier state of the corpus: then every third document
+    wasn't there yet, every seventh had another text, and the benchmark items were files as well."""
+    after = corpus(spark, sf_dir)
+    other = F.when(F.col("file_id") % 7 == 2, F.concat(F.lit("Early draft. "), F.upper("text"))).otherwise(F.col("text"))
+    items = table(spark, sf_dir, "benchmark").select((-F.col("item_id") - 1).alias("file_id"), F.lit("bench").alias("tag"), "text").where("text is not null")
+    before = after.where("file_id % 3 <> 1").withColumn("text", other).unionByName(items)
+    parts = lambda files: lexicon_state.partials(lexicon.numbered_tokens(lexicon.useful_lists(lexicon.counted_sentences(layout.sentence_lists(files), RegexTokenizer(), LATIN), RegexTokenizer(), LATIN)))
+    old = staged(parts(before), "partials-before")
+    state = staged(lexicon_state.state_of(old), "lexicon-before")
+    change = lexicon_state.changed_files(before, after)
+    new = staged(parts(after.join(change.new, "file_id", "left_semi")), "partials-new")
+    current = old.join(change.gone, "file_id", "left_anti").unionByName(new)
+    words = lexicon_state.lexicon_of(lexicon_state.updated(state, old.join(change.gone, "file_id", "left_semi"), new, current))
+    return words.select("lemma", "frequency", "index_count", F.round("index", 6).alias("mean_index"), F.array_join("tags", " ").alias("tags"), F.col("first_seen.file_id").alias("first_file"), F.col("first_seen.sent_ord").alias("first_sent"))
 
 
 def useless_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -414,10 +460,10 @@ NAMES = (
     "word_frequency", "word_scores", "clean_text", "line_sentences", "paragraph_sentences", "punct_split", "punct_split_ja", "kana_fold",
     "source_tags", "sentence_quality", "sentence_quality_ja", "layout_mode", "indent_join", "dialogue_mode", "page_lines", "extract_sentences",
     "normalise_sentences", "valid_sentences", "useful_tokens", "build_lexicon", "tag_sets", "token_position_index", "sentence_lemma_map",
-    "frequency_threshold", "filter_frequency", "tag_diversity", "priority_scores", "nearest_rank", "dictionary_index", "dictionary_best_entry",
+    "frequency_threshold", "filter_frequency", "tag_diversity", "priority_scores", "nearest_rank", "dictionary_scan", "dictionary_index", "dictionary_best_entry",
     "definitions_join", "invalid_words", "sentence_stats", "attach_examples", "attach_fallback", "kept_rows", "dropped_rows", "sentence_rows",
     "mined_words", "mined_sentences", "highlight_html", "sync_changes", "sync_summary", "sync_batches", "ngram_candidates", "ngram_candidates_latin", "ngram_candidates_ja",
-    "pos_resolution", "userdict_cost", "content_keys", "cache_misses", "useless_lemmas",
+    "pos_resolution", "userdict_cost", "content_keys", "cache_misses", "token_cache_runs", "lexicon_update", "useless_lemmas",
 )
 
 

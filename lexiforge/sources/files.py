@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions.text import source_tag, strip, universal_newlines
+from lexiforge.operators.numbering import numbered
 
 # Extensions of corpus files.
 EXTENSIONS = (".tsv", ".txt", ".csv", ".pdf", ".xml", ".html", ".srt")
@@ -32,8 +33,7 @@ def read_corpus(spark: SparkSession, path: str, recursive: bool = False) -> Data
     raise; newlines of all systems become one."""
     files = gather(spark, path, recursive)
     text = universal_newlines(F.decode("content", "UTF-8"))
-    listed = files.select("path")  # names only: numbering moves no content
-    ids = listed.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("file_id"))
+    ids = numbered(files.select("path"), ["path"], "file_id")  # names only: numbering moves no content
     whole = files.select("path", F.col("modificationTime").alias("mtime"), text.alias("text"))
     return whole.join(ids, "path").select("file_id", "path", source_tag(F.col("path")).alias("tag"), "mtime", "text")
 

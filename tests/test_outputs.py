@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from lexiforge import cli
 from lexiforge.functions.profiles import LATIN
-from lexiforge.operators import sync, token_cache, userdict
+from lexiforge.operators import lexicon, sync, token_cache, tokenizers, userdict
 from lexiforge.operators.tokenizers import RegexTokenizer
+from lexiforge.plans import mining
 from lexiforge.plans.mining import Config, Pipeline, mine, observed
 from lexiforge.plans.queries import queries
 from lexiforge.sources import files, sinks
@@ -119,17 +120,6 @@ def test_latin_candidates(spark, sf, tmp_path):
     assert set(got) == brute_grams(docs) and len(got) == len(set(got))
 
 
-def test_token_cache(spark, tmp_path):
-    sentences = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "file_id long, sent_ord int, text string")
-    keys = token_cache.content_keys(sentences, "fp")
-    tokens = spark.createDataFrame([(1, 0, 0, "a")], "file_id long, sent_ord int, tok_ord int, surface string")
-    token_cache.store(tokens, keys.where("file_id = 1"), "fp", str(tmp_path / "cache"))
-    cache = spark.read.parquet(str(tmp_path / "cache"))
-    assert [r.file_id for r in token_cache.misses(keys, cache, "fp").collect()] == [2]
-    assert token_cache.misses(keys, cache, "other").count() == 2
-    assert token_cache.cached_tokens(keys, cache, "fp").first().surface == "a"
-
-
 def test_pipeline_skips_none(spark):
     seen = []
     run = Pipeline([None, lambda d: d.where("id > 1"), lambda d: d.limit(3)], seen.append, count=True)
@@ -164,11 +154,52 @@ def test_mined_rows(spark, tmp_path):
     assert {x.status for x in rows} == {"kept", "dropped"} and all(x.surface_form == x.word and x.tag == ("a" if x.sentence in said[:3] else "b") for x in rows)
 
 
-def test_cli(spark, tmp_path):
+def test_mine_counts_and_reads(spark, tmp_path):
+    """Counters of every step, readings from the dictionary, and the same words with and without a cache."""
+    docs = spark.createDataFrame([(1, "x", "A copper kettle stands here. The copper lamp is over there now."), (2, "y", None), (3, "y", "Copper again, and nothing else at all today.")], "file_id long, tag string, text string")
+    entries = spark.createDataFrame([(0, [("copper", [])], [("KOPA", [])], [(["metal"], [], [], [], [])])], "entry_ord long, kanji array<struct<form:string,pri:array<string>>>, reading array<struct<form:string,pri:array<string>>>, senses array<struct<gloss:array<string>,pos:array<string>,misc:array<string>,field:array<string>,dialect:array<string>>>")
+    config = Config(LATIN, RegexTokenizer(), 1)
+    plain = mine(docs, entries, config)
+    rows = {r.lemma: r for r in plain.words.collect()}
+    assert rows["copper"].reading == "KOPA" and rows["copper"].definition == "metal" and rows["copper"].frequency == 3 and rows["kettle"].reading == "kettle"
+    tokens = plain.useful.selectExpr("sum(size(useful)) n").first().n
+    assert plain.counters == {"files": 2, "sentences": plain.sentences.count(), "useful_tokens": tokens, "segments": plain.segments.count(), "lemmas": len(rows), "kept": 1, "dropped": len(rows) - 1}
+    cache = token_cache.TokenCache(spark, str(tmp_path / "cache"), "t")
+    first, second = (mine(docs, entries, config, cache) for _ in range(2))
+    assert first.cached == token_cache.Run(0, 0, 2, 3, 20) and second.cached == token_cache.Run(0, 2, 0)
+    for got in (first, second):
+        assert {r.lemma: r for r in got.words.collect()} == rows
+
+
+def test_readings_of_lemmas(spark):
+    """Lemmas are analysed once each; tokens take their lemma's reading, and lose their place with an empty one."""
+    sentences = spark.createDataFrame([(1, "t", 0, "copper lamp copper"), (1, "t", 1, "lamp night")], "file_id long, tag string, sent_ord int, text string")
+    lists = RegexTokenizer().lists(sentences)
+    lemmas = tokenizers.exploded(lists)
+    own = tokenizers.lemma_readings(lemmas, RegexTokenizer())
+    assert sorted(map(tuple, own.collect())) == [("copper", "copper"), ("lamp", "lamp"), ("night", "night")]
+    given = spark.createDataFrame([("copper", "カパ"), ("lamp", ""), ("lamp", ""), (None, "x"), ("night", None)], "lemma string, reading string")
+    got = tokenizers.exploded(tokenizers.lists_with_readings(lists, given)).orderBy("sent_ord", "tok_ord").collect()
+    assert [r.reading for r in got] == ["かぱ", "", "かぱ", "", "night"]
+    useful, _ = mining.useful_rows(spark.createDataFrame([(1, "t", [(0, "copper lamp copper"), (1, "lamp night")])], "file_id long, tag string, sentences array<struct<sent_ord:int,text:string>>"), Config(LATIN, RegexTokenizer(), readings=given))
+    assert sorted((r.lemma, r.pos_no, r.n_file) for r in lexicon.numbered_tokens(useful).collect()) == [("copper", 1, 3), ("copper", 2, 3), ("night", 3, 3)]
+
+
+def test_cli(spark, tmp_path, caplog):
+    """The second run over the same files tokenises nothing and writes the same words."""
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("the quick brown fox runs over the green hill today. " * 6)
-    cli.main(["-i", str(tmp_path / "in"), "-o", str(tmp_path / "o.csv"), "-f", "2", "--tokenizer", "latin"])
-    assert any(r[1] == "quick" for r in csv.reader((tmp_path / "o.csv").open()))
+    (tmp_path / "in" / "b.txt").write_text("another quick animal sleeps under the old bridge. " * 3)
+    words, runs = [], []
+    for name in ("o.csv", "p.csv"):
+        caplog.clear()
+        with caplog.at_level("INFO"):
+            cli.main(["-i", str(tmp_path / "in"), "-o", str(tmp_path / name), "-f", "2", "--tokenizer", "latin", "--cache", str(tmp_path / "cache")])
+        words.append(list(csv.reader((tmp_path / name).open())))
+        runs.append([r.args[0] for r in caplog.records if isinstance(r.args, tuple) and r.args and isinstance(r.args[0], token_cache.Run)])
+        assert any(isinstance(r.args, dict) and r.args["files"] == 2 for r in caplog.records)
+    assert any(r[1] == "quick" for r in words[0]) and words[0] == words[1]
+    assert [(r.by_time, r.by_content, r.fresh) for x in runs for r in x] == [(0, 0, 2), (2, 0, 0)] and runs[0][0].tokens == 84 and runs[1][0].tokens == 0
 
 
 def test_streaming(spark, sf, tmp_path):

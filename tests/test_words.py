@@ -9,7 +9,7 @@ from lexiforge.functions import scoring as S
 from lexiforge.functions.profiles import JA
 from lexiforge.operators import dictionary, examples, lexicon, ranking
 from lexiforge.operators.tokenizers import Pretokenized
-from lexiforge.sources.dictionary_xml import read_dictionary
+from lexiforge.sources.dictionary_xml import entry_records, read_dictionary, write_dictionary
 
 NOUN = ["名詞", "普通名詞", "一般", "*"]
 
@@ -66,6 +66,28 @@ def test_dictionary(spark, entries):
     assert got == {"猫": ("1. cat<br>2. feline", False), "犬": (None, True)}
 
 
+def test_dictionary_files(spark, tmp_path):
+    """Several files of several splits, each with entities of its own: one entry a row, in document order."""
+    for f, value in (("a.xml", "first"), ("b.xml", "second")):
+        entry = lambda i: f"<entry><ent_seq>{i}</ent_seq><k_ele><keb>{f[0]}{i}</keb></k_ele>\n<sense><pos>&x;</pos><gloss>&lt;{'é' * 50}&gt; &amp;</gloss></sense></entry>\n"
+        (tmp_path / f).write_text(f'<!DOCTYPE w [<!ENTITY x "{value} one">]>\n<w>' + "".join(map(entry, range(200))) + "</w>\n", encoding="utf-8")
+    (tmp_path / "c.xml").write_text("<w></w>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        records = entry_records(spark, str(tmp_path))
+        assert records.rdd.getNumPartitions() > 8 and records.where("size(split(record, '<entry>')) > 2").count() == 0
+        got = read_dictionary(spark, str(tmp_path)).orderBy("entry_ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.entry_ord, r.kanji[0].form, r.senses[0].pos) for r in got] == [(i + 200 * k, f"{f}{i}", [f"{v} one"]) for k, (f, v) in enumerate((("a", "first"), ("b", "second"))) for i in range(200)]
+    assert {r.senses[0].gloss[0] for r in got} == {f"<{'é' * 50}> &"}
+    read_dictionary(spark, str(tmp_path)).createOrReplaceTempView("once")
+    write_dictionary(spark.table("once"), str(tmp_path / "again"), {"y": "first one"}, 150)
+    assert len(list((tmp_path / "again").glob("part=*/*.txt"))) == 3 and "&y;" in next((tmp_path / "again").glob("part=000000000/*.txt")).read_text()
+    assert read_dictionary(spark, str(tmp_path / "again")).orderBy("entry_ord").collect() == got
+
+
 def test_useless(spark):
     rows = [("は", ["助詞", "係助詞"]), ("東京", ["名詞", "固有名詞"]), ("あ", NOUN), ("スーパー", NOUN), ("言っ", ["動詞", "一般"]), ("２０２４", NOUN), ("ABC", NOUN), ("テレビ", NOUN), ("言葉", NOUN), ("ヴィラ", NOUN)]
     df = spark.createDataFrame(rows, "lemma string, pos array<string>").select("lemma", lexicon.is_useless(F.col("lemma"), F.col("pos"), JA).alias("u"))
@@ -91,16 +113,19 @@ def test_lexicon(spark):
         want[w] = (sum(x.count(w) for x in per_file), round(sum(places) / len(places), 6), [f"tag{f}" for f, x in zip((3, 8), per_file) if w in x])
     got = {r.lemma: (r.frequency, round(r["index"], 6), r.tags) for r in lexicon.lexicon(useful).collect()}
     assert got == want and {r.reading for r in lexicon.lexicon(useful).collect()} == {"みち"}
-    maps = {(r.file_id, r.sent_ord): r.lemma_surfaces for r in lexicon.lemma_surfaces(lexicon.segment_lemmas(useful, lexicon.segments(valid, JA))).collect()}
+    lists = lexicon.useful_lists(valid, Pretokenized(tokens), JA)
+    assert sorted(map(repr, lexicon.numbered_tokens(lists).select(*useful.columns).collect())) == sorted(map(repr, useful.collect()))
+    of_segments = lexicon.segment_lists(lists, JA)
+    assert lexicon.segment_lemmas(of_segments).count() == len({(r[0], r[1], r[4]) for r in rows if r[4] != "を"})
+    maps = {(r.file_id, r.sent_ord): r.lemma_surfaces for r in lexicon.lemma_surfaces(of_segments).collect()}
     assert maps == {(f, s): {r[4]: r[3] for r in rows if r[:2] == (f, s) and r[4] != "を"} for f, _, s, _ in sentences}
 
 
 def attach(spark, words, segments):
     w = spark.createDataFrame(words, "lemma string, score double")
-    rows = [(0, i, lemma, lemma, j) for i, (_, lemmas) in enumerate(segments) for j, lemma in enumerate(lemmas)]
-    s = spark.createDataFrame(rows, "file_id long, sent_ord int, lemma string, surface string, first_tok int")
-    valid = spark.createDataFrame([(0, i, "t", text) for i, (text, _) in enumerate(segments)], "file_id long, sent_ord int, tag string, text string")
-    return {r.lemma: r.sentences for r in examples.attach_examples(w, s, valid).collect()}
+    rows = [(0, i, "t", text, [(lemma, lemma) for lemma in lemmas]) for i, (text, lemmas) in enumerate(segments)]
+    s = spark.createDataFrame(rows, "file_id long, sent_ord int, tag string, text string, entries array<struct<lemma:string,surface:string>>")
+    return {r.lemma: r.sentences for r in examples.attach_examples(w, s).collect()}
 
 
 def test_top_three(spark):
