@@ -6,7 +6,9 @@ tables (the driver's documents), with its own classes and limits.
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 # Character classes (Java regex class bodies, code points in hex).
 #: Unicode white space as Python's str.isspace() has it.
@@ -18,7 +20,8 @@ KATAKANA = r"\x{30a0}-\x{30ff}"
 KANJI = r"\x{4e00}-\x{9fff}"
 JAPANESE = HIRAGANA + KATAKANA + KANJI
 JAPANESE_BROAD = JAPANESE + r"\x{ff65}-\x{ff9f}々〻ゝゞヽヾ" + WS + r"\p{L}\p{Nd}\p{No}（()【】「」『』…‥〜ー・"
-NGRAM_CHARS = r"\x{3005}\x{3006}\x{3041}-\x{3096}\x{3099}-\x{30ff}\x{31f0}-\x{31ff}\x{32d0}-\x{32fe}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ff65}-\x{ff9f}\x{20000}-\x{323af}"
+# What makes a character part of an n-gram, by its Unicode name or itself.
+NGRAM_NAMES, NGRAM_OTHERS = ("HIRAGANA", "KATAKANA", "CJK UNIFIED IDEOGRAPH"), "ー々〆ヵヶ"
 LATIN_LETTERS = r"a-zA-ZÀ-ÖØ-öø-ÿ"
 LATIN_LOWER = r"a-zß-öø-ÿ"
 
@@ -27,6 +30,15 @@ SKIP_POS1 = ("助詞", "記号", "補助記号", "感動詞", "接頭辞", "接
 SKIP_POS12 = (("名詞", "固有名詞"), ("名詞", "代名詞"), ("感動詞", "フィラー"))
 
 
+@cache
+def ngram_chars() -> str:
+    """Regex class of the characters of n-grams, in every plane, as ranges."""
+    members = [c for c in range(0x2E80, 0x110000) if chr(c) in NGRAM_OTHERS or any(n in unicodedata.name(chr(c), "") for n in NGRAM_NAMES)]
+    starts = [c for c, before in zip(members, [-1, *members]) if c != before + 1]
+    ends = [c for c, after in zip(members, [*members[1:], -1]) if c != after - 1]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends))
+
+
 @dataclass(frozen=True)
 class Profile:
     name: str

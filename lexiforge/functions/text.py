@@ -84,14 +84,13 @@ def paragraphs(text: Column) -> Column:
 
 def split_after_terminator(text: Column) -> Column:
     """Pieces at white space that follows a sentence terminator."""
-    marked = F.regexp_replace(text, rf"([。.!?])[{WS}]+", "$1\u0001")
-    return F.filter(F.split(marked, "\u0001", -1), lambda x: x != "")
+    return F.filter(F.split(text, rf"(?<=[。.!?])[{WS}]+", -1), lambda x: x != "")
 
 
 def split_on_punctuation(text: Column) -> Column:
     """Pieces after runs of terminators that more text follows; the run stays on the left."""
-    marked = F.regexp_replace(text, rf"([。．！？!?]+)[{WS}]*(?=[^{WS}。．！？!?])", "$1\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001", -1), strip), lambda x: x != "")
+    parts = F.split(text, rf"(?<=[。．！？!?])[{WS}]*(?=[^{WS}。．！？!?])", -1)
+    return F.filter(F.transform(parts, strip), lambda x: x != "")
 
 
 def indent(line: Column) -> Column:

@@ -67,11 +67,11 @@ def layout_mode(text: Column) -> Column:
 
 def join_indented(raw: Column) -> Column:
     """Lines put together without separator; a line less indented than the one before it
-    starts a new sentence, one of equal indent goes on."""
+    starts a new sentence, one of equal indent goes on. A newline, which no line has, sets sentences apart."""
 
     def joined(full: Column, width: Column) -> Column:
-        marked = lambda x, i: F.concat(F.when(F.get(width, i) < F.get(width, i - 1), "\u0001").otherwise(""), T.strip(x))
-        return F.filter(F.split(F.array_join(F.transform(full, marked), ""), "\u0001", -1), lambda x: x != "")
+        marked = lambda x, i: F.concat(F.when(F.get(width, i) < F.get(width, i - 1), "\n").otherwise(""), T.strip(x))
+        return F.filter(F.split(F.array_join(F.transform(full, marked), ""), "\n", -1), lambda x: x != "")
 
     return T.let(_not_blank(raw), lambda full: T.let(F.transform(full, T.indent), lambda width: joined(full, width)))
 

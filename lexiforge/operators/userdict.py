@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.functions.profiles import NGRAM_CHARS
-from lexiforge.operators.dictionary import all_pos, ranked_entries
+from lexiforge.functions.profiles import ngram_chars
+from lexiforge.operators.dictionary import all_pos, inverted_index, ranked_entries
 
 MIN_GRAM, MAX_GRAM = 2, 20
 
@@ -46,34 +46,53 @@ POS_MAP = {
 POS_PRIORITY = ("動詞", "形容詞", "形状詞", "副詞", "接続詞", "感動詞", "名詞")
 
 
-def runs(text: Column, members: str = NGRAM_CHARS) -> Column:
-    """Maximal runs of the class's characters."""
-    return F.regexp_extract_all(text, F.lit(f"[{members}]+"), F.lit(0))
+#: Lengths of the prefixes by which forms and texts meet.
+TIERS = (2, 4, 8, 16)
 
 
-def ngrams(text: Column, low: int = MIN_GRAM, high: int = MAX_GRAM, members: str = NGRAM_CHARS) -> Column:
-    """All substrings of ``low`` to ``high`` characters inside the runs."""
-    def of_run(run: Column) -> Column:
-        n = F.length(run)
-        starts = F.when(n >= low, F.sequence(F.lit(1), n - low + 1)).otherwise(F.array().cast("array<int>"))
-        return F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(low), F.least(F.lit(high), n - i + 1)), lambda k: F.substring(run, i, k))))
+def runs(text: Column, members: str | None = None) -> Column:
+    """Maximal runs of the class's characters (by default those of Japanese n-grams)."""
+    return F.regexp_extract_all(text, F.lit(f"[{members or ngram_chars()}]+"), F.lit(0))
 
-    return F.flatten(F.transform(runs(text, members), of_run))
 
-
-def candidate_ngrams(lines: DataFrame, low: int = MIN_GRAM, high: int = MAX_GRAM, members: str = NGRAM_CHARS) -> DataFrame:
-    """Distinct candidate substrings of a table of texts. Each distinct run is taken apart once;
-    duplicates fall in the row first."""
+def longest_grams(lines: DataFrame, low: int = MIN_GRAM, high: int = MAX_GRAM, members: str | None = None) -> DataFrame:
+    """Distinct ``gram``: from every place of every run what follows, up to ``high`` characters, if it has
+    ``low``. Every candidate is a prefix of one of these."""
     each = lines.select(F.explode(F.array_distinct(runs(F.col("text"), members))).alias("run")).distinct()
-    return each.select(F.explode(F.array_distinct(ngrams(F.col("run"), low, high, members))).alias("candidate")).distinct()
+    starts = F.filter(F.sequence(F.lit(1), F.length("run")), lambda i: F.length("run") - i + 1 >= low)
+    return each.select(F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("run", i, F.lit(high))))).alias("gram")).distinct()
+
+
+def candidate_ngrams(lines: DataFrame, low: int = MIN_GRAM, high: int = MAX_GRAM, members: str | None = None) -> DataFrame:
+    """Distinct candidate substrings of a table of texts: the prefixes of the distinct longest grams, so that
+    what stands at many places is taken apart once."""
+    grams = longest_grams(lines, low, high, members)
+    prefixes = F.transform(F.sequence(F.lit(low), F.length("gram")), lambda k: F.substring("gram", 1, k))
+    return grams.select(F.explode(prefixes).alias("candidate")).distinct()
+
+
+def _tier(length: Column) -> Column:
+    """The longest prefix length up to ``length``."""
+    return F.array_max(F.filter(F.array(*map(F.lit, TIERS)), lambda t: t <= length))
+
+
+def forms_in(lines: DataFrame, forms: DataFrame, low: int = MIN_GRAM, high: int = MAX_GRAM, members: str | None = None) -> DataFrame:
+    """Distinct ``candidate``: the forms (column form) of ``low`` to ``high`` characters that stand in the runs
+    of the texts. A form meets the longest grams that share its prefix of 2, 4, 8 or 16 characters (the longest
+    it has), so a gram makes four rows at most, where its n-grams would be nineteen."""
+    if low < TIERS[0]:
+        raise ValueError(f"forms of less than {TIERS[0]} characters have no prefix to meet by")
+    grams = longest_grams(lines, low, high, members)
+    tiers = F.filter(F.array(*map(F.lit, TIERS)), lambda t: t <= F.length("gram"))
+    windows = grams.select("gram", F.explode(tiers).alias("t")).select("gram", F.expr("substring(gram, 1, t)").alias("prefix"))
+    known = forms.where(F.length("form").between(low, high)).select("form").distinct()
+    known = known.select("form", F.substring("form", F.lit(1), _tier(F.length("form"))).alias("prefix"))
+    return windows.join(known, "prefix").where(F.startswith("gram", "form")).select(F.col("form").alias("candidate")).distinct()
 
 
 def unsegmented(candidates: DataFrame, tokenizer) -> DataFrame:
     """Candidates that the tokeniser doesn't take for one token, so they aren't known yet."""
-    as_sentences = candidates.select(F.xxhash64("candidate").alias("file_id"), F.lit("").alias("tag"), F.lit(0).alias("sent_ord"), F.col("candidate").alias("text"))
-    single = tokenizer.tokens(as_sentences).groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
-    keyed = candidates.withColumn("file_id", F.xxhash64("candidate"))
-    return keyed.join(single.select("file_id"), "file_id", "left_anti").drop("file_id")
+    return tokenizer.lists(candidates.withColumn("text", F.col("candidate"))).where(F.size("tokens") != 1).select("candidate")
 
 
 def resolve_pos(pos: Column) -> Column:
@@ -126,3 +145,10 @@ def build(candidates: DataFrame, entries: DataFrame) -> DataFrame:
     star = F.lit("*")
     cells = [word, F.lit(0), F.lit(0), cost(word, is_expression(every)), word, F.col("p")[0], F.col("p")[1], F.col("p")[2], F.col("p")[3], star, star, F.get("reading", 0)["form"], word, star, F.lit("C"), star, star, star]
     return rows.select(*(c.alias(f"c{i}") for i, c in enumerate(cells)))
+
+
+def user_dictionary(lines: DataFrame, entries: DataFrame, tokenizer=None, members: str | None = None) -> DataFrame:
+    """build() of the dictionary's forms that stand in the texts, without those that the tokeniser (if one is
+    given) takes for one token already."""
+    found = forms_in(lines, inverted_index(entries).select("form"), members=members)
+    return build(found if tokenizer is None else unsegmented(found, tokenizer), entries)

@@ -7,7 +7,7 @@ character first, and lists use lambdas.
 from __future__ import annotations
 
 from lexiforge.functions.normalize import FRONT, PAIRS, TAIL, char_class
-from lexiforge.functions.profiles import INVISIBLE, JAPANESE, JAPANESE_BROAD, LATIN, NGRAM_CHARS, SCRIPT_MARKS, WS
+from lexiforge.functions.profiles import INVISIBLE, JAPANESE, JAPANESE_BROAD, LATIN, LATIN_LETTERS, SCRIPT_MARKS, WS, ngram_chars
 from lexiforge.functions.scoring import PRIORITY
 from lexiforge.operators.userdict import POS_MAP, POS_PRIORITY
 from lexiforge.plans import fixtures
@@ -248,7 +248,7 @@ def oracle_sql() -> dict[str, str]:
         "token_position_index": f"{TOKENS} select file_id, lemma, frequency, round(place, 9) place from places",
         "sentence_lemma_map": f"{TOKENS}, {SEGMENTS} select file_id, sent_ord, string_agg(lemma || '=' || surface, ' ' order by first_tok) lemma_surfaces from segs group by file_id, sent_ord",
         "frequency_threshold": f"{TOKENS} select 98 keep_percent, {THRESHOLD.format(low=4, keep=98, table='lex')} threshold union all select 50, {THRESHOLD.format(low=1, keep=50, table='lex')} union all select 10, {THRESHOLD.format(low=1, keep=10, table='lex')}",
-        "filter_frequency": f"{TOKENS}, lim as materialized (select {THRESHOLD.format(low=1, keep=10, table='lex')} least_one) select lemma, frequency from lex, lim where frequency >= least_one",
+        "filter_frequency": f"{TOKENS}, placed as (select lemma, frequency, row_number() over (order by frequency) r, count(*) over () n from lex), marked as (select lemma, frequency, max(case when r = n * 90 // 100 + 1 then frequency end) over () least_one from placed) select lemma, frequency from marked where frequency >= greatest(1, least_one)",
         "tag_diversity": f"{TOKENS} select lemma, round(case when len(tags) >= 10 then 1.0::double else 0.1::double + 0.9::double * (greatest(len(tags), 1) - 1) / 9 end, 6) factor from lex",
         "priority_scores": f"select id, coalesce(list_sum(list_transform(pri, lambda m: {PRI.format(m='m')})), 0)::int points from {MARKS}",
         "nearest_rank": "select source, (list_sort(list(length(text)::double)))[least(count(*) * 9 // 10, count(*) - 1) + 1] p90 from documents group by source",
@@ -275,7 +275,10 @@ def oracle_sql() -> dict[str, str]:
         "sync_summary": f"{CHANGES} select count(*) filter (where op = 'add') added, count(distinct note_id) filter (where op in ('updateFields', 'addTags', 'removeTags')) updated, count(*) filter (where op = 'delete') deleted from changes",
         "sync_batches": f"{CHANGES} select op, batch, count(*) n, min(expression) first_expression from (select op, expression, ((row_number() over (partition by op order by expression, note_id) - 1) // 50)::int batch from changes) group by op, batch",
         "ngram_candidates": f"with {DOCS} {GRAMS.format(low=2, high=20, members=ACCENTED, source='docs')}",
-        "ngram_candidates_ja": GRAMS.format(low=2, high=20, members=NGRAM_CHARS, source=FIX),
+        "ngram_candidates_ja": GRAMS.format(low=2, high=20, members=ngram_chars(), source=FIX),
+        "user_dictionary": f"""with {DICTIONARY}, seen as materialized (select distinct unnest(regexp_extract_all(text, '[{LATIN_LETTERS}]+')) r from documents),
+            cands as (select form, entry_ord, first_reading, length(form)::int n from dict d where length(form) between 7 and 20 and exists (select 1 from seen where contains(r, d.form)))
+            select form word, case when entry_ord % 3 = 2 then 500 * n - 1000 else 1750 * n end cost, case when entry_ord % 3 = 1 then '動詞' else '名詞' end p0, case when entry_ord % 3 = 1 then '一般' else '普通名詞' end p1, first_reading reading from cands where entry_ord % 4 <> 3""",
         "pos_resolution": f"""select id, (list_sort(list_filter(list_transform(pos, lambda p, i: struct_pack(r := coalesce(case split_part(case p {POS_CASE} end, ',', 1) {PRIO_CASE} end, {len(POS_PRIORITY)}), i := i, m := case p {POS_CASE} end)), lambda e: e.m is not null)))[1].m resolved,
             len(list_filter(pos, lambda p: not starts_with(p, 'noun'))) = 0 nouns, len(list_filter(pos, lambda p: not (starts_with(p, 'noun') or contains(p, 'verb')))) = 0 verbs_or_nouns, len(list_filter(pos, lambda p: starts_with(p, 'expressions'))) > 0 expression from {POS}""",
         "userdict_cost": f"select id, e, case when e then 500 * length(text)::int - 1000 + case when regexp_matches(text, '^[ぁ-んー]+$') then case when length(text) < 3 then 1000 else 500 end else 0 end else 1750 * length(text)::int end cost, regexp_matches(text, '^[ぁ-んー]+$') hiragana from {FIX}, (values (true), (false)) as f(e)",

@@ -400,6 +400,16 @@ def ngram_candidates_ja(spark: SparkSession, sf_dir: str) -> DataFrame:
     return userdict.candidate_ngrams(fixtures.sentences(spark))
 
 
+def user_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User-dictionary rows of the dictionary's forms that stand in the documents and are more than one
+    token to a tokeniser of six letters. Parts of speech by the entry's number; every fourth entry has none that is known."""
+    k = F.col("entry_ord")
+    pos = F.when(k % 4 == 3, F.array(F.lit("something else"))).when(k % 3 == 0, F.array(F.lit(ENTITIES["n"]))).when(k % 3 == 1, F.array(F.lit(ENTITIES["n"]), F.lit(ENTITIES["v1"]))).otherwise(F.array(F.lit("expressions (phrases, clauses, etc.)")))
+    known = entries(spark, sf_dir).withColumn("senses", F.transform("senses", lambda s: s.withField("pos", pos)))
+    rows = userdict.user_dictionary(corpus(spark, sf_dir), known, RegexTokenizer(f"[{LATIN_LETTERS}]{{1,6}}"), LATIN_LETTERS)
+    return rows.select(F.col("c0").alias("word"), F.col("c3").alias("cost"), F.col("c5").alias("p0"), F.col("c6").alias("p1"), F.col("c11").alias("reading"))
+
+
 def pos_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.pos_lists(spark).select("id", F.array_join(userdict.resolve_pos(F.col("pos")), ",").alias("resolved"), userdict.only_nouns(F.col("pos")).alias("nouns"), userdict.only_verbs_or_nouns(F.col("pos")).alias("verbs_or_nouns"), userdict.is_expression(F.col("pos")).alias("expression"))
 
@@ -462,7 +472,7 @@ NAMES = (
     "normalise_sentences", "valid_sentences", "useful_tokens", "build_lexicon", "tag_sets", "token_position_index", "sentence_lemma_map",
     "frequency_threshold", "filter_frequency", "tag_diversity", "priority_scores", "nearest_rank", "dictionary_scan", "dictionary_index", "dictionary_best_entry",
     "definitions_join", "invalid_words", "sentence_stats", "attach_examples", "attach_fallback", "kept_rows", "dropped_rows", "sentence_rows",
-    "mined_words", "mined_sentences", "highlight_html", "sync_changes", "sync_summary", "sync_batches", "ngram_candidates", "ngram_candidates_latin", "ngram_candidates_ja",
+    "mined_words", "mined_sentences", "highlight_html", "sync_changes", "sync_summary", "sync_batches", "ngram_candidates", "ngram_candidates_latin", "ngram_candidates_ja", "user_dictionary",
     "pos_resolution", "userdict_cost", "content_keys", "cache_misses", "token_cache_runs", "lexicon_update", "useless_lemmas",
 )
 
