@@ -257,6 +257,7 @@ def oracle_sql() -> dict[str, str]:
             select entry_ord, concat(w[1], ':', m1, '|', m2, '|', w[2], ':') kanji, concat(w[3], ':', m2, '|', w[4], ':') reading,
             array_to_string(list_transform(range(0, i % 3 + 1), lambda k: case when k % 2 = 0 then w[1] || k::varchar || '|' || w[2] else '' end || '/' || pos || '/' || misc), '|') senses, pos from ents""",
         "dictionary_index": f"with {DICTIONARY} select form, count(*) n_entries from prio group by form",
+        "dictionary_ties": f"with {ITEMS}, forms as (select i, unnest(list_distinct([w[1], w[2], w[3], w[4]])) form from items where len(w) >= 4) select form, i entry_ord, least(2, i % 3 + 1)::int n_senses from (select form, i, rank() over (partition by form order by least(2, i % 3 + 1) desc) r from forms) where r = 1",
         "dictionary_best_entry": f"with {DICTIONARY} select * from dict",
         "definitions_join": f"{DEFINED} select lemma, definition, invalid, score from defined",
         "invalid_words": f"{DEFINED} select lemma word, lemma reading, array_to_string(tags, ' ') tags from defined where invalid",
@@ -272,6 +273,15 @@ def oracle_sql() -> dict[str, str]:
         "sentence_rows": f"{FINISHED} select case when d.invalid then 'dropped' else 'kept' end status, d.lemma word, d.score, a.text sentence, a.tag, a.surface surface_form, (row_number() over (partition by a.lemma order by a.pos) - 1)::int pos from att a join defined d using (lemma)",
         "highlight_html": f"select doc_id, case when {HIT} <> '' then substr(text, 1, strpos(text, {HIT}) - 1) || '<span class=''highlight''>' || {HIT} || '</span>' || substr(text, strpos(text, {HIT}) + length({HIT})) else text end || '<br><span class=''tag sentence-tag''>' || coalesce(source, 'None') || ' - 1.5</span>' html from documents",
         "sync_changes": f"{CHANGES} select op, note_id, expression, tags, frequency from changes",
+        "note_changes": f"""{FINISHED}, want as materialized (select d.lemma e, d.lemma reading, d.definition meaning, round(d.idx, 4)::varchar idx, d.frequency f, d.frequency::varchar frequency, d.score::varchar score, coalesce(h.html, '') html, d.tags t, ('0x' || md5(d.lemma)[1:8])::bigint number from defined d left join html h using (lemma) where not d.invalid),
+            seen_ as (select item_id, unnest(range(0, len(w))) i, unnest(w) w from (select item_id, regexp_extract_all(lower(text), {q(WORD)}) w from benchmark)),
+            gone as (select w, max(item_id * 100000 + i) note_id from seen_ where w not in (select e from want) group by w),
+            old as (select *, list_concat(['extra'], t[2:]) old_t from want where f % 4 <> 3)
+            select 'delete' op, note_id, w expression, '' tags, null::varchar reading, null::varchar meaning, null::varchar "index", null::varchar frequency, null::varchar score, null::varchar sentence_md5 from gone
+            union all select 'add', null, e, array_to_string(list_sort(t), ' '), reading, meaning, idx, frequency, score, md5(html) from want where f % 4 = 3
+            union all select 'updateFields', number, e, '', reading, meaning, idx, frequency, score, md5(html) from old where f % 4 in (1, 2)
+            union all select 'addTags', number, e, array_to_string(list_sort(list_filter(t, lambda x: not list_contains(old_t, x))), ' '), null, null, null, null, null, null from old where f % 4 = 2 and len(list_filter(t, lambda x: not list_contains(old_t, x))) > 0
+            union all select 'removeTags', number, e, 'extra', null, null, null, null, null, null from old where f % 4 = 2""",
         "sync_summary": f"{CHANGES} select count(*) filter (where op = 'add') added, count(distinct note_id) filter (where op in ('updateFields', 'addTags', 'removeTags')) updated, count(*) filter (where op = 'delete') deleted from changes",
         "sync_batches": f"{CHANGES} select op, batch, count(*) n, min(expression) first_expression from (select op, expression, ((row_number() over (partition by op order by expression, note_id) - 1) // 50)::int batch from changes) group by op, batch",
         "ngram_candidates": f"with {DOCS} {GRAMS.format(low=2, high=20, members=ACCENTED, source='docs')}",

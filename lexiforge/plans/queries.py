@@ -257,6 +257,12 @@ def dictionary_best_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.definitions(entries(spark, sf_dir))
 
 
+def dictionary_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry of a form's highest priority and most senses, where marks and senses are fewer than words."""
+    flat = entries(spark, sf_dir).select("entry_ord", *(F.transform(c, lambda e: e.withField("pri", F.array().cast("array<string>"))).alias(c) for c in ("kanji", "reading")), F.slice("senses", 1, 2).alias("senses"))
+    return dictionary.ranked_entries(flat, "all").select("form", "entry_ord", "n_senses")
+
+
 def _defined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.add_definitions(_words(spark, sf_dir), entries(spark, sf_dir))
 
@@ -383,6 +389,24 @@ def sync_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.batches(_changes(spark, sf_dir)).groupBy("op", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("expression").alias("first_expression"))
 
 
+def note_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From mined words, with definitions and attached sentences, through their note fields to the
+    change-set. The notes that exist are of an earlier state of the same words (some as they are, some with another
+    meaning, some with another sentence and tag, some missing) and of benchmark words that aren't mined."""
+    words = _finished(spark, sf_dir).withColumn("index", F.round("index", 4))
+    desired = staged(sync.note_fields(words), "desired-notes")
+    kind = F.col("fields")["Frequency"].cast("long") % 4
+    number = F.conv(F.substring(F.md5("expression"), 1, 8), 16, 10).cast("long")
+    field = lambda name, value: F.map_concat(F.map_filter("fields", lambda k, v: k != name), F.create_map(F.lit(name), value))
+    fields = F.when(kind == 1, field("Meaning", F.lit("old meaning"))).when(kind == 2, field("Sentence", F.concat(F.col("fields")["Sentence"], F.lit("!")))).otherwise(F.col("fields"))
+    tags = F.when(kind == 2, F.concat(F.array(F.lit("extra")), F.slice("tags", 2, 100))).otherwise(F.col("tags"))
+    mined = desired.where(kind != 3).select(number.alias("note_id"), "expression", tags.alias("tags"), fields.alias("fields"))
+    others = _notes(spark, sf_dir).join(desired.select("expression"), "expression", "left_anti").select(*mined.columns)
+    changes = sync.change_set(desired, mined.unionByName(others))
+    shown = [F.try_element_at("fields", F.lit(f)).alias(f.lower()) for f in ("Reading", "Meaning", "Index", "Frequency", "Score")]
+    return changes.select("op", "note_id", "expression", F.array_join(F.array_sort("tags"), " ").alias("tags"), *shown, F.md5(F.try_element_at("fields", F.lit("Sentence"))).alias("sentence_md5"))
+
+
 ACCENTED = "à-öø-ÿ"
 
 
@@ -470,9 +494,9 @@ NAMES = (
     "word_frequency", "word_scores", "clean_text", "line_sentences", "paragraph_sentences", "punct_split", "punct_split_ja", "kana_fold",
     "source_tags", "sentence_quality", "sentence_quality_ja", "layout_mode", "indent_join", "dialogue_mode", "page_lines", "extract_sentences",
     "normalise_sentences", "valid_sentences", "useful_tokens", "build_lexicon", "tag_sets", "token_position_index", "sentence_lemma_map",
-    "frequency_threshold", "filter_frequency", "tag_diversity", "priority_scores", "nearest_rank", "dictionary_scan", "dictionary_index", "dictionary_best_entry",
+    "frequency_threshold", "filter_frequency", "tag_diversity", "priority_scores", "nearest_rank", "dictionary_scan", "dictionary_index", "dictionary_best_entry", "dictionary_ties",
     "definitions_join", "invalid_words", "sentence_stats", "attach_examples", "attach_fallback", "kept_rows", "dropped_rows", "sentence_rows",
-    "mined_words", "mined_sentences", "highlight_html", "sync_changes", "sync_summary", "sync_batches", "ngram_candidates", "ngram_candidates_latin", "ngram_candidates_ja", "user_dictionary",
+    "mined_words", "mined_sentences", "highlight_html", "sync_changes", "note_changes", "sync_summary", "sync_batches", "ngram_candidates", "ngram_candidates_latin", "ngram_candidates_ja", "user_dictionary",
     "pos_resolution", "userdict_cost", "content_keys", "cache_misses", "token_cache_runs", "lexicon_update", "useless_lemmas",
 )
 

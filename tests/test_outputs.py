@@ -59,6 +59,13 @@ def test_word_files(spark, tmp_path):
     assert list(csv.reader((tmp_path / "out.sentence.csv").open(encoding="utf-8")))[1][:4] == ["kept", "high", "100.0", "猫がいる"]
 
 
+def test_word_tables(spark, tmp_path):
+    """The same rows as folders of sorted parts."""
+    assert sinks.write_word_tables(words_table(spark), str(tmp_path)) == {"kept": 2, "dropped": 1, "sentence": 1}
+    kept = [r for f in sorted((tmp_path / "kept").glob("*.csv")) for r in csv.reader(f.open(encoding="utf-8"))]
+    assert [r[1] for r in kept] == ["high", "low"] and kept[0][5] == 'say "x"' and kept[1][8] == "no sentences :("
+
+
 def test_output_paths(tmp_path):
     assert sinks.resolve_output(str(tmp_path), None) == tmp_path / f"{tmp_path.name}.csv"
     assert sinks.resolve_output(str(tmp_path), str(tmp_path / "new")) == tmp_path / "new" / f"{tmp_path.name}.csv"
