@@ -183,8 +183,10 @@ def ends_cut(t: str, p: str) -> str:
     return f"substr({t}, 1 + {front}, greatest(0, length({t}) - {front} - {back}))"
 
 
-def normalised(source: str) -> str:
-    """CTEs from ``source`` (file_id, sent_ord, text) to norm, white space taken out."""
+def normalised(source: str, spaced: bool = False) -> str:
+    """CTEs from ``source`` (file_id, sent_ord, text) to norm, white space taken out, or made one blank."""
+    gap = f"regexp_replace(text, '[{WS}]+', '{' ' if spaced else ''}', 'g')"
+    gap = strip(gap) if spaced else gap
     brackets = char_class("".join(PAIRS))
     tail = "t3"
     for pattern, shown in TAIL:
@@ -192,13 +194,21 @@ def normalised(source: str) -> str:
     pairs = f"[{', '.join(map(q, PAIRS))}]"
     ends = f"(length(regexp_extract(t1, '^{brackets}*')) + length(regexp_extract(t1, '{brackets}*$')))"
     return (
-        f"n1 as materialized (select file_id, sent_ord, regexp_replace(regexp_replace(nfc_normalize(regexp_replace(text, '[{WS}]+', '', 'g')), '→+', '', 'g'), '^{char_class(FRONT)}+', '') t1 from {source}),"
+        f"n1 as materialized (select file_id, sent_ord, regexp_replace(regexp_replace(nfc_normalize({gap}), '→+', '', 'g'), '^{char_class(FRONT)}+', '') t1 from {source}),"
         f" n2 as materialized (select file_id, sent_ord, case when {ends} > 0 then list_reduce(list_concat([t1], flatten(list_transform(range(0, {ends}), lambda i: {pairs}))), lambda t, p: {ends_cut('t', 'p')}) else t1 end t2 from n1),"
         f" n3 as (select file_id, sent_ord, {RUNS} t3 from (select file_id, sent_ord, string_split(t2, '') cs from n2)),"
         f" norm as (select file_id, sent_ord, {tail} as text from n3)"
     )
 
 
+#: The whole plan: everything above over normalised sentences, with readings of the dictionary.
+MINED = FINISHED.replace(
+    SENTENCES,
+    SENTENCES.replace("sents as materialized", "raw_sents as materialized") + f", {normalised('raw_sents', True)}, sents as materialized (select n.file_id, s.tag, n.sent_ord, n.text from norm n join raw_sents s using (file_id, sent_ord) where length(n.text) >= 5 and {count('n.text', LATIN.core)} >= 2)",
+)
+MINED = MINED.replace("select w.*, d.definition,", "select w.*, d.first_reading, d.definition,").replace("d.lemma reading", "coalesce(d.first_reading, d.lemma) reading")
+
+
 def rows_of(columns: str, rows: list[str]) -> str:
     return f"(values {', '.join(rows)}) as t({columns})"
 
@@ -271,6 +281,8 @@ def oracle_sql() -> dict[str, str]:
         "kept_rows": f'{FINISHED} select word, score, reading, "index", frequency, definition, tags, n_sentences, html from rows_ where not invalid',
         "dropped_rows": f'{FINISHED} select word, score, reading, "index", frequency, tags, n_sentences, html from rows_ where invalid',
         "sentence_rows": f"{FINISHED} select case when d.invalid then 'dropped' else 'kept' end status, d.lemma word, d.score, a.text sentence, a.tag, a.surface surface_form, (row_number() over (partition by a.lemma order by a.pos) - 1)::int pos from att a join defined d using (lemma)",
+        "mined_words": f"""{MINED} select case when invalid then 'dropped' else 'kept' end status, word, score, reading, "index", frequency, definition, tags, n_sentences, html from rows_""",
+        "mined_sentences": f"{MINED} select case when d.invalid then 'dropped' else 'kept' end status, d.lemma word, d.score, a.text sentence, a.tag, null::varchar origin, a.surface surface_form, (row_number() over (partition by a.lemma order by a.pos) - 1)::int pos from att a join defined d using (lemma)",
         "highlight_html": f"select doc_id, case when {HIT} <> '' then substr(text, 1, strpos(text, {HIT}) - 1) || '<span class=''highlight''>' || {HIT} || '</span>' || substr(text, strpos(text, {HIT}) + length({HIT})) else text end || '<br><span class=''tag sentence-tag''>' || coalesce(source, 'None') || ' - 1.5</span>' html from documents",
         "sync_changes": f"{CHANGES} select op, note_id, expression, tags, frequency from changes",
         "note_changes": f"""{FINISHED}, want as materialized (select d.lemma e, d.lemma reading, d.definition meaning, round(d.idx, 4)::varchar idx, d.frequency f, d.frequency::varchar frequency, d.score::varchar score, coalesce(h.html, '') html, d.tags t, ('0x' || md5(d.lemma)[1:8])::bigint number from defined d left join html h using (lemma) where not d.invalid),

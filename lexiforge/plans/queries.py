@@ -335,13 +335,14 @@ def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = mining.Config(LATIN, RegexTokenizer(), PROFILE_MIN, 98)
-    return mining.mine(corpus(spark, sf_dir), entries(spark, sf_dir), config).words
+    config = mining.Config(LATIN, RegexTokenizer(), PROFILE_MIN, 98, score_places=1, places=6)
+    words = mining.mine(corpus(spark, sf_dir), entries(spark, sf_dir), config).words
+    return words.withColumn("sentences", F.transform("sentences", lambda s: s.withField("score", F.round(s["score"], 1))))
 
 
 def mined_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole mining plan: kept and dropped words as the word files have them, with the
-    attached sentences. Unlike kept_rows and dropped_rows, which are held to their SQL, with normalised sentences."""
+    attached sentences. Unlike kept_rows and dropped_rows, with normalised sentences and readings of the dictionary."""
     status = F.when(F.col("invalid"), "dropped").otherwise("kept")
     return sinks.word_rows(_mined(spark, sf_dir)).select(status.alias("status"), "word", "score", "reading", "index", "frequency", "definition", "tags", "n_sentences", "html")
 
