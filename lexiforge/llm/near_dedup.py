@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +41,8 @@ BITS = 256
 #: Standard errors by which a sketch may fall short of the threshold.
 MARGIN = 4.75
 SEED = 5
-#: Pairs of sketches compared in one numpy step.
-PAIRS = 1 << 18
+#: Pairs of sketches compared in one numpy step, and texts held as Python objects at a time.
+PAIRS, TEXTS = 1 << 18, 128
 
 
 @dataclass(frozen=True)
@@ -163,26 +164,29 @@ class Block:
             forest.join(np.full(len(hits), i), hits)
 
 
+_FEATURES = pa.schema([("rid", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64())), ("bytes", pa.int64())])
+
+
 def _features(docs: DataFrame, k: int, key: bytes) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                items, other = shingles(text, k, key)
-                if not len(items):
-                    rows.append((0, 0, 0, b"", [], 0))
-                    continue
-                samples = minhashes(items)
-                keys = window_hash(rolling(samples[: ROWS * BANDS]), np.arange(0, ROWS * BANDS, ROWS), np.arange(ROWS, ROWS * BANDS + 1, ROWS))
-                keys = mix(keys + np.arange(BANDS, dtype=np.uint64))
-                s1, s2 = (int(mix(x).sum(dtype=np.uint64).astype(np.int64)) for x in (items, other))
-                rows.append((len(items), s1, s2, odd_sketch(samples).tobytes(), keys.view(np.int64), len(text)))
-            out = pd.DataFrame(rows, columns=["n", "s1", "s2", "sketch", "keys", "bytes"])
-            out.insert(0, "rid", pdf["rid"].to_numpy())
-            yield out
+    def features(rid: int, text: str | None) -> tuple:
+        items, other = shingles(text, k, key)
+        if not len(items):
+            return rid, 0, 0, 0, b"", [], 0
+        samples = minhashes(items)
+        keys = window_hash(rolling(samples[: ROWS * BANDS]), np.arange(0, ROWS * BANDS, ROWS), np.arange(ROWS, ROWS * BANDS + 1, ROWS))
+        keys = mix(keys + np.arange(BANDS, dtype=np.uint64))
+        s1, s2 = (int(mix(x).sum(dtype=np.uint64).astype(np.int64)) for x in (items, other))
+        return rid, len(items), s1, s2, odd_sketch(samples).tobytes(), keys.view(np.int64), len(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                rows = [features(rid, text) for rid, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FEATURES.types)], schema=_FEATURES)
 
     keyed = docs.select(rank_id(F.col("doc_id")).alias("rid"), "text")
-    return keyed.mapInPandas(run, "rid long, n int, s1 long, s2 long, sketch binary, keys array<long>, bytes long")
+    return keyed.mapInArrow(run, "rid long, n int, s1 long, s2 long, sketch binary, keys array<long>, bytes long")
 
 
 def _streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

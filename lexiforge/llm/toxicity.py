@@ -20,6 +20,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,8 @@ SAMPLE = 800
 #: as many windows as fit, drawn from all of the text. Every text is scored whole.
 SAMPLE_WINDOWS = 200_000
 SEED = 11
-CACHE = 1_000_000
+#: Words whose scores a task remembers, the first it meets, and texts held as Python objects at a time.
+CACHE, ROWS = 100_000, 64
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -204,9 +206,8 @@ class Scorer:
 
     def word(self, w: str) -> float:
         got = float(self.model.weight[grams(w)].mean())
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        self.known[w] = got
+        if len(self.known) < CACHE:
+            self.known[w] = got
         return got
 
     def logit(self, text: str | None) -> float:
@@ -287,11 +288,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, total: int =
 def score_column(text: Column, model: Model) -> Column:
     """Probability that a whole text is toxic; null scores as the empty text."""
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Scorer(model)
-        for texts in batches:
-            yield pd.Series([own.score(t) for t in texts], dtype="float64")
+        for texts in batches:  # a few texts as Python objects at a time
+            yield pa.array([own.score(t) for i in range(0, len(texts), ROWS) for t in texts.slice(i, ROWS).to_pylist()], pa.float64())
 
     return run(text)
 
