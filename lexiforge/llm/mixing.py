@@ -6,7 +6,8 @@ way, so every shard has an integer quota. In a shard, documents stand in a seede
 shard's blocks are the runs of BLOCK tokens of that order: whole passes over the shard come first, the
 rest of the quota takes the first blocks. So the seed selects blocks by the order of their
 documents, and in a shard one document at most is taken in part.
-Shards hold about SHARD_TOKENS tokens each, so no task holds a whole source.
+Shards hold about SHARD_TOKENS tokens and SHARD_ROWS rows each, so no task holds a whole source, however
+short its texts are.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from lexiforge.llm.common import documents, materialize, n_words
 
 BLOCK = 32
 SHARD_TOKENS = 1_000_000
+SHARD_ROWS = 20_000
 REPEATS = 3
 SEED = 7
 #: Weights of the sources in order, repeating.
@@ -74,13 +76,13 @@ def sainte_lague(claims: np.ndarray, seats: int) -> np.ndarray:
     return own
 
 
-def mix(docs: DataFrame, block: int = BLOCK, shard_tokens: int = SHARD_TOKENS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, block: int = BLOCK, shard_tokens: int = SHARD_TOKENS, repeats: int = REPEATS, seed: int = SEED, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """What the mix takes of every row: doc_id, source, size, source_size, target, taken.
 
     Null and empty texts have size 0 and are never taken; null sources form the last source;
     rows repeating an id are rows of their own; an empty table gives an empty result. Only
     sums per source (one row each) and per shard meet in a task."""
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "source").alias("__h"))
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("__h"))
     rows = materialize(rows, "mix-rows")
 
     def by_source(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -88,10 +90,10 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_tokens: int = SHARD_TOKENS, r
         weight = np.array([WEIGHTS[i % len(WEIGHTS)] for i in range(len(pdf))], dtype=np.float64)
         pdf["target"] = targets(pdf["source_size"].to_numpy(), weight, repeats)
         pdf["blocks"] = sainte_lague(pdf["target"].to_numpy(), round(pdf["source_size"].sum() / block))
-        pdf["shards"] = np.maximum(1, -(-pdf["source_size"] // shard_tokens))
+        pdf["shards"] = np.maximum(1, np.maximum(-(-pdf["source_size"] // shard_tokens), -(-pdf["n"] // shard_rows)))
         return pdf[["source", "source_size", "target", "blocks", "shards"]]
 
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = sums.groupBy(F.lit("all")).applyInPandas(by_source, "source string, source_size long, target double, blocks long, shards long")
     plan = materialize(plan, "mix-sources")
     planned = rows.join(plan.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))

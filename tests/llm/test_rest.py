@@ -91,6 +91,62 @@ def test_mix(spark, shard):
     assert out.columns == clash.columns and out.count() > 0
 
 
+def plainly_mixed(rows, block, shard_tokens, shard_rows):
+    """``taken`` of (key, source, size, h, order) rows: seats one by one, documents one by one."""
+    names = sorted({s for _, s, *_ in rows}, key=lambda s: (s is None, s or ""))
+    size = {n: sum(r[2] for r in rows if r[1] == n) for n in names}
+    weight = {n: mixing.WEIGHTS[i % len(mixing.WEIGHTS)] for i, n in enumerate(names)}
+    target, open_ = {}, set(names)
+    while open_:
+        budget = sum(size.values()) - sum(target.values())
+        share = {n: budget * weight[n] / sum(weight[m] for m in open_) for n in open_}
+        over = {n for n in open_ if share[n] > 3 * size[n]}
+        target |= {n: 3.0 * size[n] for n in over} if over else share
+        open_ = open_ - over if over else set()
+
+    def seats(claims, n):
+        own = [0] * len(claims)
+        for _ in range(n if sum(claims) else 0):
+            own[max(range(len(claims)), key=lambda i: (claims[i] / (2 * own[i] + 1), -i))] += 1
+        return own
+
+    taken = {}
+    blocks = seats([target[n] for n in names], round(sum(size.values()) / block))
+    for name, n_blocks in zip(names, blocks):
+        own = [r for r in rows if r[1] == name]
+        shards = max(1, -(-size[name] // shard_tokens), -(-len(own) // shard_rows))
+        by = {k: [r for r in own if r[4][shards] == k] for k in sorted({r[4][shards] for r in own})}
+        for part, quota in zip(by.values(), seats([sum(r[2] for r in part) for part in by.values()], n_blocks)):
+            order = [w for r in sorted(part, key=lambda r: (r[3], r[0])) for w in [r[0]] * r[2]]
+            for i in range(quota * block if order else 0):
+                key = order[i % len(order)]
+                taken[key] = taken.get(key, 0) + 1
+    return {r[0]: min(taken.get(r[0], 0), 3 * r[2]) for r in rows}
+
+
+@pytest.mark.parametrize("shard_tokens, shard_rows", [(10**6, 10**6), (300, 10**6), (10**6, 7)])
+def test_mix_by_single_words(spark, shard_tokens, shard_rows):
+    rng = np.random.default_rng(5)
+    sizes = {"a": 40, "b": 9, None: 60, "c": 0, "d": 2}
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 2 * sizes[s] + 1))), s) for i, s in enumerate(list(sizes) * 12)]
+    docs = table(spark, rows)
+    h = F.xxhash64(F.lit(mixing.SEED), "doc_id", "source", "text")
+    most = 80
+    hashed = docs.select("doc_id", h.alias("h"), F.array(F.lit(0), *(F.pmod(F.xxhash64(h, F.lit(1)), F.lit(n).cast("long")) for n in range(1, most))).alias("shard")).collect()
+    known = {r.doc_id: r for r in hashed}
+    want = plainly_mixed([(i, s, len(t.split()), known[i].h, known[i].shard) for i, t, s in rows], 8, shard_tokens, shard_rows)
+    got = {r.doc_id: r.taken for r in mixing.mix(docs, block=8, shard_tokens=shard_tokens, shard_rows=shard_rows).collect()}
+    assert got == want and sum(got.values()) > 0
+
+
+def test_empty_texts_are_spread(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.lit("s").alias("source"))
+    out = mixing.mix(docs, shard_rows=100)
+    assert out.where("taken <> 0 or target <> 0").count() == 0 and out.count() == 3000
+    h = F.pmod(F.xxhash64(F.xxhash64(F.lit(mixing.SEED), "doc_id", "source", "text"), F.lit(1)), F.lit(30).cast("long"))
+    assert docs.groupBy(h).count().agg(F.max("count")).first()[0] < 200
+
+
 def test_base_spans(spark):
     texts = [None, "", "a@b.c.d@e.f x@y.z_x@q.w", "1.2.3.4.5.6.7.8 999.1.1.1 000000255.1.1.1", "x" * 3000 + "@a.b", "1 " * 3000, "4111 1111 1111 1111 and 4111-1111-1111-1111 +1 (555) 123-4567.", "😀é +44 20 7946 0958 é (663) 555-6869", "+1+2+3 12.34.56.78.90", "٣٤ 1٣.1.1.1"]
     rows = [(i, t, "s") for i, t in enumerate(texts)]
