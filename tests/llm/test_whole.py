@@ -1,0 +1,126 @@
+"""Queries over whole tables against plain versions, and every query over empty and null rows."""
+
+from collections import Counter
+from hashlib import sha256
+from math import comb
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lexiforge.llm import mixing, pii, quality_rules, toxicity
+from lexiforge.llm.bpe_codec import tokenizer_path
+from lexiforge.llm.queries import queries
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "x y z " * 30, "en", None, 3), (3, "a b", "en", "a", 3), (3, "a b", "en", "a", 3), (4, "\n\t \n", "de", "b", 4), (5, "word " * 5000, "de", "b", 25000)]
+
+
+@pytest.fixture(scope="module")
+def bare(spark, tmp_path_factory):
+    """Folders of tables: one without rows, one with odd rows only."""
+    made = {}
+    for name, rows in (("empty", []), ("odd", ODD)):
+        folder = tmp_path_factory.mktemp(name)
+        spark.createDataFrame(rows, DOCUMENTS).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, None)] if rows else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        made[name] = str(folder)
+    return made
+
+
+@pytest.mark.parametrize("name", [*queries(), "pipeline"])
+def test_empty_and_odd_rows(spark, bare, name):
+    run = corpus_pipeline.run if name == "pipeline" else queries()[name]
+    assert run(spark, bare["empty"]).count() == 0
+    ids = Counter(r.doc_id for r in run(spark, bare["odd"]).select("doc_id").collect())
+    if name == "op13_best_fit_packing":
+        assert ids == Counter([d for d, *_ in ODD] + [5])  # a piece each, the long one has two
+    elif name == "pipeline":
+        assert set(ids) <= {d for d, *_ in ODD}
+    else:
+        assert ids == Counter(d for d, *_ in ODD)
+
+
+def test_quality_query_whole(spark):
+    """Verdicts of the 0.1 scale, where cutoffs are certified, by plain Python and exact tails."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    bad, held, failed, lang_of = {}, {}, {}, {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        n, chars, symbols, dup, repeated = brute.statistics(r.text)
+        text = r.text or ""
+        lines = [x for x in text.split("\n") if brute.WORD.search(x)]
+        upper = sum(c.isupper() and c.upper() == c for c in text if c.isalpha())
+        share = lambda a, b: a / b if b else 0.0
+        ratio = {"symbols": share(symbols, chars), "dup_lines": share(dup, len(lines)), "repeats": share(repeated, n), "upper": share(upper, chars), "marks": share(text.count("!") + text.count("?"), n)}
+        lang_of[r.doc_id], failed[r.doc_id] = r.lang, n < 50 or 100 * repeated > 50 * n
+        bad[r.doc_id] = max(ratio[k] / quality_rules.SCALES[k] for k in ratio)
+        if not failed[r.doc_id] and labels.get(r.doc_id) is not None:
+            key = (r.lang, text)
+            held[key] = (bad[r.doc_id], max(labels[r.doc_id], held.get(key, (0, 0))[1]))
+    strata = {lang for lang, _ in held}
+    cut = {}
+    for lang in strata:
+        own = [v for (x, _), v in held.items() if x == lang]
+        good, best = [b for b, q in own if q > 0], None
+        for c in quality_rules.CUTOFFS:
+            k, n = sum(b > c for b in good), len(good)
+            tail = sum(comb(n, j) * 0.02**j * 0.98 ** (n - j) for j in range(k + 1)) if k < 0.02 * n else 1.0
+            if tail > 0.05 / len(strata):
+                break
+            caught = sum(b > c for b, q in own if q <= 0)
+            if best is None or (caught, c) > best:
+                best = (caught, c)
+        if best:
+            cut[lang] = best[1]
+    got = {r.doc_id: r for r in queries()["op2_quality_rules"](spark, sf).collect()}
+    assert cut and {d: r.cutoff for d, r in got.items()} == {d: cut.get(lang) for d, lang in lang_of.items()}
+    assert {d: r.kept for d, r in got.items()} == {d: not failed[d] and not (lang_of[d] in cut and bad[d] > cut[lang_of[d]]) for d in bad}
+    assert sum(not r.kept and not r.base_failed for r in got.values()) > 100
+
+
+def test_token_queries_whole(spark, sf):
+    from tokenizers import Tokenizer
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    words, pieces = (Tokenizer.from_file(tokenizer_path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    for t in (words, pieces):
+        t.no_truncation()
+        t.no_padding()
+    hexed = lambda b: sha256(b).hexdigest()
+    want = {}
+    for d, t in docs.items():
+        ids = words.encode(t, add_special_tokens=False).ids
+        want[d] = (len(ids), hexed(np.array(ids, "<u4").tobytes()), hexed(words.decode(ids, skip_special_tokens=False).encode()))
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries()["op7_bpe_codec"](spark, sf).collect()} == want
+    n = {d: len(pieces.encode(t, add_special_tokens=False).ids) for d, t in docs.items()}
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries()["op9_token_counts"](spark, sf).collect()} == {d: (len(docs[d].encode()), n[d], n[d] > 512) for d in docs}
+
+
+def test_stages_whole(spark, sf):
+    """Each stage against what it says of its own input."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    scorer = toxicity.Scorer(toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+    kept = corpus_pipeline.toxicity(spark, docs, sf)
+    assert sorted(kept.collect()) == sorted(r for r in rows.values() if scorer.score(r.text) < 0.5)
+    spans = {r.doc_id: r.s for r in pii.find(docs).select("doc_id", pii.listed("all").alias("s")).collect()}
+    for r in corpus_pipeline.personal_data(spark, docs, sf).collect():
+        text, out, at = rows[r.doc_id].text or "", [], 0
+        found = sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in filter(None, spans[r.doc_id].split(","))))
+        for a, b, k in found:
+            out += [text[at:a], f"[{k.upper()}]"] if a >= at else []
+            at = max(at, -b)
+        assert r.text == ("".join(out) + text[at:] if found else rows[r.doc_id].text) and r.n_chars == len(r.text)
+    taken = {r.doc_id: -(-r.taken // r["size"]) if r["size"] else 0 for r in mixing.mix(docs).collect()}
+    mixed = corpus_pipeline.mixing(spark, docs, sf)
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter({d: n for d, n in taken.items() if n}) and mixed.columns == docs.columns
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    for r in corpus_pipeline.encoding(spark, docs.where(F.col("doc_id") < 60), sf).collect():
+        ids = library.encode(rows[r.doc_id].text or "", add_special_tokens=False).ids
+        assert bytes(r.ids) == np.array(ids, "<u4").tobytes() and r.n_tokens == len(ids)
