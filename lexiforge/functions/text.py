@@ -82,15 +82,23 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(joined, "\n\n", -1), lambda x: x != "")
 
 
+def _split_at(text: Column, found: str, exact: str) -> Column:
+    """Pieces of a text at the matches of ``exact``; ``found`` matches them with what stays on the left as its
+    group. Matches become a control character, which parts a text without compiling a pattern each time; a text that
+    holds it is split by the pattern itself."""
+    marked = F.split(F.regexp_replace(text, found, "$1\u0001"), "\u0001", -1)
+    return F.when(F.contains(text, F.lit("\u0001")), F.split(text, exact, -1)).otherwise(marked)
+
+
 def split_after_terminator(text: Column) -> Column:
     """Pieces at white space that follows a sentence terminator."""
-    return F.filter(F.split(text, rf"(?<=[。.!?])[{WS}]+", -1), lambda x: x != "")
+    return F.filter(_split_at(text, rf"([。.!?])[{WS}]+", rf"(?<=[。.!?])[{WS}]+"), lambda x: x != "")
 
 
 def split_on_punctuation(text: Column) -> Column:
     """Pieces after runs of terminators that more text follows; the run stays on the left."""
-    parts = F.split(text, rf"(?<=[。．！？!?])[{WS}]*(?=[^{WS}。．！？!?])", -1)
-    return F.filter(F.transform(parts, strip), lambda x: x != "")
+    rest = rf"[{WS}]*(?=[^{WS}。．！？!?])"
+    return F.filter(F.transform(_split_at(text, rf"([。．！？!?]+){rest}", rf"(?<=[。．！？!?]){rest}"), strip), lambda x: x != "")
 
 
 def indent(line: Column) -> Column:

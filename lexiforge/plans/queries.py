@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.from_documents(table(spark, sf_dir, "documents"))
+    return files.from_documents(files.spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
 
 def plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,18 @@ def read_corpus(spark: SparkSession, path: str, recursive: bool = False) -> Data
     return whole.join(ids, "path").select("file_id", "path", source_tag(F.col("path")).alias("tag"), "mtime", "text")
 
 
+#: Bytes a core below which a table is dealt over the cores.
+SMALL = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table, which may be a single split, dealt over the cores; a larger one has splits enough and stays
+    as it is, so that texts never move at size."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < SMALL * cores else df
+
+
 def from_documents(documents: DataFrame) -> DataFrame:
     """A document table as a corpus: its source is the tag. Null texts drop out."""
     return documents.where("text is not null").select(F.col("doc_id").alias("file_id"), F.coalesce("source", F.lit("[no tag]")).alias("tag"), "text")
