@@ -285,17 +285,17 @@ def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lists = staged(lexicon.useful_lists(_counted(spark, sf_dir), RegexTokenizer(), LATIN), "lists")
     words = staged(lexicon.lexicon(lexicon.numbered_tokens(lists)), "lexicon")
     scored = staged(_coarse(ranking.ranked_words(words, PROFILE_MIN, 98)), "words")
-    return scored, staged(lexicon.segment_lists(lists, LATIN), "segments")
+    return scored, staged(examples.featured(lexicon.segment_lists(lists, LATIN), LATIN), "segments")
 
 
 def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, of_segments = _prepared(spark, sf_dir)
-    stats = examples.sentence_statistics(of_segments, words, LATIN, unknown=True)
+    stats = examples.sentence_statistics(of_segments, words, unknown=True)
     return stats.select("file_id", "sent_ord", "lemma", "score", "n_known", "n_total", "too_hard", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
 
 
 def _examples(of_segments: DataFrame, words: DataFrame) -> DataFrame:
-    return examples.candidates(examples.sentence_statistics(of_segments, words, LATIN), examples.highest_score(words), 6)
+    return examples.candidates(examples.sentence_statistics(of_segments, words), examples.highest_score(words), 6)
 
 
 def attach_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,7 +316,7 @@ def _finished(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defined words with their attached sentences; scores of one decimal."""
     words, of_segments = _prepared(spark, sf_dir)
     words = dictionary.add_definitions(words, entries(spark, sf_dir))
-    done = examples.attach_examples(staged(words, "defined"), of_segments, LATIN, places=6)
+    done = examples.attach_examples(staged(words, "defined"), of_segments, places=6)
     return done.withColumn("sentences", F.transform("sentences", lambda s: s.withField("score", F.round(s["score"], 1))))
 
 

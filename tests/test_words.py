@@ -125,7 +125,7 @@ def attach(spark, words, segments):
     w = spark.createDataFrame(words, "lemma string, score double")
     rows = [(0, i, "t", text, [(lemma, lemma) for lemma in lemmas]) for i, (text, lemmas) in enumerate(segments)]
     s = spark.createDataFrame(rows, "file_id long, sent_ord int, tag string, text string, entries array<struct<lemma:string,surface:string>>")
-    return {r.lemma: r.sentences for r in examples.attach_examples(w, s).collect()}
+    return {r.lemma: r.sentences for r in examples.attach_examples(w, examples.featured(s)).collect()}
 
 
 def test_top_three(spark):
