@@ -37,7 +37,7 @@ SAMPLE = 800
 SAMPLE_WINDOWS = 200_000
 SEED = 11
 #: Words whose scores a task remembers, the first it meets, and texts held as Python objects at a time.
-CACHE, ROWS = 100_000, 64
+CACHE, ROWS = 300_000, 64
 
 _WORD = re.compile(r"[^\W\d_]+")
 
