@@ -10,7 +10,7 @@ from lexiforge.functions.normalize import FRONT, PAIRS, TAIL, char_class
 from lexiforge.functions.profiles import INVISIBLE, JAPANESE, JAPANESE_BROAD, LATIN, LATIN_LETTERS, SCRIPT_MARKS, WS, ngram_chars
 from lexiforge.functions.scoring import PRIORITY
 from lexiforge.operators.userdict import POS_MAP, POS_PRIORITY
-from lexiforge.plans import fixtures
+from lexiforge.plans import japanese as J
 from lexiforge.plans.queries import ACCENTED, ENTITIES, FINGERPRINT, WORD
 
 
@@ -209,14 +209,21 @@ MINED = FINISHED.replace(
 MINED = MINED.replace("select w.*, d.definition,", "select w.*, d.first_reading, d.definition,").replace("d.lemma reading", "coalesce(d.first_reading, d.lemma) reading")
 
 
-def rows_of(columns: str, rows: list[str]) -> str:
-    return f"(values {', '.join(rows)}) as t({columns})"
+#: The documents and their distinct words in Japanese script.
+JA_TEXT = "case doc_id % 4 " + " ".join(f"when {i} then translate(text, {q(J.LETTERS)}, {q(t)})" for i, t in enumerate(J.TEXTS)) + " end"
+JA_DOCS = f"(select doc_id id, {JA_TEXT} text from documents where text is not null)"
+LOWER = J.ascii_lowercase
+JA_WORD = f"case (length(latin) + unicode(latin)) % 8 when 7 then translate(latin, '{LOWER}', '{J.WORDS[7]}') || 'ー' when 6 then substr(translate(latin, '{LOWER}', '{J.WORDS[6]}'), 1, 1) " + " ".join(f"when {i} then translate(latin, '{LOWER}', '{J.WORDS[i]}')" for i in range(6)) + " end"
+JA_WORDS = f"(select latin, {JA_WORD} word from (select distinct unnest(regexp_extract_all(lower(text), {q(WORD)})) latin from documents))"
+JA_MARKED = "case (id + ord) % 12 when 0 then '名前>' || piece when 1 then piece || '[...]' when 2 then '「' || piece when 3 then '行き方 ' || substr(piece, 1, 8) when 4 then substr(piece, 1, 4) when 5 then '名前>' || substr(piece, 1, 12) when 6 then substr(piece, 1, 3) || ' Ｍ ' || substr(piece, 1, 9) when 7 then piece || '[...][...][...]' when 8 then substr(piece, 1, 40) || '。' when 9 then substr(piece, 1, 30) else piece end"
+POS_PAIRS = "[" + ", ".join(f"['{a}', '{b}']" for a, b in J.POS_PAIRS) + f"][(length(latin) * 7 + unicode(latin)) % {len(J.POS_PAIRS)} + 1]"
+
+
+def picked(names: tuple[str, ...]) -> str:
+    every = f"[{', '.join(map(q, names))}]"
+    return f"([{', '.join(f'{every}[(item_id * 7 + {j} * 5) % {len(names)} + 1]' for j in range(3))}])[1:item_id % 4]"
 
 
-FIX = rows_of("id, text", [f"({i}, {q(s)})" for i, s in enumerate(fixtures.SENTENCES)])
-MARKS = rows_of("id, pri", [f"({i}, [{', '.join(map(q, m))}]::varchar[])" for i, m in enumerate(fixtures.MARKS)])
-POS = rows_of("id, pos", [f"({i}, [{', '.join(map(q, p))}]::varchar[])" for i, p in enumerate(fixtures.POS_LISTS)])
-LEMMAS = rows_of("id, lemma, p1, p2", [f"({i}, {q(m)}, {q(a)}, {q(b)})" for i, (m, a, b) in enumerate(fixtures.LEMMAS)])
 POS_CASE = " ".join(f"when {q(k)} then {q(','.join(v))}" for k, v in POS_MAP.items())
 PRIO_CASE = " ".join(f"when {q(p)} then {i}" for i, p in enumerate(POS_PRIORITY))
 SPACED = "regexp_replace(text, '[.] ', '.' || chr(10), 'g')"
@@ -224,13 +231,41 @@ LAID = (
     f"laid as (select doc_id, case when doc_id % 3 = 0 then text when doc_id % 3 = 1 then {SPACED} else"
     f" array_to_string(list_transform(list_filter(string_split({SPACED}, chr(10)), lambda l: l <> ''), lambda x, i: repeat(' ', ((i - 1) % 3)::int) || x), chr(10)) end text from documents)"
 )
-GRAMS = "select distinct substr(r, s::int, k::int) candidate from (select r, s, unnest(range({low}, least({high}, length(r) - s + 1) + 1)) k from (select r, unnest(range(1, length(r) - {low} + 2)) s from (select unnest(regexp_extract_all(text, '[{members}]+')) r from {source})))"
+GRAMS = "select distinct substr(r, s::int, k::int) candidate from (select r, s, unnest(range({low}, least({high}, length(r) - s + 1) + 1)) k from (select r, unnest(range(1, length(r) - {low} + 2)) s from (select distinct unnest(regexp_extract_all(text, '[{members}]+')) r from {source})))"
 HIT = "regexp_extract(text, '[A-Za-z]{4,}')"
 
 
-def oracle_sql() -> dict[str, str]:
-    ja_valid = valid("text", JAPANESE, JAPANESE_BROAD, 10, 50)
+def split_pieces(rows: str) -> str:
+    return exploded(rows, on_punctuation("text"), "id", "piece")
+
+
+def kana_fold(rows: str) -> str:
+    return f"select id, translate(text, '{KATA}', '{HIRA}') folded from {rows}"
+
+
+def quality_ja(rows: str, keys: str = "id") -> str:
     body = strip("substr(text, strpos(text, '>') + 1)")
+    return f"select {keys}, round({penalty('text', JAPANESE, '。！？')}, 6) penalty, {valid('text', JAPANESE, JAPANESE_BROAD, 10, 50)} valid, length(text) >= 5 and {count('text', chr(0x3040) + '-' + chr(0x309F))} >= 2 keep, case when contains(text, '>') and regexp_matches({body}, '[\\x{{4e00}}-\\x{{9fff}}]') then {body} else text end as key from {rows}"
+
+
+def priority_scores(rows: str, key: str = "id") -> str:
+    return f"select {key}, coalesce(list_sum(list_transform(pri, lambda m: {PRI.format(m='m')})), 0)::int points from {rows}"
+
+
+def resolved_pos(rows: str) -> str:
+    return f"""select id, (list_sort(list_filter(list_transform(pos, lambda p, i: struct_pack(r := coalesce(case split_part(case p {POS_CASE} end, ',', 1) {PRIO_CASE} end, {len(POS_PRIORITY)}), i := i, m := case p {POS_CASE} end)), lambda e: e.m is not null)))[1].m resolved,
+            len(list_filter(pos, lambda p: not starts_with(p, 'noun'))) = 0 nouns, len(list_filter(pos, lambda p: not (starts_with(p, 'noun') or contains(p, 'verb')))) = 0 verbs_or_nouns, len(list_filter(pos, lambda p: starts_with(p, 'expressions'))) > 0 expression from {rows}"""
+
+
+def costs(rows: str) -> str:
+    return f"select id, e, case when e then 500 * length(text)::int - 1000 + case when regexp_matches(text, '^[ぁ-んー]+$') then case when length(text) < 3 then 1000 else 500 end else 0 end else 1750 * length(text)::int end cost, regexp_matches(text, '^[ぁ-んー]+$') hiragana from {rows}, (values (true), (false)) as f(e)"
+
+
+def useless(rows: str) -> str:
+    return f"select id, lemma = '' or regexp_matches(lemma, '^\\p{{Nd}}+$') or regexp_matches(lemma, '^[a-zA-ZÀ-ÿ''-]+$') or not regexp_matches(lemma, '[{JAPANESE}]') or regexp_matches(lemma, '[っゃゅょァィゥェォッャュョー]$') or p1 in ('助詞', '記号', '補助記号', '感動詞', '接頭辞', '接尾辞', '代名詞') or (p1 = '名詞' and p2 in ('固有名詞', '代名詞')) or regexp_matches(lemma, '^[ぁ-んァ-ン]$') or regexp_matches(lemma, '^[ァ-ンー]+$') useless from {rows}"
+
+
+def oracle_sql() -> dict[str, str]:
     return {
         "word_frequency": f"with {PLAIN} select word, frequency, n_sources from freq",
         "word_scores": f"{WORDS} select lemma word, frequency, len(tags)::int n_tags, round(idx, 6) mean_index, score from words",
@@ -238,11 +273,11 @@ def oracle_sql() -> dict[str, str]:
         "line_sentences": f"with {DOCS} {exploded('docs', full_lines('text'), 'file_id', 'line')}",
         "paragraph_sentences": f"with {DOCS} {exploded('docs', f'flatten(list_transform({paragraphs("text")}, lambda p: {after_terminator("p")}))', 'file_id', 'piece')}",
         "punct_split": f"with {DOCS} {exploded('docs', on_punctuation('text'), 'file_id', 'piece')}",
-        "punct_split_ja": exploded(FIX, on_punctuation("text"), "id", "piece"),
-        "kana_fold": f"select id, translate(text, '{KATA}', '{HIRA}') folded from {FIX}",
+        "punct_split_ja": split_pieces(JA_DOCS),
+        "kana_fold": kana_fold(JA_DOCS),
         "source_tags": "with p as (select doc_id, '/corpus/[' || source || ']/' || doc_id::varchar || case when doc_id % 3 = 0 then '.txt' else '[x].srt' end path from documents), b as (select doc_id, case when doc_id % 5 = 0 then regexp_replace(path, '[\\[\\]]', '', 'g') else path end path from p) select doc_id, coalesce(nullif(regexp_extract(path, '\\[(.+?)\\]', 1), ''), '[no tag]') tag from b",
         "sentence_quality": f"{BASE} select file_id, sent_ord, round({penalty('text', LATIN.narrow, LATIN.terminators)}, 6) penalty, length(text)::int n_chars from sents",
-        "sentence_quality_ja": f"select id, round({penalty('text', JAPANESE, '。！？')}, 6) penalty, {ja_valid} valid, length(text) >= 5 and {count('text', chr(0x3040) + '-' + chr(0x309F))} >= 2 keep, case when contains(text, '>') and regexp_matches({body}, '[\\x{{4e00}}-\\x{{9fff}}]') then {body} else text end as key from {FIX}",
+        "sentence_quality_ja": quality_ja(f"(select id, ord, {JA_MARKED} text from ({split_pieces(JA_DOCS)}))", "id, ord"),
         "layout_mode": f"with {LAID} select doc_id, {mode('text')} mode from laid",
         "indent_join": f"""with {LAID}, ls as (select doc_id, unnest(range(0, len(x))) i, unnest(x) l from (select doc_id, list_filter(string_split(text, chr(10)), lambda l: {strip('l')} <> '') x from laid)),
             st as (select *, {indent('l')} w from ls), fl as (select *, case when w < lag(w) over (partition by doc_id order by i) then 1 else 0 end fresh from st),
@@ -260,7 +295,7 @@ def oracle_sql() -> dict[str, str]:
         "frequency_threshold": f"{TOKENS} select 98 keep_percent, {THRESHOLD.format(low=4, keep=98, table='lex')} threshold union all select 50, {THRESHOLD.format(low=1, keep=50, table='lex')} union all select 10, {THRESHOLD.format(low=1, keep=10, table='lex')}",
         "filter_frequency": f"{TOKENS}, placed as (select lemma, frequency, row_number() over (order by frequency) r, count(*) over () n from lex), marked as (select lemma, frequency, max(case when r = n * 90 // 100 + 1 then frequency end) over () least_one from placed) select lemma, frequency from marked where frequency >= greatest(1, least_one)",
         "tag_diversity": f"{TOKENS} select lemma, round(case when len(tags) >= 10 then 1.0::double else 0.1::double + 0.9::double * (greatest(len(tags), 1) - 1) / 9 end, 6) factor from lex",
-        "priority_scores": f"select id, coalesce(list_sum(list_transform(pri, lambda m: {PRI.format(m='m')})), 0)::int points from {MARKS}",
+        "priority_scores": priority_scores(f"(select item_id, {picked(J.PRIORITY_MARKS)} pri from benchmark)", "item_id"),
         "nearest_rank": "select source, (list_sort(list(length(text)::double)))[least(count(*) * 9 // 10, count(*) - 1) + 1] p90 from documents group by source",
         "dictionary_scan": f"""with {ITEMS}, ents as (select (row_number() over (order by i) - 1)::bigint entry_ord, i, w, {M1} m1, {M2} m2,
             case when i % 2 = 0 then '{ENTITIES["n"]}|{ENTITIES["v1"]}' else 'a & b <c>' end pos, case when i % 5 = 0 then '{ENTITIES["uk"]}' else '' end misc from items where len(w) >= 4)
@@ -297,18 +332,18 @@ def oracle_sql() -> dict[str, str]:
         "sync_summary": f"{CHANGES} select count(*) filter (where op = 'add') added, count(distinct note_id) filter (where op in ('updateFields', 'addTags', 'removeTags')) updated, count(*) filter (where op = 'delete') deleted from changes",
         "sync_batches": f"{CHANGES} select op, batch, count(*) n, min(expression) first_expression from (select op, expression, ((row_number() over (partition by op order by expression, note_id) - 1) // 50)::int batch from changes) group by op, batch",
         "ngram_candidates": f"with {DOCS} {GRAMS.format(low=2, high=20, members=ACCENTED, source='docs')}",
-        "ngram_candidates_ja": GRAMS.format(low=2, high=20, members=ngram_chars(), source=FIX),
+        "ngram_candidates_latin": f"with {DOCS} {GRAMS.format(low=2, high=20, members=LATIN_LETTERS, source='docs')}",
+        "ngram_candidates_ja": GRAMS.format(low=2, high=20, members=ngram_chars(), source=JA_DOCS),
         "user_dictionary": f"""with {DICTIONARY}, seen as materialized (select distinct unnest(regexp_extract_all(text, '[{LATIN_LETTERS}]+')) r from documents),
             cands as (select form, entry_ord, first_reading, length(form)::int n from dict d where length(form) between 7 and 20 and exists (select 1 from seen where contains(r, d.form)))
             select form word, case when entry_ord % 3 = 2 then 500 * n - 1000 else 1750 * n end cost, case when entry_ord % 3 = 1 then '動詞' else '名詞' end p0, case when entry_ord % 3 = 1 then '一般' else '普通名詞' end p1, first_reading reading from cands where entry_ord % 4 <> 3""",
-        "pos_resolution": f"""select id, (list_sort(list_filter(list_transform(pos, lambda p, i: struct_pack(r := coalesce(case split_part(case p {POS_CASE} end, ',', 1) {PRIO_CASE} end, {len(POS_PRIORITY)}), i := i, m := case p {POS_CASE} end)), lambda e: e.m is not null)))[1].m resolved,
-            len(list_filter(pos, lambda p: not starts_with(p, 'noun'))) = 0 nouns, len(list_filter(pos, lambda p: not (starts_with(p, 'noun') or contains(p, 'verb')))) = 0 verbs_or_nouns, len(list_filter(pos, lambda p: starts_with(p, 'expressions'))) > 0 expression from {POS}""",
-        "userdict_cost": f"select id, e, case when e then 500 * length(text)::int - 1000 + case when regexp_matches(text, '^[ぁ-んー]+$') then case when length(text) < 3 then 1000 else 500 end else 0 end else 1750 * length(text)::int end cost, regexp_matches(text, '^[ぁ-んー]+$') hiragana from {FIX}, (values (true), (false)) as f(e)",
+        "pos_resolution": resolved_pos(f"(select item_id id, {picked(J.POS_NAMES)} pos from benchmark)"),
+        "userdict_cost": costs(f"(select latin id, word text from {JA_WORDS})"),
         "content_keys": f"with {DOCS} select file_id, sha256(array_to_string(x, chr(10)) || chr(0) || '{FINGERPRINT}') content_key from (select file_id, {full_lines('text')} x from docs) where len(x) > 0",
         "cache_misses": f"with {DOCS}, k as (select file_id, sha256(array_to_string(x, chr(10)) || chr(0) || '{FINGERPRINT}') content_key from (select file_id, {full_lines('text')} x from docs) where len(x) > 0) select file_id, content_key from k where content_key not in (select content_key from k where file_id in (select doc_id from labels))",
         "token_cache_runs": f"""{BASE}, ks as (select file_id, sha256(array_to_string(list(text order by sent_ord), chr(10)) || chr(0) || 'regex:[A-Za-zÀ-ÖØ-öø-ÿ]+') k, count(*) n, sum(len(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+'))) t from sents group by file_id),
             ke as (select file_id, coalesce(k, sha256(chr(0) || 'regex:[A-Za-zÀ-ÖØ-öø-ÿ]+')) k, coalesce(n, 0) n, coalesce(t, 0)::bigint t from docs left join ks using (file_id))
             select file_id, n n_sentences, t n_tokens, k not in (select k from ke where file_id in (select doc_id from labels)) fresh from ke""",
         "lexicon_update": f"{TOKENS} select lemma, frequency, index_count, round(idx, 6) mean_index, array_to_string(tags, ' ') tags, seen_at.f first_file, seen_at.s::int first_sent from lex",
-        "useless_lemmas": f"select id, lemma = '' or regexp_matches(lemma, '^\\p{{Nd}}+$') or regexp_matches(lemma, '^[a-zA-ZÀ-ÿ''-]+$') or not regexp_matches(lemma, '[{JAPANESE}]') or regexp_matches(lemma, '[っゃゅょァィゥェォッャュョー]$') or p1 in ('助詞', '記号', '補助記号', '感動詞', '接頭辞', '接尾辞', '代名詞') or (p1 = '名詞' and p2 in ('固有名詞', '代名詞')) or regexp_matches(lemma, '^[ぁ-んァ-ン]$') or regexp_matches(lemma, '^[ァ-ンー]+$') useless from {LEMMAS}",
+        "useless_lemmas": useless(f"(select latin id, word lemma, p[1] p1, p[2] p2 from (select latin, word, {POS_PAIRS} p from {JA_WORDS}))"),
     }

@@ -1,7 +1,8 @@
 """Queries over the driver's tables, one per operator, each with its SQL in plans.oracle.
 
 Documents are the corpus (LATIN profile, tag = source), benchmark items make a dictionary and
-an existing note store, conversations a dialogue corpus. Japanese semantics run on inline rows.
+an existing note store, conversations a dialogue corpus. Japanese rules run on the same tables in
+Japanese script (plans.japanese).
 Doubles are rounded so that both engines hash alike.
 """
 
@@ -17,7 +18,7 @@ from lexiforge.functions.profiles import JA, LATIN, LATIN_LETTERS
 from lexiforge.operators import dictionary, examples, layout, lexicon, lexicon_state, ranking, sync, token_cache, userdict
 from lexiforge.operators.staging import new_folder, staged
 from lexiforge.operators.tokenizers import RegexTokenizer
-from lexiforge.plans import fixtures, mining
+from lexiforge.plans import japanese, mining
 from lexiforge.sources import files, sinks
 from lexiforge.sources.dictionary_xml import read_dictionary, write_dictionary
 
@@ -71,12 +72,28 @@ def punct_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir, "piece", T.split_on_punctuation(F.col("text")))
 
 
+def japanese_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).select(F.col("file_id").alias("id"), japanese.text(F.col("file_id"), F.col("text")).alias("text"))
+
+
+def japanese_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return japanese.words(corpus(spark, sf_dir), WORD)
+
+
+def split_pieces(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.posexplode(T.split_on_punctuation(F.col("text"))).alias("ord", "piece"))
+
+
 def punct_split_ja(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.sentences(spark).select("id", F.posexplode(T.split_on_punctuation(F.col("text"))).alias("ord", "piece"))
+    return split_pieces(japanese_corpus(spark, sf_dir))
+
+
+def folded(rows: DataFrame) -> DataFrame:
+    return rows.select("id", T.kana_fold(F.col("text")).alias("folded"))
 
 
 def kana_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.sentences(spark).select("id", T.kana_fold(F.col("text")).alias("folded"))
+    return folded(japanese_corpus(spark, sf_dir))
 
 
 def source_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +106,15 @@ def sentence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.extract_sentences(corpus(spark, sf_dir)).select("file_id", "sent_ord", F.round(T.quality_penalty(F.col("text"), LATIN), 6).alias("penalty"), F.length("text").alias("n_chars"))
 
 
-def sentence_quality_ja(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quality_ja(rows: DataFrame) -> DataFrame:
     text = F.col("text")
-    return fixtures.sentences(spark).select("id", F.round(T.quality_penalty(text, JA), 6).alias("penalty"), T.is_valid_sentence(text, JA).alias("valid"), T.keep_normalised(text, JA).alias("keep"), T.dedupe_key(text).alias("key"))
+    return rows.select(*(c for c in rows.columns if c != "text"), F.round(T.quality_penalty(text, JA), 6).alias("penalty"), T.is_valid_sentence(text, JA).alias("valid"), T.keep_normalised(text, JA).alias("keep"), T.dedupe_key(text).alias("key"))
+
+
+def sentence_quality_ja(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every sentence in Japanese script, with speakers, guides, gaps and cuts by its place."""
+    pieces = punct_split_ja(spark, sf_dir)
+    return quality_ja(pieces.select("id", "ord", japanese.marked(F.col("id"), F.col("ord"), F.col("piece")).alias("text")))
 
 
 def layout_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +221,8 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def priority_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.marks(spark).select("id", S.priority_score(F.col("pri")).alias("points"))
+    marks = japanese.picked(F.col("item_id"), japanese.PRIORITY_MARKS)
+    return table(spark, sf_dir, "benchmark").select("item_id", S.priority_score(marks).alias("points"))
 
 
 def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,12 +441,12 @@ def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ngram_candidates_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all Latin letters of the whole texts, in the case they stand in; ngram_candidates is
-    held to its SQL, which has the accented lower-case letters only. No SQL: see tests.test_outputs."""
+    of the accented lower-case ones only. Brute force: see tests.test_outputs."""
     return userdict.candidate_ngrams(corpus(spark, sf_dir).select("text"), members=LATIN_LETTERS)
 
 
 def ngram_candidates_ja(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return userdict.candidate_ngrams(fixtures.sentences(spark))
+    return userdict.candidate_ngrams(japanese_corpus(spark, sf_dir))
 
 
 def user_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,11 +460,20 @@ def user_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pos_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.pos_lists(spark).select("id", F.array_join(userdict.resolve_pos(F.col("pos")), ",").alias("resolved"), userdict.only_nouns(F.col("pos")).alias("nouns"), userdict.only_verbs_or_nouns(F.col("pos")).alias("verbs_or_nouns"), userdict.is_expression(F.col("pos")).alias("expression"))
+    """Of lists of parts of speech that benchmark items pick by their number."""
+    return resolved_pos(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), japanese.picked(F.col("item_id"), japanese.POS_NAMES).alias("pos")))
+
+
+def resolved_pos(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.array_join(userdict.resolve_pos(F.col("pos")), ",").alias("resolved"), userdict.only_nouns(F.col("pos")).alias("nouns"), userdict.only_verbs_or_nouns(F.col("pos")).alias("verbs_or_nouns"), userdict.is_expression(F.col("pos")).alias("expression"))
 
 
 def userdict_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = fixtures.sentences(spark).withColumn("e", F.explode(F.array(F.lit(True), F.lit(False))))
+    return costs(japanese_words(spark, sf_dir).select(F.col("latin").alias("id"), F.col("word").alias("text")))
+
+
+def costs(rows: DataFrame) -> DataFrame:
+    words = rows.withColumn("e", F.explode(F.array(F.lit(True), F.lit(False))))
     return words.select("id", "e", userdict.cost(F.col("text"), F.col("e")).alias("cost"), userdict.is_all_hiragana(F.col("text")).alias("hiragana"))
 
 
@@ -487,7 +520,11 @@ def lexicon_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def useless_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.lemmas(spark)
+    words = japanese_words(spark, sf_dir)
+    return useless(words.select(F.col("latin").alias("id"), F.col("word").alias("lemma"), japanese.pos_pair(F.col("latin")).alias("pos")))
+
+
+def useless(rows: DataFrame) -> DataFrame:
     return rows.select("id", lexicon.is_useless(F.col("lemma"), F.col("pos"), JA).alias("useless"))
 
 

@@ -1,4 +1,4 @@
-"""Inline rows for semantics that the driver's tables don't reach (Japanese script)."""
+"""Edge cases of the Japanese rules, row by row; the queries run the same rules over whole tables."""
 
 from __future__ import annotations
 
