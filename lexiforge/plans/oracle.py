@@ -7,8 +7,9 @@ character first, and lists use lambdas.
 from __future__ import annotations
 
 from lexiforge.functions.normalize import FRONT, PAIRS, TAIL, char_class
-from lexiforge.functions.profiles import INVISIBLE, JAPANESE, JAPANESE_BROAD, LATIN, LATIN_LETTERS, SCRIPT_MARKS, WS, ngram_chars
+from lexiforge.functions.profiles import INVISIBLE, JA, JAPANESE, JAPANESE_BROAD, LATIN, LATIN_LETTERS, SCRIPT_MARKS, WS, ngram_chars
 from lexiforge.functions.scoring import PRIORITY
+from lexiforge.operators.tokenizers import JAPANESE_RUNS
 from lexiforge.operators.userdict import POS_MAP, POS_PRIORITY
 from lexiforge.plans import japanese as J
 from lexiforge.plans.queries import ACCENTED, ENTITIES, FINGERPRINT, WORD
@@ -119,7 +120,7 @@ VALID = f"vals as (select file_id, sent_ord, tag, text from sents where {valid('
 SEGMENTS = f"{VALID}, segs as materialized (select u.file_id, u.sent_ord, u.lemma, max_by(u.surface, u.tok_ord) surface, min(u.tok_ord) first_tok, any_value(v.text) text, any_value(v.tag) tag from useful u join vals v using (file_id, sent_ord) group by u.file_id, u.sent_ord, u.lemma)"
 STATS = (
     f"{WORDS}, {SEGMENTS}, scored as (select s.*, w.score from segs s left join words w using (lemma)),"
-    " stats as materialized (select *, count(score) over seg n_known, count(*) over seg n_total, coalesce(avg(score) over seg, 0) mean, coalesce(var_pop(score) over seg, 0) variance, rank() over (partition by file_id, sent_ord order by score desc nulls last) - 1 too_hard from scored window seg as (partition by file_id, sent_ord))"
+    " stats as materialized (select *, count(score) over seg n_known, count(*) over seg n_total, coalesce(sum(round(score * 10)::bigint) over seg / (count(score) over seg * 10), 0)::double mean, coalesce(var_pop(score) over seg, 0) variance, rank() over (partition by file_id, sent_ord order by score desc nulls last) - 1 too_hard from scored window seg as (partition by file_id, sent_ord))"
 )
 FIT = (
     f"{STATS}, cands as (select *, round(round(variance / 100000 + (n_total - n_known)::double / n_total * 0.9::double + abs(length(text) - 25)::double / 15 + greatest(0, 6 - n_known) * 0.5::double"
@@ -128,7 +129,7 @@ FIT = (
     " ranked as materialized (select lemma, row_number() over (partition by lemma order by x.fitness, first_seen) pos, x from uniq)"
 )
 #: Every word's examples: the three best, then further sentences in text order.
-ATTACHED = f"""{FIT}, prim as (select lemma, pos, x.text as text, x.tag as tag, x.surface surface, round(round(x.mean, 2), 1) score from ranked where pos <= 3),
+ATTACHED = f"""{FIT}, prim as (select lemma, pos, x.text as text, x.tag as tag, x.surface surface, round(round(x.mean::decimal(18, 6), 2), 1)::double score from ranked where pos <= 3),
     have as (select lemma, count(*) have from prim group by lemma),
     need as (select w.lemma, w.score, coalesce(h.have, 0) have from words w left join have h using (lemma) where coalesce(h.have, 0) < 3),
     tx as (select s.lemma, s.text, arg_min(s.surface, struct_pack(f := s.file_id, s := s.sent_ord)) surface, arg_min(s.tag, struct_pack(f := s.file_id, s := s.sent_ord)) tag, min(struct_pack(f := s.file_id, s := s.sent_ord)) seen_at, any_value(n.score) score, any_value(n.have) have from segs s join need n using (lemma) group by s.lemma, s.text),
@@ -261,11 +262,40 @@ def costs(rows: str) -> str:
     return f"select id, e, case when e then 500 * length(text)::int - 1000 + case when regexp_matches(text, '^[ぁ-んー]+$') then case when length(text) < 3 then 1000 else 500 end else 0 end else 1750 * length(text)::int end cost, regexp_matches(text, '^[ぁ-んー]+$') hiragana from {rows}, (values (true), (false)) as f(e)"
 
 
+def is_useless(p1: str = "p1", p2: str = "p2") -> str:
+    return f"(lemma = '' or regexp_matches(lemma, '^\\p{{Nd}}+$') or regexp_matches(lemma, '^[a-zA-ZÀ-ÿ''-]+$') or not regexp_matches(lemma, '[{JAPANESE}]') or regexp_matches(lemma, '[っゃゅょァィゥェォッャュョー]$') or {p1} in ('助詞', '記号', '補助記号', '感動詞', '接頭辞', '接尾辞', '代名詞') or ({p1} = '名詞' and {p2} in ('固有名詞', '代名詞')) or regexp_matches(lemma, '^[ぁ-んァ-ン]$') or regexp_matches(lemma, '^[ァ-ンー]+$'))"
+
+
 def useless(rows: str) -> str:
-    return f"select id, lemma = '' or regexp_matches(lemma, '^\\p{{Nd}}+$') or regexp_matches(lemma, '^[a-zA-ZÀ-ÿ''-]+$') or not regexp_matches(lemma, '[{JAPANESE}]') or regexp_matches(lemma, '[っゃゅょァィゥェォッャュョー]$') or p1 in ('助詞', '記号', '補助記号', '感動詞', '接頭辞', '接尾辞', '代名詞') or (p1 = '名詞' and p2 in ('固有名詞', '代名詞')) or regexp_matches(lemma, '^[ぁ-んァ-ン]$') or regexp_matches(lemma, '^[ァ-ンー]+$') useless from {rows}"
+    return f"select id, {is_useless()} useless from {rows}"
+
+
+def mined_ja() -> str:
+    """MINED with the Japanese classes, runs and rules over the documents in Japanese script."""
+    kept = lambda p: f"length(n.text) >= 5 and {count('n.text', p)} >= 2"
+    word = "lower(surface)"
+    changes = {
+        DOCS: DOCS.replace(", text from", f", {JA_TEXT} text from"),
+        normalised("raw_sents", True): normalised("raw_sents"),
+        kept(LATIN.core): kept(JA.core),
+        "'[A-Za-zÀ-ÖØ-öø-ÿ]+'": q(JAPANESE_RUNS.pattern),
+        f"length({word}) >= {LATIN.min_lemma} and {word} not in ({STOPS})": "not " + is_useless("'名詞'", "'普通名詞'").replace("lemma", word),
+        valid("text", LATIN.script, LATIN.broad, LATIN.min_length, LATIN.max_length): valid("text", JAPANESE, JAPANESE_BROAD, JA.min_length, JA.max_length),
+        penalty("text", LATIN.narrow, LATIN.terminators): penalty("text", JAPANESE, JA.terminators),
+        ITEMS: f"items as (select item_id i, regexp_extract_all(translate(text, {q(J.LETTERS)}, {q(J.TEXTS[2])}), {q(JAPANESE_RUNS.pattern)}) w from benchmark)",
+        "coalesce(d.first_reading, d.lemma) reading": f"translate(coalesce(d.first_reading, d.lemma), '{KATA}', '{HIRA}') reading",
+    }
+    out = MINED
+    for latin, own in changes.items():
+        if latin not in out:
+            raise ValueError(f"not in the mining plan's SQL: {latin[:60]}")
+        out = out.replace(latin, own)
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
+    mined_rows = """ select case when invalid then 'dropped' else 'kept' end status, word, score, reading, "index", frequency, definition, tags, n_sentences, html from rows_"""
+    mined_examples = " select case when d.invalid then 'dropped' else 'kept' end status, d.lemma word, d.score, a.text sentence, a.tag, null::varchar origin, a.surface surface_form, (row_number() over (partition by a.lemma order by a.pos) - 1)::int pos from att a join defined d using (lemma)"
     return {
         "word_frequency": f"with {PLAIN} select word, frequency, n_sources from freq",
         "word_scores": f"{WORDS} select lemma word, frequency, len(tags)::int n_tags, round(idx, 6) mean_index, score from words",
@@ -307,7 +337,7 @@ def oracle_sql() -> dict[str, str]:
         "definitions_join": f"{DEFINED} select lemma, definition, invalid, score from defined",
         "invalid_words": f"{DEFINED} select lemma word, lemma reading, array_to_string(tags, ' ') tags from defined where invalid",
         "sentence_stats": f"{STATS} select file_id, sent_ord, lemma, score, n_known, n_total, too_hard::int too_hard, round(mean, 6) mean, round(variance, 6) variance from stats",
-        "attach_examples": f"{FIT} select lemma, pos::int pos, x.text as text, x.tag as tag, x.surface surface_form, round(round(x.mean, 2), 1) score from ranked where pos <= 3",
+        "attach_examples": f"{FIT} select lemma, pos::int pos, x.text as text, x.tag as tag, x.surface surface_form, round(round(x.mean::decimal(18, 6), 2), 1)::double score from ranked where pos <= 3",
         "attach_fallback": f"""{FIT}, prim as (select lemma, x.text as text from ranked where pos <= 1), have as (select lemma, count(*) have from prim group by lemma),
             need as (select w.lemma, w.score, coalesce(h.have, 0) have from words w left join have h using (lemma) where coalesce(h.have, 0) < 3),
             tx as (select s.lemma, s.text, arg_min(s.surface, struct_pack(f := s.file_id, s := s.sent_ord)) surface, min(struct_pack(f := s.file_id, s := s.sent_ord)) seen_at, any_value(n.score) score, any_value(n.have) have from segs s join need n using (lemma) group by s.lemma, s.text),
@@ -316,8 +346,10 @@ def oracle_sql() -> dict[str, str]:
         "kept_rows": f'{FINISHED} select word, score, reading, "index", frequency, definition, tags, n_sentences, html from rows_ where not invalid',
         "dropped_rows": f'{FINISHED} select word, score, reading, "index", frequency, tags, n_sentences, html from rows_ where invalid',
         "sentence_rows": f"{FINISHED} select case when d.invalid then 'dropped' else 'kept' end status, d.lemma word, d.score, a.text sentence, a.tag, a.surface surface_form, (row_number() over (partition by a.lemma order by a.pos) - 1)::int pos from att a join defined d using (lemma)",
-        "mined_words": f"""{MINED} select case when invalid then 'dropped' else 'kept' end status, word, score, reading, "index", frequency, definition, tags, n_sentences, html from rows_""",
-        "mined_sentences": f"{MINED} select case when d.invalid then 'dropped' else 'kept' end status, d.lemma word, d.score, a.text sentence, a.tag, null::varchar origin, a.surface surface_form, (row_number() over (partition by a.lemma order by a.pos) - 1)::int pos from att a join defined d using (lemma)",
+        "mined_words": MINED + mined_rows,
+        "mined_words_ja": mined_ja() + mined_rows,
+        "mined_sentences": MINED + mined_examples,
+        "mined_sentences_ja": mined_ja() + mined_examples,
         "highlight_html": f"select doc_id, case when {HIT} <> '' then substr(text, 1, strpos(text, {HIT}) - 1) || '<span class=''highlight''>' || {HIT} || '</span>' || substr(text, strpos(text, {HIT}) + length({HIT})) else text end || '<br><span class=''tag sentence-tag''>' || coalesce(source, 'None') || ' - 1.5</span>' html from documents",
         "sync_changes": f"{CHANGES} select op, note_id, expression, tags, frequency from changes",
         "note_changes": f"""{FINISHED}, want as materialized (select d.lemma e, d.lemma reading, d.definition meaning, round(d.idx, 4)::varchar idx, d.frequency f, d.frequency::varchar frequency, d.score::varchar score, coalesce(h.html, '') html, d.tags t, ('0x' || md5(d.lemma)[1:8])::bigint number from defined d left join html h using (lemma) where not d.invalid),

@@ -8,7 +8,7 @@ Doubles are rounded so that both engines hash alike.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiforge.functions import scoring as S
@@ -17,7 +17,7 @@ from lexiforge.functions.normalize import normalise_column
 from lexiforge.functions.profiles import JA, LATIN, LATIN_LETTERS
 from lexiforge.operators import dictionary, examples, layout, lexicon, lexicon_state, ranking, sync, token_cache, userdict
 from lexiforge.operators.staging import new_folder, staged
-from lexiforge.operators.tokenizers import RegexTokenizer
+from lexiforge.operators.tokenizers import JAPANESE_RUNS, RegexTokenizer
 from lexiforge.plans import japanese, mining
 from lexiforge.sources import files, sinks
 from lexiforge.sources.dictionary_xml import read_dictionary, write_dictionary
@@ -236,10 +236,10 @@ def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upto.where(F.col("upto") > at).groupBy("source").agg(F.min("len").alias("p90"))
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def entries(spark: SparkSession, sf_dir: str, words: Column | None = None) -> DataFrame:
     """A dictionary from benchmark items: each item's first four words, the third and fourth as
     readings; priority marks by its number; its first word as gloss of one to three senses."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)) if words is None else words
     none = F.array().cast("array<string>")
     i = F.col("item_id")
     mark = F.array(F.concat(F.lit("nf"), F.lpad((i % 48 + 1).cast("string"), 2, "0")), F.when(i % 2 == 0, "ichi1").otherwise("news2"))
@@ -376,6 +376,24 @@ def mined_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.sentence_rows(_mined(spark, sf_dir)).select(*sinks.SENTENCE_HEADER, "pos")
 
 
+def _mined_ja(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default plan (Japanese profile and runs) over the documents in Japanese script, with the benchmark items in
+    it as dictionary."""
+    files = corpus(spark, sf_dir).withColumn("text", japanese.text(F.col("file_id"), F.col("text")))
+    words = F.regexp_extract_all(F.translate("text", japanese.LETTERS, japanese.TEXTS[2]), F.lit(JAPANESE_RUNS.pattern), F.lit(0))
+    done = mining.mine(files, entries(spark, sf_dir, words), mining.Config(min_frequency=PROFILE_MIN, score_places=1, places=6)).words
+    return done.withColumn("sentences", F.transform("sentences", lambda s: s.withField("score", F.round(s["score"], 1))))
+
+
+def mined_words_ja(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("invalid"), "dropped").otherwise("kept")
+    return sinks.word_rows(_mined_ja(spark, sf_dir)).select(status.alias("status"), "word", "score", "reading", "index", "frequency", "definition", "tags", "n_sentences", "html")
+
+
+def mined_sentences_ja(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.sentence_rows(_mined_ja(spark, sf_dir)).select(*sinks.SENTENCE_HEADER, "pos")
+
+
 def highlight_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     word = F.regexp_extract(F.col("text"), "[A-Za-z]{4,}", 0)
@@ -534,7 +552,7 @@ NAMES = (
     "normalise_sentences", "valid_sentences", "useful_tokens", "build_lexicon", "tag_sets", "token_position_index", "sentence_lemma_map",
     "frequency_threshold", "filter_frequency", "tag_diversity", "priority_scores", "nearest_rank", "dictionary_scan", "dictionary_index", "dictionary_best_entry", "dictionary_ties",
     "definitions_join", "invalid_words", "sentence_stats", "attach_examples", "attach_fallback", "kept_rows", "dropped_rows", "sentence_rows",
-    "mined_words", "mined_sentences", "highlight_html", "sync_changes", "note_changes", "sync_summary", "sync_batches", "ngram_candidates", "ngram_candidates_latin", "ngram_candidates_ja", "user_dictionary",
+    "mined_words", "mined_sentences", "mined_words_ja", "mined_sentences_ja", "highlight_html", "sync_changes", "note_changes", "sync_summary", "sync_batches", "ngram_candidates", "ngram_candidates_latin", "ngram_candidates_ja", "user_dictionary",
     "pos_resolution", "userdict_cost", "content_keys", "cache_misses", "token_cache_runs", "lexicon_update", "useless_lemmas",
 )
 

@@ -161,3 +161,21 @@ def test_copies_and_fallback(spark):
     assert len(got["目標"]) == 2
     prefixed = attach(spark, [("駅", 10.0)], [("甲>駅へ。", ["駅"]), ("乙>駅へ。", ["駅"]), ("丙>駅へ。", ["駅"])])
     assert [s.text[0] for s in prefixed["駅"]] == ["甲", "乙", "丙"] and prefixed["駅"][1].score == -10.0
+
+
+def test_statistics_by_any_row_order(spark):
+    """A mean that ties at the second decimal is the same whatever the order of its words' rows, and the
+    correctly rounded quotient of the exact sum."""
+    from fractions import Fraction
+
+    rng, rows, words = random.Random(5), [], [(f"w{i}", rng.randrange(1, 9999) / 10) for i in range(40)]
+    for f in range(30):
+        chosen = rng.sample(range(40), 20)
+        rows += [(2 * f + k, 0, "src", f"text {f} {k}.", [(f"w{i}", f"w{i}") for i in order]) for k, order in enumerate((chosen, chosen[::-1]))]
+    of = spark.createDataFrame(rows, "file_id long, sent_ord int, tag string, text string, entries array<struct<lemma:string,surface:string>>")
+    scores = spark.createDataFrame(words, "lemma string, score double")
+    got = {r.file_id: (r.mean, r.variance) for r in examples.sentence_statistics(examples.featured(of), scores).collect()}
+    exact = {w: Fraction(str(s)) for w, s in words}
+    for file_id, _, _, _, entries in rows:
+        assert got[file_id][0] == float(sum(exact[w] for w, _ in entries) / len(entries))
+        assert got[file_id] == got[file_id ^ 1]
