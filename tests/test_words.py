@@ -168,7 +168,8 @@ def test_statistics_by_any_row_order(spark):
     correctly rounded quotient of the exact sum."""
     from fractions import Fraction
 
-    rng, rows, words = random.Random(5), [], [(f"w{i}", rng.randrange(1, 9999) / 10) for i in range(40)]
+    rng, rows = random.Random(5), []
+    words = [(f"w{i}", rng.randrange(1, 9999) / 10) for i in range(40)]
     for f in range(30):
         chosen = rng.sample(range(40), 20)
         rows += [(2 * f + k, 0, "src", f"text {f} {k}.", [(f"w{i}", f"w{i}") for i in order]) for k, order in enumerate((chosen, chosen[::-1]))]
