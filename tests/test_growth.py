@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiforge.functions.profiles import INVISIBLE, JA, LATIN, SCRIPT_MARKS, WS, quick
-from lexiforge.operators import layout, lexicon
+from lexiforge.functions.text import running_sum
+from lexiforge.operators import examples, layout, lexicon
 from lexiforge.plans import queries
 
 CLASSES = {WS, INVISIBLE + SCRIPT_MARKS, *(getattr(p, c) for p in (JA, LATIN) for c in ("script", "broad", "narrow", "core"))}
@@ -38,3 +39,23 @@ def test_files_are_counted_where_they_are_dealt(spark, sf):
 def test_empty_files_have_no_sentence(spark):
     df = spark.createDataFrame([(1, "a", ""), (2, "a", None), (3, "a", "Some words here. And more!")], "file_id long, tag string, text string")
     assert sorted(r.file_id for r in layout.extract_sentences(df).collect()) == [3, 3]
+
+
+def test_running_sums_of_any_length(spark):
+    rows = spark.createDataFrame([(n, [i % 7 for i in range(n)]) for n in (0, 1, 8, 9, 1000, 5003)], "n int, x array<int>")
+    for r in rows.select("n", "x", running_sum(F.col("x")).alias("sums")).collect():
+        assert r.sums == [sum(r.x[: i + 1]) for i in range(r.n)]
+
+
+def test_sentences_are_judged_without_comparing_all_lemmas_with_all(spark):
+    """Last surfaces and harder words come from places in arrays, not from a lambda per pair of lemmas."""
+    words = [("b", "B"), ("a", "A"), ("b", "b"), ("c", "c"), ("a", "a"), ("b", "Bb")]
+    useful = [(i, s, w, w, ["x"]) for i, (w, s) in enumerate(words)]
+    schema = "file_id long, tag string, sent_ord int, text string, upto long, n_file long, useful array<struct<tok_ord:int,surface:string,lemma:string,reading:string,pos:array<string>>>"
+    lists = spark.createDataFrame([(1, "t", 0, "A sentence that is long enough.", 6, 6, useful)], schema)
+    of_segments = lexicon.segment_lists(lists, LATIN)
+    assert [tuple(e) for e in of_segments.first().entries] == [("b", "Bb"), ("a", "a"), ("c", "c")]
+    scores = spark.createDataFrame([("a", 5.0), ("b", 7.0)], "lemma string, score double")
+    stats = examples.sentence_statistics(examples.featured(of_segments, LATIN), scores, unknown=True)
+    assert {r.lemma: r.too_hard for r in stats.collect()} == {"b": 0, "a": 1, "c": 2}
+    assert not re.search(r"transform\(array_distinct.*lambdafunction\(.*filter\(useful", plan(of_segments))
