@@ -13,8 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.functions.text import kana_fold
-from lexiforge.operators.lexicon import file_positions
+from lexiforge.operators.lexicon import attributes, file_positions
 from lexiforge.operators.staging import staged
 
 #: Places are summed in units of 1 / UNITS: exact, whatever the order, and finer than a double's own error.
@@ -64,11 +63,12 @@ def updated(state: DataFrame, gone: DataFrame, new: DataFrame, current: DataFram
     return summed.join(found, "lemma", "left").withColumn("first", F.coalesce("found", "first")).drop("found", "lost")
 
 
-def lexicon_of(state: DataFrame) -> DataFrame:
+def lexicon_of(state: DataFrame, pos: tuple[str, ...] = ()) -> DataFrame:
     """The columns of lexicon.lexicon."""
+    reading, pos = attributes(F.col("first"), F.col("lemma"), state.schema["first"].dataType.names, pos)
     mean = F.col("place_sum").cast("double") / F.lit(float(UNITS)) / F.col("n_files")
     tags = F.array_sort(F.map_keys("tag_files"))
-    return state.select("lemma", mean.alias("index"), F.col("n_files").cast("int").alias("index_count"), "frequency", kana_fold(F.col("first.reading")).alias("reading"), tags.alias("tags"), F.col("first.pos").alias("pos"), F.col("first.at").alias("first_seen"))
+    return state.select("lemma", mean.alias("index"), F.col("n_files").cast("int").alias("index_count"), "frequency", reading, tags.alias("tags"), pos, F.col("first.at").alias("first_seen"))
 
 
 @dataclass(frozen=True)
