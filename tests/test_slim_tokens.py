@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lexiforge.functions import text as T
 from lexiforge.functions.profiles import JA, LATIN, quick
 from lexiforge.operators import layout, lexicon
+from lexiforge.operators.token_cache import TokenCache
 from lexiforge.operators.tokenizers import JAPANESE_RUNS, RegexTokenizer
 
 TOKENIZER = RegexTokenizer()
@@ -65,3 +66,16 @@ def test_useless_lemmas_by_one_pattern(spark):
 def test_what_a_tokeniser_is_made_of():
     assert TOKENIZER.only_of(LATIN.script) and not JAPANESE_RUNS.only_of(JA.script) and not RegexTokenizer("[a-z0-9]+").only_of(LATIN.script)
     assert "&&" not in quick(LATIN.script) and "&&" in quick(JA.script + "a")
+
+
+def test_cached_tokens_move_only_as_what_is_made_of_them(spark, tmp_path):
+    cache = TokenCache(spark, str(tmp_path), TOKENIZER.fingerprint)
+    lists = layout.sentence_lists(corpus(spark))
+    keys, run = cache.add(lists, TOKENIZER)
+    sizes = cache.lists(lists, keys, F.size("tokens").alias("n")).select("file_id", "sent_ord", "n")
+    want = cache.lists(lists, keys).select("file_id", "sent_ord", F.size("tokens").alias("n"))
+    rows = sorted(tuple(r) for r in sizes.collect())
+    assert rows and rows == sorted(tuple(r) for r in want.collect())
+    assert (run.sentences, run.tokens) == (len(rows), sum(n for *_, n in rows))
+    above_scan = plan(sizes).split("Scan parquet")[0]
+    assert "tokens#" not in "".join(line for line in above_scan.split("\n") if "Join" in line or "Exchange" in line or "Sort" in line)
