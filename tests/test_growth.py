@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from lexiforge.functions import text
 from lexiforge.functions.profiles import INVISIBLE, JA, LATIN, SCRIPT_MARKS, WS, quick
 from lexiforge.functions.text import running_sum
 from lexiforge.operators import examples, layout, lexicon
@@ -59,3 +60,25 @@ def test_sentences_are_judged_without_comparing_all_lemmas_with_all(spark):
     stats = examples.sentence_statistics(examples.featured(of_segments, LATIN), scores, unknown=True)
     assert {r.lemma: r.too_hard for r in stats.collect()} == {"b": 0, "a": 1, "c": 2}
     assert not re.search(r"transform\(array_distinct.*lambdafunction\(.*filter\(useful", plan(of_segments))
+
+
+def test_what_is_asked_for_alone_is_counted_without_files(spark, sf):
+    """Frequencies and tags come from the tokens: no row per (file, lemma), and what the lexicon has."""
+    useful = queries._useful(spark, sf)
+    words = lexicon.lexicon(useful)
+    assert sorted(map(tuple, lexicon.frequencies(useful).collect())) == sorted(map(tuple, words.select("lemma", "frequency").collect()))
+    assert sorted((r.lemma, *r.tags) for r in lexicon.tag_sets(useful).collect()) == sorted((r.lemma, *r.tags) for r in words.collect())
+    for df in (lexicon.frequencies(useful), lexicon.tag_sets(useful)):
+        assert not re.search(r"Aggregate \[file_id", plan(df))
+
+
+def test_patterns_stay_off_texts_that_have_nothing_for_them(spark):
+    """Single blanks are replaced without a pattern, and what stands between is made once, however often it is read."""
+    texts = ["a b", "a  b", "a\tb", "\ta b \n", "", "a!  b? c", "!?", "!a", "あ！い", "x . y", " a", "b\n　c", "b\n\n\n\nc"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    marked = rows.select("text", text._even_blanks(F.col("text")).alias("even"), layout._may_be_indented(F.col("text")).alias("indented"), text._marked_stops(F.col("text")).alias("m"))
+    for r in marked.collect():
+        assert r.even == re.sub(r"[ \t]+", "　", r.text)
+        assert r.indented == bool(re.search(r"(?:\A|\n)[ \t　]", r.text))
+        assert [p.strip() for p in r.m.split(text.MARK)] == [p.strip() for p in re.split(r"(?<=[。．！？!?])\s*(?=[^\s。．！？!?])", r.text)]
+    assert plan(rows.select(text.marked_paragraphs(F.col("text")).alias("m"))).count("regexp_replace") == 3
