@@ -27,7 +27,7 @@ LETTERS = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPLIT = re.compile(rf"[{LETTERS}]+|[{NUMBERS}]|'(?:[stmd]|re|ve|ll)|[^{GAPS}{LETTERS}{NUMBERS}]+")
 #: Words whose ids a worker remembers, the first it meets.
-CACHE = 200_000
+CACHE = 100_000
 #: Texts held as Python objects at a time.
 ROWS = 64
 _TYPES = {"ids": pa.binary(), "decoded": pa.string(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}

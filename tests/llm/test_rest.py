@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiforge.llm import mixing, pii, resharding, toxicity
+from lexiforge.llm import bpe_codec, mixing, pii, resharding, toxicity
 from lexiforge.llm import quality_rules as quality
 from lexiforge.llm.queries import queries
 
@@ -387,3 +387,11 @@ def test_pipeline(spark, sf):
     rows = out.select("doc_id", "n_tokens", F.length("ids").alias("n")).collect()
     assert rows and all(r.n == 4 * r.n_tokens for r in rows)
     assert [n for n, _ in cp.STAGES] == ["toxicity", "near_dedup", "personal_data", "mixing", "encoding"] and cp.ORACLE_SQL is None
+
+
+def test_workers_remember_few_words():
+    """A pipeline's worker holds the words of several stages at once: each stage's are bounded by 100000."""
+    scorer = toxicity.Scorer(toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32), 0.0, 1.0, 0.0))
+    spare = "".join(map(chr, range(0x4E00, 0x4E00 + 340)))
+    assert {scorer.score(" ".join(a + b for b in spare)) for a in spare} == {0.5}
+    assert len(scorer.known) <= 100_000 and bpe_codec.CACHE <= 100_000
