@@ -82,3 +82,25 @@ def test_patterns_stay_off_texts_that_have_nothing_for_them(spark):
         assert r.indented == bool(re.search(r"(?:\A|\n)[ \t　]", r.text))
         assert [p.strip() for p in r.m.split(text.MARK)] == [p.strip() for p in re.split(r"(?<=[。．！？!?])\s*(?=[^\s。．！？!?])", r.text)]
     assert plan(rows.select(text.marked_paragraphs(F.col("text")).alias("m"))).count("regexp_replace") == 3
+
+
+def test_tokens_travel_without_their_sentences_features(spark):
+    """Digests and numbers of a sentence join its row; files without an id, or with the same one, stay apart."""
+    rows = [(f, "t", 0, text, [(w, w) for w in lemmas]) for f, text, lemmas in ((None, "x y", "ab"), (0, "x y", "ab"), (1, "one", "ab"), (1, "two", "c"), (2, "none", "d"))]
+    of_segments = spark.createDataFrame(rows, "file_id long, tag string, sent_ord int, text string, entries array<struct<lemma:string,surface:string>>")
+    scores = spark.createDataFrame([("a", 5.0), ("b", 7.0), ("c", 1.0)], "lemma string, score double")
+    stats = examples.sentence_statistics(examples.featured(of_segments, LATIN), scores)
+    got = sorted((r.file_id if r.file_id is not None else -1, r.lemma, r.surface, r.n_known, r.n_total, r.n_chars, r["mean"], r.too_hard) for r in stats.collect())
+    two = lambda f: [(f, "a", "a", 2, 2, 3, 6.0, 1), (f, "b", "b", 2, 2, 3, 6.0, 0)]
+    assert got == [*two(-1), *two(0), *two(1), (1, "c", "c", 1, 1, 3, 1.0, 0)]
+    assert not re.search(r"text_key.*collect_list|collect_list.*text_key", plan(stats))
+
+
+def test_words_that_need_more_examples_are_known_before_they_meet_all_tokens(spark):
+    rows = [(1, "t", i, f"text {i}", [(w, w) for w in "ab"]) for i in range(5)]
+    of_segments = examples.featured(spark.createDataFrame(rows, "file_id long, tag string, sent_ord int, text string, entries array<struct<lemma:string,surface:string>>"), LATIN)
+    scores = spark.createDataFrame([("a", 5.0), ("b", 7.0)], "lemma string, score double")
+    primary = examples.best_examples(examples.candidates(examples.sentence_statistics(of_segments, scores), 7.0)).where("lemma = 'a' or pos = 1")
+    more = examples.fallback_examples(of_segments, scores, primary)
+    assert [(r.lemma, r.pos, r.score) for r in more.orderBy("pos").collect()] == [("b", 2, -7.0), ("b", 3, -7.0)]
+    assert "LeftOuter" not in plan(more)
