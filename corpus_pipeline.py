@@ -16,11 +16,14 @@ from lexiforge.llm.near_dedup import first_of_group
 from lexiforge.llm.pii import redact
 from lexiforge.llm.toxicity import score_column, train
 
+#: Words that a stage remembers in a worker, which holds those of several stages at once: fewer than an operator on its own does.
+CACHE = 100_000
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.where(score_column(F.col("text"), model) < 0.5)
+    return docs.where(score_column(F.col("text"), model, CACHE) < 0.5)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +43,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of the text decoded from them."""
-    coded = docs.select("doc_id", "lang", "source", coded_column(F.col("text"), outputs=("ids",)).alias("c"))
+    coded = docs.select("doc_id", "lang", "source", coded_column(F.col("text"), outputs=("ids",), cache=CACHE).alias("c"))
     return coded.select("doc_id", "lang", "source", "c.ids", "c.n_tokens", "c.ids_sha256", "c.decoded_sha256")
 
 

@@ -27,7 +27,7 @@ LETTERS = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPLIT = re.compile(rf"[{LETTERS}]+|[{NUMBERS}]|'(?:[stmd]|re|ve|ll)|[^{GAPS}{LETTERS}{NUMBERS}]+")
 #: Words whose ids a worker remembers, the first it meets.
-CACHE = 100_000
+CACHE = 200_000
 #: Texts held as Python objects at a time.
 ROWS = 64
 _TYPES = {"ids": pa.binary(), "decoded": pa.string(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
@@ -36,9 +36,10 @@ _TYPES = {"ids": pa.binary(), "decoded": pa.string(), "n_tokens": pa.int64(), "i
 class Codec:
     """Encoder and decoder of one vocabulary file whose decoder joins tokens with spaces."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
+        self.cache = cache
         self.merges = Merges(path)
         self.library = Tokenizer.from_file(path)  # its normaliser and splitter, for texts beyond PLAIN
         self.special = re.compile("|".join(f"({re.escape(s)})" for s in self.merges.special)) if self.merges.special else None
@@ -47,7 +48,7 @@ class Codec:
     def _piece(self, piece: str) -> tuple[bytes, str]:
         ids = self.merges.encode(self.merges.symbols(piece.encode("utf-8")))
         got = pack(f"<{len(ids)}I", *ids), " ".join(map(self.merges.token.__getitem__, ids))
-        if len(piece) <= 40 and len(self.known) < CACHE:
+        if len(piece) <= 40 and len(self.known) < self.cache:
             self.known[piece] = got
         return got
 
@@ -76,13 +77,13 @@ class Codec:
         return b"".join(raw), " ".join(shown)
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[tuple[str, int], Codec] = {}
 
 
-def codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+def codec(path: str, cache: int = CACHE) -> Codec:
+    if (path, cache) not in _CODECS:
+        _CODECS[path, cache] = Codec(path, cache)
+    return _CODECS[path, cache]
 
 
 def tokenizer_path(name: str) -> str:
@@ -91,17 +92,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def coded_column(text: Column, name: str = TOKENIZER, outputs: tuple[str, ...] = ("ids", "decoded")) -> Column:
+def coded_column(text: Column, name: str = TOKENIZER, outputs: tuple[str, ...] = ("ids", "decoded"), cache: int = CACHE) -> Column:
     """struct(ids binary, decoded string, n_tokens, ids_sha256, decoded_sha256) of a text column.
 
     Null encodes as the empty text: no ids, an empty decoded text. Repeated rows are rows of their
     own, with equal values. Very long texts are encoded whole; only unsplit runs need the tree.
     ``name`` is a file of the tokenizer folder, resolved on the executor; nothing is shipped
-    with the job. Of ids and decoded, what ``outputs`` doesn't name is null."""
+    with the job. Of ids and decoded, what ``outputs`` doesn't name is null. ``cache``: words remembered."""
 
     @F.arrow_udf("ids binary, decoded string, n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = codec(tokenizer_path(name))
+        own = codec(tokenizer_path(name), cache)
 
         def coded(texts: pa.Array) -> pa.Array:
             rows = []

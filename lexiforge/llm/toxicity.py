@@ -37,7 +37,7 @@ SAMPLE = 800
 SAMPLE_WINDOWS = 200_000
 SEED = 11
 #: Words whose scores a task remembers, the first it meets, and texts held as Python objects at a time.
-CACHE, ROWS = 100_000, 64
+CACHE, ROWS = 300_000, 64
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -201,12 +201,12 @@ def _calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, floa
 
 
 class Scorer:
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
+    def __init__(self, model: Model, cache: int | None = None):
+        self.model, self.known, self.cache = model, {}, CACHE if cache is None else cache
 
     def word(self, w: str) -> float:
         got = float(self.model.weight[grams(w)].mean())
-        if len(self.known) < CACHE:
+        if len(self.known) < self.cache:
             self.known[w] = got
         return got
 
@@ -285,12 +285,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, total: int =
     return fit([t for _, t, _ in rows], [y for _, _, y in rows], n_toxic / n if n else None)
 
 
-def score_column(text: Column, model: Model) -> Column:
-    """Probability that a whole text is toxic; null scores as the empty text."""
+def score_column(text: Column, model: Model, cache: int | None = None) -> Column:
+    """Probability that a whole text is toxic; null scores as the empty text. ``cache``: words remembered, CACHE by default."""
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = Scorer(model)
+        own = Scorer(model, cache)
         for texts in batches:  # a few texts as Python objects at a time
             yield pa.array([own.score(t) for i in range(0, len(texts), ROWS) for t in texts.slice(i, ROWS).to_pylist()], pa.float64())
 
