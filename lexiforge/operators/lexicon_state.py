@@ -26,25 +26,26 @@ def partials(useful: DataFrame) -> DataFrame:
     return file_positions(useful).select("file_id", "lemma", "frequency", F.round(F.col("place") * UNITS).cast("long").alias("place"), "first", F.col("first.tag").alias("tag"))
 
 
-def _sums(parts: DataFrame, sign: Column) -> DataFrame:
-    """Per lemma: signed sums of frequency, files and places, and of files by tag."""
-    tags = parts.groupBy("lemma", "tag").agg(F.sum(F.col("frequency") * sign).alias("f"), F.sum(sign).alias("n"), F.sum(F.col("place").cast(PLACE_SUM) * sign).alias("p"))
+def _sums(parts: DataFrame, sign: Column, **firsts: Column) -> DataFrame:
+    """Per lemma: signed sums of frequency, files and places, and of files by tag; and the least of each of ``firsts``, which move with
+    the sums."""
+    tags = parts.groupBy("lemma", "tag").agg(F.sum(F.col("frequency") * sign).alias("f"), F.sum(sign).alias("n"), F.sum(F.col("place").cast(PLACE_SUM) * sign).alias("p"), *(F.min(c).alias(k) for k, c in firsts.items()))
     by_tag = F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "n"))))
-    return tags.groupBy("lemma").agg(F.sum("f").alias("frequency"), F.sum("n").alias("n_files"), F.sum("p").cast(PLACE_SUM).alias("place_sum"), by_tag.alias("tag_files"))
+    return tags.groupBy("lemma").agg(F.sum("f").alias("frequency"), F.sum("n").alias("n_files"), F.sum("p").cast(PLACE_SUM).alias("place_sum"), by_tag.alias("tag_files"), *(F.min(k).alias(k) for k in firsts))
 
 
 def state_of(parts: DataFrame) -> DataFrame:
     """lemma, frequency, n_files, place_sum, tag_files MAP<tag, files>, first: the sum of the partials."""
-    return _sums(parts, F.lit(1)).join(parts.groupBy("lemma").agg(F.min("first").alias("first")), "lemma")
+    return _sums(parts, F.lit(1), first=F.col("first"))
 
 
 def updated(state: DataFrame, gone: DataFrame, new: DataFrame, current: DataFrame) -> DataFrame:
     """The state after the partials ``gone`` are taken out and ``new`` ones put in; ``current`` are all
     partials that hold afterwards. A changed file's old partials go and its new ones come."""
     signed = gone.withColumn("sign", F.lit(-1)).unionByName(new.withColumn("sign", F.lit(1)))
-    change = _sums(signed, F.col("sign")).withColumnsRenamed({"frequency": "d_frequency", "n_files": "d_files", "place_sum": "d_places", "tag_files": "d_tags"})
-    ends = signed.groupBy("lemma").agg(F.min(F.when(F.col("sign") < 0, F.col("first"))).alias("out_first"), F.min(F.when(F.col("sign") > 0, F.col("first"))).alias("in_first"))
-    both = state.join(change.join(ends, "lemma"), "lemma", "full_outer")
+    ends = {"out_first": F.when(F.col("sign") < 0, F.col("first")), "in_first": F.when(F.col("sign") > 0, F.col("first"))}
+    change = _sums(signed, F.col("sign"), **ends).withColumnsRenamed({"frequency": "d_frequency", "n_files": "d_files", "place_sum": "d_places", "tag_files": "d_tags"})
+    both = state.join(change, "lemma", "full_outer")
     zero = F.lit(0).cast(PLACE_SUM)
     none = F.create_map().cast("map<string,bigint>")
     tags = F.map_zip_with(F.coalesce("tag_files", none), F.coalesce("d_tags", none), lambda t, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))

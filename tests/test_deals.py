@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiforge.functions.profiles import LATIN
-from lexiforge.operators import examples, layout, lexicon
+from lexiforge.operators import examples, layout, lexicon, lexicon_state
 from lexiforge.operators.tokenizers import RegexTokenizer
 from lexiforge.plans import queries
 from lexiforge.sources import files
@@ -83,3 +83,13 @@ def test_equal_ids_and_texts_of_two_tags_stay_apart(spark):
     scores = spark.createDataFrame([("a", 5.0), ("b", 7.0)], "lemma string, score double")
     stats = examples.sentence_statistics(examples.featured(spark.createDataFrame(rows, SEGMENT), LATIN), scores).collect()
     assert len(stats) == 4 and {r.n_known for r in stats} == {2}
+
+
+def test_firsts_move_with_the_sums(spark):
+    """A state comes from one pass over its partials, and no join."""
+    schema = "file_id long, lemma string, frequency long, place long, first struct<at:struct<file_id:long,sent_ord:int,tok_ord:int>,tag:string>, tag string"
+    parts = spark.createDataFrame([(f, "w", 2, 10, ((f, 0, 1), t), t) for f, t in ((3, "b"), (1, "a"), (2, "b"))], schema)
+    state = lexicon_state.state_of(parts)
+    assert "Join" not in state._jdf.queryExecution().executedPlan().toString()
+    r = state.first()
+    assert (r.frequency, r.n_files, int(r.place_sum), r.tag_files, r.first.at.file_id) == (6, 3, 30, {"a": 1, "b": 2}, 1)
